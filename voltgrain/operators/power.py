@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.logic import edge, n_rise, n_toggle
 from ..functions.lut import add_lut2
 from .events import asof_inputs, glitch_ratio
+from ..session import bounded_broadcast
 from .ordered import ordered, time_block
 
 MAX_STATE_PINS = 16
@@ -22,7 +23,7 @@ def expand_leakage(leak: DataFrame, cells: DataFrame) -> DataFrame:
     small = cells.filter(F.col("n_pin") <= MAX_STATE_PINS)
     states = small.select("cell_name", "default_leakage", F.explode(
         F.expr("sequence(0, shiftleft(1, n_pin) - 1)")).alias("state"))
-    hit = states.join(F.broadcast(leak), "cell_name", "left").withColumn(
+    hit = states.join(bounded_broadcast(leak), "cell_name", "left").withColumn(
         "hit", F.col("state").bitwiseAND(F.col("care_mask")) == F.col("value_mask"))
     best = hit.groupBy("cell_name", "state").agg(
         F.max_by("power", F.when(F.col("hit"), F.col("ord"))).alias("p"),
@@ -41,7 +42,7 @@ def hold_intervals(ticks: DataFrame, time_max: Column) -> DataFrame:
 
 def leakage_intervals(holds: DataFrame, gates: DataFrame, table: DataFrame) -> DataFrame:
     """Attach the leakage of the held state (0 where the cell has none)."""
-    return (holds.join(gates, "gate").join(F.broadcast(table), ["cell_name", "state"], "left")
+    return (holds.join(gates, "gate").join(bounded_broadcast(table), ["cell_name", "state"], "left")
             .withColumn("power", F.coalesce("power", F.lit(0.0))))
 
 
@@ -106,7 +107,7 @@ def nearest_cause(outputs: DataFrame, arcs: DataFrame, n_inputs: int, cycle_tick
     T = int(cycle_ticks)
     per_cell = arcs.groupBy("cell_name").agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws("/", F.col("pin_idx").cast("string"), "from_rf", "to_rf"), "delay"))).alias("arc"))
-    df = outputs.join(F.broadcast(per_cell), "cell_name", "left").withColumn("to_rf", edge(F.col("pv"), F.col("v")))
+    df = outputs.join(bounded_broadcast(per_cell), "cell_name", "left").withColumn("to_rf", edge(F.col("pv"), F.col("v")))
     cand = []
     for k in range(n_inputs):
         c = F.col(f"in{k}")
@@ -117,7 +118,7 @@ def nearest_cause(outputs: DataFrame, arcs: DataFrame, n_inputs: int, cycle_tick
         if same_cycle:
             ok = ok & (F.floor(c["t"] / T) == F.floor(F.col("t") / T))
         cand.append(F.when(ok, F.struct(diff.alias("diff"), F.lit(k).alias("rel_idx"), from_rf.alias("from_rf"))))
-    best = F.array_min(F.filter(F.array(*cand), lambda x: x.isNotNull()))
+    best = F.array_min(F.array(*cand))  # skips the inputs that do not qualify
     return df.withColumn("cause", best).drop("arc")
 
 
@@ -130,7 +131,7 @@ def default_output_energy(pins: DataFrame, tables: DataFrame, n_inputs: int) ->
         "gate", "cell_name", F.col("pin_idx").alias("rel_idx"),
         F.explode(F.array("slew_rise", "slew_fall")).alias("slew"))
     outs = pins.filter(F.col("pin_idx") >= n_inputs).select("gate", "pin_idx", "load_cap")
-    rows = ins.join(outs, "gate").join(F.broadcast(tables), ["cell_name", "pin_idx", "rel_idx"])
+    rows = ins.join(outs, "gate").join(bounded_broadcast(tables), ["cell_name", "pin_idx", "rel_idx"])
     rows = add_lut2(rows, "e", "axis1", "axis2", "vals", F.col("slew"), F.col("load_cap"))
     return rows.groupBy("gate", "pin_idx", "rf").agg(F.avg("e").alias("default_energy"))
 
@@ -152,7 +153,7 @@ def energy_per_change(changes: DataFrame, ticks: DataFrame, flagged_width: DataF
     full = full.withColumns({
         "rf": edge(F.col("pv"), F.col("v")),
         "ratio": glitch_ratio(F.col("pulse"), (F.col("slew_rise") + F.col("slew_fall")) * ticks_per_slew)})
-    exp = F.broadcast(expand_internal(tables, n_pin))
+    exp = bounded_broadcast(expand_internal(tables, n_pin))
 
     inp = full.filter(F.col("pin_idx") < n_inputs).withColumns({
         "rel_idx": F.lit(-1), "slew": F.when(F.col("rf") == "rise", F.col("slew_rise")).otherwise(F.col("slew_fall")),

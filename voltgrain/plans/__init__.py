@@ -1,3 +1,3 @@
 """Queries over the benchmark tables; importing this package registers them."""
 
-from . import event_plans  # noqa: F401
+from . import event_plans, power_plans, select_plans  # noqa: F401

@@ -102,15 +102,15 @@ ENV = ("(4e-2 + ((gate*7+pin_idx) % 13) / 50e0) AS slew_rise, (5e-2 + ((gate*3+p
 # ---------------------------------------------------------------- library
 # Leakage rows: cell, order, care mask, value mask, power. Later rows win.
 LEAK_ROWS = [
-    (f"c{c}", o, care, val, p + 11 * c)
+    (f"c{c}", o, care, val, float(p + 11 * c))
     for c in range(4)
     for o, care, val, p in ((0, 0b001, 0b001, 20), (1, 0b011, 0b010, 35), (2, 0b101, 0b101, 50), (3, 0b110, 0b110, 61))
 ]
-DEFAULT_LEAK = [("c0", 5), ("c1", 7), ("c2", 9), ("c3", 0)]
+DEFAULT_LEAK = [("c0", 5.0), ("c1", 7.0), ("c2", 9.0), ("c3", 0.0)]
 # Internal energy rows: cell, toggling pin, related pin (-1: none), order, care, value, edge, base.
 # The first matching row wins.
 INT_ROWS = [
-    (f"c{c}", pin, rel, o, care, val, rf, base + 2 * c + (1 if rf == "rise" else 0))
+    (f"c{c}", pin, rel, o, care, val, rf, float(base + 2 * c + (1 if rf == "rise" else 0)))
     for c in range(4)
     for pin, rel, o, care, val, base in (
         (0, -1, 0, 0b010, 0b010, 3), (0, -1, 1, 0b000, 0b000, 8),
@@ -130,7 +130,7 @@ AX1_SQL, AX2_SQL = "[5e-2, 1e-1, 2e-1]", "[5e-1, 1e0, 2e0, 4e0]"
 
 
 def _values(name: str, cols: str, rows: list[tuple]) -> str:
-    body = ",".join("(" + ",".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    body = ",".join("(" + ",".join(f"'{x}'" if isinstance(x, str) else f"{x:.0f}e0" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
     return f"{name} AS (SELECT * FROM (VALUES {body}) AS v({cols}))"
 
 

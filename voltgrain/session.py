@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -28,20 +29,42 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only for a local master."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a fresh local one only for a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and forget how they were made."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write the rows to the checkpoint folder and go on from the written table.
+
+    Lineage ends here, lost executors cost nothing but a re-read, and the reader
+    knows the size, so later joins broadcast only what is really small.
+    ``by`` writes one sub-folder per value, which later filters on it prune.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    w = df.write.mode("errorifexists")
+    schema = df.schema
+    if by is not None:
+        w = w.partitionBy(by)
+        rest = [f for f in schema if f.name != by]
+        schema = type(schema)([*rest, schema[by]])
+    w.parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*df.columns)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Mark a table for broadcast only after counting that it is small.
+
+    The count stops at the bound. A larger table is returned as it is, and the
+    join then shuffles (and AQE splits skewed keys) as usual.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
