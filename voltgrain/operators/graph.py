@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.logic import X, ternary_value
-from ..session import cut
+from ..session import cut, cut_watch
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -56,16 +56,14 @@ def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = edges.select("from_v", "to_v")
     arrows = e.select(F.explode(F.array(
         F.struct(F.col("to_v").alias("v"), F.lit(1).alias("n")), F.struct(F.col("from_v").alias("v"), F.lit(0).alias("n")))).alias("x"))
-    state = cut(arrows.select("x.*").groupBy("v").agg(F.sum("n").alias("n_in")))
+    state, n = cut_watch(arrows.select("x.*").groupBy("v").agg(F.sum("n").alias("n_in")), F.col("n_in") == 0)
     done, level = [], 0
-    while True:
+    while n:
         ready = state.filter("n_in = 0").select("v", F.lit(level).alias("level"))
-        if ready.isEmpty():
-            break
         done.append(ready)
         used = ready.select(F.col("v").alias("from_v")).join(e, "from_v").groupBy(F.col("to_v").alias("v")).agg(F.count("*").alias("used"))
-        state = cut(state.filter("n_in > 0").join(used, "v", "left")
-                    .select("v", (F.col("n_in") - F.coalesce("used", F.lit(0))).alias("n_in")))
+        state, n = cut_watch(state.filter("n_in > 0").join(used, "v", "left")
+                             .select("v", (F.col("n_in") - F.coalesce("used", F.lit(0))).alias("n_in")), F.col("n_in") == 0)
         level += 1
     if not done:
         return state.select("v", F.lit(0).alias("level")).limit(0), state
@@ -75,8 +73,8 @@ def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _fix_point(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Column) -> DataFrame:
     """Repeat a step on a keyed table until no row is marked as changed."""
     while True:
-        state = cut(step(state))
-        if state.filter(changed).isEmpty():
+        state, n = cut_watch(step(state), changed)
+        if not n:
             return state
 
 
@@ -93,9 +91,9 @@ def loop_members(edges: DataFrame) -> DataFrame:
         for flip in (False, True):
             _, core = peel(reverse(e) if flip else e)
             keep = core.select("v")
-            e = cut(e.join(keep.select(F.col("v").alias("from_v")), "from_v", "left_semi")
-                    .join(keep.select(F.col("v").alias("to_v")), "to_v", "left_semi").select("from_v", "to_v"))
-        if e.isEmpty():
+            e, n = cut_watch(e.join(keep.select(F.col("v").alias("from_v")), "from_v", "left_semi")
+                             .join(keep.select(F.col("v").alias("to_v")), "to_v", "left_semi").select("from_v", "to_v"), F.lit(True))
+        if not n:
             break
         verts = e.select(F.col("from_v").alias("v")).union(e.select("to_v")).distinct()
 
@@ -135,21 +133,37 @@ class Levelled:
     """An edge table with levels, written once per start level."""
 
     def __init__(self, edges: DataFrame, levels: DataFrame | None = None):
-        lv = levels if levels is not None else levelize(edges)
-        self.levels = cut(lv.filter("level is not null"))
-        fr = self.levels.select(F.col("v").alias("from_v"), F.col("level").alias("from_level"))
-        to = self.levels.select(F.col("v").alias("to_v"), F.col("level").alias("to_level"))
-        self.edges = cut(edges.join(fr, "from_v").join(to, "to_v"), by="from_level")
-        self.depth = self.levels.agg(F.max("level")).first()[0] or 0
+        """Levels may be any numbering that rises along every edge.
+
+        Edges that already carry from_level and to_level are taken as they are; else
+        the levels are joined, or computed first.
+        """
+        if "from_level" not in edges.columns:
+            lv = levels if levels is not None else levelize(edges)
+            lv = cut(lv.filter("level is not null"))
+            fr = lv.select(F.col("v").alias("from_v"), F.col("level").alias("from_level"))
+            to = lv.select(F.col("v").alias("to_v"), F.col("level").alias("to_level"))
+            edges = edges.join(fr, "from_v").join(to, "to_v")
+        self.edges = cut(edges, by="from_level")
+        self.depth = self.edges.agg(F.max("to_level")).first()[0] or 0
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """Give rows their vertex's level, read off the edges that leave it (else the ones that enter)."""
+        if "level" in rows.columns:
+            return rows
+        at = self.edges.select(F.explode(F.array(
+            F.struct(F.col("from_v").alias("v"), F.col("from_level").alias("level")),
+            F.struct(F.col("to_v").alias("v"), F.col("to_level").alias("level")))).alias("x")).select("x.*")
+        return rows.join(at.groupBy("v").agg(F.first("level").alias("level")), "v")
 
     def sweep(self, seeds: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
               merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Carry rows forward from ``seeds`` (which have v) and return the merged row of every vertex.
+        """Carry rows forward from ``seeds`` (v, level, ...) and return the merged row of every vertex.
 
         ``step(rows, edges)`` joins the rows of one level with its edges and yields rows
         for the edge ends; ``merge`` combines the rows of a vertex.
         """
-        pending = cut(merge(seeds.join(self.levels, "v")))
+        pending = cut(merge(seeds))
         out = []
         for k in range(self.depth + 1):
             here = pending.filter(F.col("level") == k)
@@ -164,7 +178,6 @@ class Levelled:
     def reversed(self) -> "Levelled":
         other = object.__new__(Levelled)
         top = self.depth
-        other.levels = self.levels.select("v", (F.lit(top) - F.col("level")).alias("level"))
         e = self.edges.withColumns({"from_level": F.lit(top) - F.col("from_level"), "to_level": F.lit(top) - F.col("to_level")})
         other.edges = cut(reverse(e), by="from_level")
         other.depth = top
@@ -177,7 +190,7 @@ def arrivals(g: Levelled, seeds: DataFrame, tags: Sequence[str] = ("clk",)) -> D
     Seeds: v, rf, tags, a_max, a_min. Extra tags (corner, exception state) are just
     further keys: the sweep is the same single pass. Ties go to the smaller edge.
     """
-    seeds = seeds.select("v", "rf", *tags, "a_max", "a_min", *_no_prev())
+    seeds = g.place(seeds.select("v", "rf", *tags, "a_max", "a_min", *_no_prev()))
 
     def step(rows: DataFrame, e: DataFrame) -> DataFrame:
         j = rows.withColumnsRenamed({"v": "from_v", "rf": "from_rf"}).drop("level", "e_max", "e_min").join(e, ["from_v", "from_rf"])
@@ -211,7 +224,8 @@ def required(g: Levelled, seeds: DataFrame, tags: Sequence[str] = ("clk",)) -> D
     def merge(rows: DataFrame) -> DataFrame:
         return rows.groupBy("v", "rf", *tags).agg(F.min("r_max").alias("r_max"), F.max("r_min").alias("r_min"), F.first("level").alias("level"))
 
-    return g.reversed().sweep(seeds.select("v", "rf", *tags, "r_max", "r_min"), step, merge)
+    back = g.reversed()
+    return back.sweep(back.place(seeds.select("v", "rf", *tags, "r_max", "r_min")), step, merge)
 
 
 def slack(arr: DataFrame, req: DataFrame, tags: Sequence[str] = ("clk",)) -> DataFrame:
@@ -230,8 +244,8 @@ def trace_back(g: Levelled, ends: DataFrame, arr: DataFrame, tags: Sequence[str]
     edge = g.edges.select("e_id", F.col("from_v").alias("pv"), F.col("from_rf").alias("prf"), F.col("to_rf").alias("rf"))
     cur, out = ends.select("path_id", "v", "rf", *tags), []
     for _ in range(g.depth + 1):
-        pts = cut(cur.join(table, ["v", "rf", *tags]))
-        if pts.isEmpty():
+        pts, n = cut_watch(cur.join(table, ["v", "rf", *tags]), F.lit(True))
+        if not n:
             break
         out.append(pts)
         cur = (pts.filter("e_id is not null").select("path_id", "e_id", "rf", *tags).join(edge, ["e_id", "rf"])
@@ -255,15 +269,15 @@ def k_worst(g: Levelled, seeds: DataFrame, k: int) -> DataFrame:
     def step(rows: DataFrame, e: DataFrame) -> DataFrame:
         j = rows.withColumnsRenamed({"v": "from_v", "rf": "from_rf", "rank": "prev_rank0"}).drop("level", "prev_rank", "e_id").join(e, ["from_v", "from_rf"])
         return j.select(F.col("to_v").alias("v"), F.col("to_rf").alias("rf"), (F.col("a_max") + F.col("d_max")).alias("a_max"),
-                        "e_id", F.col("prev_rank0").alias("prev_rank"), "to_level")
+                        F.lit(1).alias("rank"), "e_id", F.col("prev_rank0").alias("prev_rank"), "to_level")
 
     def merge(rows: DataFrame) -> DataFrame:
         w = W.partitionBy("v", "rf").orderBy(F.desc("a_max"), "e_id", "prev_rank")
-        return rows.drop("rank").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
     none = F.lit(None)
-    s = seeds.select("v", "rf", "a_max", none.cast("bigint").alias("e_id"), none.cast("int").alias("prev_rank"))
-    return g.sweep(s, step, merge)
+    s = seeds.select("v", "rf", "a_max", F.lit(1).alias("rank"), none.cast("bigint").alias("e_id"), none.cast("int").alias("prev_rank"))
+    return g.sweep(g.place(s), step, merge)
 
 
 # ------------------------------------------------------------------ reach
@@ -283,8 +297,8 @@ def reach(edges: DataFrame, starts: DataFrame, keys: Sequence[str] = (), max_hop
     while max_hops is None or hop < max_hops:
         front = seen.filter(F.col("hops") == hop).select(F.col("v").alias("from_v"), *keys)
         new = front.join(e, "from_v").select(F.col("to_v").alias("v"), *keys).distinct().join(seen, ["v", *keys], "left_anti")
-        new = cut(new.withColumn("hops", F.lit(hop + 1)))
-        if new.isEmpty():
+        new, n = cut_watch(new.withColumn("hops", F.lit(hop + 1)), F.lit(True))
+        if not n:
             break
         seen = seen.unionByName(new)
         hop += 1
@@ -314,8 +328,8 @@ def reach_blocked(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None
             front = front.join(blocked, ["v", "clk"], "left_anti")
         new = (front.withColumnRenamed("v", "from_v").join(e, "from_v").select(F.col("to_v").alias("v"), "clk").distinct()
                .join(seen, ["v", "clk"], "left_anti"))
-        new = cut(new.withColumn("hops", F.lit(hop + 1)))
-        if new.isEmpty():
+        new, n = cut_watch(new.withColumn("hops", F.lit(hop + 1)), F.lit(True))
+        if not n:
             return seen.select("v", "clk")
         seen = seen.unionByName(new)
         hop += 1
@@ -341,8 +355,8 @@ def propagate_constants(gates: DataFrame, inputs: DataFrame, consts: DataFrame)
         val = (gates.join(m, "gate").withColumn("value", ternary_value(F.col("tt"), F.col("km"), F.col("kv")))
                .filter(F.col("value") != X).select(F.col("out_net").alias("net"), "value")
                .join(known, "net", "left_anti"))
-        new = cut(val.withColumn("round", F.lit(n + 1)))
-        if new.isEmpty():
+        new, hits = cut_watch(val.withColumn("round", F.lit(n + 1)), F.lit(True))
+        if not hits:
             return known.select("net", "value")
         known = known.unionByName(new)
         n += 1
@@ -376,4 +390,4 @@ def statistical_arrivals(g: Levelled, seeds: DataFrame, sigmas: float) -> DataFr
         return rows.groupBy("v", "rf").agg(F.max(at).alias("b"), F.first("level").alias("level")).select(
             "v", "rf", F.col("b.mean").alias("mean"), F.col("b.var").alias("var"), "level")
 
-    return g.sweep(seeds.select("v", "rf", "mean", "var"), step, merge)
+    return g.sweep(g.place(seeds.select("v", "rf", "mean", "var")), step, merge)

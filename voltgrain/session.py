@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -60,6 +60,13 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*df.columns)
 
 
+def cut_watch(df: DataFrame, watch: Column) -> tuple[DataFrame, int]:
+    """``cut`` that also counts the rows where ``watch`` holds, in the same job."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count_if(watch).alias("n")))
+    return table, seen.get["n"]
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Mark a table for broadcast only after counting that it is small.
 
