@@ -189,12 +189,15 @@ def arrivals(g: Levelled, seeds: DataFrame, tags: Sequence[str] = ("clk",)) -> D
 
     Seeds: v, rf, tags, a_max, a_min. Extra tags (corner, exception state) are just
     further keys: the sweep is the same single pass. Ties go to the smaller edge.
+    A tag ``exc`` is a bit mask; edges with ``thru_bits`` set those bits on the way.
     """
+    marks = "exc" in tags and "thru_bits" in g.edges.columns
     seeds = g.place(seeds.select("v", "rf", *tags, "a_max", "a_min", *_no_prev()))
 
     def step(rows: DataFrame, e: DataFrame) -> DataFrame:
         j = rows.withColumnsRenamed({"v": "from_v", "rf": "from_rf"}).drop("level", "e_max", "e_min").join(e, ["from_v", "from_rf"])
-        return j.select(F.col("to_v").alias("v"), F.col("to_rf").alias("rf"), *tags,
+        kept = [F.col("exc").bitwiseOR(F.col("thru_bits")).alias("exc") if t == "exc" and marks else F.col(t) for t in tags]
+        return j.select(F.col("to_v").alias("v"), F.col("to_rf").alias("rf"), *kept,
                         (F.col("a_max") + F.col("d_max")).alias("a_max"), (F.col("a_min") + F.col("d_min")).alias("a_min"),
                         F.col("e_id").alias("e_max"), F.col("e_id").alias("e_min"), "to_level")
 
