@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.logic import difference_probability, probability, toggle_rate
+from ..functions.logic import probability, toggle_rate
 from ..session import cut
 
 CLOCK_ACTIVITY = 2.0          # toggles per cycle of a clock nobody described
@@ -30,3 +30,101 @@ def resolve_activity(pins: DataFrame, user: DataFrame, propagated: DataFrame, gl
               .when(g.isNotNull(), "global").when(F.col("_p").isNotNull(), "propagated")
               .when(F.col("_u").isNotNull(), "user").otherwise("unknown"))
     return j.withColumns({"activity": act, "origin": origin}).drop("_u", "_p")
+
+
+# ------------------------------------------------------------------ propagation
+def seed_roots(roots: DataFrame, user: DataFrame) -> DataFrame:
+    """User value of a root net, else the input default."""
+    u = user.select("net", F.col("activity").alias("_a"), F.col("duty").alias("_d"))
+    return roots.join(u, "net", "left").select(
+        "net", F.coalesce("_a", F.lit(INPUT_ACTIVITY)).alias("activity"), F.coalesce("_d", F.lit(INPUT_DUTY)).alias("duty"),
+        F.when(F.col("_a").isNotNull(), "user").otherwise("input").alias("origin"))
+
+
+def gate_output(tt: Column, duty: Column, act: Column):
+    return toggle_rate(tt, duty, act), probability(tt, duty)
+
+
+def clock_gate_output(clk_act: Column, clk_duty: Column, en_act: Column, en_duty: Column):
+    return clk_act * en_duty + en_act * clk_duty, clk_duty * en_duty
+
+
+def propagate_activity(gates: DataFrame, inputs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(net, activity, duty) of every net behind the seeds, one logic level per round.
+
+    ``gates``: gate, out_net, tt, n_in. ``inputs``: gate, pin_idx, net. A gate fires in the round
+    in which its last input becomes known; gates have at most 16 inputs.
+    """
+    from ..session import cut_watch
+    known = cut(seeds.select("net", "activity", "duty", F.lit(0).alias("round")))
+    ins, left, n = inputs.select("gate", "pin_idx", "net"), gates, 0
+    while True:
+        touched = ins.join(known.filter(F.col("round") == n).select("net"), "net", "left_semi").select("gate").distinct()
+        vals = (ins.join(touched, "gate", "left_semi").join(known, "net").groupBy("gate")
+                .agg(F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("pin_idx", "activity", "duty"))).alias("v")))
+        ready = left.join(vals, "gate").filter("k = n_in")
+        act, duty = F.transform("v", lambda x: x["activity"]), F.transform("v", lambda x: x["duty"])
+        a, p = gate_output(F.col("tt"), F.col("_duty"), F.col("_act"))
+        new = (ready.withColumns({"_act": act, "_duty": duty})
+               .select(F.col("out_net").alias("net"), clip(a).alias("activity"), p.alias("duty"), F.lit(n + 1).alias("round"))
+               .join(known, "net", "left_anti"))
+        new, hits = cut_watch(new, F.lit(True))
+        if not hits:
+            return known.select("net", "activity", "duty")
+        known = known.unionByName(new)
+        n += 1
+
+
+def register_outputs(regs: DataFrame, nets: DataFrame) -> DataFrame:
+    """Q nets take their D's activity: at most 1 for edge-triggered, duty turned for QN."""
+    j = regs.join(nets.withColumnRenamed("net", "d_net"), "d_net")
+    act = F.when(F.col("level_sensitive"), F.col("activity")).otherwise(F.least(F.col("activity"), F.lit(1.0)))
+    return j.select(F.col("q_net").alias("net"), act.alias("activity"),
+                    F.when(F.col("inverted"), 1.0 - F.col("duty")).otherwise(F.col("duty")).alias("duty"))
+
+
+def propagate_with_registers(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, regs: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
+    """Repeat logic propagation and register hand-over until nothing moves by more than the tolerance."""
+    from ..session import cut_watch
+    gates, inputs, regs = cut(gates), cut(inputs), cut(regs)
+    q = cut(regs.select(F.col("q_net").alias("net"), F.lit(0.0).alias("activity"), F.lit(0.0).alias("duty")))
+    for _ in range(max_passes):
+        nets = propagate_activity(gates, inputs, seeds.select("net", "activity", "duty").unionByName(q))
+        new = register_outputs(regs, nets).join(q.withColumnsRenamed({"activity": "_a", "duty": "_d"}), "net")
+        moved = (F.abs(F.col("activity") - F.col("_a")) > TOLERANCE) | (F.abs(F.col("duty") - F.col("_d")) > TOLERANCE)
+        q, n = cut_watch(new, moved)
+        q = q.select("net", "activity", "duty")
+        if not n:
+            break
+    return nets
+
+
+# ------------------------------------------------------------------ averaged power
+def when_duty(care: Column, value: Column, duty: Column) -> Column:
+    """Chance that a conjunction over independent pins holds."""
+    return F.aggregate(F.sequence(F.lit(0), F.size(duty) - 1), F.lit(1.0), lambda a, i: F.when(
+        F.call_function("shiftright", care, i).bitwiseAND(F.lit(1)) == 0, a).when(
+        F.call_function("shiftright", value, i).bitwiseAND(F.lit(1)) == 1, a * F.get(duty, i)).otherwise(a * (1.0 - F.get(duty, i))))
+
+
+def averaged_leakage(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Leakage from condition duties.
+
+    ``rows`` has one row per (instance, table row): power, cond_duty (null: unconditional),
+    default_leakage (null: none). Unconditional rows count only without conditional ones;
+    the default fills the share no positive row covers.
+    """
+    c = F.col("cond_duty")
+    g = rows.groupBy(*keys).agg(
+        F.sum(F.when(c.isNotNull(), F.col("power") * c)).alias("cond"), F.sum(F.when(c.isNull(), F.col("power"))).alias("uncond"),
+        F.sum(F.when(c.isNotNull() & (F.col("power") > 0), c).otherwise(0.0)).alias("covered"), F.first("default_leakage").alias("d"))
+    base = F.coalesce("cond", "uncond", F.lit(0.0))
+    return g.select(*keys, (base + F.coalesce(F.col("d") * (1.0 - F.col("covered")), F.lit(0.0))).alias("leakage"))
+
+
+def output_weights(rows: DataFrame, keys: list[str], pg: str = "pg_pin") -> DataFrame:
+    """Share of each table: from-activity times duty over its sum per (instance, port, power pin)."""
+    w = F.col("from_activity") * F.col("duty")
+    tot = rows.groupBy(*keys, pg).agg(F.sum(w).alias("_t"))
+    j = rows.join(tot, [*keys, pg])
+    return j.withColumn("weight", F.when(F.col("_t") != 0, w / F.col("_t")).otherwise(0.0)).drop("_t")
