@@ -174,3 +174,41 @@ def ternary_value(tt: Column, known_mask: Column, known_value: Column) -> Column
     hits = F.array_distinct(F.transform(
         F.filter(_states(tt), lambda s: s.bitwiseAND(known_mask) == known_value), lambda s: F.get(tt, s)))
     return F.when(F.size(hits) == 1, F.get(hits, F.lit(0))).otherwise(X)
+
+
+# ------------------------------------------------------------------ known functions as plain arithmetic
+def probability_expr(bits: list[int], duty: list[Column]) -> Column:
+    """P(f = 1) of one known truth table as a sum of products, so it stays in generated code."""
+    if all(b == bits[0] for b in bits):
+        return F.lit(float(bits[0]))
+    low, high = bits[: len(bits) // 2], bits[len(bits) // 2:]
+    top, rest = duty[-1], duty[:-1]
+    if low == high:
+        return probability_expr(low, rest)
+    return probability_expr(high, rest) * top + probability_expr(low, rest) * (1.0 - top)
+
+
+def difference_bits(bits: list[int], i: int) -> list[int]:
+    """Truth table of the difference of f in input i (input i itself no longer matters)."""
+    return [bits[s] ^ bits[s ^ (1 << i)] for s in range(len(bits))]
+
+
+def toggle_rate_expr(bits: list[int], duty: list[Column], activity: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for i, a in enumerate(activity):
+        out = out + a * probability_expr(difference_bits(bits, i), duty)
+    return out
+
+
+def by_function(which: Column, table: dict, build) -> Column:
+    """One branch per known function: ``build(bits)`` for the function that ``which`` names."""
+    out = None
+    for name, bits in table.items():
+        out = F.when(which == name, build(bits)) if out is None else out.when(which == name, build(bits))
+    return out
+
+
+def unateness_of(bits: list[int], i: int) -> str:
+    pairs = [(bits[s], bits[s | (1 << i)]) for s in range(len(bits)) if not s >> i & 1]
+    up, down = any(a < b for a, b in pairs), any(a > b for a, b in pairs)
+    return "non_unate" if up and down else "positive_unate" if up else "negative_unate" if down else "none"

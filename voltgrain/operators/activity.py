@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.logic import probability, toggle_rate
@@ -49,30 +51,36 @@ def clock_gate_output(clk_act: Column, clk_duty: Column, en_act: Column, en_duty
     return clk_act * en_duty + en_act * clk_duty, clk_duty * en_duty
 
 
-def propagate_activity(gates: DataFrame, inputs: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagate_activity(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, max_pins: int = 16) -> DataFrame:
     """(net, activity, duty) of every net behind the seeds, one logic level per round.
 
-    ``gates``: gate, out_net, tt, n_in. ``inputs``: gate, pin_idx, net. A gate fires in the round
-    in which its last input becomes known; gates have at most 16 inputs.
+    ``gates``: gate, out_net, tt, n_in. ``inputs``: gate, pin_idx, net, with pin_idx < ``max_pins``.
+    Each round joins only the nets found in the round before, so an input pin takes part in one
+    join in all; gates still waiting for inputs keep one row with what they have.
     """
     from ..session import cut_watch
-    known = cut(seeds.select("net", "activity", "duty", F.lit(0).alias("round")))
-    ins, left, n = inputs.select("gate", "pin_idx", "net"), gates, 0
+    ins = cut(inputs.select("gate", "pin_idx", "net"))
+    slots = [f"_{c}{k}" for c in "ad" for k in range(max_pins)]
+    fresh = cut(seeds.select("net", "activity", "duty"))
+    found, waiting = [fresh], None
     while True:
-        touched = ins.join(known.filter(F.col("round") == n).select("net"), "net", "left_semi").select("gate").distinct()
-        vals = (ins.join(touched, "gate", "left_semi").join(known, "net").groupBy("gate")
-                .agg(F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("pin_idx", "activity", "duty"))).alias("v")))
-        ready = left.join(vals, "gate").filter("k = n_in")
-        act, duty = F.transform("v", lambda x: x["activity"]), F.transform("v", lambda x: x["duty"])
+        hit = fresh.join(ins, "net")
+        pin = hit.select("gate", F.lit(1).alias("k"), *[
+            F.when(F.col("pin_idx") == k, F.col(c)).alias(f"_{c[0]}{k}") for c in ("activity", "duty") for k in range(max_pins)])
+        rows = pin if waiting is None else pin.unionByName(waiting)
+        per = rows.groupBy("gate").agg(F.sum("k").cast("int").alias("k"), *[F.max(x).alias(x) for x in slots])
+        j = cut_watch(per.join(gates, "gate"), F.col("k") == F.col("n_in"))
+        per, n = j
+        if not n:
+            return reduce(DataFrame.unionByName, found)
+        size = F.col("n_in")
+        duty = F.slice(F.array(*[F.col(f"_d{k}") for k in range(max_pins)]), F.lit(1), size)
+        act = F.slice(F.array(*[F.col(f"_a{k}") for k in range(max_pins)]), F.lit(1), size)
+        ready = per.filter("k = n_in").select(F.col("out_net").alias("net"), "tt", duty.alias("_duty"), act.alias("_act"))
         a, p = gate_output(F.col("tt"), F.col("_duty"), F.col("_act"))
-        new = (ready.withColumns({"_act": act, "_duty": duty})
-               .select(F.col("out_net").alias("net"), clip(a).alias("activity"), p.alias("duty"), F.lit(n + 1).alias("round"))
-               .join(known, "net", "left_anti"))
-        new, hits = cut_watch(new, F.lit(True))
-        if not hits:
-            return known.select("net", "activity", "duty")
-        known = known.unionByName(new)
-        n += 1
+        fresh = cut(ready.select("net", clip(a).alias("activity"), p.alias("duty")))
+        found.append(fresh)
+        waiting = per.filter("k < n_in").select("gate", "k", *slots)
 
 
 def register_outputs(regs: DataFrame, nets: DataFrame) -> DataFrame:
@@ -83,13 +91,13 @@ def register_outputs(regs: DataFrame, nets: DataFrame) -> DataFrame:
                     F.when(F.col("inverted"), 1.0 - F.col("duty")).otherwise(F.col("duty")).alias("duty"))
 
 
-def propagate_with_registers(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, regs: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
+def propagate_with_registers(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, regs: DataFrame, max_passes: int = MAX_PASSES, max_pins: int = 16) -> DataFrame:
     """Repeat logic propagation and register hand-over until nothing moves by more than the tolerance."""
     from ..session import cut_watch
     gates, inputs, regs = cut(gates), cut(inputs), cut(regs)
     q = cut(regs.select(F.col("q_net").alias("net"), F.lit(0.0).alias("activity"), F.lit(0.0).alias("duty")))
     for _ in range(max_passes):
-        nets = propagate_activity(gates, inputs, seeds.select("net", "activity", "duty").unionByName(q))
+        nets = propagate_activity(gates, inputs, seeds.select("net", "activity", "duty").unionByName(q), max_pins)
         new = register_outputs(regs, nets).join(q.withColumnsRenamed({"activity": "_a", "duty": "_d"}), "net")
         moved = (F.abs(F.col("activity") - F.col("_a")) > TOLERANCE) | (F.abs(F.col("duty") - F.col("_d")) > TOLERANCE)
         q, n = cut_watch(new, moved)

@@ -343,26 +343,26 @@ def propagate_constants(gates: DataFrame, inputs: DataFrame, consts: DataFrame)
     """(net, value) of every net that case values and functions fix to 0 or 1.
 
     ``gates``: gate, out_net, tt. ``inputs``: gate, pin_idx, net. ``consts``: net, value.
-    Each round only looks at gates that touch a net fixed in the round before.
+    A round joins only the nets fixed in the round before; undecided gates keep their
+    known inputs as two masks.
     """
     ins = cut(inputs.select("gate", "pin_idx", "net"))
-    known = cut(consts.select("net", "value", F.lit(0).alias("round")))
-    n = 0
+    fresh = cut(consts.select("net", "value"))
+    found, waiting = [fresh], None
     while True:
-        fresh = known.filter(F.col("round") == n).select("net")
-        touched = ins.join(fresh, "net", "left_semi").select("gate").distinct()
         bit = F.call_function("shiftleft", F.lit(1), F.col("pin_idx"))
-        m = (ins.join(touched, "gate", "left_semi").join(known, "net")
-             .groupBy("gate").agg(F.sum(bit).cast("int").alias("km"),
-                                  F.sum(F.when(F.col("value") == 1, bit).otherwise(0)).cast("int").alias("kv")))
-        val = (gates.join(m, "gate").withColumn("value", ternary_value(F.col("tt"), F.col("km"), F.col("kv")))
-               .filter(F.col("value") != X).select(F.col("out_net").alias("net"), "value")
-               .join(known, "net", "left_anti"))
-        new, hits = cut_watch(val.withColumn("round", F.lit(n + 1)), F.lit(True))
-        if not hits:
-            return known.select("net", "value")
-        known = known.unionByName(new)
-        n += 1
+        pin = fresh.join(ins, "net").select("gate", bit.alias("km"), F.when(F.col("value") == 1, bit).otherwise(0).alias("kv"))
+        rows = pin if waiting is None else pin.unionByName(waiting)
+        per = rows.groupBy("gate").agg(F.sum("km").cast("int").alias("km"), F.sum("kv").cast("int").alias("kv"))
+        val = per.join(gates, "gate").select("gate", "km", "kv", F.col("out_net").alias("net"), ternary_value(F.col("tt"), F.col("km"), F.col("kv")).alias("value"))
+        done, n = cut_watch(val, F.col("value") != X)
+        if not n:
+            return union_all(found)
+        # A decided gate is not looked at again, and a net given by a case value keeps it.
+        fresh = cut(done.filter(F.col("value") != X).select("net", "value").join(consts.select("net"), "net", "left_anti"))
+        found.append(fresh)
+        waiting = done.filter(F.col("value") == X).select("gate", "km", "kv")
+        gates = gates.join(done.filter(F.col("value") != X).select("gate"), "gate", "left_anti")
 
 
 def disable_reasons(edges: DataFrame, flags: dict[str, Column]) -> DataFrame:

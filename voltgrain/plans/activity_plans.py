@@ -17,6 +17,7 @@ from .registry import query
 
 KEY4 = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 FUNC4 = ["A&B", "A|B", "A^B", "!A"]
+FUNCS = {k: logic.truth_bits(f, ["A", "B"]) for k, f in enumerate(FUNC4)}
 LINE = "CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS VARCHAR)"
 
 # Input nets: PROMO parts and suppliers of low nations have user values, the rest the default.
@@ -90,7 +91,7 @@ def m2(spark, d):
 @query("m3_propagate", f"WITH {PROP} SELECT 'x' || id AS net, round(a, 9) AS activity, round(d, 9) AS duty FROM x UNION ALL SELECT 'y' || id, round(a, 9), round(d, 9) FROM y")
 def m3(spark, d):
     gates, ins = netlist(spark, d)
-    n = ac.propagate_activity(gates, ins, roots(spark, d)).filter("substring(net,1,1) in ('x','y')")
+    n = ac.propagate_activity(gates, ins, roots(spark, d), max_pins=2).filter("substring(net,1,1) in ('x','y')")
     return n.select("net", F.round("activity", 9).alias("activity"), F.round("duty", 9).alias("duty"))
 
 
@@ -155,7 +156,7 @@ def m8(spark, d):
                                         F.struct(_net("G", "o_orderkey").alias("gate"), F.lit(1).alias("pin_idx"), _net("c", "o_custkey").alias("net")))).alias("x")).select("x.*")
     dn = F.when(F.col("o_orderkey") == 0, _net("c", "o_custkey")).otherwise(_net("d", "o_orderkey"))
     regs = o.select(dn.alias("d_net"), _net("q", "o_orderkey").alias("q_net"), (F.col("o_orderstatus") == "P").alias("inverted"), F.lit(False).alias("level_sensitive"))
-    nets = ac.propagate_with_registers(gates, ins, sd, regs).filter("net like 'q%'")
+    nets = ac.propagate_with_registers(gates, ins, sd, regs, max_pins=2).filter("net like 'q%'")
     return nets.select(F.substr("net", F.lit(2)).cast("bigint").alias("k"), F.round("activity", 6).alias("activity"), F.round("duty", 6).alias("duty"))
 
 
@@ -186,9 +187,15 @@ def inst_view(spark, d):
     s = roots(spark, d).select("net", "activity", "duty")
     g = lines(spark, d).withColumns({"pn": _net("p", "l_partkey"), "sn": _net("s", "l_suppkey")})
     g = g.join(s.withColumnsRenamed({"net": "pn", "activity": "pa", "duty": "pd"}), "pn").join(s.withColumnsRenamed({"net": "sn", "activity": "sa", "duty": "sdty"}), "sn").drop("pn", "sn")
-    g = g.withColumns({"tt": tt_of(F.col("l_linenumber")), "in_act": F.array("pa", "sa"), "in_duty": F.array("pd", "sdty"), "gate": F.col("l_orderkey"),
+    g = g.withColumns({"fn": F.col("l_linenumber") % 4, "in_act": F.array("pa", "sa"), "in_duty": F.array("pd", "sdty"), "gate": F.col("l_orderkey"),
                        "cell_name": F.concat(F.lit("c"), (F.col("l_partkey") % 4).cast("string"))})
-    return g.withColumns({"ya": logic.toggle_rate(F.col("tt"), F.col("in_duty"), F.col("in_act")), "yd": logic.probability(F.col("tt"), F.col("in_duty"))})
+    dt, at = [F.col("pd"), F.col("sdty")], [F.col("pa"), F.col("sa")]
+    return g.withColumns({
+        "ya": logic.by_function(F.col("fn"), FUNCS, lambda t: logic.toggle_rate_expr(t, dt, at)),
+        "yd": logic.by_function(F.col("fn"), FUNCS, lambda t: logic.probability_expr(t, dt)),
+        # Chance that a change of input A / B passes; null where the function ignores the input.
+        "pass_duty": F.array(*[logic.by_function(F.col("fn"), FUNCS, lambda t, i=i: logic.probability_expr(logic.difference_bits(t, i), dt) if any(logic.difference_bits(t, i)) else F.lit(None).cast("double")) for i in range(2)]),
+        "neg_unate": F.array(*[F.col("fn").isin([k for k, t in FUNCS.items() if logic.unateness_of(t, i) == "negative_unate"]) for i in range(2)])})
 
 
 @query("l11_averaged_switching", f"WITH {AV} SELECT id, round(5e-1 * cap * volt * volt * ya / 5, 9) AS switching FROM iv")
@@ -211,9 +218,9 @@ def l12(spark, d):
     r = r.withColumn("slew", F.when(F.col("rf") == "rise", F.col("slew_rise")).otherwise(F.col("slew_fall")))
     r = add_lut2(r, "e", "axis1", "axis2", "vals", F.col("slew"), F.lit(0.0))
     names_out = F.col("care_mask").bitwiseAND(F.lit(4)) != 0
-    uses = F.exists(F.sequence(F.lit(0), F.lit(3)), lambda s: F.get(F.col("tt"), s) != F.get(F.col("tt"), s.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.col("pin_idx")))))
+    passes = F.get(F.col("pass_duty"), F.col("pin_idx"))
     plain = ac.when_duty(F.col("care_mask"), F.col("value_mask"), F.array("pd", "sdty", "yd"))
-    duty = F.when(names_out & uses, logic.difference_probability(F.col("tt"), F.col("in_duty"), F.col("pin_idx"))).otherwise(plain)
+    duty = F.when(names_out & passes.isNotNull(), passes).otherwise(plain)
     act = F.get(F.col("in_act"), F.col("pin_idx"))
     # The rise and fall tables of an entry average: each counts one half.
     return r.groupBy("id").agg(F.round(F.sum(F.col("e") / 2 * duty * act), 9).alias("internal"))
@@ -232,10 +239,8 @@ def l13(spark, d):
     t = b.int_power_rows(spark).filter("pin_idx = 2")
     r = g.join(F.broadcast(t), "cell_name").drop("pin_idx")  # 32 fixed table rows
     rel = F.col("rel_idx")
-    flip = F.call_function("shiftleft", F.lit(1), rel)
-    uses = F.exists(F.sequence(F.lit(0), F.lit(3)), lambda s: F.get(F.col("tt"), s) != F.get(F.col("tt"), s.bitwiseXOR(flip)))
-    duty = F.when(uses, logic.difference_probability(F.col("tt"), F.col("in_duty"), rel)).otherwise(ac.when_duty(F.col("care_mask"), F.col("value_mask"), F.array("pd", "sdty", "yd")))
-    r = r.withColumns({"duty": duty, "from_activity": F.get(F.col("in_act"), rel), "pg_pin": F.lit("VDD"), "neg": logic.unateness(F.col("tt"), rel) == "negative_unate"})
+    duty = F.coalesce(F.get(F.col("pass_duty"), rel), ac.when_duty(F.col("care_mask"), F.col("value_mask"), F.array("pd", "sdty", "yd")))
+    r = r.withColumns({"duty": duty, "from_activity": F.get(F.col("in_act"), rel), "pg_pin": F.lit("VDD"), "neg": F.get(F.col("neg_unate"), rel)})
     w = ac.output_weights(r.filter("rf = 'rise'"), ["id"]).select("id", "rel_idx", "ord", "weight")
     r = b.pin_env(r.join(w, ["id", "rel_idx", "ord"]).withColumn("pin_idx", F.col("rel_idx"))).drop("load_cap")
     r = b.pin_env(r.withColumnsRenamed({"slew_rise": "sr", "slew_fall": "sf"}).withColumn("pin_idx", F.lit(2)))

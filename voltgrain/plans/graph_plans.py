@@ -375,3 +375,11 @@ def f5(spark, d):
     v = cut(end_rows(spark, d).filter("slack < 0"))
     w = v.groupBy("clk").agg(F.min("slack").alias("_w"))
     return v.join(w, "clk").select("v", "clk", "rf", "slack", (F.col("slack") == F.col("_w")).alias("is_worst"))
+
+
+@query("e10_path_rank", f"WITH {ENDS} SELECT v, clk, rf, slack, CAST(row_number() OVER (PARTITION BY v ORDER BY slack, clk, rf) AS INT) AS rank FROM ends")
+def e10(spark, d):
+    """Rank of every path of an end point; an end has at most clocks x edges of them."""
+    from pyspark.sql import Window as W
+    w = W.partitionBy("v").orderBy("slack", "clk", "rf")
+    return end_rows(spark, d).select("v", "clk", "rf", "slack", F.row_number().over(w).alias("rank"))

@@ -41,7 +41,7 @@ def a1(spark, d):
     return trace.parse_changes(body_lines(spark, d), ["at", "line"]).select("t", "code", "bits")
 
 
-@query("a2_trace_header", """SELECT 'c' || CAST(c_custkey AS VARCHAR) AS code, replace(r_name || '/' || n_name, '/', '.') AS scope, c_name || '\\/q' AS name, CASE WHEN c_custkey % 3 = 0 THEN 'reg' ELSE 'wire' END AS type,
+@query("a2_trace_header", """SELECT 'c' || CAST(c_custkey AS VARCHAR) AS code, replace(r_name, ' ', '_') || '.' || n_name AS scope, c_name || '\\/q' AS name, CASE WHEN c_custkey % 3 = 0 THEN 'reg' ELSE 'wire' END AS type,
   CAST(1 + c_custkey % 8 AS INT) AS width, CAST(c_custkey % 8 AS INT) AS msb, 0 AS lsb FROM customer JOIN nation ON n_nationkey=c_nationkey JOIN region ON r_regionkey=n_regionkey""")
 def a2(spark, d):
     """Regions and nations are scopes, customers are variables."""
@@ -58,7 +58,7 @@ def a2(spark, d):
     var = F.concat(F.lit("$var "), F.when(k % 3 == 0, "reg").otherwise("wire"), F.lit(" "), (1 + k % 8).cast("string"), F.lit(" c"), k.cast("string"), F.lit(" "), F.col("c_name"), F.lit("/q"),
                    F.when(k % 8 > 0, F.concat(F.lit(" ["), (k % 8).cast("string"), F.lit(":0]"))).otherwise(F.lit("")), F.lit(" $end"))
     up = F.lit("$upscope $end")
-    lines = (row(r, L(-1), L(0), F.concat(F.lit("$scope module "), "r_name", F.lit(" $end")))
+    lines = (row(r, L(-1), L(0), F.concat(F.lit("$scope module "), F.regexp_replace("r_name", " ", "_"), F.lit(" $end")))
              .unionAll(row(nr, nk, L(0), F.concat(F.lit("$scope module "), "n_name", F.lit(" $end"))))
              .unionAll(row(cr, nk, k + 1, var)).unionAll(row(nr, nk, end, up)).unionAll(row(r, L(1000), end, up)))
     h = trace.parse_header(lines.withColumn("blk", F.col("reg")), ["reg", "nat", "line"])

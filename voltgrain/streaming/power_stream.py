@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.events import SIG
 from ..operators.ordered import ordered, time_block
@@ -102,7 +102,7 @@ def drain(df: DataFrame, folder: str) -> DataFrame:
     q = (df.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/progress")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    out = df.sparkSession.read.schema(df.schema.add("batch", "int")).parquet(f"{folder}/out")
+    out = df.sparkSession.read.schema(T.StructType([*df.schema, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/out")
     rest = [c for c in df.columns if c != "start"]
     return out.groupBy("start").agg(F.max_by(F.struct(*rest), "batch").alias("x")).select("start", "x.*")
 
