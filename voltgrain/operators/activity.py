@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.logic import probability, toggle_rate
-from ..session import cut
+from ..session import cut, cut_watch
 
 CLOCK_ACTIVITY = 2.0          # toggles per cycle of a clock nobody described
 INPUT_ACTIVITY, INPUT_DUTY = 0.1, 0.5
@@ -51,36 +51,45 @@ def clock_gate_output(clk_act: Column, clk_duty: Column, en_act: Column, en_duty
     return clk_act * en_duty + en_act * clk_duty, clk_duty * en_duty
 
 
-def propagate_activity(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, max_pins: int = 16) -> DataFrame:
-    """(net, activity, duty) of every net behind the seeds, one logic level per round.
+class LogicNet:
+    """Gates and their input pins, written once and reused by every propagation.
 
     ``gates``: gate, out_net, tt, n_in. ``inputs``: gate, pin_idx, net, with pin_idx < ``max_pins``.
-    Each round joins only the nets found in the round before, so an input pin takes part in one
-    join in all; gates still waiting for inputs keep one row with what they have.
     """
-    from ..session import cut_watch
-    ins = cut(inputs.select("gate", "pin_idx", "net"))
-    slots = [f"_{c}{k}" for c in "ad" for k in range(max_pins)]
-    fresh = cut(seeds.select("net", "activity", "duty"))
-    found, waiting = [fresh], None
-    while True:
-        hit = fresh.join(ins, "net")
-        pin = hit.select("gate", F.lit(1).alias("k"), *[
-            F.when(F.col("pin_idx") == k, F.col(c)).alias(f"_{c[0]}{k}") for c in ("activity", "duty") for k in range(max_pins)])
-        rows = pin if waiting is None else pin.unionByName(waiting)
-        per = rows.groupBy("gate").agg(F.sum("k").cast("int").alias("k"), *[F.max(x).alias(x) for x in slots])
-        j = cut_watch(per.join(gates, "gate"), F.col("k") == F.col("n_in"))
-        per, n = j
-        if not n:
-            return reduce(DataFrame.unionByName, found)
-        size = F.col("n_in")
-        duty = F.slice(F.array(*[F.col(f"_d{k}") for k in range(max_pins)]), F.lit(1), size)
-        act = F.slice(F.array(*[F.col(f"_a{k}") for k in range(max_pins)]), F.lit(1), size)
-        ready = per.filter("k = n_in").select(F.col("out_net").alias("net"), "tt", duty.alias("_duty"), act.alias("_act"))
-        a, p = gate_output(F.col("tt"), F.col("_duty"), F.col("_act"))
-        fresh = cut(ready.select("net", clip(a).alias("activity"), p.alias("duty")))
-        found.append(fresh)
-        waiting = per.filter("k < n_in").select("gate", "k", *slots)
+
+    def __init__(self, gates: DataFrame, inputs: DataFrame, max_pins: int = 16):
+        self.gates = cut(gates.select("gate", "out_net", "tt", "n_in"))
+        self.inputs = cut(inputs.select("gate", "pin_idx", "net"))
+        self.max_pins = max_pins
+
+    def propagate(self, seeds: DataFrame) -> DataFrame:
+        """(net, activity, duty) of every net behind the seeds, one logic level per round.
+
+        Each round joins only the nets found in the round before, so an input pin takes part
+        in one join in all; gates still waiting for inputs keep one row with what they have.
+        """
+        pins = range(self.max_pins)
+        slots = [f"_{c}{k}" for c in "ad" for k in pins]
+        fresh = cut(seeds.select("net", "activity", "duty"))
+        found, waiting = [fresh], None
+        while True:
+            pin = fresh.join(self.inputs, "net").select("gate", F.lit(1).alias("k"), *[
+                F.when(F.col("pin_idx") == k, F.col(c)).alias(f"_{c[0]}{k}") for c in ("activity", "duty") for k in pins])
+            rows = pin if waiting is None else pin.unionByName(waiting)
+            per = rows.groupBy("gate").agg(F.sum("k").cast("int").alias("k"), *[F.max(x).alias(x) for x in slots])
+            per, n = cut_watch(per.join(self.gates, "gate"), F.col("k") == F.col("n_in"))
+            if not n:
+                return reduce(DataFrame.unionByName, found)
+            duty, act = (F.slice(F.array(*[F.col(f"_{c}{k}") for k in pins]), F.lit(1), F.col("n_in")) for c in "da")
+            ready = per.filter("k = n_in").select(F.col("out_net").alias("net"), "tt", duty.alias("_duty"), act.alias("_act"))
+            a, p = gate_output(F.col("tt"), F.col("_duty"), F.col("_act"))
+            fresh = ready.select("net", clip(a).alias("activity"), p.alias("duty"))
+            found.append(fresh)
+            waiting = per.filter("k < n_in").select("gate", "k", *slots)
+
+
+def propagate_activity(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, max_pins: int = 16) -> DataFrame:
+    return LogicNet(gates, inputs, max_pins).propagate(seeds)
 
 
 def register_outputs(regs: DataFrame, nets: DataFrame) -> DataFrame:
@@ -93,11 +102,11 @@ def register_outputs(regs: DataFrame, nets: DataFrame) -> DataFrame:
 
 def propagate_with_registers(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, regs: DataFrame, max_passes: int = MAX_PASSES, max_pins: int = 16) -> DataFrame:
     """Repeat logic propagation and register hand-over until nothing moves by more than the tolerance."""
-    from ..session import cut_watch
-    gates, inputs, regs = cut(gates), cut(inputs), cut(regs)
+    regs = cut(regs)
+    logic = LogicNet(gates, inputs, max_pins)
     q = cut(regs.select(F.col("q_net").alias("net"), F.lit(0.0).alias("activity"), F.lit(0.0).alias("duty")))
     for _ in range(max_passes):
-        nets = propagate_activity(gates, inputs, seeds.select("net", "activity", "duty").unionByName(q), max_pins)
+        nets = logic.propagate(seeds.select("net", "activity", "duty").unionByName(q))
         new = register_outputs(regs, nets).join(q.withColumnsRenamed({"activity": "_a", "duty": "_d"}), "net")
         moved = (F.abs(F.col("activity") - F.col("_a")) > TOLERANCE) | (F.abs(F.col("duty") - F.col("_d")) > TOLERANCE)
         q, n = cut_watch(new, moved)

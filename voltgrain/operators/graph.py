@@ -347,6 +347,7 @@ def propagate_constants(gates: DataFrame, inputs: DataFrame, consts: DataFrame)
     known inputs as two masks.
     """
     ins = cut(inputs.select("gate", "pin_idx", "net"))
+    gates = cut(gates.select("gate", "out_net", "tt"))
     fresh = cut(consts.select("net", "value"))
     found, waiting = [fresh], None
     while True:
@@ -355,14 +356,13 @@ def propagate_constants(gates: DataFrame, inputs: DataFrame, consts: DataFrame)
         rows = pin if waiting is None else pin.unionByName(waiting)
         per = rows.groupBy("gate").agg(F.sum("km").cast("int").alias("km"), F.sum("kv").cast("int").alias("kv"))
         val = per.join(gates, "gate").select("gate", "km", "kv", F.col("out_net").alias("net"), ternary_value(F.col("tt"), F.col("km"), F.col("kv")).alias("value"))
-        done, n = cut_watch(val, F.col("value") != X)
+        # Nets already fixed (by a case value, or by earlier inputs of the gate) stay as they are.
+        val, n = cut_watch(val.join(union_all(found).select("net"), "net", "left_anti"), F.col("value") != X)
         if not n:
             return union_all(found)
-        # A decided gate is not looked at again, and a net given by a case value keeps it.
-        fresh = cut(done.filter(F.col("value") != X).select("net", "value").join(consts.select("net"), "net", "left_anti"))
+        fresh = val.filter(F.col("value") != X).select("net", "value")
         found.append(fresh)
-        waiting = done.filter(F.col("value") == X).select("gate", "km", "kv")
-        gates = gates.join(done.filter(F.col("value") != X).select("gate"), "gate", "left_anti")
+        waiting = val.filter(F.col("value") == X).select("gate", "km", "kv")
 
 
 def disable_reasons(edges: DataFrame, flags: dict[str, Column]) -> DataFrame:

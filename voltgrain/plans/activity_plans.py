@@ -12,6 +12,7 @@ from ..functions import logic
 from ..functions.lut import add_lut2
 from ..operators import activity as ac
 from ..operators import power as pw
+from ..session import cut
 from . import bindings as b
 from .registry import query
 
@@ -49,7 +50,7 @@ def tt_of(n):
 
 
 def netlist(spark, d):
-    g = lines(spark, d)
+    g = cut(lines(spark, d))
     gates = g.select(_net("X", "id").alias("gate"), _net("x", "id").alias("out_net"), tt_of(F.col("l_linenumber")).alias("tt"), F.lit(2).alias("n_in")).unionByName(
         g.select(_net("Y", "id").alias("gate"), _net("y", "id").alias("out_net"), tt_of(F.col("l_linenumber") + 1).alias("tt"), F.lit(2).alias("n_in")))
     ins = g.select(F.explode(F.array(*[F.struct(_net(x, "id").alias("gate"), F.lit(i).alias("pin_idx"), _net(pre, c).alias("net")) for x, i, pre, c in (
