@@ -212,3 +212,32 @@ def unateness_of(bits: list[int], i: int) -> str:
     pairs = [(bits[s], bits[s | (1 << i)]) for s in range(len(bits)) if not s >> i & 1]
     up, down = any(a < b for a, b in pairs), any(a > b for a, b in pairs)
     return "non_unate" if up and down else "positive_unate" if up else "negative_unate" if down else "none"
+
+
+MAX_KNOWN_FUNCTIONS, MAX_KNOWN_PINS = 64, 6
+
+
+def known_functions(gates, max_pins: int) -> list[list[int]] | None:
+    """The distinct truth tables of a gate table when they are few and small, else None.
+
+    At most a bounded handful of library functions reaches the driver.
+    """
+    if max_pins > MAX_KNOWN_PINS:
+        return None
+    rows = gates.select("tt").distinct().limit(MAX_KNOWN_FUNCTIONS + 1).collect()
+    return None if len(rows) > MAX_KNOWN_FUNCTIONS else sorted(list(r.tt) for r in rows)
+
+
+def function_index(tt: Column, functions: list[list[int]]) -> Column:
+    return F.array_position(F.array(*[F.array(*map(F.lit, t)) for t in functions]), tt).cast("int") - 1
+
+
+def ternary_table(bits: list[int], n: int) -> list[int]:
+    """Output for every pair (known mask, known value), at index mask * 2^n + value."""
+    size = 1 << n
+    out = []
+    for km in range(size):
+        for kv in range(size):
+            seen = {bits[s] for s in range(len(bits)) if s & km == kv}
+            out.append(seen.pop() if len(seen) == 1 else X)
+    return out

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.logic import probability, toggle_rate
+from ..functions.logic import (
+    by_function, function_index, known_functions, probability, probability_expr, toggle_rate, toggle_rate_expr)
 from ..session import cut, cut_watch
 
 CLOCK_ACTIVITY = 2.0          # toggles per cycle of a clock nobody described
@@ -58,7 +59,10 @@ class LogicNet:
     """
 
     def __init__(self, gates: DataFrame, inputs: DataFrame, max_pins: int = 16):
-        self.gates = cut(gates.select("gate", "out_net", "tt", "n_in"))
+        g = cut(gates.select("gate", "out_net", "tt", "n_in"))
+        self.functions = known_functions(g, max_pins)
+        # Few functions: keep a number per gate and evaluate plain arithmetic per function.
+        self.gates = g if self.functions is None else g.select("gate", "out_net", function_index(F.col("tt"), self.functions).alias("tt"), "n_in")
         self.inputs = cut(inputs.select("gate", "pin_idx", "net"))
         self.max_pins = max_pins
 
@@ -80,13 +84,23 @@ class LogicNet:
             per, n = cut_watch(per.join(self.gates, "gate"), F.col("k") == F.col("n_in"))
             if not n:
                 return reduce(DataFrame.unionByName, found)
-            duty, act = (F.slice(F.array(*[F.col(f"_{c}{k}") for k in pins]), F.lit(1), F.col("n_in")) for c in "da")
-            ready = per.filter("k = n_in").select(F.col("out_net").alias("net"), "tt", duty.alias("_duty"), act.alias("_act"))
-            a, p = gate_output(F.col("tt"), F.col("_duty"), F.col("_act"))
+            a, p = self.output(pins)
+            ready = per.filter("k = n_in").select(F.col("out_net").alias("net"), "tt", "n_in", *slots)
             fresh = ready.select("net", clip(a).alias("activity"), p.alias("duty"))
             found.append(fresh)
             waiting = per.filter("k < n_in").select("gate", "k", *slots)
 
+    def output(self, pins) -> tuple[Column, Column]:
+        if self.functions is None:
+            duty, act = (F.slice(F.array(*[F.col(f"_{c}{k}") for k in pins]), F.lit(1), F.col("n_in")) for c in "da")
+            return gate_output(F.col("tt"), duty, act)
+        table = dict(enumerate(self.functions))
+
+        def cols(c: str, bits: list[int]) -> list[Column]:
+            return [F.col(f"_{c}{k}") for k in range(len(bits).bit_length() - 1)]
+        return (by_function(F.col("tt"), table, lambda t: toggle_rate_expr(t, cols("d", t), cols("a", t))),
+                by_function(F.col("tt"), table, lambda t: probability_expr(t, cols("d", t))))
+
 
 def propagate_activity(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, max_pins: int = 16) -> DataFrame:
     return LogicNet(gates, inputs, max_pins).propagate(seeds)

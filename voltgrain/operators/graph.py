@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.logic import X, ternary_value
+from ..functions.logic import X, by_function, function_index, known_functions, ternary_table, ternary_value
 from ..session import cut, cut_watch
 
 
@@ -339,7 +339,7 @@ def reach_blocked(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None
 
 
 # ------------------------------------------------------------------ constants
-def propagate_constants(gates: DataFrame, inputs: DataFrame, consts: DataFrame) -> DataFrame:
+def propagate_constants(gates: DataFrame, inputs: DataFrame, consts: DataFrame, max_pins: int = 16) -> DataFrame:
     """(net, value) of every net that case values and functions fix to 0 or 1.
 
     ``gates``: gate, out_net, tt. ``inputs``: gate, pin_idx, net. ``consts``: net, value.
@@ -348,6 +348,13 @@ def propagate_constants(gates: DataFrame, inputs: DataFrame, consts: DataFrame)
     """
     ins = cut(inputs.select("gate", "pin_idx", "net"))
     gates = cut(gates.select("gate", "out_net", "tt"))
+    value = ternary_value(F.col("tt"), F.col("km"), F.col("kv"))
+    known = known_functions(gates, max_pins) if max_pins <= 4 else None
+    if known is not None:
+        # Few small functions: one literal table per function, looked up by the two masks.
+        gates = gates.select("gate", "out_net", function_index(F.col("tt"), known).alias("tt"))
+        value = by_function(F.col("tt"), dict(enumerate(known)), lambda t: F.get(
+            F.array(*map(F.lit, ternary_table(t, len(t).bit_length() - 1))), F.col("km") * len(t) + F.col("kv")))
     fresh = cut(consts.select("net", "value"))
     found, waiting = [fresh], None
     while True:
@@ -355,7 +362,7 @@ def propagate_constants(gates: DataFrame, inputs: DataFrame, consts: DataFrame)
         pin = fresh.join(ins, "net").select("gate", bit.alias("km"), F.when(F.col("value") == 1, bit).otherwise(0).alias("kv"))
         rows = pin if waiting is None else pin.unionByName(waiting)
         per = rows.groupBy("gate").agg(F.sum("km").cast("int").alias("km"), F.sum("kv").cast("int").alias("kv"))
-        val = per.join(gates, "gate").select("gate", "km", "kv", F.col("out_net").alias("net"), ternary_value(F.col("tt"), F.col("km"), F.col("kv")).alias("value"))
+        val = per.join(gates, "gate").select("gate", "km", "kv", F.col("out_net").alias("net"), value.alias("value"))
         # Nets already fixed (by a case value, or by earlier inputs of the gate) stay as they are.
         val, n = cut_watch(val.join(union_all(found).select("net"), "net", "left_anti"), F.col("value") != X)
         if not n:

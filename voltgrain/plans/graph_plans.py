@@ -255,7 +255,7 @@ def g10(spark, d):
     consts = (p.select(net("p", "p_partkey").alias("net"), F.when(v1 <= 10, 0).when(v1 >= 45, 1).alias("value"))
               .unionByName(s.select(net("s", "s_suppkey").alias("net"), F.when(v2 < 8, 0).when(v2 >= 20, 1).alias("value")))
               .unionByName(o.select(net("o", "o_orderkey").alias("net"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).alias("value")))).filter("value is not null")
-    return gr.propagate_constants(gates, ins, consts).filter("substring(net,1,1) in ('x','y')")
+    return gr.propagate_constants(gates, ins, consts, max_pins=2).filter("substring(net,1,1) in ('x','y')")
 
 
 @query("g11_disabled_edges", """WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(', ', CASE WHEN l_returnflag='A' AND l_tax=0 THEN 'constraint' END, CASE WHEN p_size<=5 THEN 'constant' END, CASE WHEN l_discount=0 THEN 'cond_default' END,
