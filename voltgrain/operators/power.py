@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.logic import edge, n_rise, n_toggle
 from ..functions.lut import add_lut2
 from .events import asof_inputs, glitch_ratio
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut
 from .ordered import ordered, time_block
 
 MAX_STATE_PINS = 16
@@ -136,34 +136,31 @@ def default_output_energy(pins: DataFrame, tables: DataFrame, n_inputs: int) ->
     return rows.groupBy("gate", "pin_idx", "rf").agg(F.avg("e").alias("default_energy"))
 
 
-def energy_per_change(changes: DataFrame, ticks: DataFrame, flagged_width: DataFrame, gates: DataFrame, pin_env,
+def energy_per_change(flagged: DataFrame, ticks: DataFrame, gates: DataFrame, pin_env,
                       tables: DataFrame, arcs: DataFrame, n_inputs: int, n_pin: int, cycle_ticks: int,
                       time_max: Column, ticks_per_slew: float, on_miss: str = "zero") -> DataFrame:
     """Internal and switching energy of every change, and its glitch ratio.
 
-    State means the state before the tick for all pins that change in it.
-    ``on_miss='mean'`` uses the mean energy when the cause has no matching table.
+    ``flagged``: all changes with their glitch pulse. State means the state before the tick
+    for all pins that change in it. ``on_miss='mean'`` uses the mean energy when the cause has
+    no matching table. The rows carry their columns along, so the only wide joins are the
+    state per (gate, tick) and the carried values of the as-of pass.
     """
     before = ticks.select("gate", "t", F.col("state_before").alias("state"))
-    # Changes, states and causes meet per (gate, tick): one hash layout serves all three joins.
-    full = changes.filter("pv is not null").join(before, ["gate", "t"]).join(gates.select("gate", "cell_name"), "gate")
-    ratio = flagged_width.filter("pulse is not null").select("sig_id", "t", "pulse")
-    full = full.join(ratio, ["sig_id", "t"], "left")
+    full = flagged.join(before, ["gate", "t"]).join(gates.select("gate", "cell_name"), "gate")
     full = pin_env(full)
-    full = full.withColumns({
+    full = cut(full.withColumns({
         "rf": edge(F.col("pv"), F.col("v")),
-        "ratio": glitch_ratio(F.col("pulse"), (F.col("slew_rise") + F.col("slew_fall")) * ticks_per_slew)})
+        "ratio": glitch_ratio(F.col("pulse"), (F.col("slew_rise") + F.col("slew_fall")) * ticks_per_slew)}))
     exp = bounded_broadcast(expand_internal(tables, n_pin))
 
-    inp = full.filter(F.col("pin_idx") < n_inputs).withColumns({
+    inp = full.filter((F.col("pin_idx") < n_inputs) & F.col("pv").isNotNull()).withColumns({
         "rel_idx": F.lit(-1), "slew": F.when(F.col("rf") == "rise", F.col("slew_rise")).otherwise(F.col("slew_fall")),
         "cap": F.lit(0.0)})
     inp = inp.join(exp, ["cell_name", "pin_idx", "rel_idx", "rf", "state"], "left").withColumn("default_energy", F.lit(None).cast("double"))
 
-    outs = asof_inputs(changes, n_inputs).filter("pv is not null").join(gates.select("gate", "cell_name"), "gate")
-    cause = nearest_cause(outs, arcs, n_inputs, cycle_ticks, time_max).select("sig_id", "t", "cause")
-    out = full.filter(F.col("pin_idx") >= n_inputs).join(cause, ["sig_id", "t"], "left").withColumn(
-        "rel_idx", F.col("cause.rel_idx"))
+    outs = asof_inputs(full, n_inputs).filter("pv is not null")
+    out = nearest_cause(outs, arcs, n_inputs, cycle_ticks, time_max).withColumn("rel_idx", F.col("cause.rel_idx"))
     # The related pin's slews come from the same pin rule, evaluated for the related index.
     own = out.withColumnRenamed("pin_idx", "_own").withColumnsRenamed(
         {"slew_rise": "_sr", "slew_fall": "_sf", "load_cap": "cap", "volt": "_v"}).withColumn("pin_idx", F.col("rel_idx"))
@@ -172,13 +169,13 @@ def energy_per_change(changes: DataFrame, ticks: DataFrame, flagged_width: DataF
     own = own.drop("pin_idx", "slew_rise", "slew_fall", "load_cap", "volt").withColumnsRenamed(
         {"_own": "pin_idx", "_sr": "slew_rise", "_sf": "slew_fall", "_v": "volt"}).withColumn("load_cap", F.col("cap"))
     own = own.join(exp, ["cell_name", "pin_idx", "rel_idx", "rf", "state"], "left")
-    pins = pin_env(changes.select("gate", "pin_idx").distinct()).join(gates.select("gate", "cell_name"), "gate")
+    pins = pin_env(full.select("gate", "pin_idx").distinct()).join(gates.select("gate", "cell_name"), "gate")
     means = default_output_energy(pins, tables.filter("rel_idx >= 0"), n_inputs)
     own = own.join(means, ["gate", "pin_idx", "rf"], "left")
     if on_miss != "mean":
         own = own.withColumn("default_energy", F.when(F.col("rel_idx").isNull(), F.col("default_energy")))
 
-    both = inp.unionByName(own.drop("cause"), allowMissingColumns=True)
+    both = inp.unionByName(own.select(*inp.columns))
     both = add_lut2(both.select("*", "tbl.*"), "e", "axis1", "axis2", "vals", F.col("slew"), F.col("cap"))
     toggles = n_toggle(F.col("pv"), F.col("v"))
     swing = F.when(F.col("pin_idx") >= n_inputs,

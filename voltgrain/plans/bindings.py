@@ -140,22 +140,29 @@ INTP = _values("intp", "cell_name, pin_idx, rel_idx, ord, care, val, rf, base",
 ARCS = _values("arcs", "cell_name, pin_idx, from_rf, to_rf, delay", ARC_ROWS)
 
 
+def _inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A literal table the optimizer knows the size of (no job, no Python rows)."""
+    cols = [c.strip().rsplit(" ", 1) for c in schema.split(",")]
+    body = ",".join("(" + ",".join(repr(x) for x in r) + ")" for r in rows)
+    pick = ", ".join(f"cast(`{n}` as {t}) as `{n}`" for n, t in cols)
+    return spark.sql(f"SELECT {pick} FROM VALUES {body} AS v({', '.join(n for n, _ in cols)})")
+
+
 def leakage_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEAK_ROWS, "cell_name string, ord int, care_mask int, value_mask int, power double")
+    return _inline(spark, "cell_name string, ord int, care_mask int, value_mask int, power double", LEAK_ROWS)
 
 
 def default_leakage(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_LEAK, "cell_name string, default_leakage double")
+    return _inline(spark, "cell_name string, default_leakage double", DEFAULT_LEAK)
 
 
 def arc_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ARC_ROWS, "cell_name string, pin_idx int, from_rf string, to_rf string, delay bigint")
+    return _inline(spark, "cell_name string, pin_idx int, from_rf string, to_rf string, delay bigint", ARC_ROWS)
 
 
 def int_power_rows(spark: SparkSession) -> DataFrame:
     """Energy tables; entry (i, j) of a table is base + 3i + 2j + ij."""
-    df = spark.createDataFrame(
-        INT_ROWS, "cell_name string, pin_idx int, rel_idx int, ord int, care_mask int, value_mask int, rf string, base double")
+    df = _inline(spark, "cell_name string, pin_idx int, rel_idx int, ord int, care_mask int, value_mask int, rf string, base double", INT_ROWS)
     idx = F.array(*[F.lit(k) for k in range(len(AX1) * len(AX2))])
     n2 = len(AX2)
     vals = F.transform(idx, lambda k: F.col("base") + 3 * F.floor(k / n2) + 2 * (k % n2) + F.floor(k / n2) * (k % n2))

@@ -134,7 +134,7 @@ def energies(spark, d):
     flagged = ev.glitch_width(ev.glitch_flags(ch.withColumn("is_clock", F.col("gate") % 5 == 2), T6))
     ticks = cut(ev.gate_ticks(ch))
     g = b.gates(spark, d)
-    e = pw.energy_per_change(ch, ticks, flagged, g, b.pin_env, b.int_power_rows(spark), b.arc_rows(spark), 2, b.N_PIN,
+    e = pw.energy_per_change(flagged, ticks, g, b.pin_env, b.int_power_rows(spark), b.arc_rows(spark), 2, b.N_PIN,
                              T6, tm, SLEW_TICKS)
     return e, ticks
 
