@@ -15,13 +15,18 @@ def dedup_changes(events: DataFrame, block_ticks: int, initial: int = 2) -> Data
 
     ``pv`` is the value before the change; null for the first row of a signal.
     """
-    one = events.groupBy(*SIG, "t").agg(F.max("seq").alias("seq"), F.max_by("v", "seq").alias("v"))
-    start = (one.groupBy(*SIG).agg(F.min("t").alias("t0")).filter("t0 > 0")
-             .select(*SIG, F.lit(0).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("seq"),
-                     F.lit(initial).alias("v")))
-    rows = one.unionByName(start).withColumn("blk", time_block("t", block_ticks))
-    lagged = ordered(rows, SIG, ["t"], "blk", lag={"pv": F.col("v")})
-    return lagged.filter(F.col("pv").isNull() | (F.col("pv") != F.col("v")))
+    # One exchange by (signal, block) serves the grouping, the carry join and the window.
+    ev = events.withColumn("blk", time_block("t", block_ticks)).repartition(*SIG, "blk")
+    one = ev.groupBy(*SIG, "blk", "t").agg(F.max("seq").alias("seq"), F.max_by("v", "seq").alias("v"))
+    lagged = ordered(one, SIG, ["t"], "blk", lag={"pv": F.col("v")})
+    # A signal's first row, when late, brings its start row along.
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("blk"), zero.alias("t"), F.lit(-1).cast("bigint").alias("seq"), F.lit(initial).alias("v"), F.lit(None).cast("int").alias("pv"))
+    same = F.struct("blk", "t", "seq", "v", "pv")
+    after = F.struct("blk", "t", "seq", "v", F.lit(initial).alias("pv"))
+    rows = F.when(F.col("pv").isNull() & (F.col("t") > 0), F.array(start, after)).otherwise(F.array(same))
+    full = lagged.select(*SIG, F.explode(rows).alias("x")).select(*SIG, "x.t", "x.seq", "x.v", "x.blk", "x.pv")
+    return full.filter(F.col("pv").isNull() | (F.col("pv") != F.col("v")))
 
 
 def split_bus(bus: DataFrame) -> DataFrame:
@@ -65,7 +70,7 @@ def gate_ticks(changes: DataFrame) -> DataFrame:
     ``next_t`` is the gate's next tick. Simultaneous changes count as one step.
     """
     delta = state_bit(F.col("v"), F.col("pin_idx")) - state_bit(F.coalesce(F.col("pv"), F.lit(0)), F.col("pin_idx"))
-    step = changes.groupBy("gate", "blk", "t").agg(F.sum(delta).alias("delta"))
+    step = changes.repartition("gate", "blk").groupBy("gate", "blk", "t").agg(F.sum(delta).alias("delta"))
     st = ordered(step, ["gate"], ["t"], "blk", sum_before={"state_before": F.col("delta")},
                  lead={"next_t": F.col("t")})
     return st.select("gate", "blk", "t", "next_t", F.col("state_before").cast("int").alias("state_before"),

@@ -185,15 +185,17 @@ def n7(spark, d):
 RC_SQL = f"""{BASE_SQL}, {SEED_SQL}, fs AS (SELECT * FROM seeds WHERE v IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12) AND rf='rise'),
  r1 AS (SELECT e.to_v AS v, e.to_rf AS rf, clk, CAST(CASE WHEN e.to_v % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS exc, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM fs a JOIN edges e ON e.from_v=a.v AND e.from_rf=a.rf AND layer=0 GROUP BY ALL),
  r2 AS (SELECT e.to_v AS v, e.to_rf AS rf, clk, exc | CAST(CASE WHEN e.to_v % 6 = 0 THEN 2 ELSE 0 END AS BIGINT) AS exc, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM r1 a JOIN edges e ON e.from_v=a.v AND e.from_rf=a.rf AND layer=1 GROUP BY ALL),
- r3 AS (SELECT e.to_v AS v, e.to_rf AS rf, clk, exc, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM r2 a JOIN edges e ON e.from_v=a.v AND e.from_rf=a.rf AND layer=2 WHERE e.to_v % 3 = 0 GROUP BY ALL)"""
+ r3 AS (SELECT e.to_v AS v, e.to_rf AS rf, clk, exc, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM r2 a JOIN edges e ON e.from_v=a.v AND e.from_rf=a.rf AND layer=2 WHERE e.to_v IN (SELECT 3000000000 + c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY ALL)"""
 
 
 def through_arrivals(spark, d):
-    """Rising suppliers of nations below 12, to customers divisible by 3, with through bits.
+    """Rising suppliers of nations below 12, to customers with money, with through bits.
 
     Only edges inside fan-out of the starts and fan-in of the ends enter the sweep.
     """
-    e = edges(spark, d).filter("layer < 3 and (layer < 2 or to_v % 3 = 0)")
+    e = edges(spark, d).filter("layer < 3")
+    to = b.table(spark, d, "customer").filter("c_acctbal > 0").select((F.col("c_custkey") + 3 * K).alias("to_v"))
+    e = e.filter("layer < 2").unionByName(e.filter("layer = 2").join(to, "to_v", "left_semi"))
     thru = F.when((F.col("layer") == 0) & (F.col("to_v") % 4 == 0), 1).when((F.col("layer") == 1) & (F.col("to_v") % 6 == 0), 2).otherwise(0)
     g = gr.Levelled(with_levels(e.withColumn("thru_bits", thru.cast("bigint"))))
     frm = b.table(spark, d, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("v"))
@@ -392,12 +394,12 @@ def n20(spark, d):
         F.min(14 + F.col("c_custkey") % 9).alias("early"), F.max(22 + F.col("c_custkey") % 17).alias("late"))
 
 
-@query("n21_min_clock_period", f"WITH {N1_SQL} SELECT cclk AS clk, max(cp - s.slack) AS min_period, round(1e-6 / (max(cp - s.slack) * 1e-9), 6) AS fmax_mhz FROM c2 JOIN (SELECT v, lclk, slack FROM n1 WHERE kind IN ('setup','recovery')) s USING (v, lclk) WHERE lclk=cclk AND v % 10 <> 0 GROUP BY 1")
+@query("n21_min_clock_period", f"WITH {N1_SQL} SELECT cclk AS clk, max(cp - s.slack) AS min_period, round(1e-6 / (max(cp - s.slack) * 1e-9), 6) AS fmax_mhz FROM c2 JOIN (SELECT v, lclk, slack FROM n1 WHERE kind IN ('setup','recovery')) s USING (v, lclk) WHERE lclk=cclk AND prio <> '3-MEDIUM' GROUP BY 1")
 def n21(spark, d):
     from ..functions.names import max_frequency_mhz
     e = register_rows(spark, d).filter("kind in ('setup','recovery')").select(
         F.col("lclk").alias("launch_clk"), F.col("cclk").alias("capture_clk"), F.lit("rise").alias("launch_rf"), F.lit("rise").alias("capture_rf"),
-        (F.col("v") % 10 == 0).alias("multicycle"), F.col("cp").alias("period"), "slack")
+        (F.col("prio") == "3-MEDIUM").alias("multicycle"), F.col("cp").alias("period"), "slack")
     m = ck.min_period(e)
     return m.select("clk", "min_period", F.round(max_frequency_mhz(F.col("min_period") * 1e-9), 6).alias("fmax_mhz"))
 
@@ -456,12 +458,12 @@ def o3(spark, d):
 
 
 # Exceptions are rows made from suppliers and customers: who they name decides their rank.
-@query("o4_exception_priority", f"""WITH {E0}, ex AS (SELECT c_custkey AS exc_id, CASE c_custkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'path_delay' ELSE 'multicycle' END AS kind, c_custkey % 10 AS value, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS to_pin, CASE WHEN c_custkey % 5 < 2 THEN c_nationkey % 5 END AS from_clk FROM customer WHERE c_acctbal > 5000 AND (c_custkey % 2 = 0)),
+@query("o4_exception_priority", f"""WITH {E0}, ex AS (SELECT c_custkey AS exc_id, CASE c_custkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'path_delay' ELSE 'multicycle' END AS kind, c_custkey % 10 AS value, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS to_pin, CASE WHEN c_custkey % 5 < 2 THEN c_nationkey % 5 END AS from_clk FROM customer WHERE c_acctbal > 5000),
   m AS (SELECT v, lclk, kind, value, exc_id, CASE kind WHEN 'false' THEN 4000 WHEN 'path_delay' THEN 3000 ELSE 2000 END + CASE WHEN to_pin IS NULL THEN 0 ELSE 32 END + CASE WHEN from_clk IS NULL THEN 0 ELSE 8 END AS pri FROM e0 JOIN ex ON (to_pin IS NULL OR to_pin = cust) AND (from_clk IS NULL OR from_clk = lclk)),
   r AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY v, lclk ORDER BY pri DESC, value, exc_id) = 1) SELECT e0.v, e0.lclk, r.kind AS exc_kind, r.value AS exc_value FROM e0 LEFT JOIN r ON r.v=e0.v AND r.lclk=e0.lclk""")
 def o4b(spark, d):
     k = F.col("c_custkey")
-    ex = b.table(spark, d, "customer").filter("c_acctbal > 5000 and c_custkey % 2 = 0").select(
+    ex = b.table(spark, d, "customer").filter("c_acctbal > 5000").select(
         k.alias("exc_id"), F.when(k % 3 == 0, "false").when(k % 3 == 1, "path_delay").otherwise("multicycle").alias("kind"), (k % 10).alias("value"),
         F.when(k % 2 == 0, k).alias("to_pin"), F.when(k % 5 < 2, F.col("c_nationkey") % 5).alias("from_clk"))
     e = ends(spark, d).withColumnsRenamed({"cust": "to_pin", "lclk": "from_clk"})
@@ -588,22 +590,23 @@ def g14(spark, d):
     return g.select(k.alias("k"), "period", F.col("waveform")[0].alias("edge1"), F.col("waveform")[1].alias("edge2"))
 
 
-GS = f"""{BASE_SQL}, ms AS (SELECT s_suppkey AS v, n_regionkey AS clk FROM supplier JOIN nation ON n_nationkey=s_nationkey WHERE s_suppkey % 5 = 0), q1 AS (SELECT to_v AS v, clk, max(d_max) AS late, min(d_min) AS early FROM ms JOIN base ON from_v=v AND layer=0 GROUP BY ALL),
+GS = f"""{BASE_SQL}, ms AS (SELECT s_suppkey AS v, n_regionkey AS clk FROM supplier JOIN nation ON n_nationkey=s_nationkey WHERE s_acctbal > 0), q1 AS (SELECT to_v AS v, clk, max(d_max) AS late, min(d_min) AS early FROM ms JOIN base ON from_v=v AND layer=0 GROUP BY ALL),
  q2 AS (SELECT to_v AS v, clk, max(late + d_max) AS late, min(early + d_min) AS early FROM q1 JOIN base ON from_v=v AND layer=1 GROUP BY ALL)"""
 
 
-@query("g15_source_latency", f"WITH {GS} SELECT v, clk, late, early FROM q2 WHERE v % 9 = 0")
+@query("g15_source_latency", f"WITH {GS} SELECT v, clk, late, early FROM q2 WHERE v IN (SELECT 2000000000 + o_orderkey FROM orders WHERE o_orderpriority='1-URGENT')")
 def g15(spark, d):
-    """Insertion delay from master sources to the generated sources (orders divisible by 9).
+    """Insertion delay from master sources to the generated sources (urgent orders).
 
     Only edges in the fan-in of those orders enter the sweep.
     """
-    e = edges(spark, d).filter("layer < 2 and from_rf = 'rise' and (layer = 0 or to_v % 9 = 0)")
-    e = e.withColumns({"to_rf": F.lit("rise"), "d_max": F.col("d_max")})
+    e = edges(spark, d).filter("layer < 2 and from_rf = 'rise'").withColumn("to_rf", F.lit("rise"))
+    to = b.table(spark, d, "orders").filter("o_orderpriority='1-URGENT'").select((F.col("o_orderkey") + 2 * K).alias("to_v"))
+    e = e.filter("layer = 0").unionByName(e.filter("layer = 1").join(to, "to_v", "left_semi"))
     g = gr.Levelled(with_levels(e))
     n = b.table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("clk"))
     z = F.lit(0).cast("bigint")
-    s = b.table(spark, d, "supplier").filter("s_suppkey % 5 = 0").join(n, "s_nationkey").select(F.col("s_suppkey").alias("v"), F.lit("rise").alias("rf"), "clk", z.alias("a_max"), z.alias("a_min"))
+    s = b.table(spark, d, "supplier").filter("s_acctbal > 0").join(n, "s_nationkey").select(F.col("s_suppkey").alias("v"), F.lit("rise").alias("rf"), "clk", z.alias("a_max"), z.alias("a_min"))
     a = gr.arrivals(g, s).filter(F.col("v") >= 2 * K)
     return a.select("v", "clk", F.col("a_max").alias("late"), F.col("a_min").alias("early"))
 

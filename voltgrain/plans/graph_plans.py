@@ -170,7 +170,7 @@ def g6(spark, d):
     return gr.trace_back(g, ends, arr).select("path_id", "v", "rf", "arrival")
 
 
-CN = f"""{BASE_SQL}, src AS (SELECT s_suppkey AS v, n_regionkey AS clk FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE s_suppkey % 4 = 0),
+CN = f"""{BASE_SQL}, src AS (SELECT s_suppkey AS v, n_regionkey AS clk FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE s_acctbal > 5000),
  e2 AS (SELECT DISTINCT from_v, to_v, layer FROM base WHERE layer < 2 AND (from_v + to_v) % 4 < 3),
  c0 AS (SELECT DISTINCT v, clk FROM src), c1 AS (SELECT DISTINCT to_v AS v, clk FROM c0 JOIN e2 ON from_v=v AND layer=0),
  c2 AS (SELECT DISTINCT to_v AS v, clk FROM (SELECT * FROM c1 WHERE NOT (v % 5 = 0 AND clk = 2)) JOIN e2 ON from_v=v AND layer=1), cn AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2)"""
@@ -179,7 +179,7 @@ CN = f"""{BASE_SQL}, src AS (SELECT s_suppkey AS v, n_regionkey AS clk FROM supp
 def clock_net(spark, d, blocked=True):
     role = F.when((F.col("layer") >= 2) | ((F.col("from_v") + F.col("to_v")) % 4 == 3), "reg_clk_q").otherwise("combinational")
     e = base_edges(spark, d).withColumn("role", role)
-    s = b.table(spark, d, "supplier").join(b.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).filter("s_suppkey % 4 = 0")
+    s = b.table(spark, d, "supplier").join(b.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).filter("s_acctbal > 5000")
     prop = spark.createDataFrame([(1,), (3,)], "clk int")
     stop = b.table(spark, d, "part").filter(f"(p_partkey + {K}) % 5 = 0").select((F.col("p_partkey") + K).alias("v"), F.lit(2).alias("clk"))
     return gr.clock_network(e, s.select(F.col("s_suppkey").alias("v"), F.col("n_regionkey").alias("clk")), prop, stop)
@@ -209,16 +209,16 @@ def g8(spark, d):
 
 
 FI = f"""{BASE_SQL}, f0 AS (SELECT {3*K} + c_custkey AS v FROM customer WHERE c_mktsegment = 'BUILDING'), f1 AS (SELECT DISTINCT from_v AS v FROM f0 JOIN base ON to_v = v),
- f2 AS (SELECT DISTINCT from_v AS v FROM (SELECT * FROM f1 WHERE v % 10 <> 3) x JOIN base ON to_v = v), f3 AS (SELECT DISTINCT from_v AS v FROM f2 JOIN base ON to_v = v),
+ f2 AS (SELECT DISTINCT from_v AS v FROM (SELECT * FROM f1 WHERE v NOT IN (SELECT 2000000000 + o_orderkey FROM orders WHERE o_orderstatus='P')) x JOIN base ON to_v = v), f3 AS (SELECT DISTINCT from_v AS v FROM f2 JOIN base ON to_v = v),
  t0 AS (SELECT s_suppkey AS v FROM supplier WHERE s_nationkey = 3), t1 AS (SELECT DISTINCT to_v AS v FROM t0 JOIN base ON from_v = v), t2 AS (SELECT DISTINCT to_v AS v FROM t1 JOIN base ON from_v = v)"""
 
 
 @query("g9_fanin_fanout", f"WITH {FI} SELECT 'fanin' AS dir, v, 0 AS hops FROM f0 UNION ALL SELECT 'fanin', v, 1 FROM f1 UNION ALL SELECT 'fanin', v, 2 FROM f2 UNION ALL SELECT 'fanin', v, 3 FROM f3 UNION ALL SELECT 'fanout', v, 0 FROM t0 UNION ALL SELECT 'fanout', v, 1 FROM t1 UNION ALL SELECT 'fanout', v, 2 FROM t2")
 def g9(spark, d):
-    """Fan-in of the BUILDING customers, stopping at orders ending in 3; two levels of fan-out of nation 3."""
+    """Fan-in of the BUILDING customers, stopping at orders with status P; two levels of fan-out of nation 3."""
     e = cut(base_edges(spark, d).select("from_v", "to_v"))
     ends = b.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 3 * K).alias("v"))
-    stop = b.table(spark, d, "orders").filter(f"(o_orderkey + {2*K}) % 10 = 3").select((F.col("o_orderkey") + 2 * K).alias("v"))
+    stop = b.table(spark, d, "orders").filter("o_orderstatus = 'P'").select((F.col("o_orderkey") + 2 * K).alias("v"))
     fi = gr.reach(gr.reverse(e), ends, stop_at=stop)
     st = b.table(spark, d, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("v"))
     fo = gr.reach(e, st, max_hops=2)

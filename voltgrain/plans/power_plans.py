@@ -323,7 +323,7 @@ def l17(spark, d):
     e = b.table(spark, d, "events").select(F.expr("user_id div 3").alias("gate"), (F.col("user_id") % 3).cast("int").alias("pin_idx"), F.col("user_id").alias("sig_id")).distinct()
     clk = b.table(spark, d, "supplier").filter("s_nationkey < 20").groupBy(F.col("s_nationkey").alias("k")).agg(
         F.max(F.round(F.col("s_acctbal") / 10000, 4)).alias("clk_slew"))
-    p = b.pin_env(e).withColumn("k", (F.col("sig_id") % 25).cast("int")).join(F.broadcast(clk), "k", "left")
+    p = b.pin_env(e).withColumn("k", (F.col("sig_id") % 25).cast("int")).join(clk, "k", "left")
     ideal = F.col("sig_id") % 5 == 0
     return p.select("sig_id", F.round(F.when(ideal, F.coalesce("clk_slew", F.lit(0.0))).otherwise(F.col("slew_rise")), 6).alias("slew"))
 
