@@ -96,6 +96,14 @@ def test_causes_match_a_replay(spark):
                 assert got is None
 
 
+def test_causes_of_an_uncleaned_log_fall_back_to_the_first_change(spark):
+    rows = log(spark, [(0, 2, 0, 0), (0, 2, 5, 1), (0, 0, 5, 1), (0, 0, 8, 0), (0, 1, 2, 1)]).withColumns(
+        {"blk": time_block("t", 4), "pv": F.when(F.col("t").isin(5, 8) & F.col("pin_idx").isin(2, 0), 1 - F.col("v"))})
+    r = ev.asof_inputs(rows, 2, first_fallback=True).filter("t = 5").first()
+    assert (r.in0.t, r.in0.v, r.in1.t) == (5, 1, 2)
+    assert ev.asof_inputs(rows, 2).filter("t = 5").first().in0 is None
+
+
 def test_glitches_by_hand(spark):
     # Cycle 10: one regular change, one pair, then three (the last of three stays regular).
     rows = [(0, 0, 0, 0), (0, 0, 3, 1), (0, 0, 12, 0), (0, 0, 15, 1), (0, 0, 21, 0), (0, 0, 25, 1), (0, 0, 29, 0)]

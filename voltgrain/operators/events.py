@@ -119,25 +119,28 @@ def glitch_ratio(pulse: Column, slew_sum: Column) -> Column:
     return F.when(pulse.isNull(), None).when(slew_sum == 0, 1.0).otherwise(F.least(F.lit(1.0), r * r))
 
 
-def asof_inputs(changes: DataFrame, n_inputs: int) -> DataFrame:
+def asof_inputs(changes: DataFrame, n_inputs: int, first_fallback: bool = False) -> DataFrame:
     """Every output change with, per input pin, its latest change strictly before it.
 
     Columns ``in<k>`` hold struct(t, pv, v). Rows are ordered so that probes of a
-    tick come before the input changes of that tick. An input whose first change
-    is not earlier falls back to that first change.
+    tick come before the input changes of that tick. Cleaned logs give every signal a
+    row at tick 0, so an earlier change always exists; for other logs
+    ``first_fallback`` takes an input's first change when none is earlier.
     """
     is_out = F.col("pin_idx") >= n_inputs
     # The input's own previous value: a first change counts as coming from itself.
     seen = F.struct("t", F.coalesce("pv", "v").alias("pv"), "v")
     rows = changes.withColumn("_kind", F.when(is_out, 0).otherwise(1))
     lasts = {f"in{k}": F.when(F.col("pin_idx") == k, seen) for k in range(n_inputs)}
-    got = ordered(rows, ["gate"], ["t", "_kind", "pin_idx"], "blk", last_before=lasts).filter(is_out)
+    got = ordered(rows, ["gate"], ["t", "_kind", "pin_idx"], "blk", last_before=lasts).filter(is_out).drop("_kind")
+    if not first_fallback:
+        return got
     first = changes.filter(~is_out).groupBy("gate").agg(
         *[F.min_by(F.when(F.col("pin_idx") == k, seen), F.when(F.col("pin_idx") == k, F.col("t"))).alias(f"_f{k}")
           for k in range(n_inputs)])
     out = got.join(first, "gate", "left")
     return out.withColumns({f"in{k}": F.coalesce(f"in{k}", f"_f{k}") for k in range(n_inputs)}).drop(
-        "_kind", *[f"_f{k}" for k in range(n_inputs)])
+        *[f"_f{k}" for k in range(n_inputs)])
 
 
 def resample(changes: DataFrame, step: int, time_max: Column, keys: list[str], block_ticks: int) -> DataFrame:
