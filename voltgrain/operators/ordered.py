@@ -39,18 +39,19 @@ def ordered(
     lag, lead = dict(lag or {}), dict(lead or {})
     sums, lasts = dict(sum_before or {}), dict(last_before or {})
     part = [*keys, block]
-    pos = F.struct(*order)
+    # Plain values and a plain position keep the block summary a hash aggregate.
+    pos = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
-    aggs = [F.max_by(F.struct(e.alias("x")), pos).alias(f"_c_{n}") for n, e in lag.items()]
-    aggs += [F.min_by(F.struct(e.alias("x")), pos).alias(f"_c_{n}") for n, e in lead.items()]
+    aggs = [F.max_by(e, pos).alias(f"_c_{n}") for n, e in lag.items()]
+    aggs += [F.min_by(e, pos).alias(f"_c_{n}") for n, e in lead.items()]
     aggs += [F.sum(e).alias(f"_c_{n}") for n, e in sums.items()]
     aggs += [F.max_by(e, F.when(e.isNotNull(), pos)).alias(f"_c_{n}") for n, e in lasts.items()]
     across = W.partitionBy(*keys).orderBy(block)
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
     carry = df.groupBy(*part).agg(*aggs).select(
         *part,
-        *[F.lag(f"_c_{n}").over(across).alias(f"_c_{n}") for n in lag],
-        *[F.lead(f"_c_{n}").over(across).alias(f"_c_{n}") for n in lead],
+        *[F.lag(F.struct(F.col(f"_c_{n}").alias("x"))).over(across).alias(f"_c_{n}") for n in lag],
+        *[F.lead(F.struct(F.col(f"_c_{n}").alias("x"))).over(across).alias(f"_c_{n}") for n in lead],
         *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts],
     )
