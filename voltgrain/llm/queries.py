@@ -48,5 +48,23 @@ def op10_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_line_quality, op7_mixing, op8_sharding, op9_simhash, op10_factorisation)}
+def op2_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltgrain.llm.metric_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltgrain.llm.html_style_tree import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltgrain.llm.warc_dictionary import archive
+
+    return archive(table(spark, sf_dir, "pages")).drop("url")
+
+
+QUERIES = {f.__name__: f for f in (op2_metric_join, op3_sentencepiece, op4_line_quality, op5_style_tree, op6_warc, op7_mixing, op8_sharding, op9_simhash, op10_factorisation)}
 ORACLES: dict[str, str] = {}

@@ -42,8 +42,8 @@ class PieceCodec:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         if len(self.bytes) != 256 or any(SPACE in x.lstrip(SPACE) for x in self.pieces) or p.encode("  a ") != self.encode("  a "):
             raise ValueError("only merge-type models with byte fallback, a dummy prefix and kept spaces are supported")
-        self.young: dict[str, tuple[str, int, str]] = {}
-        self.old: dict[str, tuple[str, int, str]] = {}
+        self.young: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
     def merge(self, part: str) -> list[int]:
         """Ids of one part (a run of space signs and what follows up to the next run)."""
@@ -113,24 +113,31 @@ class PieceCodec:
         """The text of ids: their surfaces without the dummy prefix, space signs as spaces."""
         return self.surfaces(ids).removeprefix(SPACE).replace(SPACE, " ")
 
-    def part(self, part: str) -> tuple[str, int, str]:
-        """Ids joined by commas, their number, and the part decoded from them, space signs kept."""
-        if (got := self.old.get(part)) is None:
-            ids = self.merge(part)
-            got = (",".join(map(str, ids)), len(ids), self.surfaces(ids))
-        if len(part) <= CACHED_CHARS:
+    def part(self, rest: str) -> tuple[str, str]:
+        """Ids joined by commas and the surface decoded from them, of a space sign and ``rest``; put into the cache."""
+        if (got := self.old.get(rest)) is None:
+            ids = self.merge(SPACE + rest)
+            got = (",".join(map(str, ids)), self.surfaces(ids))
+        if len(rest) <= CACHED_CHARS:
             if len(self.young) >= CACHE:
                 self.young, self.old = {}, self.young
-            self.young[part] = got
+            self.young[rest] = got
         return got
 
     def both(self, text: str) -> tuple[str, int, str]:
         """Ids joined by commas, their number, and the text decoded from them."""
         if not text:
             return "", 0, ""
-        parts = CHUNK.findall(SPACE + text.replace(" ", SPACE))
-        got = [self.young.get(p) or self.part(p) for p in parts]
-        return ",".join([g[0] for g in got]), sum([g[1] for g in got]), "".join([g[2] for g in got])[1:].replace(SPACE, " ")
+        if text[0] == " " or "  " in text or SPACE in text:
+            rests = [p[1:] for p in CHUNK.findall(SPACE + text.replace(" ", SPACE))]
+        else:
+            rests = text.split(" ")
+        got = list(map(self.young.get, rests))
+        if None in got:
+            got = [g or self.part(r) for g, r in zip(got, rests)]
+        ids, surfaces = zip(*got)
+        joined = ",".join(ids)
+        return joined, joined.count(",") + 1, "".join(surfaces)[1:].replace(SPACE, " ")
 
 
 _codecs: dict[str, PieceCodec] = {}
