@@ -48,6 +48,12 @@ def op10_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltgrain.llm.katz import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltgrain.llm.metric_join import near_duplicates
 
@@ -66,5 +72,5 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op2_metric_join, op3_sentencepiece, op4_line_quality, op5_style_tree, op6_warc, op7_mixing, op8_sharding, op9_simhash, op10_factorisation)}
+QUERIES = {f.__name__: f for f in (op1_katz, op2_metric_join, op3_sentencepiece, op4_line_quality, op5_style_tree, op6_warc, op7_mixing, op8_sharding, op9_simhash, op10_factorisation)}
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,16 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         path = self.path()
         df.write.parquet(path)
+        self.release()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
+    def release(self) -> None:
+        """Have the driver collect its garbage, so that Spark removes the shuffle files that no table needs any longer."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if (path := self.paths.pop(id(t), None)) is not None:
