@@ -159,7 +159,7 @@ def host_of(url) -> F.Column:
 
 
 def node_facts(pages: DataFrame) -> DataFrame:
-    """(host, path, style, content): for each page and node of its tree with text, hashes of the sequence of child tags and of the text below."""
+    """(host, path, style, content): for each page and block node of its tree with text, hashes of the sequence of child tags and of the text below. Inline nodes belong to their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -175,7 +175,7 @@ def node_facts(pages: DataFrame) -> DataFrame:
                     read(page or "", frozenset(), nodes)
                     merged: dict[int, tuple[list, list]] = {}
                     for n in nodes:
-                        if n.content[0]:
+                        if n.content[0] and n.tag not in INLINE:
                             tags, texts = merged.setdefault(n.path, ([], []))
                             tags += [t for k, t in enumerate(n.children) if not k or t != n.children[k - 1]]
                             texts += n.content

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltgrain.llm.store import Scratch
 
@@ -11,6 +11,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 POSITION_BITS = 33  # of a row in its partition, in monotonically_increasing_id
 
 
+def words_in(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, target from (source, source_size), a row for each source.
 
@@ -64,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     and no copies; rows repeated in all columns are interchangeable; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.expr(f"cast(coalesce(regexp_count(text, '{WORD}'), 0) as bigint)").alias("size")))
+    sized = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in("text").alias("size")))
     n = sized.count()
     sources = scratch.save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     order = ["source", "size", F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
@@ -79,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it. Rows that share doc_id, source and size share their copies in turn."""
-    size = F.expr(f"cast(coalesce(regexp_count(text, '{WORD}'), 0) as bigint)")
+    size = words_in("text")
     keys = ["__d", "__s", "__z"]
     taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z")).agg(F.sum("copies").alias("__c"), F.count("*").alias("__m"))
     mine = docs.withColumns({"__d2": F.col("doc_id").cast("long"), "__s2": F.col("source").cast("string"), "__z2": size})
