@@ -17,7 +17,7 @@ from voltgrain.llm.store import Scratch
 from voltgrain.llm.wordhash import mix, pieces, word_ids, words
 
 #: Text bytes of one piece, of one bucket of word pairs, and how many of these share a bucket of words.
-PIECE_BYTES, BUCKET_BYTES, WIDER = 12 << 20, 40 << 20, 4
+PIECE_BYTES, BUCKET_BYTES, WIDER = 10 << 20, 29 << 20, 4
 #: Counts up to this one are discounted.
 K = 5
 START, END = (np.uint64(x) for x in mix(np.array([1, 2], np.uint64)))
@@ -41,6 +41,15 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a.astype(np.uint8)
 
 
+def gaps(ids: np.ndarray) -> np.ndarray:
+    """Ascending ids as the differences to those before, byte plane by byte plane, which leaves the high planes empty."""
+    return np.diff(ids, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def ids_of(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """Discount factors of the counts 0 to K from n, the numbers of n-grams seen 0 (unused), 1, ..., K + 1 times.
 
@@ -117,6 +126,7 @@ def _word_blobs(n_buckets: int):
             rank = np.empty(len(u), np.int64)
             rank[order] = np.arange(len(u))
             pair, times = np.unique(rank[inverse] * len(held) + row, return_counts=True)
+            del tok, inverse, row
             word, doc = pair // len(held), pair % len(held)
             first = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             cut = np.searchsorted(word, first)
@@ -127,7 +137,7 @@ def _word_blobs(n_buckets: int):
                 if b > a:
                     w = u[order[first[k] : first[k + 1]]]
                     per = np.bincount(word[a:b] - first[k], minlength=len(w))
-                    out.append((k, pack(piece, np.diff(w, prepend=np.uint64(0)), small(per), small(doc[a:b]), small(times[a:b]), train, len(held))))
+                    out.append((k, pack(piece, gaps(w), small(per), small(doc[a:b]), small(times[a:b]), train, len(held), ids.to_pylist() if k == int(END % np.uint64(n_buckets)) else None)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "data"])
 
     return run
@@ -136,16 +146,18 @@ def _word_blobs(n_buckets: int):
 def _count_words(group: pd.DataFrame) -> pd.DataFrame:
     """Counts of one bucket of words, and for each piece what its texts have of them: sums over tokens of log10(count + 0.1), known tokens, tokens."""
     blobs = [unpack(x) for x in group["data"]]
-    every = [np.cumsum(b[1], dtype=np.uint64) for b in blobs]
+    every = [ids_of(b[1]) for b in blobs]
     vocabulary = np.unique(np.concatenate(every))
     count = np.zeros(len(vocabulary), np.int64)
-    for (_, _, per, doc, times, train, n), w in zip(blobs, every):
+    for (_, _, per, doc, times, train, n, _), w in zip(blobs, every):
         at = np.repeat(np.searchsorted(vocabulary, w), per)
         count += np.bincount(at, times * np.unpackbits(train, count=n)[doc], len(vocabulary)).astype(np.int64)
     known = count > 0
     seen = np.bincount(np.minimum(count, K + 2), minlength=K + 3)[: K + 2]
     rows = [("words", -1, pack(vocabulary[known], count[known]), int(count.sum()), int(known.sum()), seen.tolist())]
-    for (piece, _, per, doc, times, _, n), w in zip(blobs, every):
+    for (piece, _, per, doc, times, train, n, ids), w in zip(blobs, every):
+        if ids is not None:  # of the bucket of the end token, which every text has
+            rows.append(("ids", piece, pack(ids, (np.unpackbits(train, count=n) == 0).tolist()), 0, 0, []))
         c = np.repeat(count[np.searchsorted(vocabulary, w)], per)
         sums = (np.bincount(doc, times * np.log10(c + 0.1), n), small(np.bincount(doc, times * (c > 0), n).astype(np.int64)), small(np.bincount(doc, times, n).astype(np.int64)))
         rows.append(("texts", piece, pack(*sums), 0, 0, []))
@@ -176,12 +188,14 @@ def _pair_blobs(n_buckets: int, hot: dict[int, tuple[int, int]]):
             ctx[1:] = word[:-1]
             ctx[before == START] = inverse[-1]
             pair, where = np.unique(ctx * len(u) + word, return_inverse=True)
+            del tok, before, inverse, word, ctx
             bucket = _pair_bucket(u[pair // len(u)], u[pair % len(u)], n_buckets, hot)
             order = np.argsort(bucket, kind="stable")
             rank = np.empty(len(pair), np.int64)
             rank[order] = np.arange(len(pair))
             pair, bucket = pair[order], bucket[order]
             use, times = np.unique(rank[where] * len(held) + row, return_counts=True)
+            del where, row, rank, order
             which, doc = use // len(held), use % len(held)
             first = np.searchsorted(bucket, np.arange(n_buckets + 1))
             cut = np.searchsorted(which, first)
@@ -194,7 +208,7 @@ def _pair_blobs(n_buckets: int, hot: dict[int, tuple[int, int]]):
                     c, cn = np.unique(own // len(u), return_counts=True)
                     w, at = np.unique(own % len(u), return_inverse=True)
                     per = np.bincount(which[a:b] - first[k], minlength=len(own))
-                    out.append((k, pack(piece, np.diff(u[c], prepend=np.uint64(0)), small(cn), np.diff(u[w], prepend=np.uint64(0)), small(at), small(per), small(doc[a:b]), small(times[a:b]), train, len(held))))
+                    out.append((k, pack(piece, gaps(u[c]), small(cn), gaps(u[w]), small(at), small(per), small(doc[a:b]), small(times[a:b]), train, len(held))))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "data"])
 
     return run
@@ -205,12 +219,12 @@ def _count_pairs(hot: dict[int, tuple[int, int]], word_buckets: int):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         blobs = [unpack(x) for x in group["data"]]
-        contexts = np.unique(np.concatenate([np.cumsum(b[1], dtype=np.uint64) for b in blobs]))
-        vocabulary = np.unique(np.concatenate([np.cumsum(b[3], dtype=np.uint64) for b in blobs]))
+        contexts = np.unique(np.concatenate([ids_of(b[1]) for b in blobs]))
+        vocabulary = np.unique(np.concatenate([ids_of(b[3]) for b in blobs]))
         v = len(vocabulary)
         keys, sizes = [], []
         for _, c, cn, w, at, per, doc, times, train, n in blobs:
-            key = np.repeat(np.searchsorted(contexts, np.cumsum(c, dtype=np.uint64)), cn) * v + np.searchsorted(vocabulary, np.cumsum(w, dtype=np.uint64))[at]
+            key = np.repeat(np.searchsorted(contexts, ids_of(c)), cn) * v + np.searchsorted(vocabulary, ids_of(w))[at]
             keys.append(key)
             sizes.append(np.bincount(np.repeat(np.arange(len(key)), per), times * np.unpackbits(train, count=n)[doc], len(key)).astype(np.int64))
         pair, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -238,28 +252,27 @@ def _count_pairs(hot: dict[int, tuple[int, int]], word_buckets: int):
             if not hit.all():
                 miss = ~hit
                 rows.append((bucket, "unseen", piece, pack(n, small(np.repeat(key // v, per)[miss]), small(np.repeat(key % v, per)[miss]), small(doc[miss]), small(times[miss])), []))
-        rows.append((bucket, "vocabulary", -1, pack(np.diff(vocabulary, prepend=np.uint64(0))), []))
         spread = (vocabulary % np.uint64(word_buckets)).astype(np.int64)
-        rows += [(k, "wanted", bucket, pack(np.diff(vocabulary[spread == k], prepend=np.uint64(0))), []) for k in np.unique(spread).tolist()]
+        rows += [(k, "wanted", bucket, pack(gaps(vocabulary[spread == k])), []) for k in np.unique(spread).tolist()]
         return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data", "seen"])
 
     return run
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """Counts of the words that buckets of pairs want, from a bucket of words."""
+    """The words that buckets of pairs want, with their counts, from a bucket of words."""
     tables = [unpack(x) for x in group.loc[group["kind"] == "words", "data"]]
     w, c = tables[0] if tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     rows = []
     for to, data in group.loc[group["kind"] == "wanted", ["piece", "data"]].itertuples(index=False):
-        want = np.cumsum(unpack(data)[0], dtype=np.uint64)
+        want = ids_of(unpack(data)[0])
         at = np.minimum(np.searchsorted(w, want), max(len(w) - 1, 0))
         got = np.where(w[at] == want, c[at], 0) if len(w) else np.zeros(len(want), np.int64)
-        rows.append((int(to), "counts", int(group["bucket"].iloc[0]), pack(small(got)), []))
+        rows.append((int(to), "counts", int(group["bucket"].iloc[0]), pack(gaps(want), small(got)), []))
     return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data", "seen"])
 
 
-def _back_off(hot: dict[int, tuple[int, int]], totals: Words, d: np.ndarray, word_buckets: int):
+def _back_off(hot: dict[int, tuple[int, int]], totals: Words, d: np.ndarray):
     """Backoff weights of one bucket of contexts, and what texts get from pairs not seen. A hot context's sums go on as rows of their own."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -267,11 +280,10 @@ def _back_off(hot: dict[int, tuple[int, int]], totals: Words, d: np.ndarray, wor
         bucket = int(group["bucket"].iloc[0])
         if "pairs" not in by:
             return pd.DataFrame([], columns=["bucket", "kind", "piece", "ctx", "data", "left", "rest"])
-        vocabulary = np.cumsum(unpack(by["vocabulary"]["data"].iloc[0])[0], dtype=np.uint64)
-        unigram = np.zeros(len(vocabulary), np.int64)
-        spread = (vocabulary % np.uint64(word_buckets)).astype(np.int64)
-        for k, data in by["counts"][["piece", "data"]].itertuples(index=False):
-            unigram[spread == k] = unpack(data)[0]
+        answers = [unpack(x) for x in by["counts"]["data"]]
+        vocabulary = np.concatenate([ids_of(w) for w, _ in answers])
+        order = np.argsort(vocabulary)
+        vocabulary, unigram = vocabulary[order], np.concatenate([c.astype(np.int64) for _, c in answers])[order]
         p1 = totals.p(unigram)
         contexts, total, has, word, count = unpack(by["pairs"]["data"].iloc[0])
         at = np.repeat(np.arange(len(contexts)), has)
@@ -280,7 +292,7 @@ def _back_off(hot: dict[int, tuple[int, int]], totals: Words, d: np.ndarray, wor
         hot_keys = np.array(sorted(hot), np.uint64)
         is_hot = np.isin(contexts, hot_keys)
         alpha = np.where(is_hot, 1.0, (1 - used) / (1 - lower))
-        rows = [(bucket, "weights", -1, 0, pack(contexts[~is_hot], total[~is_hot], alpha[~is_hot]), 0.0, 0.0)]
+        rows = [(bucket, "weights", -1, 0, pack(contexts, total, np.where(is_hot, np.nan, alpha), vocabulary), 0.0, 0.0)]
         rows += [(bucket, "hot", -1, int(contexts[i].astype(np.int64)), b"", float(used[i]), float(lower[i])) for i in np.flatnonzero(is_hot)]
         for piece, data in by["unseen"][["piece", "data"]].itertuples(index=False) if "unseen" in by else ():
             n, c, w, doc, times = unpack(data)
@@ -310,8 +322,8 @@ def _sum_texts(parts: DataFrame, n_sums: int):
 class Katz:
     """A trained model and the scores of the texts it was counted with.
 
-    Tables, each row a bucket with packed arrays (``unpack``): ``words`` (word ids, counts), ``pairs`` (contexts, their totals, pairs of each, word places,
-    counts), ``weights`` (contexts, totals, backoff weights) and ``hot_weights`` (ctx, alpha) of contexts spread over buckets. ``totals`` and
+    Tables, each row a bucket with packed arrays (``unpack``): ``words`` (word ids, counts), ``pairs`` (contexts, their totals, pairs of each, places of
+    words in the bucket's vocabulary, counts), ``weights`` (contexts, totals, backoff weights, vocabulary) and ``hot_weights`` (ctx, alpha) of contexts spread over buckets. ``totals`` and
     ``pair_discounts`` hold what all buckets share.
 
     p(w | v) = d * c(v, w) / (c(v) + 1) for a pair seen, else alpha(v) * p(w); p(w) = d * c(w) / (N + 1) for a word seen, else the unknown word's mass. The
@@ -357,9 +369,9 @@ class Katz:
         self.pair_discounts = discounts(np.array([x or 0 for x in sums], float))
         wanted = self.pair_rows.where("kind = 'wanted'").select("bucket", "kind", "piece", "data").union(self.word_rows.where("kind = 'words'").select("bucket", "kind", "piece", "data"))
         counts = wanted.repartition(self.n_words, "bucket").groupBy("bucket").applyInPandas(_answer, schema)
-        both = self.pair_rows.where("kind in ('pairs', 'unseen', 'vocabulary')").union(counts)
+        both = self.pair_rows.where("kind in ('pairs', 'unseen')").union(counts)
         schema = "bucket int, kind string, piece long, ctx long, data binary, left double, rest double"
-        self.weight_rows = self.scratch.save(both.repartition(self.n_buckets, "bucket").groupBy("bucket").applyInPandas(_back_off(self.hot, self.totals, self.pair_discounts, self.n_words), schema))
+        self.weight_rows = self.scratch.save(both.repartition(self.n_buckets, "bucket").groupBy("bucket").applyInPandas(_back_off(self.hot, self.totals, self.pair_discounts), schema))
         self.hot_weights = self.weight_rows.where("kind = 'hot'").groupBy("ctx").agg(((1 - F.sum("left")) / (1 - F.sum("rest"))).alias("alpha"))
 
     @property
@@ -368,7 +380,7 @@ class Katz:
 
     @property
     def pairs(self) -> DataFrame:
-        return self.pair_rows.where("kind in ('pairs', 'vocabulary')").select("bucket", "kind", "data")
+        return self.pair_rows.where("kind = 'pairs'").select("bucket", "data")
 
     @property
     def weights(self) -> DataFrame:
@@ -409,10 +421,12 @@ class Katz:
         model = parts.groupBy("piece").applyInPandas(add, "piece long, s array<double>")
 
         def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for piece, ids, held, _ in _pieces(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()])], names=["piece", "ids", "held"])
+            for b in batches:
+                for piece, x in zip(b.column(0), b.column(1)):
+                    ids, held = unpack(x.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array([piece.as_py()]), pa.array([ids], pa.list_(pa.int64())), pa.array([held])], names=["piece", "ids", "held"])
 
-        names = self.docs.mapInArrow(name, "piece long, ids array<long>, held array<boolean>")
+        names = self.word_rows.where("kind = 'ids'").select("piece", "data").mapInArrow(name, "piece long, ids array<long>, held array<boolean>")
         rows = names.join(base, "piece").join(model, "piece").select(F.explode(F.arrays_zip("ids", "held", F.col("b")[0].alias("base"), F.col("b")[1].alias("known"), F.col("b")[2].alias("n"), "s")).alias("x")).select("x.*")
         per_token = log10(t.n + 0.1 * (t.distinct + 1))
         return rows.select(F.col("ids").alias("doc_id"), F.col("held").alias("held_out"), F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(t.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n") * per_token).alias("base_score"), F.col("s").alias("score"))
