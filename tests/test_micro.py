@@ -266,6 +266,53 @@ def test_trace_text_round_trip(spark, tmp_path):
         trace.read_lines(spark, "x.txt")
 
 
+def test_trace_header_as_token_stream(spark, tmp_path):
+    deep = [f"$scope module s{k} $end" for k in range(40)]
+    text = "\n".join(["$date", " Nov 10 2024 10:30:45", "$end", "$comment #7 1! $end", "$timescale", "  1ps", "$end", *deep, "$var wire", " 1 !", "deep $end", *["$upscope $end"] * 40, "$enddefinitions $end", "$dumpvars 0! b01 %", "$end", "#5", "$comment note", "#9 1!", "$end", "1!", "1s"]) + "\n"
+    f = tmp_path / "h.vcd"
+    f.write_text(text)
+    lines = trace.read_lines(spark, str(f))
+    assert [(r.t, r.code, r.bits) for r in trace.parse_changes(lines).orderBy("line", "pos").collect()] == [(0, "!", "0"), (0, "%", "01"), (5, "!", "1"), (5, "s", "1")]
+    (h,) = trace.parse_header(lines).collect()
+    assert (h.code, h.name, h.width, list(h.scope)) == ("!", "deep", 1, [f"s{k}" for k in range(40)])
+    assert [r.time_scale for r in trace.time_scale(lines).collect()] == [pytest.approx(1e-12)]
+
+
+def test_boolean_texts(spark):
+    assert logic.truth_bits("A^B&C", list("ABC")) == [int((s & 1 ^ s >> 1 & 1) and s >> 2) for s in range(8)]
+    assert logic.truth_bits("A B' + !(A|B)", list("AB")) == [1, 1, 0, 0]
+    assert logic.truth_bits("(A B)'", list("AB")) == [1, 1, 1, 0]
+    assert logic.truth_bits("A (B", list("AB")) is None and logic.truth_bits("A &", ["A"]) is None
+    assert sum(logic.truth_bits("&".join(f"P{i}" for i in range(18)), [f"P{i}" for i in range(18)])) == 1
+    with pytest.raises(ValueError):
+        logic.truth_bits("A", [f"P{i}" for i in range(30)] + ["A"])
+    rows = [("(A & !B)", True, 3, 1), ("A' & B", True, 3, 2), ("A B", True, 3, 3), ("!(A)", True, 1, 0), ("!(A | B')", True, 3, 2), ("A & !A", False, 0, 0), ("A | B", False, 0, 0), ("Q", False, 0, 0), (None, True, 0, 0), ("", True, 0, 0)]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, w string")
+    got = df.select("i", logic.conjunction_masks("w", F.array(F.lit("A"), F.lit("B"))).alias("m")).orderBy("i").collect()
+    assert [tuple(r.m) for r in got] == [r[1:] for r in rows]
+
+
+def test_loops_and_lone_seeds(spark):
+    e = spark.createDataFrame([(1, "rise", 2, "rise", 1, 10, 10), (2, "rise", 3, "rise", 2, 10, 10), (3, "rise", 2, "rise", 3, 10, 10), (3, "rise", 4, "rise", 4, 10, 10)], "from_v long, from_rf string, to_v long, to_rf string, e_id long, d_max long, d_min long")
+    kept, gone, levels = gr.break_loops(e)
+    assert [(r.from_v, r.to_v) for r in gone.collect()] == [(3, 2)]
+    assert levels.filter("level is null").count() == 0
+    s = spark.createDataFrame([(1, "rise", 0, 0, 0), (9, "rise", 0, 5, 5)], "v long, rf string, clk int, a_max long, a_min long")
+    got = {r.v: r.a_max for r in gr.arrivals(gr.Levelled(e), s).collect()}
+    assert got == {1: 0, 2: 10, 3: 20, 4: 30, 9: 5}
+
+
+def test_many_latches(spark):
+    from voltgrain.plans.check_plans import latch_passes
+    n = 12
+    lat = spark.createDataFrame([(i, "open", 0, 0) for i in range(n)], "v long, kind string, enable long, max_borrow long")
+    e = spark.createDataFrame([(i, i + 1, 1) for i in range(n - 1)], "from_v long, to_v long, d long")
+    s = spark.createDataFrame([(0, 4)], "v long, arrival long")
+    assert sorted((r.v, r.arrival) for r in latch_passes(lat, e, s).collect()) == [(i, 4 + i) for i in range(n)]
+    with pytest.raises(RuntimeError):
+        latch_passes(lat.filter("v < 2"), spark.createDataFrame([(0, 1, 1), (1, 0, 1)], e.schema), s)
+
+
 def test_rc_text(spark, tmp_path):
     f = tmp_path / "n.spef"
     f.write_text("*C_UNIT 1.0 PF\n*R_UNIT 1.0 KOHM\n*NAME_MAP\n*1 top/n1\n*2 u2\n\n*D_NET *1 1.5\n*CONN\n*I *2:A I\n*CAP\n1 *1:1 0.5\n2 *1:1 *2:7 0.25\n*RES\n1 *1:1 *2:A 3.0\n*END\n\n*D_NET *2 0.1\n*CAP\n1 *2:1 0.1\n*END\n")

@@ -55,58 +55,124 @@ def state_matches(state: Column, care: Column, value: Column) -> Column:
     return state.bitwiseAND(care) == value
 
 
-def conjunction_masks(when: Column, ports: Column) -> Column:
-    """``A & !B`` over an ordered port list -> struct(ok, care, value).
+_TOKEN = re.compile(r"\s*(?:([A-Za-z_][\w\[\].]*)|([01])(?!\w)|([!~'&*|+^()]))")
 
-    Not ok: a contradiction, an unknown name, or anything that is not a plain AND.
-    An empty condition cares about nothing and always matches.
+
+def parse_function(text: str) -> tuple | None:
+    """Tree of a boolean text: ("name", x), ("const", 0 or 1), ("not", a), ("xor" / "and" / "or", a, b); None if it is not one.
+
+    Negation (``!`` or ``~`` before, ``'`` behind) binds tightest, then ``^``, then and (``&``, ``*`` or nothing between
+    two terms), then or (``|``, ``+``).
     """
-    terms = F.filter(F.transform(F.split(when, r"[&*]"), lambda x: F.trim(x)), lambda x: x != "")
-    lits = F.transform(terms, lambda x: F.struct(
-        (F.array_position(ports, F.regexp_replace(x, r"^!\s*", "")).cast("int") - 1).alias("i"),
-        F.when(x.startswith("!"), 0).otherwise(1).alias("b")))
+    signs, at = [], 0
+    text = text.rstrip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if m is None:
+            return None
+        signs.append(("name", m[1]) if m[1] else ("const", int(m[2])) if m[2] else m[3])
+        at = m.end()
+    signs.append(None)
+    i = 0
+
+    def term():
+        nonlocal i
+        s, i = signs[i], i + 1
+        if s in ("!", "~"):
+            out = ("not", term())
+        elif s == "(":
+            out = level(0)
+            if signs[i] != ")":
+                raise SyntaxError
+            i += 1
+        elif isinstance(s, tuple):
+            out = s
+        else:
+            raise SyntaxError
+        while signs[i] == "'":
+            out, i = ("not", out), i + 1
+        return out
+
+    def level(k):
+        nonlocal i
+        below = term if k == 2 else lambda: level(k + 1)
+        out = below()
+        while True:
+            s = signs[i]
+            if s in (("|", "+"), ("&", "*"), ("^",))[k]:
+                i += 1
+            elif not (k == 1 and (isinstance(s, tuple) or s in ("!", "~", "("))):
+                return out
+            out = (("or", "and", "xor")[k], out, below())
 
-    def mask(keep):
-        bits = F.array_distinct(F.transform(F.filter(lits, keep), lambda x: F.call_function(
-            "shiftleft", F.lit(1), F.greatest(x["i"], F.lit(0)))))
-        return F.aggregate(bits, F.lit(0), lambda a, b: a.bitwiseOR(b))
+    try:
+        tree = level(0)
+    except (SyntaxError, IndexError):
+        return None
+    return tree if signs[i] is None else None
+
+
+def _literals(tree: tuple, positive: bool) -> dict[str, int] | None:
+    """Ports with the values they must have if the tree is a conjunction (De Morgan included); a contradiction or another shape gives None."""
+    kind = tree[0]
+    if kind == "name":
+        return {tree[1]: int(positive)}
+    if kind == "const":
+        return {} if tree[1] == int(positive) else None
+    if kind == "not":
+        return _literals(tree[1], not positive)
+    if kind != ("and" if positive else "or"):
+        return None
+    a, b = _literals(tree[1], positive), _literals(tree[2], positive)
+    if a is None or b is None or any(b.get(k, v) != v for k, v in a.items()):
+        return None
+    return a | b
 
-    ones, zeros = mask(lambda x: x["b"] == 1), mask(lambda x: x["b"] == 0)
-    known = F.forall(lits, lambda x: x["i"] >= 0)
-    plain = ~when.rlike(r"[|+^()]")
-    ok = known & plain & (ones.bitwiseAND(zeros) == 0)
-    return F.struct(F.coalesce(ok, F.lit(True)).alias("ok"),
-                    F.coalesce(ones.bitwiseOR(zeros), F.lit(0)).alias("care"),
-                    F.coalesce(ones, F.lit(0)).alias("value"))
 
+def condition_masks(when: str | None, ports: list[str]) -> tuple[bool, int, int]:
+    """(ok, care, value) of a conjunction over an ordered port list; an empty one cares about nothing and always matches."""
+    if when is None or not when.strip():
+        return True, 0, 0
+    tree = parse_function(when)
+    found = None if tree is None else _literals(tree, True)
+    if found is None or not set(found) <= set(ports):
+        return False, 0, 0
+    return True, sum(1 << ports.index(p) for p in found), sum(v << ports.index(p) for p, v in found.items())
 
-_NAME = re.compile(r"[A-Za-z_]\w*")
-_SAFE = re.compile(r"^[\w\s!&*|+^()~']*$")
 
+@F.pandas_udf(T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("care", T.IntegerType()), T.StructField("value", T.IntegerType())]))
+def conjunction_masks(when: pd.Series, ports: pd.Series) -> pd.DataFrame:
+    """``condition_masks`` of distinct library rows: ``A & !B``, ``(A B')``, ``!(A | B)``, ...; not for events."""
+    return pd.DataFrame([condition_masks(w, list(p)) for w, p in zip(when, ports)], columns=["ok", "care", "value"])
 
-def truth_bits(function: str, ports: list[str]) -> list[int] | None:
-    """All outputs of a boolean text function; entry s holds the value in state s.
 
-    ``! ~ '`` negate, ``& *`` and, ``^`` exclusive or, ``| +`` or; a bare 0 or 1 is a constant.
-    """
-    if function is None or not _SAFE.match(function) or len(ports) > 16:
+#: A truth table has two to this power entries at most; a wider function is refused, not skipped.
+MAX_PORTS = 20
+
+
+def truth_bits(function: str, ports: list[str]) -> list[int] | None:
+    """All outputs of a boolean text function; entry s holds the value in state s. None if it is no function of these ports."""
+    if function is None or (tree := parse_function(function)) is None:
         return None
+    if len(ports) > MAX_PORTS:
+        raise ValueError(f"{len(ports)} ports in one function; at most {MAX_PORTS} are supported: {function[:80]}")
     states = np.arange(1 << len(ports))
-    env = {f"p{i}": ((states >> i) & 1).astype(bool) for i in range(len(ports))}
-    names = {p: f"p{i}" for i, p in enumerate(ports)}
-    if any(n not in names for n in _NAME.findall(function)):
-        return None
-    text = re.sub(r"([A-Za-z_]\w*|\b[01]\b)\s*'", r"(!\1)", function)
-    text = _NAME.sub(lambda m: names[m.group()], text)
-    text = re.sub(r"(?<![\w])([01])(?![\w])", r"k\1", text)
-    text = text.translate(str.maketrans({"!": "~", "*": "&", "+": "|"}))
-    # Numpy binds & over ^ over |, the order the library text uses.
-    env["k0"], env["k1"] = np.zeros(len(states), bool), np.ones(len(states), bool)
+
+    def value(t: tuple) -> np.ndarray:
+        kind = t[0]
+        if kind == "name":
+            return (states >> ports.index(t[1]) & 1).astype(bool)
+        if kind == "const":
+            return np.full(len(states), bool(t[1]))
+        if kind == "not":
+            return ~value(t[1])
+        a, b = value(t[1]), value(t[2])
+        return a & b if kind == "and" else a | b if kind == "or" else a ^ b
+
     try:
-        out = eval(text, {"__builtins__": {}}, env)  # names and signs were checked above
-    except SyntaxError:
+        return value(tree).astype(int).tolist()
+    except ValueError:  # a name that is no port
         return None
-    return np.broadcast_to(out, states.shape).astype(int).tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

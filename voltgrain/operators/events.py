@@ -146,10 +146,11 @@ def asof_inputs(changes: DataFrame, n_inputs: int, first_fallback: bool = False)
 def resample(changes: DataFrame, step: int, time_max: Column, keys: list[str], block_ticks: int) -> DataFrame:
     """Value of each signal at every multiple of ``step`` up to ``time_max``."""
     ends = changes.select(*keys).distinct()
+    first = (F.ceil(F.col("_b") * F.lit(block_ticks) / step) * step).cast("bigint")
+    last = F.least(((F.col("_b") + 1) * F.lit(block_ticks) - 1).cast("bigint"), time_max)
     grid = (ends.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor(time_max / block_ticks).cast("int"))))
-            .withColumn("t", F.explode(F.sequence(
-                (F.ceil(F.col("_b") * F.lit(block_ticks) / step) * step).cast("bigint"),
-                F.least(((F.col("_b") + 1) * F.lit(block_ticks) - 1).cast("bigint"), time_max), F.lit(step).cast("bigint"))))
+            # a block may hold no grid point
+            .withColumn("t", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(step).cast("bigint")))))
             .select(*keys, "t", F.lit(1).alias("_probe"), F.lit(None).cast("int").alias("v")))
     both = changes.select(*keys, "t", F.lit(0).alias("_probe"), "v").unionByName(grid).withColumn(
         "blk", time_block("t", block_ticks))

@@ -128,6 +128,29 @@ def loop_members(edges: DataFrame) -> DataFrame:
     return union_all(found) if found else edges.select(F.col("from_v").alias("loop_id"), F.col("to_v").alias("v")).limit(0)
 
 
+def break_loops(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges kept, edges disabled, levels): every vertex gets a level once loops are cut.
+
+    Of each loop (vertices that reach one another) one vertex is chosen, the smallest that an edge from outside enters, else the
+    largest; the loop's own edges into it are disabled. What remains is smaller, so this ends. Parallel edges are disabled together.
+    """
+    disabled = []
+    while True:
+        levels = cut(levelize(edges))
+        if levels.filter("level is null").isEmpty():
+            gone = union_all(disabled) if disabled else edges.limit(0)
+            return edges, gone, levels
+        members = cut(loop_members(edges))
+        start = members.select(F.col("loop_id").alias("from_loop"), F.col("v").alias("from_v"))
+        end = members.select("loop_id", F.col("v").alias("to_v"))
+        into = cut(edges.select("from_v", "to_v").distinct().join(end, "to_v").join(start, "from_v", "left"))
+        entry = into.filter("from_loop is null or from_loop <> loop_id").groupBy("loop_id").agg(F.min("to_v").alias("entry"))
+        back = into.filter("from_loop = loop_id").join(entry, "loop_id", "left").filter("to_v = coalesce(entry, loop_id)").select("from_v", "to_v")
+        back = cut(back)
+        disabled.append(cut(edges.join(back, ["from_v", "to_v"], "left_semi").select(*edges.columns)))
+        edges = cut(edges.join(back, ["from_v", "to_v"], "left_anti").select(*edges.columns))
+
+
 # ------------------------------------------------------------------ sweeps
 class Levelled:
     """An edge table with levels, written once per start level."""
@@ -136,11 +159,12 @@ class Levelled:
         """Levels may be any numbering that rises along every edge.
 
         Edges that already carry from_level and to_level are taken as they are; else
-        the levels are joined, or computed first.
+        the levels are joined, or computed first, after loops are broken.
         """
         if "from_level" not in edges.columns:
-            lv = levels if levels is not None else levelize(edges)
-            lv = cut(lv.filter("level is not null"))
+            if levels is None:
+                edges, _, levels = break_loops(edges)
+            lv = cut(levels.filter("level is not null"))
             fr = lv.select(F.col("v").alias("from_v"), F.col("level").alias("from_level"))
             to = lv.select(F.col("v").alias("to_v"), F.col("level").alias("to_level"))
             edges = edges.join(fr, "from_v").join(to, "to_v")
@@ -148,13 +172,14 @@ class Levelled:
         self.depth = self.edges.agg(F.max("to_level")).first()[0] or 0
 
     def place(self, rows: DataFrame) -> DataFrame:
-        """Give rows their vertex's level, read off the edges that leave it (else the ones that enter)."""
+        """Give rows their vertex's level, read off the edges that leave it (else the ones that enter); 0 for a vertex without edges."""
         if "level" in rows.columns:
             return rows
         at = self.edges.select(F.explode(F.array(
             F.struct(F.col("from_v").alias("v"), F.col("from_level").alias("level")),
             F.struct(F.col("to_v").alias("v"), F.col("to_level").alias("level")))).alias("x")).select("x.*")
-        return rows.join(at.groupBy("v").agg(F.first("level").alias("level")), "v")
+        at = at.groupBy("v").agg(F.first("level").alias("level"))
+        return rows.join(at, "v", "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
     def sweep(self, seeds: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
               merge: Callable[[DataFrame], DataFrame]) -> DataFrame:

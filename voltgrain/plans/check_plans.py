@@ -630,8 +630,10 @@ def g18(spark, d):
     return latch_passes(lat, e, s).select("v", "arrival", "departure")
 
 
-def latch_passes(latches, edges_, seeds_, max_passes: int = 100):
-    """Data moves latch to latch until nothing new departs (or the pass limit).
+def latch_passes(latches, edges_, seeds_):
+    """Data moves latch to latch until nothing new departs.
+
+    No path visits more latches than there are, so a further pass means a loop of open latches, which is an error.
 
     Closed latches stop it, open ones pass it, clocked ones pass it only while
     borrowing, no later than the opening edge plus the limit.
@@ -640,10 +642,10 @@ def latch_passes(latches, edges_, seeds_, max_passes: int = 100):
     late = F.col("arrival") > F.col("enable")
     dep = F.when(F.col("kind") == "open", F.col("arrival")).when((F.col("kind") == "clocked") & late, F.least("arrival", F.col("enable") + F.col("max_borrow")))
     cur, n = cut_watch(seeds_.join(latches, "v").withColumn("departure", dep), F.col("departure").isNotNull())
-    done = [cur]
-    for _ in range(max_passes):
-        if not n:
-            break
+    done, most = [cur], latches.count()
+    while n:
+        if len(done) > most:
+            raise RuntimeError("data goes round a loop of open latches")
         nxt = cur.filter("departure is not null").select(F.col("v").alias("from_v"), "departure").join(edges_, "from_v")
         arr = nxt.groupBy(F.col("to_v").alias("v")).agg(F.max(F.col("departure") + F.col("d")).alias("arrival"))
         cur, n = cut_watch(arr.join(latches, "v").withColumn("departure", dep), F.col("departure").isNotNull())

@@ -76,10 +76,10 @@ def seeds(spark, d):
 def arr_sql(top=5, seed="seeds", edge="edges", tags="clk", name="arr"):
     """Layer by layer: each kind of vertex is only driven by the kind before it."""
     t = f", {tags}" if tags else ""
-    parts = [f"{name}0 AS (SELECT v, rf{t}, max(a_max) AS a_max, min(a_min) AS a_min FROM {seed} GROUP BY v, rf{t})"]
+    parts = [f"{name}0 AS MATERIALIZED (SELECT v, rf{t}, max(a_max) AS a_max, min(a_min) AS a_min FROM {seed} GROUP BY v, rf{t})"]
     for k in range(1, top + 1):
-        parts.append(f"{name}{k} AS (SELECT e.to_v AS v, e.to_rf AS rf{t}, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM {name}{k-1} a JOIN {edge} e ON e.from_v=a.v AND e.from_rf=a.rf AND e.layer={k-1} GROUP BY e.to_v, e.to_rf{t})")
-    parts.append(f"{name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(top + 1)) + ")")
+        parts.append(f"{name}{k} AS MATERIALIZED (SELECT e.to_v AS v, e.to_rf AS rf{t}, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM {name}{k-1} a JOIN {edge} e ON e.from_v=a.v AND e.from_rf=a.rf AND e.layer={k-1} GROUP BY e.to_v, e.to_rf{t})")
+    parts.append(f"{name} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(top + 1)) + ")")
     return ", ".join(parts)
 
 
@@ -131,10 +131,10 @@ def g4(spark, d):
 
 # End points are customers; a path launched by clock c is due 200 + 10 c + customer % 30 later.
 def req_sql(top=3):
-    p = [f"rq{top} AS (SELECT v, rf, clk, CAST(200 + 10*clk + (v % {K}) % 30 AS BIGINT) AS r_max, CAST(60 - clk AS BIGINT) AS r_min FROM arr WHERE v >= {top*K} AND v < {(top+1)*K})"]
+    p = [f"rq{top} AS MATERIALIZED (SELECT v, rf, clk, CAST(200 + 10*clk + (v % {K}) % 30 AS BIGINT) AS r_max, CAST(60 - clk AS BIGINT) AS r_min FROM arr WHERE v >= {top*K} AND v < {(top+1)*K})"]
     for k in range(top - 1, -1, -1):
-        p.append(f"rq{k} AS (SELECT e.from_v AS v, e.from_rf AS rf, clk, min(r_max - d_max) AS r_max, max(r_min - d_min) AS r_min FROM rq{k+1} r JOIN edges e ON e.to_v=r.v AND e.to_rf=r.rf AND e.layer={k} GROUP BY ALL)")
-    p.append("rq AS (" + " UNION ALL ".join(f"SELECT * FROM rq{k}" for k in range(top + 1)) + ")")
+        p.append(f"rq{k} AS MATERIALIZED (SELECT e.from_v AS v, e.from_rf AS rf, clk, min(r_max - d_max) AS r_max, max(r_min - d_min) AS r_min FROM rq{k+1} r JOIN edges e ON e.to_v=r.v AND e.to_rf=r.rf AND e.layer={k} GROUP BY ALL)")
+    p.append("rq AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM rq{k}" for k in range(top + 1)) + ")")
     return ", ".join(p)
 
 
@@ -156,9 +156,9 @@ def g5(spark, d):
 
 
 # Worst edge into each vertex; ties go to the smaller edge number.
-TB_SQL = f"""{ARR}, prv AS (SELECT e.to_v, e.to_rf, a.clk, e.e_id, e.from_v, e.from_rf, row_number() OVER (PARTITION BY e.to_v, e.to_rf, a.clk ORDER BY a.a_max + e.d_max DESC, e.e_id) AS rn FROM edges e JOIN arr a ON a.v=e.from_v AND a.rf=e.from_rf),
- p0 AS (SELECT v AS path_v, rf AS path_rf, clk, v, rf FROM arr WHERE v >= {5*K}),""" + ",".join(
-    f" p{k} AS (SELECT p.path_v, p.path_rf, p.clk, r.from_v AS v, r.from_rf AS rf FROM p{k-1} p JOIN prv r ON r.to_v=p.v AND r.to_rf=p.rf AND r.clk=p.clk AND r.rn=1)" for k in range(1, 6)) + ", pts AS (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(6)) + ")"
+TB_SQL = f"""{ARR}, prv AS MATERIALIZED (SELECT e.to_v, e.to_rf, a.clk, e.e_id, e.from_v, e.from_rf, row_number() OVER (PARTITION BY e.to_v, e.to_rf, a.clk ORDER BY a.a_max + e.d_max DESC, e.e_id) AS rn FROM edges e JOIN arr a ON a.v=e.from_v AND a.rf=e.from_rf),
+ p0 AS MATERIALIZED (SELECT v AS path_v, rf AS path_rf, clk, v, rf FROM arr WHERE v >= {5*K}),""" + ",".join(
+    f" p{k} AS MATERIALIZED (SELECT p.path_v, p.path_rf, p.clk, r.from_v AS v, r.from_rf AS rf FROM p{k-1} p JOIN prv r ON r.to_v=p.v AND r.to_rf=p.rf AND r.clk=p.clk AND r.rn=1)" for k in range(1, 6)) + ", pts AS (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(6)) + ")"
 
 
 @query("g6_trace_back", f"WITH {TB_SQL} SELECT path_v * 100 + p.clk * 10 + CASE WHEN path_rf='rise' THEN 0 ELSE 1 END AS path_id, p.v, p.rf, a.a_max AS arrival FROM pts p JOIN arr a ON a.v=p.v AND a.rf=p.rf AND a.clk=p.clk")

@@ -184,7 +184,12 @@ def j5(spark, d):
 @query("j6_tumbling_counts", "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS start, count(*) AS n, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def j6(spark, d):
     schema = b.table(spark, d, "events").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    stream = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        e = stream.parquet(f"{d}/events.parquet")
+    else:
+        e = stream.option("pathGlobFilter", "events.parquet").parquet(d)
     e = e.select(F.col("ts").cast("timestamp").alias("at"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     out = st.drain(st.tumbling_counts(e, "at", "6 hours", "1 hour", "cents"), scratch(spark))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
