@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from voltgrain.llm.store import Scratch
+from voltgrain.llm.store import Scratch, give_back, rows_per_batch
 from voltgrain.llm.wordhash import mix, pieces, word_ids, words
 
 #: Text bytes of one piece, of one bucket of word pairs, and how many of these share a bucket of words.
-PIECE_BYTES, BUCKET_BYTES, WIDER = 10 << 20, 29 << 20, 4
+PIECE_BYTES, BUCKET_BYTES, WIDER = 10 << 20, 24 << 20, 2
+#: Rows of an Arrow batch, about a piece of usual texts.
+BATCH_ROWS = 3000
 #: Counts up to this one are discounted.
 K = 5
 START, END = (np.uint64(x) for x in mix(np.array([1, 2], np.uint64)))
@@ -114,6 +116,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]):
     for b in pieces(batches, 2, PIECE_BYTES):
         yield (part << 33) + at, b.column(0), np.asarray(b.column(1)).astype(bool), b.column(2)
         at += b.num_rows
+        give_back()
 
 
 def _word_blobs(n_buckets: int):
@@ -161,6 +164,8 @@ def _count_words(group: pd.DataFrame) -> pd.DataFrame:
         c = np.repeat(count[np.searchsorted(vocabulary, w)], per)
         sums = (np.bincount(doc, times * np.log10(c + 0.1), n), small(np.bincount(doc, times * (c > 0), n).astype(np.int64)), small(np.bincount(doc, times, n).astype(np.int64)))
         rows.append(("texts", piece, pack(*sums), 0, 0, []))
+    del blobs, every, vocabulary, count
+    give_back()
     out = pd.DataFrame(rows, columns=["kind", "piece", "data", "n", "distinct", "seen"])
     out.insert(0, "bucket", group["bucket"].iloc[0])
     return out
@@ -254,6 +259,8 @@ def _count_pairs(hot: dict[int, tuple[int, int]], word_buckets: int):
                 rows.append((bucket, "unseen", piece, pack(n, small(np.repeat(key // v, per)[miss]), small(np.repeat(key % v, per)[miss]), small(doc[miss]), small(times[miss])), []))
         spread = (vocabulary % np.uint64(word_buckets)).astype(np.int64)
         rows += [(k, "wanted", bucket, pack(gaps(vocabulary[spread == k])), []) for k in np.unique(spread).tolist()]
+        del blobs, keys, sizes, pair, at, count, known, total
+        give_back()
         return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data", "seen"])
 
     return run
@@ -336,8 +343,9 @@ class Katz:
         size = self.docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
         self.n_buckets = max(1, ceil(size / BUCKET_BYTES))
         self.n_words = max(1, ceil(self.n_buckets / WIDER))
-        self._count()
-        self._weigh()
+        with rows_per_batch(self.spark, BATCH_ROWS):
+            self._count()
+            self._weigh()
 
     def _count(self) -> None:
         blobs = self.docs.mapInArrow(_word_blobs(self.n_words), "bucket int, data binary")
