@@ -159,7 +159,7 @@ def host_of(url) -> F.Column:
 
 
 def node_facts(pages: DataFrame) -> DataFrame:
-    """(host, path, style, content): for each page and block node of its tree with text, hashes of the sequence of child tags and of the text below. Inline nodes belong to their block."""
+    """(host, path, style, content, page): for each page and block node of its tree with text, hashes of the sequence of child tags, of the text below and of the whole page. Inline nodes belong to their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -169,10 +169,11 @@ def node_facts(pages: DataFrame) -> DataFrame:
 
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
-                hosts, paths, styles, contents = [], [], [], []
+                hosts, paths, styles, contents, whole = [], [], [], [], []
                 for host, page in zip(b.column(0)[lo : lo + 1024].to_pylist(), b.column(1)[lo : lo + 1024].to_pylist()):
                     nodes: list[Node] = []
                     read(page or "", frozenset(), nodes)
+                    page_hash = number(page or "")
                     merged: dict[int, tuple[list, list]] = {}
                     for n in nodes:
                         if n.content[0] and n.tag not in INLINE:
@@ -184,9 +185,10 @@ def node_facts(pages: DataFrame) -> DataFrame:
                         paths.append(path)
                         styles.append(number(" ".join(tags)))
                         contents.append(number("\n".join(texts)))
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(styles, pa.int64()), pa.array(contents, pa.int64())], names=["host", "path", "style", "content"])
+                        whole.append(page_hash)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(styles, pa.int64()), pa.array(contents, pa.int64()), pa.array(whole, pa.int64())], names=["host", "path", "style", "content", "page"])
 
-    return pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, path long, style long, content long")
+    return pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, path long, style long, content long, page long")
 
 
 def importance(facts: DataFrame) -> DataFrame:
@@ -210,14 +212,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of (page_id, url, html).
 
     Pages of one host form a style tree: its nodes are the paths of tags and classes. Nodes whose presentation and content hardly vary over the pages
-    are removed with all below them; so are nodes that are page furniture by their kind (menus, footers, forms, adverts, comments, ...), whatever their host. The rest is
+    are removed with all below them (copies of a page on a host count once, so that an article does not pass for furniture by being copied); so are nodes that are page furniture by their kind (menus, footers, forms, adverts, comments, ...), whatever their host. The rest is
     read in page order: white space inside a block becomes one space, blocks are joined by one space.
 
     Null or empty html has an empty text; broken markup is read as far as it goes; a null url belongs to one host without name, whose nodes are judged as
     any other's; repeated rows get repeated results; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "style-tree")
-    facts = scratch.save(node_facts(pages))
+    facts = scratch.save(node_facts(pages).distinct())
     low = importance(facts).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE))
     low = scratch.save(low.groupBy("host").agg(F.collect_set("path").alias("__removed")))
     scratch.drop(facts)
