@@ -193,7 +193,8 @@ def test_line_quality(spark, docs, none, texts):
     got = clean_documents(docs).collect()
     assert len(got) == docs.count() and {r["host"] for r in got} == {"h"} and {type(r["kept"]) for r in got} == {bool}
     assert [r for r in got if r["doc_id"] is None][0]["n_words"] == 3
-    assert keep_clean(docs).columns == docs.columns
+    clean = keep_clean(docs)
+    assert clean.columns == docs.columns and {r["kept"] for r in clean.collect()} == {"x"}
     assert clean_documents(none).count() == 0 and keep_clean(none).count() == 0
 
 
@@ -218,6 +219,10 @@ def test_style_tree(spark):
     assert text[42] == "open bold next <tag> 5 < 6"
     assert read("<article>a<nav>b<article>c</article>", frozenset()) in ("a c", "c", "a")
     assert main_text(df.limit(0)).count() == 0
+    # a host where one page was copied many times: its article is no furniture
+    copies = [(i, "https://copied.example/", PAGE.format(i=max(0, i - 30), menu=f"Own words of page {max(0, i - 30)}")) for i in range(40)]
+    got = main_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"Own words of page {max(0, r['page_id'] - 30)} " + body.format(i=max(0, r["page_id"] - 30)) for r in got)
 
 
 def test_warc(spark):
@@ -399,6 +404,9 @@ def test_factorisation(spark, docs, none):
     again = fm.fit(df, labels)
     assert np.array_equal(again.w, machine.w)
     assert set(fm.keep_good(df, labels).columns) == set(df.columns)
+    good = df.where("doc_id % 4 > 0").selectExpr("*", "'mine' as Score", "doc_id as held_out")  # no bad one to learn from, names that clash
+    left = fm.keep_good(good.union(df.where("doc_id = 4").selectExpr("*", "'mine'", "doc_id")), labels, learn_from=df).collect()
+    assert {r["doc_id"] for r in left} == {i for i in range(1500) if i % 4} and all(r["Score"] == "mine" and r["held_out"] == r["doc_id"] for r in left)
     assert fm.score(none, machine).count() == 0 and fm.keep_good(none, labels.limit(0)).count() == 0
 
 

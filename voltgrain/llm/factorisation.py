@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from voltgrain.llm.store import set_aside
 from voltgrain.llm.wordhash import pieces, word_ids, words
 
 WORD_BUCKETS = 1 << 13
@@ -167,6 +168,11 @@ def score(docs: DataFrame, machine: Machine, all_columns: bool = False) -> DataF
     return source.mapInArrow(run, T.StructType([*old, *new]))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents predicted 1 by a machine fitted on the labelled ones among them."""
-    return score(docs, fit(docs, labels), all_columns=True).where("predicted = 1").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """Documents predicted 1 by a machine fitted on the labelled rows of ``learn_from``, else on those among the documents.
+
+    After other filters few bad documents are left to learn from, so a pipeline passes the table before them. All columns stay, whatever their names.
+    """
+    own, back = set_aside(docs, ["held_out", "score", "predicted"])
+    machine = fit(docs if learn_from is None else learn_from, labels)
+    return score(own, machine, all_columns=True).where("predicted = 1").select(*own.columns).withColumnsRenamed(back)

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from voltgrain.llm.store import set_aside
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 #: Thresholds of the line rules and of the document verdict.
@@ -114,6 +116,8 @@ def clean_documents(docs: DataFrame, cleaned: bool = True) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
-    """Documents the rules keep, with their failing lines removed and n_chars, if there is one, brought up to date."""
-    kept = clean_documents(docs).where("kept")
-    return kept.selectExpr(*["cleaned_text as text" if c == "text" else "cast(length(cleaned_text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
+    """Documents the rules keep, with their failing lines removed and n_chars, if there is one, brought up to date. All other columns stay, whatever their names."""
+    own, back = set_aside(docs, [*dict(FIELDS), "cleaned_text"])
+    kept = clean_documents(own).where("kept")
+    kept = kept.selectExpr(*["cleaned_text as text" if c == "text" else "cast(length(cleaned_text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`" for c in own.columns])
+    return kept.withColumnsRenamed(back)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,5 +71,12 @@ def rows_per_batch(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns named like one of ``names`` (in any case) renamed, and how to name them back."""
+    taken = {n.lower() for n in names}
+    back = {f"__own_{i}": c for i, c in enumerate(df.columns) if c.lower() in taken}
+    return df.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
