@@ -347,3 +347,38 @@ def test_hierarchy(spark):
     assert got == [("a/x", "leaf"), ("a/y", "black_box"), ("b/x", "leaf"), ("b/y", "black_box")]
     with pytest.raises(ValueError):
         library.elaborate(t, leaf, F.lit("top"), black_boxes=False)
+
+
+def test_block_plan_follows_the_counts(spark):
+    for n in (2_000, 20_000):  # one key holds a third of the rows; ten times the rows
+        df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50 + 1).alias("k"), (F.col("id") * 7919 % 1000).alias("t"))
+        ticks = plan_block_ticks(df, ["k"], "t", 100, 200)
+        top = df.groupBy("k", time_block("t", ticks)).count().agg(F.max("count")).first()[0]
+        assert top <= 200 and (ticks < 100) == (n == 20_000)
+    assert plan_block_ticks(df.limit(0), [], "t", 100, 200) > 0
+
+
+def test_tighter_exception_by_side(spark):
+    exc = spark.createDataFrame([(1, "path_delay", 5, "a", "max"), (2, "path_delay", 9, "a", "max"), (3, "path_delay", 5, "a", "min"), (4, "path_delay", 9, "a", "min")], "exc_id int, kind string, value bigint, to_pin string, minmax string")
+    paths = spark.createDataFrame([("p", "a", "max"), ("q", "a", "min"), ("r", "b", "min")], "path string, to_pin string, minmax string")
+    got = {r.path: r.exc_value for r in constraints.match_exceptions(paths, exc, ["to_pin", "minmax"], ["path"]).collect()}
+    assert got == {"p": 5, "q": 9, "r": None}
+
+
+def test_periods_and_coverage(spark):
+    from voltgrain.operators import activity as ac
+
+    ch = spark.createDataFrame([(1, 0, None, 1), (1, 10, 1, 0), (1, 20, 0, 1), (1, 70, 0, 1), (1, 120, 0, 1), (2, 5, 0, 1)], "sig_id int, t bigint, pv int, v int")
+    traced = ac.traced_periods(ch)
+    assert [tuple(r) for r in traced.collect()] == [(1, 50.0)]
+    assert ac.period_mismatch(traced, F.lit(46.0)).count() == 0 and ac.period_mismatch(traced, F.lit(45.0)).count() == 1
+    g = spark.createDataFrame([(3, 1), (5, 10), (9, 100), (40, 1000)], "n_pin int, n_event int")
+    assert {r.threshold: (r.n_gate, r.n_event, r.ratio) for r in ac.pin_count_coverage(g).collect()} == {4: (3, 1110, 0.75), 8: (2, 1100, 0.5), 16: (1, 1000, 0.25), 32: (1, 1000, 0.25)}
+
+
+def test_late_rows_are_kept_and_old_state_goes(spark, tmp_path):
+    run = st.SlicedTrace(spark, str(tmp_path), 10, 100)
+    for k, rows in enumerate(([(0, 0, 5, 1)], [(0, 0, 15, 0)], [(0, 0, 3, 0), (0, 0, 25, 1)])):
+        run.process(log(spark, rows), k)
+    assert [r.t for r in run.late_events().collect()] == [3]
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["b1", "b2"]

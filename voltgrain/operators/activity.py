@@ -15,6 +15,7 @@ INPUT_ACTIVITY, INPUT_DUTY = 0.1, 0.5
 TOLERANCE = 1e-3
 TINY = 1e-10
 MAX_PASSES = 100
+PERIOD_TOLERANCE = 0.1
 
 
 def clip(a: Column) -> Column:
@@ -35,6 +36,26 @@ def resolve_activity(pins: DataFrame, user: DataFrame, propagated: DataFrame, gl
     return j.withColumns({"activity": act, "origin": origin}).drop("_u", "_p")
 
 
+def traced_periods(changes: DataFrame, key: str = "sig_id") -> DataFrame:
+    """Mean ticks from one rise to the next of every signal that rises twice or more; needs no sort."""
+    rises = changes.filter("v = 1 and pv is not null").groupBy(key).agg(F.count("*").alias("_n"), F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    return rises.filter("_n > 1").select(key, ((F.col("_hi") - F.col("_lo")) / (F.col("_n") - 1)).alias("period"))
+
+
+def period_mismatch(traced: DataFrame, declared: Column, tolerance: float = PERIOD_TOLERANCE) -> DataFrame:
+    """Traced clocks whose period is off the declared one by more than the tolerance."""
+    return traced.withColumn("declared", declared).filter(F.abs(F.col("period") - F.col("declared")) / F.col("declared") > tolerance)
+
+
+def pin_count_coverage(gates: DataFrame, thresholds: tuple[int, ...] = (4, 8, 16, 32)) -> DataFrame:
+    """Gates (n_pin, n_event) with more pins than each threshold: their number, their events and their share of all gates."""
+    h = gates.groupBy("n_pin").agg(F.count("*").alias("n_gate"), F.sum("n_event").alias("n_event"))
+    t = h.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    over = F.col("n_pin") > F.col("threshold")
+    above = F.coalesce(F.sum(F.when(over, F.col("n_gate"))), F.lit(0))
+    return t.groupBy("threshold").agg(above.alias("n_gate"), F.coalesce(F.sum(F.when(over, F.col("n_event"))), F.lit(0)).alias("n_event"), (above / F.sum("n_gate")).alias("ratio"))
+
+
 # ------------------------------------------------------------------ propagation
 def seed_roots(roots: DataFrame, user: DataFrame) -> DataFrame:
     """User value of a root net, else the input default."""

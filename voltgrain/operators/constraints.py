@@ -65,9 +65,12 @@ def match_exceptions(paths: DataFrame, exc: DataFrame, fields: Sequence[str], ke
     """Best exception of every path.
 
     A null field matches anything. Rows are grouped by which fields they name, and each
-    group is an equi-join on those fields. Higher priority wins, then the tighter value.
+    group is an equi-join on those fields. Higher priority wins, then the tighter value: the larger one for a
+    path delay whose ``minmax`` is ``min``, else the smaller one.
     """
     pri = exception_priority(exc)
+    least = (F.col("kind") == "path_delay") & (F.col("minmax") == "min") if "minmax" in exc.columns else F.lit(False)
+    tight = F.when(least, F.col("value")).otherwise(-F.col("value"))
     named = pri.select(F.concat_ws(",", *[F.when(F.col(f).isNotNull(), f) for f in fields]).alias("k")).distinct()
     best = None
     for r in sorted(x.k for x in named.collect()):    # at most 2^fields kinds
@@ -75,7 +78,7 @@ def match_exceptions(paths: DataFrame, exc: DataFrame, fields: Sequence[str], ke
         cond = F.lit(True)
         for f in fields:
             cond = cond & (F.col(f).isNotNull() if f in on else F.col(f).isNull())
-        rows = pri.filter(cond).select(*on, F.struct("priority", (-F.col("value")).alias("tight"), (-F.col("exc_id")).alias("o"), F.col("kind").alias("kind"), F.col("value").alias("value")).alias("_x"))
+        rows = pri.filter(cond).select(*on, F.struct("priority", tight.alias("tight"), (-F.col("exc_id")).alias("o"), F.col("kind").alias("kind"), F.col("value").alias("value")).alias("_x"))
         rows = rows.groupBy(*on).agg(F.max("_x").alias("_x")) if on else rows.agg(F.max("_x").alias("_x"))
         hit = paths.join(rows, on, "left") if on else paths.join(F.broadcast(rows), F.lit(True), "left")
         name = f"_x{0 if best is None else len(best[1])}"

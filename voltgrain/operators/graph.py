@@ -161,20 +161,24 @@ class Levelled:
         Edges that already carry from_level and to_level are taken as they are; else
         the levels are joined, or computed first, after loops are broken.
         """
+        self.levels = None
         if "from_level" not in edges.columns:
             if levels is None:
                 edges, _, levels = break_loops(edges)
-            lv = cut(levels.filter("level is not null"))
+            lv = self.levels = cut(levels.filter("level is not null").select("v", "level"))
             fr = lv.select(F.col("v").alias("from_v"), F.col("level").alias("from_level"))
             to = lv.select(F.col("v").alias("to_v"), F.col("level").alias("to_level"))
             edges = edges.join(fr, "from_v").join(to, "to_v")
-        self.edges = cut(edges, by="from_level")
+        # Rows of a level go to few tasks before they are written to its folder; large levels are split.
+        self.edges = cut(edges.hint("rebalance", F.col("from_level")), by="from_level")
         self.depth = self.edges.agg(F.max("to_level")).first()[0] or 0
 
     def place(self, rows: DataFrame) -> DataFrame:
-        """Give rows their vertex's level, read off the edges that leave it (else the ones that enter); 0 for a vertex without edges."""
+        """Give rows their vertex's level, from the level table or read off the edges that leave it (else the ones that enter); 0 for a vertex without edges."""
         if "level" in rows.columns:
             return rows
+        if self.levels is not None:
+            return rows.join(self.levels, "v", "left").withColumn("level", F.coalesce("level", F.lit(0)))
         at = self.edges.select(F.explode(F.array(
             F.struct(F.col("from_v").alias("v"), F.col("from_level").alias("level")),
             F.struct(F.col("to_v").alias("v"), F.col("to_level").alias("level")))).alias("x")).select("x.*")
@@ -204,7 +208,8 @@ class Levelled:
         other = object.__new__(Levelled)
         top = self.depth
         e = self.edges.withColumns({"from_level": F.lit(top) - F.col("from_level"), "to_level": F.lit(top) - F.col("to_level")})
-        other.edges = cut(reverse(e), by="from_level")
+        other.edges = cut(reverse(e).hint("rebalance", F.col("from_level")), by="from_level")
+        other.levels = None if self.levels is None else self.levels.withColumn("level", F.lit(top) - F.col("level"))
         other.depth = top
         return other
 

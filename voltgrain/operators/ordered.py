@@ -88,8 +88,17 @@ def equal_event_slices(counts: DataFrame, cycle: str, n: str, budget: int, block
 def plan_block_ticks(df: DataFrame, keys: Sequence[str], t: str, cycle_ticks: int, budget: int = 2_000_000) -> int:
     """Block length in ticks so that the densest (key, block) stays near ``budget`` rows.
 
-    One partial aggregate over (key, cycle); only the largest count reaches the driver.
+    One partial aggregate over (key, cycle); only the largest count reaches the driver. Where a cycle
+    alone is denser than the budget, blocks get shorter than a cycle, down to one tick.
     """
-    top = (df.groupBy(*keys, F.expr(f"{t} div {int(cycle_ticks)}").alias("_c")).count()
-             .agg(F.max("count")).first()[0]) or 1
-    return int(cycle_ticks) * max(1, min(65536, budget // int(top)))
+    def densest(ticks: int) -> int:
+        return df.groupBy(*keys, F.expr(f"{t} div {ticks}").alias("_c")).count().agg(F.max("count")).first()[0] or 1
+
+    ticks = int(cycle_ticks)
+    top = densest(ticks)
+    if top <= budget:
+        return ticks * max(1, min(65536, budget // top))
+    while top > budget and ticks > 1:
+        ticks = max(1, min(ticks // 2, ticks * budget // top))
+        top = densest(ticks)
+    return ticks

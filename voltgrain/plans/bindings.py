@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.logic import state_bit  # noqa: F401
 from ..operators import events as ev
+from ..operators.ordered import plan_block_ticks
 
 HOUR = 3_600_000_000  # ticks (micro-seconds) per hour
 T6 = 6 * HOUR         # clock cycle of the event tables
-BLOCK = 8 * T6        # time block of the ordered operators
 N_PIN = 3             # pins per gate: two inputs, then the output
 
 
@@ -56,8 +56,19 @@ def time_max(spark: SparkSession, d: str) -> DataFrame:
     return raw_events(spark, d).agg(F.max("t").alias("time_max"))
 
 
+_blocks: dict[tuple, int] = {}
+
+
+def block_ticks(spark: SparkSession, d: str, keys: tuple[str, ...] = ("gate",)) -> int:
+    """Time block of the ordered operators, from the counts of the log; measured once per session, table and key. It decides the plan only, never a result."""
+    at = (spark.sparkContext.applicationId, d, keys)
+    if at not in _blocks:
+        _blocks[at] = plan_block_ticks(raw_events(spark, d), keys, "t", T6)
+    return _blocks[at]
+
+
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    return ev.dedup_changes(raw_events(spark, d), BLOCK)
+    return ev.dedup_changes(raw_events(spark, d), block_ticks(spark, d))
 
 
 # ---------------------------------------------------------------- gates, pins

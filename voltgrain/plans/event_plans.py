@@ -48,7 +48,7 @@ def a10(spark, d):
 
 @query("a11_min_time_step", f"WITH {b.EV0}, u AS (SELECT DISTINCT t FROM ev0) SELECT min(g) AS min_step FROM (SELECT t - lag(t) OVER (ORDER BY t) AS g FROM u)")
 def a11(spark, d):
-    return ev.min_time_step(b.raw_events(spark, d), b.BLOCK)
+    return ev.min_time_step(b.raw_events(spark, d), b.block_ticks(spark, d, ()))
 
 
 ACT = b.CH + """,
@@ -80,7 +80,7 @@ def _tm(spark, d):
 
 
 def _act(spark, d):
-    return ev.activity(b.changes(spark, d), _tm(spark, d), b.BLOCK)
+    return ev.activity(b.changes(spark, d), _tm(spark, d), b.block_ticks(spark, d))
 
 
 LO, HI = 100 * HOUR, 400 * HOUR
@@ -201,7 +201,7 @@ def e6(spark, d):
   (SELECT unnest(range(0, (SELECT time_max // {24*HOUR} + 1 FROM tmax))) AS i))
   SELECT g.sig_id, g.t, ch.v AS value FROM g ASOF JOIN ch ON g.sig_id = ch.sig_id AND g.t >= ch.t""")
 def e7(spark, d):
-    return ev.resample(b.changes(spark, d), 24 * HOUR, _tm(spark, d), ["sig_id"], b.BLOCK)
+    return ev.resample(b.changes(spark, d), 24 * HOUR, _tm(spark, d), ["sig_id"], b.block_ticks(spark, d))
 
 
 @query("e8_equal_event_slices", f"""WITH {b.CH}, c AS (SELECT t // {T6} AS cycle, count(pv) AS n FROM ch GROUP BY t // {T6})

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as nm
+from ..operators import activity as ac
 from ..operators import select as sel
 from . import bindings as b
 from .registry import query
@@ -435,18 +436,12 @@ def d8(spark, d):
     return r.withColumn("class", F.coalesce("c_mktsegment", F.lit("total"))).drop("c_mktsegment")
 
 
-@query("d9_pin_count_coverage", """WITH g AS (SELECT l_orderkey, count(*) AS n_pin FROM lineitem GROUP BY 1)
-  SELECT CAST(t AS INT) AS threshold, count(*) FILTER (n_pin > t) AS n_gate, CAST(coalesce(sum(n_pin) FILTER (n_pin > t),0) AS BIGINT) AS n_event, round(count(*) FILTER (n_pin > t) / count(*)::DOUBLE, 9) AS ratio FROM g, (VALUES (2),(4),(8),(16)) AS v(t) GROUP BY t""")
+@query("d9_pin_count_coverage", """WITH g AS (SELECT l_partkey, count(*) AS n_pin, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n_event FROM lineitem GROUP BY 1)
+  SELECT CAST(t AS INT) AS threshold, count(*) FILTER (n_pin > t) AS n_gate, CAST(coalesce(sum(n_event) FILTER (n_pin > t),0) AS BIGINT) AS n_event, round(count(*) FILTER (n_pin > t) / count(*)::DOUBLE, 9) AS ratio FROM g, (VALUES (4),(8),(16),(32)) AS v(t) GROUP BY t""")
 def d9(spark, d):
-    """Histogram by pin count, then the share of gates above each threshold."""
-    g = b.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_pin"))
-    h = g.groupBy("n_pin").agg(F.count("*").alias("n_gate"))
-    t = h.select("*", F.explode(F.array(*[F.lit(x) for x in (2, 4, 8, 16)])).alias("threshold"))
-    over = F.col("n_pin") > F.col("threshold")
-    return t.groupBy("threshold").agg(
-        F.coalesce(F.sum(F.when(over, F.col("n_gate"))), F.lit(0)).alias("n_gate"),
-        F.coalesce(F.sum(F.when(over, F.col("n_gate") * F.col("n_pin"))), F.lit(0)).alias("n_event"),
-        F.round(F.coalesce(F.sum(F.when(over, F.col("n_gate"))), F.lit(0)) / F.sum("n_gate"), 9).alias("ratio"))
+    """A part is a gate, each of its lines a pin with as many events as its quantity."""
+    g = b.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n_pin"), F.sum(F.col("l_quantity").cast("bigint")).alias("n_event"))
+    return ac.pin_count_coverage(g).withColumn("ratio", F.round("ratio", 9))
 
 
 @query("d17_percentiles", "WITH g AS (SELECT l_partkey, l_orderkey % 10 AS grp, count(*) AS n FROM lineitem GROUP BY 1,2) SELECT grp, round(quantile_cont(n,0.5),6) AS p50, round(quantile_cont(n,0.9),6) AS p90, round(quantile_cont(n,0.99),6) AS p99 FROM g GROUP BY grp")

@@ -32,7 +32,7 @@ def body_lines(spark, d):
     val = F.when(vec, F.concat(F.lit("b10"), ch, F.lit(" "), sid)).when(two, F.concat(ch, sid, F.lit(" "), ch, sid, F.lit("_copy"))).otherwise(F.concat(ch, sid))
     lines = F.array(F.struct(F.lit(0).cast("bigint").alias("line"), F.concat(F.lit("#"), F.col("t").cast("string")).alias("text")),
                     F.struct((F.col("seq") + 1).alias("line"), val.alias("text")))
-    return e.select("t", F.explode(lines).alias("x")).select(F.lit("trace").alias("trace"), F.expr(f"t div {b.BLOCK}").alias("blk"), F.col("t").alias("at"), "x.*")
+    return e.select("t", F.explode(lines).alias("x")).select(F.lit("trace").alias("trace"), F.expr(f"t div {b.block_ticks(spark, d, ())}").alias("blk"), F.col("t").alias("at"), "x.*")
 
 
 @query("a1_trace_ingest", f"""WITH {b.EV0} SELECT t, 's' || CAST(sig_id AS VARCHAR) AS code, CASE WHEN seq % 7 = 0 THEN '10' ELSE '' END || ['0','1','x','z'][v+1] AS bits FROM ev0
@@ -151,7 +151,7 @@ def j3(spark, d):
     """Slice by slice with carried last values: the same changes as in one go."""
     state, out = None, None
     for part in three_slices(spark, d):
-        ch, nxt, _ = st.slice_changes(part, state, b.BLOCK)
+        ch, nxt, _ = st.slice_changes(part, state, b.block_ticks(spark, d))
         state = cut(nxt)
         ch = ch.select("sig_id", "t", "pv", "v")
         out = ch if out is None else out.unionAll(ch)
@@ -162,7 +162,7 @@ def j3(spark, d):
 def j4(spark, d):
     state, parts = None, []
     for part in three_slices(spark, d):
-        ch, nxt, _ = st.slice_changes(part, state, b.BLOCK)
+        ch, nxt, _ = st.slice_changes(part, state, b.block_ticks(spark, d))
         state = cut(nxt)
         parts.append(st.cycle_toggles(ch, T6))
     from ..operators.graph import union_all
@@ -174,7 +174,7 @@ def j5(spark, d):
     """Three arrivals of the log, each drained by the same stream."""
     folder = scratch(spark)
     src = f"{folder}/in"
-    run = st.SlicedTrace(spark, folder, T6, b.BLOCK)
+    run = st.SlicedTrace(spark, folder, T6, b.block_ticks(spark, d))
     for part in three_slices(spark, d):
         part.write.mode("append").parquet(src)
         run.run(spark.readStream.schema(part.schema).parquet(src))

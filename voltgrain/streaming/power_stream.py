@@ -76,7 +76,11 @@ class SlicedTrace:
         n_late = late.groupBy(F.expr(f"t div {int(self.cycle)}").alias("cycle")).agg(F.count("*").alias("late")).select(
             "cycle", F.lit(0).cast("bigint").alias("toggles2"), F.lit(0).cast("bigint").alias("rises2"), "late")
         out.unionByName(n_late).write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch}")
+        late.write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch}")
         nxt.write.mode("overwrite").parquet(self.state_path(batch))
+        if batch > 1:  # a repeated batch reads the version before it, nothing older
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.state_path(batch - 2))
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
     def run(self, stream: DataFrame) -> None:
         """Drain what the stream has now; a later call goes on from there."""
@@ -84,6 +88,10 @@ class SlicedTrace:
              .trigger(availableNow=True).start())
         q.awaitTermination()
 
+    def late_events(self) -> DataFrame:
+        """The rows that came too late to count."""
+        return self.spark.read.parquet(f"{self.folder}/late")
+
     def totals(self) -> DataFrame:
         return add_slices(self.spark.read.parquet(f"{self.folder}/out"), ["cycle"], ["toggles2", "rises2", "late"])
 
