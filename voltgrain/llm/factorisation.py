@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from voltgrain.llm.store import set_aside
+from voltgrain.llm.store import give_back, set_aside
 from voltgrain.llm.wordhash import pieces, word_ids, words
 
 WORD_BUCKETS = 1 << 13
@@ -164,6 +164,7 @@ def score(docs: DataFrame, machine: Machine, all_columns: bool = False) -> DataF
         for b in pieces(batches, k + 1, BATCH_BYTES):
             s = machine.score(*features(b.column(k + 1), b.column(k + 2) if has_chars else None))
             yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], pa.array(s), pa.array((s >= 0.3).astype(np.int32))], names=[*names, "held_out", "score", "predicted"])
+        give_back()
 
     return source.mapInArrow(run, T.StructType([*old, *new]))
 

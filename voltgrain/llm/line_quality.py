@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from voltgrain.llm.store import set_aside
+from voltgrain.llm.store import give_back, set_aside
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -111,6 +111,7 @@ def clean_documents(docs: DataFrame, cleaned: bool = True) -> DataFrame:
                 rows = [measure(t.as_py())[: len(kinds)] for t in part.column(len(names))]
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), arrow)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=[*names, *(k for k, _ in kinds)])
+        give_back()
 
     return source.mapInArrow(run, T.StructType([*old, *new]))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, types as T
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Entries of one generation of the cache of encoded words, and the longest word kept there.
-CACHE, CACHED_CHARS = 400_000, 48
+CACHE, CACHED_CHARS = 200_000, 48
 #: Signs up to which a part's agenda is a plain list, and the cost of a pair that is no piece.
 SHORT, NEVER = 32, float("inf")
 #: Of so many texts of an Arrow batch, one is also encoded and decoded by the library.

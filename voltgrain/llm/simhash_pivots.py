@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from voltgrain.llm.components import components
-from voltgrain.llm.store import Scratch
+from voltgrain.llm.store import Scratch, give_back
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Reference fingerprints of the distance table, besides zero and the 64 single bits that give the cells.
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
