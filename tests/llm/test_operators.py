@@ -107,6 +107,19 @@ def test_katz_discounts():
     assert discounts(np.zeros(7))[1] == 0.5
 
 
+def test_katz_discounts_are_smoothed():
+    from voltgrain.llm.katz import discounts
+
+    # raw factors leave (0, 1) at the fourth count, as on usual tables; the line through all counts keeps Good-Turing
+    n = np.array([0, 215810, 61309, 26017, 14862, 13741, 7222], float)
+    d = discounts(n)[1:]
+    assert (d > 0).all() and (d < 1).all() and (np.diff(d) > 0).all()
+    assert d != pytest.approx([(r - 0.5) / r for r in range(1, 6)], abs=1e-3)
+    exact = discounts(np.array([0, *(1e6 / np.arange(1, 400) ** 2)]))[1:]
+    assert exact == pytest.approx([(r / (r + 1) - 1 / 6) / (1 - 1 / 6) for r in range(1, 6)], rel=0.02)
+    assert discounts(n / 1e4)[1] == 0.5  # too few
+
+
 def test_metric_join(spark):
     from voltgrain.llm import metric_join
 

@@ -22,6 +22,8 @@ PIECE_BYTES, BUCKET_BYTES, WIDER = 10 << 20, 24 << 20, 2
 BATCH_ROWS = 3000
 #: Counts up to this one are discounted.
 K = 5
+#: Least number of n-grams of each count that is smoothed: a tenth of standard error.
+ENOUGH = 100
 START, END = (np.uint64(x) for x in mix(np.array([1, 2], np.uint64)))
 SALT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
@@ -52,37 +54,66 @@ def ids_of(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Discount factors of the counts 0 to K from n, the numbers of n-grams seen 0 (unused), 1, ..., K + 1 times.
-
-    Katz's factors of Good and Turing's r* = (r + 1) n[r + 1] / n[r], scaled so that the mass of the n-grams seen once
-    goes to unseen ones. Where counts of counts are too odd for factors in (0, 1), half a count is taken off each.
-    """
+def _factors(n: np.ndarray) -> np.ndarray:
+    """Katz's factors of the counts 1 to K from n[1], ..., n[K + 1]."""
     r = np.arange(1, K + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         common = (K + 1) * n[K + 1] / n[1]
-        d = ((r + 1) * n[2 : K + 2] / n[1 : K + 1] / r - common) / (1 - common)
-    if not (np.isfinite(d).all() and (d > 0).all() and (d < 1).all()):
-        d = (r - 0.5) / r
+        return ((r + 1) * n[2 : K + 2] / n[1 : K + 1] / r - common) / (1 - common)
+
+
+def discounts(n: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """Discount factors of the counts 0 to K from n, the numbers of n-grams that are seen so many times (0, 1, ... where ``seen`` is not given).
+
+    Katz's factors of Good and Turing's r* = (r + 1) n[r + 1] / n[r], scaled so that the mass of the n-grams seen once
+    goes to unseen ones. Where the raw counts of counts give a factor outside (0, 1), they are smoothed as in Simple
+    Good-Turing: a line through log(n[r] / half the distance of the neighbouring counts) over log r, for all counts. Half a count
+    is taken off each only where one of n[1] to n[K + 1] is under ENOUGH, or the line falls less than 1 / r.
+    """
+    seen = np.arange(len(n)) if seen is None else seen
+    seen, n = seen[(n > 0) & (seen > 0)], n[(n > 0) & (seen > 0)].astype(float)
+    low = np.zeros(K + 2)
+    low[seen[seen <= K + 1]] = n[seen <= K + 1]
+    fine = lambda d: bool(np.isfinite(d).all() and (d > 0).all() and (d < 1).all())
+    d = _factors(low)
+    if not fine(d) and low[1:].min() >= ENOUGH:
+        before = np.concatenate([[0], seen[:-1]])
+        after = np.concatenate([seen[1:], [2 * seen[-1] - before[-1]]])
+        slope = np.polyfit(np.log(seen), np.log(2 * n / (after - before)), 1)[0]
+        d = _factors(np.maximum(np.arange(K + 2), 1) ** slope)
+    if not fine(d):
+        d = 1 - 0.5 / np.arange(1, K + 1)
     return np.concatenate([[0.0], d])
 
 
+def counts_of_counts(count: np.ndarray) -> list[list[int]]:
+    """The counts above 0 that occur, and how often each does."""
+    return [x.tolist() for x in np.unique(count[count > 0], return_counts=True)]
+
+
+def _sum_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of n-grams, their counts) over all buckets; there are at most about the square root of twice the tokens."""
+    got = rows.select(F.explode(F.arrays_zip(F.col("seen")[0].alias("r"), F.col("seen")[1].alias("n"))).alias("x")).groupBy("x.r").agg(F.sum("x.n").alias("n")).orderBy("r").collect()
+    return np.array([x["n"] for x in got], np.int64), np.array([x["r"] for x in got], np.int64)
+
+
 def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(count <= K, d[np.minimum(count, K)] * count, count)
 
 
 @dataclass
 class Words:
-    """Totals of the training words: tokens, distinct tokens, numbers seen 1 to K + 1 times, discount factors, mass of an unknown word."""
+    """Totals of the training words: tokens, distinct tokens, numbers of words and their counts, discount factors, mass of an unknown word."""
 
     n: int
     distinct: int
+    numbers: np.ndarray
     seen: np.ndarray
 
     def __post_init__(self):
-        self.d = discounts(self.seen.astype(float))
+        self.d = discounts(self.numbers, self.seen)
         # one more count than there are tokens stands for unknown words, so their mass is never nothing
-        self.unknown = (1 + sum((1 - self.d[r]) * r * self.seen[r] for r in range(1, K + 1))) / (self.n + 1)
+        self.unknown = (1 + sum((1 - self.d[r]) * r * n for n, r in zip(self.numbers, self.seen) if r <= K)) / (self.n + 1)
 
     def p(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, discounted(count, self.d) / (self.n + 1), self.unknown)
@@ -156,8 +187,7 @@ def _count_words(group: pd.DataFrame) -> pd.DataFrame:
         at = np.repeat(np.searchsorted(vocabulary, w), per)
         count += np.bincount(at, times * np.unpackbits(train, count=n)[doc], len(vocabulary)).astype(np.int64)
     known = count > 0
-    seen = np.bincount(np.minimum(count, K + 2), minlength=K + 3)[: K + 2]
-    rows = [("words", -1, pack(vocabulary[known], count[known]), int(count.sum()), int(known.sum()), seen.tolist())]
+    rows = [("words", -1, pack(vocabulary[known], count[known]), int(count.sum()), int(known.sum()), counts_of_counts(count))]
     for (piece, _, per, doc, times, train, n, ids), w in zip(blobs, every):
         if ids is not None:  # of the bucket of the end token, which every text has
             rows.append(("ids", piece, pack(ids, (np.unpackbits(train, count=n) == 0).tolist()), 0, 0, []))
@@ -239,11 +269,10 @@ def _count_pairs(hot: dict[int, tuple[int, int]], word_buckets: int):
             i = np.searchsorted(contexts, np.uint64(h))
             if i < len(contexts) and contexts[i] == np.uint64(h):
                 total[i] = c
-        seen = np.bincount(np.minimum(count, K + 2), minlength=K + 3)[: K + 2]
         known = pair[count > 0]
         bucket = int(group["bucket"].iloc[0])
         has = np.bincount(known // v, minlength=len(contexts))
-        rows = [(bucket, "pairs", -1, pack(contexts, total, small(has), small(known % v), small(count[count > 0])), seen.tolist())]
+        rows = [(bucket, "pairs", -1, pack(contexts, total, small(has), small(known % v), small(count[count > 0])), counts_of_counts(count))]
         start = 0
         for (piece, _, _, _, _, per, doc, times, train, n), key in zip(blobs, keys):
             i = at[start : start + len(key)]
@@ -349,10 +378,10 @@ class Katz:
 
     def _count(self) -> None:
         blobs = self.docs.mapInArrow(_word_blobs(self.n_words), "bucket int, data binary")
-        self.word_rows = self.scratch.save(blobs.repartition(self.n_words, "bucket").groupBy("bucket").applyInPandas(_count_words, "bucket int, kind string, piece long, data binary, n long, distinct long, seen array<long>"))
+        self.word_rows = self.scratch.save(blobs.repartition(self.n_words, "bucket").groupBy("bucket").applyInPandas(_count_words, "bucket int, kind string, piece long, data binary, n long, distinct long, seen array<array<long>>"))
         words_only = self.word_rows.where("kind = 'words'")
-        sums = words_only.agg(F.sum("n"), F.sum("distinct"), *[F.sum(F.col("seen")[r]) for r in range(K + 2)]).first()
-        self.totals = Words(sums[0] or 0, sums[1] or 0, np.array([x or 0 for x in sums[2:]], np.int64))
+        sums = words_only.agg(F.sum("n"), F.sum("distinct")).first()
+        self.totals = Words(sums[0] or 0, sums[1] or 0, *_sum_counts(words_only))
         least = max(1.0, self.totals.n / (4 * self.n_buckets))
 
         def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,11 +399,10 @@ class Katz:
             self.hot[int(START)] = (n_train, split(n_train))
 
     def _weigh(self) -> None:
-        schema = "bucket int, kind string, piece long, data binary, seen array<long>"
+        schema = "bucket int, kind string, piece long, data binary, seen array<array<long>>"
         blobs = self.docs.mapInArrow(_pair_blobs(self.n_buckets, self.hot), "bucket int, data binary")
         self.pair_rows = self.scratch.save(blobs.repartition(self.n_buckets, "bucket").groupBy("bucket").applyInPandas(_count_pairs(self.hot, self.n_words), schema))
-        sums = self.pair_rows.where("kind = 'pairs'").agg(*[F.sum(F.col("seen")[r]) for r in range(K + 2)]).first()
-        self.pair_discounts = discounts(np.array([x or 0 for x in sums], float))
+        self.pair_discounts = discounts(*_sum_counts(self.pair_rows.where("kind = 'pairs'")))
         wanted = self.pair_rows.where("kind = 'wanted'").select("bucket", "kind", "piece", "data").union(self.word_rows.where("kind = 'words'").select("bucket", "kind", "piece", "data"))
         counts = wanted.repartition(self.n_words, "bucket").groupBy("bucket").applyInPandas(_answer, schema)
         both = self.pair_rows.where("kind in ('pairs', 'unseen')").union(counts)
