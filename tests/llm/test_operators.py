@@ -98,6 +98,73 @@ def test_katz(spark, docs, none):
     assert katz.score_documents(none).count() == 0
 
 
+def test_katz_of_order_three(spark, docs, none):
+    from voltgrain.llm import katz
+
+    rows = docs.collect()
+    held = lambda r: r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0
+    toks = [[w.lower() for w in words_of(r["text"])] + ["END"] for r in rows]
+    count = [Counter() for _ in range(4)]  # of n-grams; at 0 none
+    ctx = [Counter() for _ in range(4)]
+    grams = lambda t, n: list(zip(*[[*["START"] * (n - 1), *t][i : len(t) + i] for i in range(n)]))
+    for r, t in zip(rows, toks):
+        if not held(r):
+            for n in (1, 2, 3):
+                count[n].update(grams(t, n))
+                ctx[n].update(g[:-1] for g in grams(t, n))
+    total = sum(count[1].values())
+
+    def factors(n):
+        most = Counter(count[n].values())
+        return katz.discounts(np.array([most[r] for r in range(max(most) + 1)]))
+
+    d = [None, factors(1), factors(2), factors(3)]
+    cut = lambda c, n: c * d[n][c] if c <= 5 else c
+    unknown = 1 - sum(cut(c, 1) for c in count[1].values()) / (total + 1)
+    after = [defaultdict(list) for _ in range(4)]
+    for n in (2, 3):
+        for g in count[n]:
+            after[n][g[:-1]].append(g[-1])
+
+    def p(g):
+        n = len(g)
+        if n == 1:
+            return cut(count[1][g], 1) / (total + 1) if count[1][g] else unknown
+        if count[n][g]:
+            return cut(count[n][g], n) / (ctx[n][g[:-1]] + 1)
+        return alpha(g[:-1]) * p(g[1:])
+
+    memo = {}
+
+    def alpha(h):
+        if h not in memo:
+            n = len(h) + 1
+            memo[h] = (1 - sum(p((*h, w)) for w in after[n][h])) / (1 - sum(p((*h[1:], w)) for w in after[n][h])) if h in after[n] else 1
+        return memo[h]
+
+    for h in [*list(after[3])[:5], ("never", "the")]:
+        assert abs(sum(p((*h, w)) for (w,) in count[1]) + alpha(h) * alpha(h[1:]) * unknown - 1) < 1e-9
+    want = sorted((r["doc_id"] if r["doc_id"] is not None else -1, round(sum(math.log10(p(g)) for g in grams(t, 3)), 6)) for r, t in zip(rows, toks))
+
+    class Spread(katz.Katz):
+        def _hot(self, order, n_buckets):
+            return {k: (c, n_buckets) for k, (c, _) in super()._hot(order, n_buckets).items()}
+
+    sizes = katz.BUCKET_BYTES, katz.PIECE_BYTES
+    for bucket, piece in (sizes, (40_000, 3_000)):  # the second spreads frequent contexts over buckets
+        katz.BUCKET_BYTES, katz.PIECE_BYTES = bucket, piece
+        try:
+            model = Spread(docs, 3)
+            got = model.scores().select("doc_id", "score").collect()
+        finally:
+            katz.BUCKET_BYTES, katz.PIECE_BYTES = sizes
+        got = sorted((-1 if k is None else k, x) for k, x in got)
+        assert [k for k, _ in got] == [k for k, _ in want]
+        assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-4)
+    assert all(split > 1 for _, split in [*model.levels[2].hot.values(), *model.levels[3].hot.values()])
+    assert katz.score_documents(none, 3).count() == 0
+
+
 def test_katz_discounts():
     from voltgrain.llm.katz import discounts
 

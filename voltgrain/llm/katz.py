@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, functions as F
 from voltgrain.llm.store import Scratch, give_back, rows_per_batch
 from voltgrain.llm.wordhash import mix, pieces, word_ids, words
 
-#: Text bytes of one piece, of one bucket of word pairs, and how many of these share a bucket of words.
+#: Text bytes of one piece, of one bucket of word pairs (half of that for longer n-grams), and how many of these share a bucket of words.
 PIECE_BYTES, BUCKET_BYTES, WIDER = 10 << 20, 24 << 20, 2
 #: Rows of an Arrow batch, about a piece of usual texts.
 BATCH_ROWS = 3000
+#: Pieces of an Arrow batch.
+BATCH_PIECES = 4
 #: Counts up to this one are discounted.
 K = 5
 #: Least number of n-grams of each count that is smoothed: a tenth of standard error.
@@ -119,21 +121,33 @@ class Words:
         return np.where(count > 0, discounted(count, self.d) / (self.n + 1), self.unknown)
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token ids, ids of the tokens before, text numbers): words in order, then one end for each text; before the first stands a start."""
+def extend(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Id of the context that a context and the word after it make together."""
+    return mix(ctx * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def start_of(length: int) -> np.ndarray:
+    """Id of the context of so many starts, in which a text begins."""
+    c = np.array([START])
+    for _ in range(length - 1):
+        c = extend(c, np.array([START]))
+    return c
+
+
+def tokens(texts: pa.Array, order: int = 2) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(token ids, ids of the contexts of 1, 2, ..., order - 1 tokens before, text numbers): words in order, then one end for each text; before the first stand starts."""
     data, starts, ends, counts = words(texts)
     row = np.repeat(np.arange(len(texts)), counts + 1)
     tok = np.full(len(row), END)
     tok[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), counts)] = word_ids(data, starts, ends)
-    before = np.empty_like(tok)
-    before[1:] = tok[:-1]
-    before[np.cumsum(counts + 1) - counts - 1] = START
-    return tok, before, row
-
-
-def runs(sorted_key: np.ndarray) -> np.ndarray:
-    """Start of each run of equal values."""
-    return np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])) if len(sorted_key) else np.zeros(0, np.int64)
+    first = np.cumsum(counts + 1) - counts - 1
+    contexts = []
+    for m in range(1, order):
+        c = np.empty_like(tok)
+        c[1:] = tok[:-1] if m == 1 else extend(contexts[-1][:-1], tok[:-1])
+        c[first] = start_of(m)
+        contexts.append(c)
+    return tok, contexts, row
 
 
 def _texts(docs: DataFrame):
@@ -141,68 +155,85 @@ def _texts(docs: DataFrame):
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]):
-    """(piece number, doc_ids, held, texts): the number is of the partition and the rows before, alike in every run over the same table."""
+def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece of the table: its number, its training rows, and its (doc_id, held, text) packed. What follows reads these rows, so all passes see the same pieces."""
     part, at = TaskContext.get().partitionId(), 0
     for b in pieces(batches, 2, PIECE_BYTES):
-        yield (part << 33) + at, b.column(0), np.asarray(b.column(1)).astype(bool), b.column(2)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema) as w:
+            w.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([(part << 33) + at]), pa.array([b.num_rows - sum(b.column(1).to_pylist())]), pa.array([pack(sink.getvalue().to_pybytes())], pa.binary())], names=["piece", "n_train", "data"])
         at += b.num_rows
         give_back()
 
 
+def _open_piece(data: bytes) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """(doc_ids, held, texts)"""
+    b = pa.ipc.open_stream(unpack(data)[0]).read_next_batch()
+    return b.column(0), np.asarray(b.column(1).to_pylist(), bool), b.column(2)
+
+
+def _by_bucket(bucket: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts by bucket, where each bucket starts in it)"""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+
+
+def _blob_rows(rows: list[tuple]) -> pa.RecordBatch:
+    k, piece, data = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "piece", "data"])
+
+
 def _word_blobs(n_buckets: int):
+    """For each piece and bucket the words and how often training rows have them; nothing for each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, ids, held, texts in _pieces(batches):
-            tok, _, row = tokens(texts)
-            u, inverse = np.unique(tok, return_inverse=True)
-            bucket = (u % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(u), np.int64)
-            rank[order] = np.arange(len(u))
-            pair, times = np.unique(rank[inverse] * len(held) + row, return_counts=True)
-            del tok, inverse, row
-            word, doc = pair // len(held), pair % len(held)
-            first = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            cut = np.searchsorted(word, first)
-            train = np.packbits(~held)
-            out = []
-            for k in range(n_buckets):
-                a, b = cut[k], cut[k + 1]
-                if b > a:
-                    w = u[order[first[k] : first[k + 1]]]
-                    per = np.bincount(word[a:b] - first[k], minlength=len(w))
-                    out.append((k, pack(piece, gaps(w), small(per), small(doc[a:b]), small(times[a:b]), train, len(held), ids.to_pylist() if k == int(END % np.uint64(n_buckets)) else None)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "data"])
+        for b in batches:
+            for piece, data in zip(b.column(0).to_pylist(), b.column(1)):
+                _, held, texts = _open_piece(data.as_py())
+                tok, _, row = tokens(texts, 1)
+                u, w = np.unique(tok, return_inverse=True)
+                count = np.bincount(w, ~held[row], len(u)).astype(np.int64)
+                order, first = _by_bucket((u % np.uint64(n_buckets)).astype(np.int64), n_buckets)
+                mine = [order[first[k] : first[k + 1]] for k in range(n_buckets)]
+                yield _blob_rows([(k, piece, pack(gaps(u[i]), small(count[i]))) for k, i in enumerate(mine) if len(i)])
+                give_back()
 
     return run
 
 
 def _count_words(group: pd.DataFrame) -> pd.DataFrame:
-    """Counts of one bucket of words, and for each piece what its texts have of them: sums over tokens of log10(count + 0.1), known tokens, tokens."""
+    """Counts of one bucket of words, and for each piece those of its words."""
     blobs = [unpack(x) for x in group["data"]]
-    every = [ids_of(b[1]) for b in blobs]
-    vocabulary = np.unique(np.concatenate(every))
-    count = np.zeros(len(vocabulary), np.int64)
-    for (_, _, per, doc, times, train, n, _), w in zip(blobs, every):
-        at = np.repeat(np.searchsorted(vocabulary, w), per)
-        count += np.bincount(at, times * np.unpackbits(train, count=n)[doc], len(vocabulary)).astype(np.int64)
-    known = count > 0
+    every = [ids_of(b[0]) for b in blobs]
+    vocabulary, at = np.unique(np.concatenate(every), return_inverse=True)
+    count = np.bincount(at, np.concatenate([b[1] for b in blobs]), len(vocabulary)).astype(np.int64)
+    known, start = count > 0, 0
     rows = [("words", -1, pack(vocabulary[known], count[known]), int(count.sum()), int(known.sum()), counts_of_counts(count))]
-    for (piece, _, per, doc, times, train, n, ids), w in zip(blobs, every):
-        if ids is not None:  # of the bucket of the end token, which every text has
-            rows.append(("ids", piece, pack(ids, (np.unpackbits(train, count=n) == 0).tolist()), 0, 0, []))
-        c = np.repeat(count[np.searchsorted(vocabulary, w)], per)
-        sums = (np.bincount(doc, times * np.log10(c + 0.1), n), small(np.bincount(doc, times * (c > 0), n).astype(np.int64)), small(np.bincount(doc, times, n).astype(np.int64)))
-        rows.append(("texts", piece, pack(*sums), 0, 0, []))
-    del blobs, every, vocabulary, count
+    for piece, w in zip(group["piece"], every):
+        rows.append(("reply", piece, pack(small(count[at[start : start + len(w)]])), 0, 0, []))
+        start += len(w)
+    del blobs, every, vocabulary, count, at
     give_back()
     out = pd.DataFrame(rows, columns=["kind", "piece", "data", "n", "distinct", "seen"])
     out.insert(0, "bucket", group["bucket"].iloc[0])
     return out
 
 
-def _pair_bucket(ctx: np.ndarray, word: np.ndarray, n_buckets: int, hot: dict[int, tuple[int, int]]) -> np.ndarray:
-    """Bucket of a pair: that of its context; a hot context is spread over as many buckets as its share of all tokens asks for."""
+@dataclass
+class Level:
+    """How the n-grams of one order lie: buckets, and contexts spread over several of them (id: times in training rows, buckets)."""
+
+    order: int
+    n_buckets: int
+    hot: dict[int, tuple[int, int]]
+
+    def bucket(self, ctx: np.ndarray | None, word: np.ndarray) -> np.ndarray:
+        return (word % np.uint64(self.n_buckets)).astype(np.int64) if self.order == 1 else _bucket(ctx, word, self.n_buckets, self.hot)
+
+
+def _bucket(ctx: np.ndarray, word: np.ndarray, n_buckets: int, hot: dict[int, tuple[int, int]]) -> np.ndarray:
+    """Bucket of an n-gram: that of its context; a hot context is spread over as many buckets as its share of all tokens asks for."""
     out = ctx % np.uint64(n_buckets)
     if hot:
         keys = np.array(sorted(hot), np.uint64)
@@ -213,265 +244,320 @@ def _pair_bucket(ctx: np.ndarray, word: np.ndarray, n_buckets: int, hot: dict[in
     return out.astype(np.int64)
 
 
-def _pair_blobs(n_buckets: int, hot: dict[int, tuple[int, int]]):
+class Grams:
+    """The n-grams of a piece, by bucket and in each by context and word."""
+
+    def __init__(self, texts: pa.Array, level: Level):
+        tok, contexts, self.row = tokens(texts, level.order)
+        self.u, w = np.unique(tok, return_inverse=True)
+        self.contexts, at, c = np.unique(contexts[-1], return_index=True, return_inverse=True)
+        self.suffix = contexts[-2][at] if level.order > 2 else np.zeros(0, np.uint64)
+        del tok, contexts, at
+        gram, where = np.unique(c * len(self.u) + w, return_inverse=True)
+        del c, w
+        order, self.first = _by_bucket(level.bucket(self.contexts[gram // len(self.u)], self.u[gram % len(self.u)]), level.n_buckets)
+        rank = np.empty(len(gram), np.int64)
+        rank[order] = np.arange(len(gram))
+        self.gram, self.where = gram[order], rank[where]
+
+
+def _pack_grams(ctx: np.ndarray, suffix: np.ndarray, per: np.ndarray, word: np.ndarray) -> tuple:
+    """Ascending contexts and their n-grams in few bytes: words and suffixes (ids of the contexts without their first word) become places among the ids in use."""
+    ids, at = np.unique(np.concatenate([word, suffix]), return_inverse=True)
+    return gaps(ctx), small(per), gaps(ids), small(at[: len(word)]), small(at[len(word) :])
+
+
+def _gram_blobs(level: Level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, ids, held, texts in _pieces(batches):
-            tok, before, row = tokens(texts)
-            u, inverse = np.unique(np.concatenate([tok, [START]]), return_inverse=True)
-            word = inverse[:-1]
-            ctx = np.empty_like(word)
-            ctx[1:] = word[:-1]
-            ctx[before == START] = inverse[-1]
-            pair, where = np.unique(ctx * len(u) + word, return_inverse=True)
-            del tok, before, inverse, word, ctx
-            bucket = _pair_bucket(u[pair // len(u)], u[pair % len(u)], n_buckets, hot)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(pair), np.int64)
-            rank[order] = np.arange(len(pair))
-            pair, bucket = pair[order], bucket[order]
-            use, times = np.unique(rank[where] * len(held) + row, return_counts=True)
-            del where, row, rank, order
-            which, doc = use // len(held), use % len(held)
-            first = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            cut = np.searchsorted(which, first)
-            train = np.packbits(~held)
-            out = []
-            for k in range(n_buckets):
-                a, b = cut[k], cut[k + 1]
-                if b > a:
-                    own = pair[first[k] : first[k + 1]]
-                    c, cn = np.unique(own // len(u), return_counts=True)
-                    w, at = np.unique(own % len(u), return_inverse=True)
-                    per = np.bincount(which[a:b] - first[k], minlength=len(own))
-                    out.append((k, pack(piece, gaps(u[c]), small(cn), gaps(u[w]), small(at), small(per), small(doc[a:b]), small(times[a:b]), train, len(held))))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "data"])
+        for b in batches:
+            for piece, data in zip(b.column(0).to_pylist(), b.column(1)):
+                _, held, texts = _open_piece(data.as_py())
+                g = Grams(texts, level)
+                count = np.bincount(g.where, ~held[g.row], len(g.gram)).astype(np.int64)
+                out = []
+                for k in range(level.n_buckets):
+                    mine = slice(g.first[k], g.first[k + 1])
+                    if mine.stop > mine.start:
+                        c, per = np.unique(g.gram[mine] // len(g.u), return_counts=True)
+                        out.append((k, piece, pack(*_pack_grams(g.contexts[c], g.suffix[c] if len(g.suffix) else g.suffix, per, g.u[g.gram[mine] % len(g.u)]), small(count[mine]))))
+                yield _blob_rows(out)
+                del g, count
+                give_back()
 
     return run
 
 
-def _count_pairs(hot: dict[int, tuple[int, int]], word_buckets: int):
-    """One bucket of pairs: its counts, what texts have of the pairs seen, the pairs not seen, and the words whose counts are needed."""
+def _lower(level: Level, below: Level, suffix: np.ndarray, ctx_of: np.ndarray, word: np.ndarray, ids: np.ndarray):
+    """The n-grams without their first words: (contexts or None, words, which of these each n-gram has, buckets), ascending."""
+    v = len(ids)
+    key, at = np.unique(word.astype(np.int64) if level.order == 2 else suffix.astype(np.int64)[ctx_of] * v + word, return_inverse=True)
+    ctx, w = None if level.order == 2 else ids[key // v], ids[key % v] if v else ids
+    return ctx, w, at, below.bucket(ctx, w)
+
+
+def _count_grams(level: Level, below: Level, top: bool):
+    """One bucket of n-grams: its counts, where it has those of each piece (of the highest order), and the lower n-grams whose probabilities are needed."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         blobs = [unpack(x) for x in group["data"]]
-        contexts = np.unique(np.concatenate([ids_of(b[1]) for b in blobs]))
-        vocabulary = np.unique(np.concatenate([ids_of(b[3]) for b in blobs]))
-        v = len(vocabulary)
-        keys, sizes = [], []
-        for _, c, cn, w, at, per, doc, times, train, n in blobs:
-            key = np.repeat(np.searchsorted(contexts, ids_of(c)), cn) * v + np.searchsorted(vocabulary, ids_of(w))[at]
-            keys.append(key)
-            sizes.append(np.bincount(np.repeat(np.arange(len(key)), per), times * np.unpackbits(train, count=n)[doc], len(key)).astype(np.int64))
-        pair, at = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(at, np.concatenate(sizes), len(pair)).astype(np.int64)
-        total = np.bincount(pair // v, count, len(contexts)).astype(np.int64)
-        for h, (c, _) in hot.items():
+        contexts = np.unique(np.concatenate([ids_of(b[0]) for b in blobs]))
+        ids = np.unique(np.concatenate([ids_of(b[2]) for b in blobs]))
+        v = len(ids)
+        suffix = np.zeros(len(contexts) if level.order > 2 else 0, np.int64)
+        keys = []
+        for c, per, i, w, s, _ in blobs:
+            place, c = np.searchsorted(ids, ids_of(i)), np.searchsorted(contexts, ids_of(c))
+            keys.append(np.repeat(c, per) * v + place[w])
+            if level.order > 2:
+                suffix[c] = place[s]
+        sizes = np.concatenate([b[5] for b in blobs])
+        del blobs
+        gram, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(at, sizes, len(gram)).astype(np.int64)
+        ctx_of, word = gram // v, gram % v
+        total = np.bincount(ctx_of, count, len(contexts)).astype(np.int64)
+        for h, (c, _) in level.hot.items():
             i = np.searchsorted(contexts, np.uint64(h))
             if i < len(contexts) and contexts[i] == np.uint64(h):
                 total[i] = c
-        known = pair[count > 0]
         bucket = int(group["bucket"].iloc[0])
-        has = np.bincount(known // v, minlength=len(contexts))
-        rows = [(bucket, "pairs", -1, pack(contexts, total, small(has), small(known % v), small(count[count > 0])), counts_of_counts(count))]
+        rows = [(bucket, "grams", -1, pack(gaps(contexts), small(total), small(np.bincount(ctx_of, minlength=len(contexts))), gaps(ids), small(word), small(suffix), small(count)), counts_of_counts(count))]
         start = 0
-        for (piece, _, _, _, _, per, doc, times, train, n), key in zip(blobs, keys):
-            i = at[start : start + len(key)]
+        for piece, key in zip(group["piece"], keys):
+            if top:
+                rows.append((bucket, "map", piece, pack(small(np.diff(at[start : start + len(key)], prepend=0))), []))
             start += len(key)
-            c = np.repeat(count[i], per)
-            hit = c > 0
-            t = total[np.repeat(key // v, per)[hit]]
-            logs = np.bincount(doc[hit], times[hit] * np.log10(c[hit] / (t + 1)), n)
-            low = [small(np.bincount(doc[c == r], times[c == r], n).astype(np.int64)) for r in range(1, K + 1)]
-            rows.append((bucket, "texts", piece, pack(logs, low), []))
-            if not hit.all():
-                miss = ~hit
-                rows.append((bucket, "unseen", piece, pack(n, small(np.repeat(key // v, per)[miss]), small(np.repeat(key % v, per)[miss]), small(doc[miss]), small(times[miss])), []))
-        spread = (vocabulary % np.uint64(word_buckets)).astype(np.int64)
-        rows += [(k, "wanted", bucket, pack(gaps(vocabulary[spread == k])), []) for k in np.unique(spread).tolist()]
-        del blobs, keys, sizes, pair, at, count, known, total
+        ctx, w, _, to = _lower(level, below, suffix, ctx_of, word, ids)
+        order, first = _by_bucket(to, below.n_buckets)
+        for k in range(below.n_buckets):
+            mine = order[first[k] : first[k + 1]]
+            if len(mine):
+                if ctx is None:
+                    data = pack(gaps(w[mine]))
+                else:
+                    c, per = np.unique(ctx[mine], return_counts=True)
+                    data = pack(*_pack_grams(c, np.zeros(0, np.uint64), per, w[mine]))
+                rows.append((k, "wanted", bucket, data, []))
+        del keys, gram, at, count, ctx_of, word
         give_back()
         return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data", "seen"])
 
     return run
 
 
-def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """The words that buckets of pairs want, with their counts, from a bucket of words."""
-    tables = [unpack(x) for x in group.loc[group["kind"] == "words", "data"]]
-    w, c = tables[0] if tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    rows = []
-    for to, data in group.loc[group["kind"] == "wanted", ["piece", "data"]].itertuples(index=False):
-        want = ids_of(unpack(data)[0])
-        at = np.minimum(np.searchsorted(w, want), max(len(w) - 1, 0))
-        got = np.where(w[at] == want, c[at], 0) if len(w) else np.zeros(len(want), np.int64)
-        rows.append((int(to), "counts", int(group["bucket"].iloc[0]), pack(gaps(want), small(got)), []))
-    return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data", "seen"])
+ANSWERS = "bucket int, kind string, piece long, data binary"
 
 
-def _back_off(hot: dict[int, tuple[int, int]], totals: Words, d: np.ndarray):
-    """Backoff weights of one bucket of contexts, and what texts get from pairs not seen. A hot context's sums go on as rows of their own."""
+def _answer_words(totals: Words):
+    """Probabilities of the words that buckets of pairs want, from a bucket of words."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        tables = [unpack(x) for x in group.loc[group["kind"] == "words", "data"]]
+        w, c = tables[0] if tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        rows = []
+        for to, data in group.loc[group["kind"] == "wanted", ["piece", "data"]].itertuples(index=False):
+            want = ids_of(unpack(data)[0])
+            at = np.minimum(np.searchsorted(w, want), max(len(w) - 1, 0))
+            got = np.where(w[at] == want, c[at], 0) if len(w) else np.zeros(len(want), np.int64)
+            rows.append((int(to), "answer", int(group["bucket"].iloc[0]), pack(totals.p(got))))
+        return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data"])
+
+    return run
+
+
+def _answer_grams(hot_alpha: dict[int, float]):
+    """The same of n-grams, from a bucket of n-grams of their order."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        contexts, per, ids, word, p = unpack(group.loc[group["kind"] == "p", "data"].iloc[0])
+        contexts, ids = ids_of(contexts), ids_of(ids)
+        ctx_of = np.repeat(np.arange(len(contexts)), per)
+        key = ctx_of * len(ids) + word
+        p = _with_hot(p, contexts[ctx_of[p < 0]], hot_alpha)
+        rows = []
+        for to, data in group.loc[group["kind"] == "wanted", ["piece", "data"]].itertuples(index=False):
+            c, n, i, w, _ = unpack(data)
+            want = np.repeat(np.searchsorted(contexts, ids_of(c)), n) * len(ids) + np.searchsorted(ids, ids_of(i))[w]
+            at = np.searchsorted(key, want)
+            if len(want) and not (at[-1] < len(key) and (key[at] == want).all()):
+                raise ValueError("an n-gram stands in a text and its end does not")
+            rows.append((int(to), "answer", int(group["bucket"].iloc[0]), pack(p[at])))
+        give_back()
+        return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data"])
+
+    return run
+
+
+def _with_hot(p: np.ndarray, ctx: np.ndarray, hot_alpha: dict[int, float]) -> np.ndarray:
+    """Probabilities; negative ones, which are of unseen n-grams after contexts spread over buckets (``ctx``), still lack the backoff weight."""
+    if len(ctx):
+        which, at = np.unique(ctx, return_inverse=True)
+        p = p.copy()
+        p[p < 0] *= -np.array([hot_alpha[int(c.astype(np.int64))] for c in which])[at]
+    return p
+
+
+def _back_off(level: Level, below: Level, d: np.ndarray, top: bool):
+    """Backoff weights of one bucket of contexts, and the probabilities of its n-grams: as a table, or of the highest order for each piece. A hot context's sums go on as rows of their own."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         by = {k: g for k, g in group.groupby("kind")}
         bucket = int(group["bucket"].iloc[0])
-        if "pairs" not in by:
-            return pd.DataFrame([], columns=["bucket", "kind", "piece", "ctx", "data", "left", "rest"])
-        answers = [unpack(x) for x in by["counts"]["data"]]
-        vocabulary = np.concatenate([ids_of(w) for w, _ in answers])
-        order = np.argsort(vocabulary)
-        vocabulary, unigram = vocabulary[order], np.concatenate([c.astype(np.int64) for _, c in answers])[order]
-        p1 = totals.p(unigram)
-        contexts, total, has, word, count = unpack(by["pairs"]["data"].iloc[0])
-        at = np.repeat(np.arange(len(contexts)), has)
-        used = np.bincount(at, discounted(count.astype(np.int64), d) / (total[at] + 1), len(contexts))
-        lower = np.bincount(at, p1[word], len(contexts))
-        hot_keys = np.array(sorted(hot), np.uint64)
-        is_hot = np.isin(contexts, hot_keys)
-        alpha = np.where(is_hot, 1.0, (1 - used) / (1 - lower))
-        rows = [(bucket, "weights", -1, 0, pack(contexts, total, np.where(is_hot, np.nan, alpha), vocabulary), 0.0, 0.0)]
-        rows += [(bucket, "hot", -1, int(contexts[i].astype(np.int64)), b"", float(used[i]), float(lower[i])) for i in np.flatnonzero(is_hot)]
-        for piece, data in by["unseen"][["piece", "data"]].itertuples(index=False) if "unseen" in by else ():
-            n, c, w, doc, times = unpack(data)
-            rows.append((bucket, "texts", piece, 0, pack(np.bincount(doc, times * (np.log10(alpha[c]) + np.log10(p1[w])), n)), 0.0, 0.0))
-            some = is_hot[c]
-            for k in np.unique(c[some]):
-                mine = c == k
-                rows.append((bucket, "hot texts", piece, int(contexts[k].astype(np.int64)), pack(np.flatnonzero(t := np.bincount(doc[mine], times[mine], n)), t[t > 0]), 0.0, 0.0))
+        contexts, total, per, ids, word, suffix, count = unpack(by["grams"]["data"].iloc[0])
+        total, count, packed = total.astype(np.int64), count.astype(np.int64), (contexts, per, ids, word)
+        contexts, ids = ids_of(contexts), ids_of(ids)
+        ctx_of = np.repeat(np.arange(len(contexts)), per)
+        _, w, at, to = _lower(level, below, suffix, ctx_of, word, ids)
+        low = np.full(len(w), np.nan)
+        for k, data in by["answer"][["piece", "data"]].itertuples(index=False):
+            low[to == k] = unpack(data)[0]
+        low = low[at]
+        seen = count > 0
+        p = np.where(seen, discounted(count, d) / (total[ctx_of] + 1), low)
+        used = np.bincount(ctx_of[seen], p[seen], len(contexts))
+        lower = np.bincount(ctx_of[seen], low[seen], len(contexts))
+        is_hot = np.isin(contexts, np.array(sorted(level.hot), np.uint64))
+        alpha = np.where(is_hot, -1.0, (1 - used) / (1 - lower))
+        p[~seen] *= alpha[ctx_of[~seen]]
+        rows = [(bucket, "hot", -1, int(contexts[i].astype(np.int64)), b"", float(used[i]), float(lower[i])) for i in np.flatnonzero(is_hot)]
+        if not top:
+            rows.append((bucket, "p", -1, 0, pack(*packed, p), 0.0, 0.0))
+        for piece, data in by["map"][["piece", "data"]].itertuples(index=False) if top else ():
+            own = np.cumsum(unpack(data)[0], dtype=np.int64)
+            rows.append((bucket, "reply", piece, 0, pack(p[own], contexts[ctx_of[own[p[own] < 0]]]), 0.0, 0.0))
+        del low, p, seen, ctx_of, count
+        give_back()
         return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "ctx", "data", "left", "rest"])
 
     return run
 
 
-def _sum_texts(parts: DataFrame, n_sums: int):
-    """For each piece the sums over its buckets of the arrays that ``texts`` rows hold; parts has (piece, data)."""
+def _score(level: Level, n_words: int, per_token: float, hot_alpha: dict[int, float]):
+    """Scores of the texts of a piece from the probabilities of its n-grams and the counts of its words."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for x in group["data"]:
-            got = [np.asarray(a, np.float64) for a in unpack(x)]
-            total = got if total is None else [a + b for a, b in zip(total, got)]
-        return pd.DataFrame({"piece": [group["piece"].iloc[0]], "sums": [[a.tolist() for a in total]]})
+        by = {k: dict(zip(g["bucket"], g["data"])) for k, g in group.groupby("kind")}
+        ids, held, texts = _open_piece(by["text"][-1])
+        tok, _, row = tokens(texts, 1)
+        u, w = np.unique(tok, return_inverse=True)
+        order, _ = _by_bucket((u % np.uint64(n_words)).astype(np.int64), n_words)
+        count = np.empty(len(u), np.int64)
+        count[order] = np.concatenate([unpack(x)[0] for _, x in sorted(by["words"].items())])
+        c, n = count[w], len(held)
+        base = np.bincount(row, np.log10(c + 0.1) - per_token, n)
+        known, size = np.bincount(row, c > 0, n).astype(np.int64), np.bincount(row, minlength=n)
+        g = Grams(texts, level)
+        p = np.empty(len(g.gram))
+        for k in np.flatnonzero(np.diff(g.first)):
+            got, ctx = unpack(by["reply"][int(k)])
+            p[g.first[k] : g.first[k + 1]] = _with_hot(got, ctx, hot_alpha)
+        score = np.bincount(g.row, np.log10(p)[g.where], n)
+        del g, p, tok, row, w, c
+        give_back()
+        return pd.DataFrame({"doc_id": pd.array(ids.to_pylist(), "Int64"), "held_out": held, "n_tokens": size, "n_known": known, "base_score": base, "score": score})
 
-    return parts.select("piece", "data").groupBy("piece").applyInPandas(run, "piece long, sums array<array<double>>")
+    return run
 
 
 class Katz:
-    """A trained model and the scores of the texts it was counted with.
+    """A trained model of word n-grams up to ``order``, and the scores of the texts it was counted with.
 
-    Tables, each row a bucket with packed arrays (``unpack``): ``words`` (word ids, counts), ``pairs`` (contexts, their totals, pairs of each, places of
-    words in the bucket's vocabulary, counts), ``weights`` (contexts, totals, backoff weights, vocabulary) and ``hot_weights`` (ctx, alpha) of contexts spread over buckets. ``totals`` and
-    ``pair_discounts`` hold what all buckets share.
+    All passes read the table cut into numbered pieces, which is written first. For each order, pieces send their distinct n-grams with training counts to hash
+    buckets; nothing in these buckets grows with the number of documents. A bucket asks the buckets of the order below for the probabilities that its backoff weights
+    need. Those of the highest order send the probabilities of its n-grams back to each piece, where its texts are scored.
 
-    p(w | v) = d * c(v, w) / (c(v) + 1) for a pair seen, else alpha(v) * p(w); p(w) = d * c(w) / (N + 1) for a word seen, else the unknown word's mass. The
-    one count added to N and c(v) always leaves some mass to unseen words. alpha(v) = (1 - mass of the pairs seen) / (1 - p of their words), so that p(. | v) sums to 1.
+    p(w | h) = d * c(h, w) / (c(h) + 1) for an n-gram seen, else alpha(h) * p(w | h without its first word); p(w) = d * c(w) / (N + 1) for a word seen, else the unknown word's mass. The
+    one count added to N and c(h) always leaves some mass to unseen words. alpha(h) = (1 - mass of the n-grams seen) / (1 - lower p of their words), so that p(. | h) sums to 1.
     """
 
-    def __init__(self, docs: DataFrame):
-        self.spark, self.scratch = docs.sparkSession, Scratch(docs.sparkSession, "katz")
-        self.docs = _texts(docs)
-        size = self.docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-        self.n_buckets = max(1, ceil(size / BUCKET_BYTES))
-        self.n_words = max(1, ceil(self.n_buckets / WIDER))
+    def __init__(self, docs: DataFrame, order: int = 2):
+        if order < 2:
+            raise ValueError("the order is at least 2")
+        self.spark, self.scratch, self.order = docs.sparkSession, Scratch(docs.sparkSession, "katz"), order
+        texts = _texts(docs)
+        self.size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
         with rows_per_batch(self.spark, BATCH_ROWS):
-            self._count()
-            self._weigh()
-
-    def _count(self) -> None:
-        blobs = self.docs.mapInArrow(_word_blobs(self.n_words), "bucket int, data binary")
-        self.word_rows = self.scratch.save(blobs.repartition(self.n_words, "bucket").groupBy("bucket").applyInPandas(_count_words, "bucket int, kind string, piece long, data binary, n long, distinct long, seen array<array<long>>"))
-        words_only = self.word_rows.where("kind = 'words'")
-        sums = words_only.agg(F.sum("n"), F.sum("distinct")).first()
-        self.totals = Words(sums[0] or 0, sums[1] or 0, *_sum_counts(words_only))
-        least = max(1.0, self.totals.n / (4 * self.n_buckets))
+            self.pieces = self.scratch.save(texts.mapInArrow(_cut_pieces, "piece long, n_train long, data binary"))
+        self.n_train = self.pieces.agg(F.sum("n_train")).first()[0] or 0
+        with rows_per_batch(self.spark, BATCH_PIECES):
+            self._count_words()
+            for n in range(2, order + 1):
+                self._count(n)
+
+    def _dealt(self, blobs, n_buckets: int, count, schema: str) -> DataFrame:
+        rows = self.pieces.select("piece", "data").mapInArrow(blobs, "bucket int, piece long, data binary")
+        return self.scratch.save(rows.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(count, schema))
+
+    def _count_words(self) -> None:
+        n_words = max(1, ceil(max(1, ceil(self.size / BUCKET_BYTES)) / WIDER))
+        self.levels, self.discounts = {1: Level(1, n_words, {})}, {}
+        self.word_rows = self._dealt(_word_blobs(n_words), n_words, _count_words, "bucket int, kind string, piece long, data binary, n long, distinct long, seen array<array<long>>")
+        self.below = self.word_rows.where("kind = 'words'")
+        sums = self.below.agg(F.sum("n"), F.sum("distinct")).first()
+        self.totals = Words(sums[0] or 0, sums[1] or 0, *_sum_counts(self.below))
+        self.answer, self.counted = _answer_words(self.totals), self.below
+
+    def _hot(self, order: int, n_buckets: int) -> dict[int, tuple[int, int]]:
+        """Contexts with a large share of all tokens, at most four for each bucket by the threshold; those of starts always."""
+        if n_buckets == 1:
+            return {}
+        least = max(1.0, self.totals.n / (4 * n_buckets))
+        split = lambda c: min(n_buckets, ceil(4 * n_buckets * c / max(1, self.totals.n)))
 
         def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for x in b.column(0):
-                    w, c = unpack(x.as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(w[c >= least].astype(np.int64)), pa.array(c[c >= least])], names=["word", "c"])
-
-        # at most four for each bucket, by the threshold
-        split = lambda c: min(self.n_buckets, ceil(4 * self.n_buckets * c / max(1, self.totals.n)))
-        self.hot = {int(np.int64(r["word"]).astype(np.uint64)): (r["c"], split(r["c"])) for r in words_only.select("data").mapInArrow(frequent, "word long, c long").collect()} if self.n_buckets > 1 else {}
-        self.hot.pop(int(END), None)  # nothing follows an end
-        if self.n_buckets > 1:
-            n_train = self.docs.where("not held").count()
-            self.hot[int(START)] = (n_train, split(n_train))
-
-    def _weigh(self) -> None:
-        schema = "bucket int, kind string, piece long, data binary, seen array<array<long>>"
-        blobs = self.docs.mapInArrow(_pair_blobs(self.n_buckets, self.hot), "bucket int, data binary")
-        self.pair_rows = self.scratch.save(blobs.repartition(self.n_buckets, "bucket").groupBy("bucket").applyInPandas(_count_pairs(self.hot, self.n_words), schema))
-        self.pair_discounts = discounts(*_sum_counts(self.pair_rows.where("kind = 'pairs'")))
-        wanted = self.pair_rows.where("kind = 'wanted'").select("bucket", "kind", "piece", "data").union(self.word_rows.where("kind = 'words'").select("bucket", "kind", "piece", "data"))
-        counts = wanted.repartition(self.n_words, "bucket").groupBy("bucket").applyInPandas(_answer, schema)
-        both = self.pair_rows.where("kind in ('pairs', 'unseen')").union(counts)
+                    if order == 2:
+                        key, c = unpack(x.as_py())
+                        i = np.flatnonzero((c >= least) & (key != END))  # nothing follows an end
+                        key = key[i]
+                    else:
+                        contexts, _, per, ids, word, _, c = unpack(x.as_py())
+                        contexts, w = np.repeat(ids_of(contexts), per), ids_of(ids)[word]
+                        i = np.flatnonzero((c >= least) & (w != END))
+                        key = extend(contexts[i], w[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(c[i].astype(np.int64))], names=["ctx", "c"])
+
+        got = self.counted.select("data").mapInArrow(frequent, "ctx long, c long").collect()
+        hot = {int(np.int64(r["ctx"]).astype(np.uint64)): (r["c"], split(r["c"])) for r in got}
+        return hot | {int(start_of(order - 1)[0]): (self.n_train, split(self.n_train))}
+
+    def _count(self, n: int) -> None:
+        top, below = n == self.order, self.levels[n - 1]
+        n_buckets = max(1, ceil(self.size / (BUCKET_BYTES // (1 if n == 2 else 2))))
+        level = self.levels[n] = Level(n, n_buckets, self._hot(n, n_buckets))
+        if n > 2:
+            self.scratch.drop(self.table)
+        rows = self._dealt(_gram_blobs(level), n_buckets, _count_grams(level, below, top), "bucket int, kind string, piece long, data binary, seen array<array<long>>")
+        self.counted = rows.where("kind = 'grams'")
+        d = self.discounts[n] = discounts(*_sum_counts(self.counted))
+        wanted = rows.where("kind = 'wanted'").select("bucket", "kind", "piece", "data").union(self.below.select("bucket", "kind", "piece", "data"))
+        answers = wanted.repartition(below.n_buckets, "bucket").groupBy("bucket").applyInPandas(self.answer, ANSWERS)
+        both = rows.where("kind in ('grams', 'map')").select("bucket", "kind", "piece", "data").union(answers)
         schema = "bucket int, kind string, piece long, ctx long, data binary, left double, rest double"
-        self.weight_rows = self.scratch.save(both.repartition(self.n_buckets, "bucket").groupBy("bucket").applyInPandas(_back_off(self.hot, self.totals, self.pair_discounts), schema))
-        self.hot_weights = self.weight_rows.where("kind = 'hot'").groupBy("ctx").agg(((1 - F.sum("left")) / (1 - F.sum("rest"))).alias("alpha"))
-
-    @property
-    def words(self) -> DataFrame:
-        return self.word_rows.where("kind = 'words'").select("bucket", "data")
-
-    @property
-    def pairs(self) -> DataFrame:
-        return self.pair_rows.where("kind = 'pairs'").select("bucket", "data")
-
-    @property
-    def weights(self) -> DataFrame:
-        return self.weight_rows.where("kind = 'weights'").select("bucket", "data")
+        weighed = self.scratch.save(both.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_back_off(level, below, d, top), schema))
+        hot = weighed.where("kind = 'hot'").groupBy("ctx").agg(((1 - F.sum("left")) / (1 - F.sum("rest"))).alias("alpha"))
+        self.hot_alpha = {r["ctx"]: r["alpha"] for r in hot.collect()}  # at most four contexts for each bucket
+        if n > 2:
+            self.scratch.drop(self.weighed)
+        self.table, self.weighed, self.below, self.answer = rows, weighed, weighed.where("kind = 'p'"), _answer_grams(self.hot_alpha)
+        if top:
+            self.scratch.drop(rows)
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-        t, d = self.totals, self.pair_discounts
-        hot_alpha = {r["ctx"]: r["alpha"] for r in self.hot_weights.collect()}  # at most four contexts for each bucket
-        base = _sum_texts(self.word_rows.where("kind = 'texts'"), 3).select("piece", F.col("sums").alias("b"))
-
-        def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for piece, x in zip(b.column(0), b.column(1)):
-                    logs, low = unpack(x.as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array([piece.as_py()]), pa.array([pack(logs + sum(np.asarray(n, float) * log10(d[r + 1]) for r, n in enumerate(low)))])], names=["piece", "data"])
-
-        def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for piece, ctx, x in zip(b.column(0), b.column(1), b.column(2)):
-                    got = unpack(x.as_py())
-                    if ctx.as_py():
-                        out = np.zeros(int(got[0].max()) + 1)
-                        out[got[0]] = got[1] * log10(hot_alpha[ctx.as_py()])
-                        got = (out,)
-                    yield pa.RecordBatch.from_arrays([pa.array([piece.as_py()]), pa.array([pack(got[0])])], names=["piece", "data"])
-
-        parts = self.pair_rows.where("kind = 'texts'").select("piece", "data").mapInArrow(seen, "piece long, data binary")
-        parts = parts.union(self.weight_rows.where("kind in ('texts', 'hot texts')").select("piece", "ctx", "data").mapInArrow(unseen, "piece long, data binary"))
-
-        def add(group: pd.DataFrame) -> pd.DataFrame:
-            arrays = [unpack(x)[0] for x in group["data"]]
-            out = np.zeros(max(map(len, arrays)))
-            for a in arrays:
-                out[: len(a)] += a
-            return pd.DataFrame({"piece": [group["piece"].iloc[0]], "s": [out.tolist()]})
-
-        model = parts.groupBy("piece").applyInPandas(add, "piece long, s array<double>")
-
-        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for piece, x in zip(b.column(0), b.column(1)):
-                    ids, held = unpack(x.as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array([piece.as_py()]), pa.array([ids], pa.list_(pa.int64())), pa.array([held])], names=["piece", "ids", "held"])
-
-        names = self.word_rows.where("kind = 'ids'").select("piece", "data").mapInArrow(name, "piece long, ids array<long>, held array<boolean>")
-        rows = names.join(base, "piece").join(model, "piece").select(F.explode(F.arrays_zip("ids", "held", F.col("b")[0].alias("base"), F.col("b")[1].alias("known"), F.col("b")[2].alias("n"), "s")).alias("x")).select("x.*")
-        per_token = log10(t.n + 0.1 * (t.distinct + 1))
-        return rows.select(F.col("ids").alias("doc_id"), F.col("held").alias("held_out"), F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(t.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n") * per_token).alias("base_score"), F.col("s").alias("score"))
+        t = self.totals
+        rows = self.pieces.select(F.lit(-1).alias("bucket"), F.lit("text").alias("kind"), "piece", "data")
+        rows = rows.union(self.word_rows.where("kind = 'reply'").select("bucket", F.lit("words"), "piece", "data")).union(self.weighed.where("kind = 'reply'").select("bucket", "kind", "piece", "data"))
+        run = _score(self.levels[self.order], self.levels[1].n_buckets, log10(t.n + 0.1 * (t.distinct + 1)), self.hot_alpha)
+        got = rows.groupBy("piece").applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(t.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """Scores of every row of (doc_id, text) under the model counted over the rows whose crc32(doc_id) mod 10 is not 0.
+def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
+    """Scores of every row of (doc_id, text) under the model of n-grams up to ``order`` words, counted over the rows whose crc32(doc_id) mod 10 is not 0.
 
     Words are lower-cased (A-Z), each text ends with one end token. Null and empty texts have that token alone. A null doc_id counts as a training row; repeated rows
     count as often as they stand and get equal scores; an empty table gives no rows; with no training row every token is unknown. Other columns are ignored.
     """
-    return Katz(docs).scores()
+    return Katz(docs, order).scores()

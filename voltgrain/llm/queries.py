@@ -51,7 +51,7 @@ def op10_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltgrain.llm.katz import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
