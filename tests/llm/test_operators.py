@@ -165,6 +165,27 @@ def test_katz_of_order_three(spark, docs, none):
     assert katz.score_documents(none, 3).count() == 0
 
 
+def test_katz_when_splits_change(spark, docs, monkeypatch):
+    from voltgrain.llm import katz
+
+    want = sorted(katz.score_documents(docs).collect(), key=str)
+    real, key = katz.Scratch.save, "spark.sql.files.minPartitionNum"
+
+    def save_and_change(self, df):
+        out = real(self, df)
+        spark.conf.set(key, "1")  # as when executors come or go between passes
+        return out
+
+    monkeypatch.setattr(katz.Scratch, "save", save_and_change)
+    spark.conf.set(key, "8")
+    try:
+        got = sorted(katz.score_documents(docs).collect(), key=str)
+    finally:
+        spark.conf.unset(key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], abs=1e-6)
+
+
 def test_katz_discounts():
     from voltgrain.llm.katz import discounts
 
