@@ -186,6 +186,33 @@ def test_katz_when_splits_change(spark, docs, monkeypatch):
     assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], abs=1e-6)
 
 
+def test_katz_buckets_hold_no_documents(spark, monkeypatch):
+    from voltgrain.llm import katz
+
+    def largest(group):
+        return max((len(a) for x in group["data"] for a in katz.unpack(x) if hasattr(a, "__len__")), default=0)
+
+    count_words, count_grams = katz._count_words, katz._count_grams
+
+    def watched_words(group):
+        assert largest(group) <= 20, "a bucket of words has entries for each document"
+        return count_words(group)
+
+    def watched_grams(*args):
+        run = count_grams(*args)
+
+        def watched(group):
+            assert largest(group) <= 20, "a bucket of n-grams has entries for each document"
+            return run(group)
+
+        return watched
+
+    monkeypatch.setattr(katz, "_count_words", watched_words)
+    monkeypatch.setattr(katz, "_count_grams", watched_grams)
+    df = save(spark.createDataFrame([(i, "the head of every page") for i in range(2_000)], "doc_id long, text string").coalesce(1))
+    assert katz.score_documents(df, 3).count() == 2_000
+
+
 def test_katz_discounts():
     from voltgrain.llm.katz import discounts
 
