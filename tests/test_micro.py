@@ -382,3 +382,24 @@ def test_late_rows_are_kept_and_old_state_goes(spark, tmp_path):
         run.process(log(spark, rows), k)
     assert [r.t for r in run.late_events().collect()] == [3]
     assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["b1", "b2"]
+
+
+def test_trace_back_with_order_keys_above_1e8(spark, tmp_path):
+    """Packed edge numbers of (part 1, order 1e8 + 5) and (part 2, order 5) are equal."""
+    from voltgrain.plans import graph_plans as gp
+    tables = {"lineitem": ([(1, 1, 100_000_005, 10), (1, 2, 5, 10)], "l_suppkey long, l_partkey long, l_orderkey long, l_quantity int"),
+              "orders": ([(100_000_005, 2), (5, 1)], "o_orderkey long, o_custkey long"),
+              "customer": ([(1, 0), (2, 1)], "c_custkey long, c_nationkey long"),
+              "nation": ([(0, 0), (1, 1)], "n_nationkey long, n_regionkey long"),
+              "supplier": ([(1, 0)], "s_suppkey long, s_nationkey long")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    paths = defaultdict(list)
+    for x in gp.g6(spark, str(tmp_path)).collect():
+        paths[x.path_id].append(x.v)
+    K = gp.K
+    for path_id, vs in paths.items():
+        low = path_id // 100 == 5 * K
+        part, order, cust, nat = (2, 5, 1, 0) if low else (1, 100_000_005, 2, 1)
+        assert sorted(vs) == [1, K + part, 2 * K + order, 3 * K + cust, 4 * K + nat, 5 * K + nat]
+    assert len(paths) == 4

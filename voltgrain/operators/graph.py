@@ -270,18 +270,18 @@ def slack(arr: DataFrame, req: DataFrame, tags: Sequence[str] = ("clk",)) -> Dat
 def trace_back(g: Levelled, ends: DataFrame, arr: DataFrame, tags: Sequence[str] = ("clk",), which: str = "max") -> DataFrame:
     """Points of the worst path of each end: (path_id, v, rf, arrival, e_id), one row per vertex.
 
-    ``ends`` has path_id, v, rf and the tags. Walks one edge per round.
+    ``ends`` has path_id, v, rf and the tags. Walks one edge per round. An edge number need only be unique among the edges into one vertex.
     """
     a, prev = f"a_{which}", f"e_{which}"
     table = arr.select("v", "rf", *tags, F.col(a).alias("arrival"), F.col(prev).alias("e_id"))
-    edge = g.edges.select("e_id", F.col("from_v").alias("pv"), F.col("from_rf").alias("prf"), F.col("to_rf").alias("rf"))
+    edge = g.edges.select("e_id", F.col("from_v").alias("pv"), F.col("from_rf").alias("prf"), F.col("to_v").alias("v"), F.col("to_rf").alias("rf"))
     cur, out = ends.select("path_id", "v", "rf", *tags), []
     for _ in range(g.depth + 1):
         pts, n = cut_watch(cur.join(table, ["v", "rf", *tags]), F.lit(True))
         if not n:
             break
         out.append(pts)
-        cur = (pts.filter("e_id is not null").select("path_id", "e_id", "rf", *tags).join(edge, ["e_id", "rf"])
+        cur = (pts.filter("e_id is not null").select("path_id", "e_id", "v", "rf", *tags).join(edge, ["e_id", "v", "rf"])
                .select("path_id", F.col("pv").alias("v"), F.col("prf").alias("rf"), *tags))
     return union_all(out)
 
