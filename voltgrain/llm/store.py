@@ -28,9 +28,10 @@ class Scratch:
         self.n += 1
         return f"{self.folder}/t{self.n}"
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``by``: one sub-folder for each value of this last column, so that a filter on it reads only those."""
         path = self.path()
-        df.write.parquet(path)
+        (df.write if by is None else df.write.partitionBy(by)).parquet(path)
         self.release()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
