@@ -7,7 +7,7 @@ own part, and the loop length is the depth of the logic, not the size of the dat
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -214,19 +214,28 @@ class Levelled:
         return other
 
 
-def arrivals(g: Levelled, seeds: DataFrame, tags: Sequence[str] = ("clk",)) -> DataFrame:
+def advanced(tags: Sequence[str], advance: Mapping[str, Column] | None, edges: DataFrame) -> dict[str, Column]:
+    """The value of each tag behind an edge, from the columns of a row and its edge."""
+    out = {t: F.col(t) for t in tags}
+    if "exc" in tags and "thru_bits" in edges.columns:
+        out["exc"] = F.col("exc").bitwiseOR(F.col("thru_bits"))
+    return out | dict(advance or {})
+
+
+def arrivals(g: Levelled, seeds: DataFrame, tags: Sequence[str] = ("clk",), advance: Mapping[str, Column] | None = None) -> DataFrame:
     """Latest and earliest arrival per (v, rf, tags) with the edge each came by.
 
     Seeds: v, rf, tags, a_max, a_min. Extra tags (corner, exception state) are just
     further keys: the sweep is the same single pass. Ties go to the smaller edge.
-    A tag ``exc`` is a bit mask; edges with ``thru_bits`` set those bits on the way.
+    A tag ``exc`` is a bit mask; edges with ``thru_bits`` set those bits on the way. ``advance``
+    gives the value behind an edge of other tags that change on the way.
     """
-    marks = "exc" in tags and "thru_bits" in g.edges.columns
+    moved = advanced(tags, advance, g.edges)
     seeds = g.place(seeds.select("v", "rf", *tags, "a_max", "a_min", *_no_prev()))
 
     def step(rows: DataFrame, e: DataFrame) -> DataFrame:
         j = rows.withColumnsRenamed({"v": "from_v", "rf": "from_rf"}).drop("level", "e_max", "e_min").join(e, ["from_v", "from_rf"])
-        kept = [F.col("exc").bitwiseOR(F.col("thru_bits")).alias("exc") if t == "exc" and marks else F.col(t) for t in tags]
+        kept = [moved[t].alias(t) for t in tags]
         return j.select(F.col("to_v").alias("v"), F.col("to_rf").alias("rf"), *kept,
                         (F.col("a_max") + F.col("d_max")).alias("a_max"), (F.col("a_min") + F.col("d_min")).alias("a_min"),
                         F.col("e_id").alias("e_max"), F.col("e_id").alias("e_min"), "to_level")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as ck
 from ..operators import constraints as con
+from ..operators import exceptions as exl
 from ..operators import graph as gr
 from ..operators import select as sel
 from ..session import cut
@@ -220,6 +221,46 @@ def o4(spark, d):
     return a.select("v", "rf", "clk", "exc", "a_max", F.when(x == 3, None).when(x == 2, 300 - F.col("a_max")).otherwise(150 - F.col("a_max")).cast("bigint").alias("slack"))
 
 
+# Ordered through points: A is a part divisible by 4, B an order divisible by 6, as the numbers in their layers are.
+# 1 false: A then B; 2 false: B then A (no path); 3 multicycle 2 for setup: B; 4 max delay 120 from clock 2 through A;
+# 5 multicycle 3 for both sides to customers divisible by 5; 6 false for hold to customers divisible by 7.
+OT_SQL = f"""{BASE_SQL}, {SEED_SQL},
+ t1 AS MATERIALIZED (SELECT e.to_v AS v, e.to_rf AS rf, clk, e.to_v % 4 = 0 AS a, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM seeds s JOIN edges e ON e.from_v=s.v AND e.from_rf=s.rf AND layer=0 GROUP BY ALL),
+ t2 AS MATERIALIZED (SELECT e.to_v AS v, e.to_rf AS rf, clk, a, e.to_v % 6 = 0 AS b, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM t1 s JOIN edges e ON e.from_v=s.v AND e.from_rf=s.rf AND layer=1 GROUP BY ALL),
+ t3 AS MATERIALIZED (SELECT e.to_v AS v, e.to_rf AS rf, clk, a, b, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM t2 s JOIN edges e ON e.from_v=s.v AND e.from_rf=s.rf AND layer=2 GROUP BY ALL),
+ sd AS (SELECT v, rf, clk, a_max AS arrival, 'max' AS side, CASE WHEN a AND b THEN 1 WHEN clk = 2 AND a THEN 4 WHEN v % {K} % 5 = 0 THEN 5 WHEN b THEN 3 END AS exc FROM t3
+  UNION ALL SELECT v, rf, clk, a_min, 'min', CASE WHEN v % {K} % 7 = 0 THEN 6 WHEN a AND b THEN 1 WHEN v % {K} % 5 = 0 THEN 5 WHEN b THEN 3 END FROM t3)
+ SELECT side, v, rf, clk, CAST(coalesce(exc, 0) AS BIGINT) AS exc_id, coalesce(max(arrival) FILTER (WHERE side = 'max'), min(arrival) FILTER (WHERE side = 'min')) AS arrival,
+  CASE WHEN exc IN (1, 6) THEN NULL WHEN exc = 4 THEN CAST(120 AS BIGINT) ELSE CAST(150 + CASE exc WHEN 3 THEN 100 WHEN 5 THEN 200 ELSE 0 END AS BIGINT) END AS required FROM sd GROUP BY ALL"""
+
+
+@query("o4_ordered_throughs", f"WITH {OT_SQL}")
+def o4_ordered(spark, d):
+    """Worst arrival of every end under each exception that holds there, setup and hold side, with the required time."""
+    p, o, c = (b.table(spark, d, t) for t in ("part", "orders", "customer"))
+    first, then = p.select((F.col("p_partkey") + K).alias("v")).filter("v % 4 = 0"), o.select((F.col("o_orderkey") + 2 * K).alias("v")).filter("v % 6 = 0")
+    through = gr.union_all([s.select(F.lit(i).cast("bigint").alias("exc_id"), F.lit(pos).alias("pos"), "v", F.lit(None).cast("string").alias("rf"))
+                            for i, pos, s in ((1, 0, first), (1, 1, then), (2, 0, then), (2, 1, first), (3, 0, then), (4, 0, first))])
+    exc = spark.createDataFrame([(1, "false", 0, "all", None), (2, "false", 0, "all", None), (3, "multicycle", 2, "max", None), (4, "path_delay", 120, "max", 2)], "exc_id long, kind string, value long, minmax string, from_clk int")
+    exc = exc.withColumn("to_pin", F.lit(None).cast("bigint"))
+    k = F.col("c_custkey")
+    # one exception for each end it names: the numbers 5 and 6 stand in front of the end's number
+    to = gr.union_all([c.filter(k % m == 0).select((i * 10 * K + k).alias("exc_id"), F.lit(kind).alias("kind"), F.lit(value).cast("bigint").alias("value"), F.lit(side).alias("minmax"), F.lit(None).cast("int").alias("from_clk"), (k + 3 * K).alias("to_pin"))
+                       for i, m, kind, value, side in ((5, 5, "multicycle", 3, "all"), (6, 7, "false", 0, "min"))])
+    exc = cut(exc.unionByName(to))
+    g = gr.Levelled(with_levels(exl.mark_edges(edges(spark, d).filter("layer < 3"), exc, through)))
+    s = exl.start_states(seeds(spark, d), exc)
+    arr = gr.arrivals(g, s, ("clk", "state"), {"state": exl.advance()})
+    ends = cut(arr.filter(F.col("v") >= 3 * K).withColumn("capture_clk", F.col("clk")))
+    out = []
+    for side, a, pick in (("max", "a_max", F.max), ("min", "a_min", F.min)):
+        m = exl.match_states(ends, exc, through, side, ["v", "rf", "clk", "state"])
+        m = m.withColumns({"exc_id": F.coalesce(F.when(F.col("exc_id") > K, F.floor(F.col("exc_id") / (10 * K))).otherwise(F.col("exc_id")), F.lit(0)).cast("bigint"),
+                           "required": exl.required_with(F.col("exc_kind"), F.col("exc_value"), F.lit(150).cast("bigint"), F.lit(100)).cast("bigint")})
+        out.append(m.groupBy("v", "rf", "clk", "exc_id", "required").agg(pick(a).alias("arrival")).select(F.lit(side).alias("side"), "v", "rf", "clk", "exc_id", "arrival", "required"))
+    return gr.union_all(out)
+
+
 @query("n9_path_fields", """SELECT 'full' AS format, o_orderkey AS path, l_partkey AS pin, l_linenumber AS step, CAST(l_quantity AS BIGINT) AS delay, CAST(sum(l_quantity) OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS time, p_brand AS cell, l_tax AS slew, l_discount AS cap
   FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN part ON p_partkey=l_partkey""")
 def n9(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..operators import graph as gr
+from ..operators.paths import START, PathSearch
 from ..session import cut
 from . import bindings as b
 from .registry import query
@@ -208,6 +209,35 @@ def g8(spark, d):
     return gr.k_worst(g, s, KW).filter(F.col("v") >= 3 * K).select("v", "rf", "rank", "a_max", "e_id", "prev_rank")
 
 
+# All paths from suppliers to the customers of one segment, both sides, with their points.
+KP = 4
+KP_SQL = f"""WITH {BASE_SQL}, {SEED_SQL}, x3 AS (SELECT {3*K} + c_custkey AS v FROM customer WHERE c_mktsegment = 'MACHINERY'),
+ h2 AS MATERIALIZED (SELECT e.* FROM edges e WHERE layer = 2 AND to_v IN (SELECT v FROM x3)), h1 AS MATERIALIZED (SELECT * FROM edges WHERE layer = 1 AND to_v IN (SELECT from_v FROM h2)),
+ h0 AS MATERIALIZED (SELECT * FROM edges WHERE layer = 0 AND to_v IN (SELECT from_v FROM h1)),
+ al AS (SELECT h2.to_v AS v, clk, a_max + h0.d_max + h1.d_max + h2.d_max AS late, a_min + h0.d_min + h1.d_min + h2.d_min AS early
+  FROM seeds s JOIN h0 ON h0.from_v = s.v AND h0.from_rf = s.rf JOIN h1 ON h1.from_v = h0.to_v AND h1.from_rf = h0.to_rf JOIN h2 ON h2.from_v = h1.to_v AND h2.from_rf = h1.to_rf),
+ rk AS (SELECT 'max' AS side, v, clk, late AS arrival, row_number() OVER (PARTITION BY v, clk ORDER BY late DESC) AS rank FROM al UNION ALL SELECT 'min', v, clk, early, row_number() OVER (PARTITION BY v, clk ORDER BY early) FROM al)
+ SELECT side, v, clk, CAST(rank AS INT) AS rank, arrival, 4 AS n_points, arrival AS by_points FROM rk WHERE rank <= {KP}"""
+
+
+@query("g8_k_worst_both_sides", KP_SQL)
+def g8_both(spark, d):
+    """The latest and the earliest paths into each MACHINERY customer and clock, found by diversions; ``by_points`` adds up each path's points anew."""
+    g, s = levelled(spark, d, 3), seeds(spark, d)
+    arr = cut(gr.arrivals(g, s))
+    ends = b.table(spark, d, "customer").filter("c_mktsegment = 'MACHINERY'").select((F.col("c_custkey") + 3 * K).alias("v"))
+    ends = arr.join(ends, "v", "left_semi").select(F.concat_ws("/", "v", "clk").alias("end_id"), "v", "rf", "clk")
+    out = []
+    for side in ("max", "min"):
+        search = PathSearch(g, s, arr, which=side)
+        paths = cut(search.k_worst(ends, KP))
+        into = search.into.select("v", "rf", "clk", F.col("e_id").alias("_e"), "d")
+        p = search.points(paths).withColumn("_e", F.coalesce("e_id", F.lit(START))).join(into, ["v", "rf", "clk", "_e"])
+        p = p.groupBy("end_id", "rank").agg(F.count("*").cast("int").alias("n_points"), F.sum("d").alias("by_points"))
+        out.append(paths.join(p, ["end_id", "rank"]).select(F.lit(side).alias("side"), F.col("ev").alias("v"), F.col("e_clk").alias("clk"), "rank", F.col("total").alias("arrival"), "n_points", "by_points"))
+    return gr.union_all(out)
+
+
 FI = f"""{BASE_SQL}, f0 AS (SELECT {3*K} + c_custkey AS v FROM customer WHERE c_mktsegment = 'BUILDING'), f1 AS (SELECT DISTINCT from_v AS v FROM f0 JOIN base ON to_v = v),
  f2 AS (SELECT DISTINCT from_v AS v FROM (SELECT * FROM f1 WHERE v NOT IN (SELECT 2000000000 + o_orderkey FROM orders WHERE o_orderstatus='P')) x JOIN base ON to_v = v), f3 AS (SELECT DISTINCT from_v AS v FROM f2 JOIN base ON to_v = v),
  t0 AS (SELECT s_suppkey AS v FROM supplier WHERE s_nationkey = 3), t1 AS (SELECT DISTINCT to_v AS v FROM t0 JOIN base ON from_v = v), t2 AS (SELECT DISTINCT to_v AS v FROM t1 JOIN base ON from_v = v)"""

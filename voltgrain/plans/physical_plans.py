@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.lut import add_lut2
 from ..operators import library as lib
 from ..operators import parasitics as ps
-from ..operators.graph import union_all
+from ..operators.graph import Levelled, union_all
+from ..operators.slew import slew_arrivals, table_of
 from ..session import cut
-from . import bindings as b
+from . import bindings as b, graph_plans
+from .graph_plans import BASE_SQL, SEED_SQL
 from .registry import query
 
 KEY4 = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -124,6 +126,25 @@ def cell_delay(spark, d):
     return add_lut2(add_lut2(j, "delay", "axis1", "axis2", "dv", x, y), "slew", "axis1", "axis2", "sv", x, y)
 
 
+# Slew carried with the delay: suppliers, parts, orders, customers; each edge has a table by its end and a load by its quantity.
+SLEW_SQL = ", ".join(["sw0 AS MATERIALIZED (SELECT v, rf, clk, a_max * 1e0 AS a_max, a_min * 1e0 AS a_min, 5e-2 + (v % 10) * 1e-2 AS s_max, 3e-2 + (v % 7) * 1e-2 AS s_min FROM seeds)"] + [
+    f"""sw{k} AS MATERIALIZED (SELECT v, rf, clk, max(a_max + {b.lut_sql('s_max', 'y', 'td')}) AS a_max, min(a_min + {b.lut_sql('s_min', 'y', 'td')}) AS a_min,
+  max({b.lut_sql('s_max', 'y', 'ts')} / 187e0) AS s_max, min({b.lut_sql('s_min', 'y', 'ts')} / 187e0) AS s_min
+  FROM (SELECT e.to_v AS v, e.to_rf AS rf, clk, a.a_max, a.a_min, a.s_max, a.s_min, (e.d_max % 40) / 1e1 AS y, (1 + e.to_v % 5) * 1e0 AS td, (2 + e.to_v % 5) * 2e0 AS ts FROM sw{k - 1} a JOIN edges e ON e.from_v = a.v AND e.from_rf = a.rf AND e.layer = {k - 1}) GROUP BY v, rf, clk)""" for k in (1, 2, 3)])
+
+
+@query("h6_slew_sweep", f"WITH {BASE_SQL}, {SEED_SQL}, {SLEW_SQL}, a AS (" + " UNION ALL ".join(f"SELECT * FROM sw{k}" for k in range(4)) + ") SELECT v, rf, clk, round(a_max, 6) AS a_max, round(a_min, 6) AS a_min, round(s_max, 6) AS slew_max, round(s_min, 6) AS slew_min FROM a")
+def h6_sweep(spark, d):
+    """Delays looked up level by level with the slew that arrives; the output slew goes on to the next stage."""
+    kind = F.col("to_v") % 5
+    e = graph_plans.edges(spark, d).filter("layer < 3").select("e_id", "from_v", "from_rf", "to_v", "to_rf", "layer", kind.cast("int").alias("table_id"), ((F.col("d_max") % 40) / 10.0).alias("load"), F.lit(None).cast("double").alias("wire_delay"))
+    t = spark.range(5).select(F.col("id").cast("int").alias("table_id"), F.array(*map(F.lit, b.AX1)).alias("axis1"), F.array(*map(F.lit, b.AX2)).alias("axis2"),
+                              table_of(F.col("id") + 1, b.AX1, b.AX2, 3, 2).alias("delay_values"), table_of((F.col("id") + 2) * 2, b.AX1, b.AX2, 3, 2, 187.0).alias("slew_values"))
+    s = graph_plans.seeds(spark, d).withColumns({"slew_max": 0.05 + F.col("v") % 10 * 0.01, "slew_min": 0.03 + F.col("v") % 7 * 0.01})
+    out = slew_arrivals(Levelled(graph_plans.with_levels(e)), s, t)
+    return out.select("v", "rf", "clk", *[F.round(c, 6).alias(c) for c in ("a_max", "a_min", "slew_max", "slew_min")])
+
+
 @query("h7_check_margin", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({b.lut_sql('(l_discount+3e-2)', '(l_tax*50e0)', '(5e0)')}, 6) AS margin FROM lineitem WHERE l_returnflag='A'")
 def h7(spark, d):
     """Setup margin by clock slew and data slew."""
