@@ -138,12 +138,12 @@ def default_output_energy(pins: DataFrame, tables: DataFrame, n_inputs: int) ->
 
 def energy_per_change(flagged: DataFrame, ticks: DataFrame, gates: DataFrame, pin_env,
                       tables: DataFrame, arcs: DataFrame, n_inputs: int, n_pin: int, cycle_ticks: int,
-                      time_max: Column, ticks_per_slew: float, on_miss: str = "zero") -> DataFrame:
+                      time_max: Column, ticks_per_slew: float, on_miss: str = "zero", pins: DataFrame | None = None) -> DataFrame:
     """Internal and switching energy of every change, and its glitch ratio.
 
     ``flagged``: all changes with their glitch pulse. State means the state before the tick
     for all pins that change in it. ``on_miss='mean'`` uses the mean energy when the cause has
-    no matching table. The rows carry their columns along, so the only wide joins are the
+    no matching table. ``pins`` names all pins of the gates where ``flagged`` is only part of a log. The rows carry their columns along, so the only wide joins are the
     state per (gate, tick) and the carried values of the as-of pass.
     """
     before = ticks.select("gate", "t", F.col("state_before").alias("state"))
@@ -169,7 +169,7 @@ def energy_per_change(flagged: DataFrame, ticks: DataFrame, gates: DataFrame, pi
     own = own.drop("pin_idx", "slew_rise", "slew_fall", "load_cap", "volt").withColumnsRenamed(
         {"_own": "pin_idx", "_sr": "slew_rise", "_sf": "slew_fall", "_v": "volt"}).withColumn("load_cap", F.col("cap"))
     own = own.join(exp, ["cell_name", "pin_idx", "rel_idx", "rf", "state"], "left")
-    pins = pin_env(full.select("gate", "pin_idx").distinct()).join(gates.select("gate", "cell_name"), "gate")
+    pins = pin_env((full if pins is None else pins).select("gate", "pin_idx").distinct()).join(gates.select("gate", "cell_name"), "gate")
     means = default_output_energy(pins, tables.filter("rel_idx >= 0"), n_inputs)
     own = own.join(means, ["gate", "pin_idx", "rf"], "left")
     if on_miss != "mean":

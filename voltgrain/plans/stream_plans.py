@@ -11,9 +11,11 @@ from ..operators.ordered import equal_event_slices
 from ..schemas import _s
 from ..session import checkpoint_dir, cut
 from ..sources import rcnet, tables, trace
-from ..streaming import power_stream as st
+from ..streaming import cycle_power as cp, power_stream as st
 from . import bindings as b
-from .registry import query
+from .event_plans import SLEW_TICKS
+from .power_plans import leak_table
+from .registry import ORACLES, query
 
 T6 = b.T6
 
@@ -181,6 +183,20 @@ def j5(spark, d):
     return run.totals()
 
 
+@query("j5_cycle_power", ORACLES["d15_cycle_power"])
+def j5_power(spark, d):
+    """Five power components per cycle, the log drained by one stream in three arrivals."""
+    signals = cut(b.raw_events(spark, d).select("sig_id", "gate", "pin_idx").distinct())
+    model = cp.PowerModel(signals, b.gates(spark, d).select("gate", "cell_name"), leak_table(spark), b.int_power_rows(spark), b.arc_rows(spark), b.pin_env, F.col("gate") % 5 == 2, 2, b.N_PIN, SLEW_TICKS)
+    folder = scratch(spark)
+    src = f"{folder}/in"
+    run = cp.CyclePower(spark, folder, T6, b.block_ticks(spark, d), model)
+    for part in three_slices(spark, d):
+        part.write.mode("append").parquet(src)
+        run.run(spark.readStream.schema(part.schema).parquet(src))
+    return run.totals().select("cycle", "component", F.round("power", 5).alias("power"))
+
+
 @query("j6_tumbling_counts", "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS start, count(*) AS n, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def j6(spark, d):
     schema = b.table(spark, d, "events").schema
@@ -190,6 +206,7 @@ def j6(spark, d):
         e = stream.parquet(f"{d}/events.parquet")
     else:
         e = stream.option("pathGlobFilter", "events.parquet").parquet(d)
-    e = e.select(F.col("ts").cast("timestamp").alias("at"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    out = st.drain(st.tumbling_counts(e, "at", "6 hours", "1 hour", "cents"), scratch(spark))
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    e = e.select(F.col("ts").cast("timestamp").alias("at"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
+    run = cp.TumblingTable(spark, scratch(spark), "6 hours")
+    run.run(e)
+    return run.totals().withColumn("start", F.col("start").cast("timestamp_ntz"))
