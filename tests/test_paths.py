@@ -192,3 +192,31 @@ def test_exceptions_follow_the_order_of_through_points(spark):
         if v >= 11 and set(B) & set(on[first + 1 :]):
             want.append(-time)
     assert got == sorted(want)[:10]
+
+
+@pytest.mark.parametrize("inst,pin,fanin", [(2, 0, False), (2, 3, True), (0, 0, False)])
+def test_cones_against_a_search_of_all_ways(spark, inst, pin, fanin):
+    from voltgrain.operators.fan import cone, cone_cells
+
+    r = random.Random(11)
+    edges = sorted({(a, b, r.choice(["wire", "arc"]), r.random() < 0.1, r.random() < 0.1) for a, b in (r.sample(range(16), 2) for _ in range(34))})
+    stop = {7, 9}
+    best, todo, use = {}, [(0, 0, 0)], [(b, a, *x) if fanin else (a, b, *x) for a, b, *x in edges]
+    use = [e for e in use if not e[3] and not e[4]]
+    ways = set()
+    while todo:
+        v, i, p = todo.pop()
+        if (v, i, p) in ways or p > 20:
+            continue
+        ways.add((v, i, p))
+        best[v] = min(best.get(v, (99, 99)), (i, p))
+        if v not in stop and (not inst or i < inst) and (not pin or p < pin):
+            todo += [(e[1], i + (e[2] != "wire"), p + 1) for e in use if e[0] == v]
+    e = spark.createDataFrame(edges, "from_v int, to_v int, role string, disabled boolean, constant boolean")
+    st, sp = spark.createDataFrame([(0,)], "v int"), spark.createDataFrame([(x,) for x in stop], "v int")
+    got = cone(e, st, fanin=fanin, inst_levels=inst, pin_levels=pin, stop_at=sp)
+    assert {x.v: (x.inst_level, x.pin_level) for x in got.collect()} == best
+    ends = cone(e, st, fanin=fanin, inst_levels=inst, pin_levels=pin, stop_at=sp, ends_only=True)
+    assert {x.v for x in ends.collect()} == {v for v in best if v in stop or all(x[0] != v for x in use)}
+    pins = spark.createDataFrame([(v, v // 4) for v in range(16)], "pin_id int, inst_id int")
+    assert {x.inst_id for x in cone_cells(pins, got).collect()} == {v // 4 for v in best}

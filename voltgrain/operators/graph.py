@@ -250,6 +250,28 @@ def arrivals(g: Levelled, seeds: DataFrame, tags: Sequence[str] = ("clk",), adva
     return g.sweep(seeds, step, merge)
 
 
+def statistical_sides(g: Levelled, seeds: DataFrame, n_sigma: float, tags: Sequence[str] = ()) -> DataFrame:
+    """Late and early arrival per (v, rf, tags) as mean and variance, each side with its own sigma.
+
+    Means and variances add along a path. The late side keeps the row with the largest mean + n sigma, the early side the one with the
+    smallest mean - n sigma (ties: larger mean, then larger variance on the late side; smaller mean, then larger variance on the early side).
+    Seeds and edges carry late_mean, late_var, early_mean and early_var.
+    """
+    parts = ["late_mean", "late_var", "early_mean", "early_var"]
+
+    def step(rows: DataFrame, e: DataFrame) -> DataFrame:
+        j = rows.withColumnsRenamed({"v": "from_v", "rf": "from_rf", **{c: f"_{c}" for c in parts}}).drop("level").join(e, ["from_v", "from_rf"])
+        return j.select(F.col("to_v").alias("v"), F.col("to_rf").alias("rf"), *tags, *[(F.col(f"_{c}") + F.col(c)).alias(c) for c in parts], "to_level")
+
+    def merge(rows: DataFrame) -> DataFrame:
+        late = F.struct((F.col("late_mean") + n_sigma * F.sqrt("late_var")).alias("k"), "late_mean", "late_var")
+        early = F.struct((-F.col("early_mean") + n_sigma * F.sqrt("early_var")).alias("k"), (-F.col("early_mean")).alias("m"), "early_var")
+        m = rows.groupBy("v", "rf", *tags).agg(F.max(late).alias("l"), F.max(early).alias("e"), F.first("level").alias("level"))
+        return m.select("v", "rf", *tags, "l.late_mean", "l.late_var", (-F.col("e.m")).alias("early_mean"), "e.early_var", "level")
+
+    return g.sweep(g.place(seeds.select("v", "rf", *tags, *parts)), step, merge)
+
+
 def _no_prev():
     none = F.lit(None).cast("bigint")
     return [none.alias("e_max"), none.alias("e_min")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..operators import graph as gr
+from ..operators.fan import cone
 from ..operators.paths import START, PathSearch
 from ..session import cut
 from . import bindings as b
@@ -255,6 +256,27 @@ def g9(spark, d):
     return fi.select(F.lit("fanin").alias("dir"), "v", "hops").unionByName(fo.select(F.lit("fanout").alias("dir"), "v", "hops"))
 
 
+# The cone of the suppliers of nation 3 over at most two cells: arcs with an even sum divisible by 3 are wires, some are disabled or constant; orders of status P are end points.
+LV_STOP = f"SELECT {2*K} + o_orderkey FROM orders WHERE o_orderstatus = 'P'"
+LV_SQL = ", ".join([f"{BASE_SQL}, ar AS MATERIALIZED (SELECT from_v, to_v, layer, CASE WHEN (from_v + to_v) % 3 = 0 THEN 0 ELSE 1 END AS cost FROM base WHERE (from_v * 7 + to_v) % 11 <> 0 AND (from_v + to_v * 5) % 13 <> 0)",
+                    "w0 AS (SELECT s_suppkey AS v, 0 AS inst FROM supplier WHERE s_nationkey = 3)"] +
+                   [f"w{k} AS MATERIALIZED (SELECT to_v AS v, min(inst + cost) AS inst FROM w{k - 1} JOIN ar ON from_v = v AND layer = {k - 1} WHERE inst < 2 AND v NOT IN ({LV_STOP}) GROUP BY to_v)" for k in range(1, 6)])
+
+
+@query("g9_fanout_levels", f"WITH {LV_SQL}, al AS (" + " UNION ALL ".join(f"SELECT v, inst, {k} AS pin FROM w{k}" for k in range(6)) + f""")
+ SELECT v, CAST(inst AS INT) AS inst_level, CAST(pin AS INT) AS pin_level, v IN ({LV_STOP}) OR v NOT IN (SELECT from_v FROM ar) AS is_end FROM al""")
+def g9_levels(spark, d):
+    """Pins of a fan-out limited to two instance levels, and which of them are ends."""
+    e = base_edges(spark, d)
+    f, t = F.col("from_v"), F.col("to_v")
+    e = cut(e.select("from_v", "to_v", F.when((f + t) % 3 == 0, "wire").otherwise("arc").alias("role"), ((f * 7 + t) % 11 == 0).alias("disabled"), ((f + t * 5) % 13 == 0).alias("constant")))
+    st = b.table(spark, d, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("v"))
+    stop = b.table(spark, d, "orders").filter("o_orderstatus = 'P'").select((F.col("o_orderkey") + 2 * K).alias("v"))
+    every = cone(e, st, inst_levels=2, stop_at=stop)
+    ends = cone(e, st, inst_levels=2, stop_at=stop, ends_only=True).select("v", F.lit(True).alias("is_end"))
+    return every.join(ends, "v", "left").select("v", "inst_level", "pin_level", F.coalesce("is_end", F.lit(False)).alias("is_end"))
+
+
 # Net values: parts by size, suppliers by nation; each order line is a gate, then one gate per line with the order status.
 LINE = "CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS VARCHAR)"
 TT3 = {  # function of (A, B) by line number % 4 and what known 0/1/2 inputs give
@@ -345,6 +367,21 @@ def g17(spark, d):
     return gr.statistical_arrivals(g, s, 3.0).filter(F.col("v") >= 3 * K).select("v", "rf", "mean", "var")
 
 
+# Both sides with their own sigma: the late arrival is the largest at mean + 3 sigma, the early one the least at mean - 3 sigma.
+STAT2 = ", ".join(["y0 AS (SELECT s_suppkey AS v, r.rf, s_nationkey * 1e0 AS lm, 1e0 AS lv, s_nationkey * 1e0 - 1 AS em, 2e0 AS ev FROM supplier, (VALUES ('rise'),('fall')) AS r(rf))"] + [
+    f"""y{k} AS MATERIALIZED (SELECT v, rf, l.m AS lm, l.s AS lv, -e.m AS em, e.s AS ev FROM (SELECT to_v AS v, to_rf AS rf, max({{'k': lm + d_max + 3 * sqrt(lv + d_min), 'm': lm + d_max, 's': lv + d_min}}) AS l,
+  max({{'k': -(em + d_min) + 3 * sqrt(ev + d_max % 7), 'm': -(em + d_min), 's': ev + d_max % 7}}) AS e FROM y{k - 1} a JOIN edges x ON x.from_v = a.v AND x.from_rf = a.rf AND x.layer = {k - 1} GROUP BY to_v, to_rf))""" for k in (1, 2, 3)])
+
+
+@query("g17_two_sided", f"WITH {BASE_SQL}, {STAT2} SELECT v, rf, lm AS late_mean, lv AS late_var, em AS early_mean, ev AS early_var FROM y3")
+def g17_two(spark, d):
+    e = edges(spark, d).filter("layer < 3").withColumns({"late_mean": F.col("d_max").cast("double"), "late_var": F.col("d_min").cast("double"), "early_mean": F.col("d_min").cast("double"), "early_var": (F.col("d_max") % 7).cast("double")})
+    s = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("v"), F.explode(F.array(F.lit("rise"), F.lit("fall"))).alias("rf"), F.col("s_nationkey").cast("double").alias("late_mean"), F.lit(1.0).alias("late_var"),
+                                             (F.col("s_nationkey") - 1).cast("double").alias("early_mean"), F.lit(2.0).alias("early_var"))
+    out = gr.statistical_sides(gr.Levelled(with_levels(e)), s, 3.0).filter(F.col("v") >= 3 * K)
+    return out.select("v", "rf", "late_mean", "late_var", "early_mean", "early_var")
+
+
 # ---------------------------------------------------------------- totals over end points
 ENDS = f"{ARR}, ends AS (SELECT v, rf, clk, CAST(200 + 10*clk + (v % {K}) % 30 AS BIGINT) - a_max AS slack, a_max AS arrival FROM arr WHERE v >= {3*K} AND v < {4*K}), per AS (SELECT v, min(slack) AS slack FROM ends GROUP BY v)"
 
