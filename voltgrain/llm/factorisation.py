@@ -128,12 +128,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
     """A machine fitted on at most ``max_rows`` labelled rows that are not held out, chosen by a hash of doc_id.
 
     Only the chosen ids are broadcast (a bounded number); features are computed on the executors, and only the features of
-    the chosen rows (some kilobytes each) reach the driver. Labels null or other than 0 and 1, and null ids, are left out.
+    the chosen rows (some kilobytes each) reach the driver. Of rows that share a doc_id the one with the smallest hash of its text counts. Labels null or other than 0 and 1, and null ids, are left out.
     """
     chosen = labels.select("doc_id", F.col("quality").alias("__label")).where("doc_id is not null and __label in (0, 1)").where(~held_out("doc_id"))
     chosen = chosen.groupBy("doc_id").agg(F.min("__label").alias("__label")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_rows)
     has_chars = "n_chars" in docs.columns
-    rows = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(chosen), "doc_id").select("doc_id", *_inputs(docs), "__label")
+    inputs = ["text", "n_chars"] if has_chars else ["text"]
+    rows = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(chosen), "doc_id")
+    # rows that share a doc_id are one example, so never more than max_rows of them go on
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), *inputs, "__label")).alias("x")
+    rows = rows.groupBy("doc_id").agg(first).select("doc_id", *[f"x.{c}" for c in inputs], "x.__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1, BATCH_BYTES):
@@ -142,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), cut(f.astype(np.int32)), cut(x.astype(np.float32)), b.column(b.num_columns - 1).cast(pa.int32())], names=["doc_id", "f", "x", "label"])
 
     got = rows.mapInArrow(run, "doc_id long, f array<int>, x array<float>, label int").toArrow()
-    got = got.sort_by([("doc_id", "ascending")]).slice(0, max_rows)
+    got = got.sort_by([("doc_id", "ascending")])
     return fit_machine([(np.asarray(f.values), np.asarray(x.values, np.float64), y.as_py()) for f, x, y in zip(got["f"], got["x"], got["label"])])
 
 

@@ -15,8 +15,10 @@ from voltgrain.llm.store import Scratch
 MIN_PAGES, MIN_IMPORTANCE = 8, 0.4
 #: Share of the content in a node's importance; the rest is its presentation.
 CONTENT = 0.9
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Comments, declarations and tags. A < outside quotes or a quote of over 4096 signs ends the first reading of a tag; then the nearest > ends it.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: One attribute: its name and its value, double quoted, single quoted or plain.
+ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -30,17 +32,21 @@ CLOSES = {t: (frozenset(a.split()), frozenset(b.split())) for ts, a, b in (
     ("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul", "p", "article aside body button div footer header main nav section table td th"),
     ("li", "li p", "ul ol menu"), ("dt dd", "dt dd p", "dl"), ("tr", "tr td th p", "table"), ("td th", "td th p", "tr table"), ("option", "option", "select"),
 ) for t in ts.split()}
-_labels: dict[tuple[str, str], tuple[str, bool]] = {}
+_labels: dict[tuple[str, str], tuple[str, bool, bool]] = {}
 _paths: dict[tuple[int, str], int] = {}
 
 
-def label(tag: str, attributes: str) -> tuple[str, bool]:
-    """A node's name in the tree (its tag and class), and whether its kind alone tells page furniture."""
+def label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A node's name in the tree (its tag and class), and whether its kind alone tells page furniture: outside an article, and inside one.
+
+    Outside, one furniture word in a part of a class or id is enough; inside, a class or id must be such a word as a whole, so that ``menu-recipes`` stays.
+    """
     if (got := _labels.get((tag, attributes))) is None:
-        found = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
-        words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-        noise = tag in NOISE or tag not in WHOLE and bool(words & NOISE_WORDS or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true")
-        got = (f"{tag}.{found.get('class', '')}", noise)
+        found = {k.lower(): a or b or c or "" for k, a, b, c in reversed(ATTRIBUTE.findall(attributes))}  # the first of equal names counts
+        names = f"{found.get('class', '')} {found.get('id', '')}".lower()
+        sure = tag in NOISE or tag not in WHOLE and (found.get("role", "").lower().strip() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true")
+        words, whole = set(re.split(r"[^a-z0-9]+", names)), set(names.split())
+        got = (f"{tag}.{found.get('class', '')}", sure or tag not in WHOLE and bool(words & NOISE_WORDS), sure or tag not in WHOLE and bool(whole & NOISE_WORDS))
         if len(_labels) > 50_000:
             _labels.clear()
         _labels[tag, attributes] = got
@@ -59,17 +65,17 @@ def child(path: int, name: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "path", "off", "children", "content")
+    __slots__ = ("tag", "path", "off", "cut", "children", "content")
 
-    def __init__(self, tag: str, path: int, off: bool):
-        self.tag, self.path, self.off, self.children, self.content = tag, path, off, [], []
+    def __init__(self, tag: str, path: int, off: bool, cut: bool = False):
+        self.tag, self.path, self.off, self.cut, self.children, self.content = tag, path, off, cut, [], []
 
 
 def read(page: str, removed: frozenset[int], nodes: list[Node] | None = None) -> str:
     """Text of the branches that are neither furniture by kind nor ``removed``; ``nodes`` gets the closed nodes that are not furniture."""
     stack = [Node("", 0, False)]
     blocks: list[str] = [""]
-    at, size = 0, len(page)
+    at, size = 0, page.rfind(">") + 1  # no tag ends behind it
 
     def say(text: str) -> None:
         if text and not stack[-1].off:
@@ -92,7 +98,6 @@ def read(page: str, removed: frozenset[int], nodes: list[Node] | None = None) ->
     while at < size:
         m = TOKEN.search(page, at)
         if m is None:
-            say(page[at:])
             break
         if m.start() > at:
             say(page[at : m.start()])
@@ -130,24 +135,29 @@ def read(page: str, removed: frozenset[int], nodes: list[Node] | None = None) ->
             if tag in ("br", "hr"):
                 say(" ")
             continue
-        name, noise = label(tag, attributes)
+        name, noise, inside = label(tag, attributes)
+        if noise and not inside:
+            noise = not any(n.tag in ("article", "main") for n in stack)
         if tag == "header" and not noise:
             noise = not any(n.tag in ("article", "main") for n in stack)
         path = child(top.path, name)
         off = top.off or noise or path in removed
+        if tag in ("article", "main") and top.off and path not in removed and all(n.tag == "form" or not n.cut for n in stack):
+            off = noise  # some sites put the whole page into one form
         if nodes is not None and not top.off:
             top.children.append(tag)
         if tag not in INLINE:
             blocks.append(" ")
         if attributes.endswith("/") and tag not in INLINE and tag not in WHOLE and tag in ("script", "iframe"):
             continue
-        stack.append(Node(tag, path, off))
+        stack.append(Node(tag, path, off, noise or path in removed))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if tag == "textarea" or tag == "title":
                 say(page[at : end.start()] if end else page[at:])
-            at = end.end() if end else size
+            at = end.end() if end else len(page)
             close()
+    say(page[at:])
     while len(stack) > 1:
         close()
     return " ".join("".join(blocks).split())

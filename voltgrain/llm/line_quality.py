@@ -22,6 +22,7 @@ BOILERPLATE = (
     "enable javascript", "javascript is disabled", "lorem ipsum", "click here to", "skip to content", "skip to main content", "sign up for our newsletter",
     "subscribe to our newsletter", "share this article", "powered by wordpress", "page not found", "back to top", "log in to your account",
 )
+SEPARATORS = "|»›·•/>"
 SEPARATOR = re.compile(r"\s[|»›·•/>]\s|\s\|$")
 
 
@@ -29,7 +30,7 @@ def line_fails(line: str, seen: bool) -> str | None:
     """Name of the first rule that a line with a word fails: ``punctuation``, ``navigation`` or ``boilerplate``.
 
     punctuation: signs of ``SYMBOLS`` other than separators, or doubled exclamation marks, at a quarter of its words or more, or no letter and no digit.
-    navigation: four or more separators between items, or two to four words without any closing mark.
+    navigation: four or more separators between items and at least one for ten words, whatever the length, or two to four words without any closing mark.
     boilerplate: a phrase of ``BOILERPLATE`` in a line of at most 30 words, or a line equal to an earlier one.
     """
     words = len(line.split())
@@ -38,7 +39,7 @@ def line_fails(line: str, seen: bool) -> str | None:
     symbols = sum(line.count(s) for s in SYMBOLS if s != "|")
     if symbols > MAX_SYMBOLS_PER_WORD * words or line.count("!!") > MAX_SHOUTS_PER_WORD * words or not any(map(str.isalnum, line)):
         return "punctuation"
-    if (line.count("|") >= MIN_SEPARATORS or words < 200) and len(SEPARATOR.findall(line)) >= max(MIN_SEPARATORS, 0.1 * words):
+    if sum(map(line.count, SEPARATORS)) >= MIN_SEPARATORS and len(SEPARATOR.findall(line)) >= max(MIN_SEPARATORS, 0.1 * words):
         return "navigation"
     if 2 <= words <= 4 and not line.rstrip().endswith((*TERMINAL, ",")):
         return "navigation"

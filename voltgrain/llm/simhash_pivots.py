@@ -189,8 +189,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document (the smallest doc_id) of each near-duplicate group; rows without doc_id stay."""
+    """The rows of ``docs`` with one document (the smallest doc_id) of each near-duplicate group; rows without doc_id stay.
+
+    Of rows that share the kept doc_id the one with the smallest hash over all its columns (but maps) stays, so a rerun keeps the same. Null and
+    empty texts are one group; an empty table stays empty; columns may have any name.
+    """
     groups = near_duplicates(docs)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null").select(*docs.columns))
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    one = named.groupBy("doc_id").agg(F.min_by(row, hashed).alias("x")).select(*[F.col(f"x.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return one.union(docs.where("doc_id is null"))
