@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.logic import truth_bits
 from ..operators import checks as ck
 from ..operators import constraints as con
 from ..operators import exceptions as exl
+from ..operators import gating
 from ..operators import graph as gr
 from ..operators import select as sel
 from ..session import cut
@@ -127,7 +129,6 @@ def n3(spark, d):
 
     Margins: enable pin, then instance, then clock, then the default.
     """
-    from ..functions.logic import truth_bits
     shapes = [("A&B", "high"), ("A|B", "low"), ("A^B", None), ("A", None)]
     tt = F.array(*[F.array(*map(F.lit, truth_bits(f, ["A", "B"]))) for f, _ in shapes])
     p = b.table(spark, d, "part").withColumn("tt", F.get(tt, F.col("p_size") % 4))
@@ -141,6 +142,61 @@ def n3(spark, d):
     return g.select("p_partkey", "active", (F.when(high, 60).otherwise(75) - ms - F.col("a_max")).alias("setup_slack"), (F.col("a_min") - F.when(high, 0).otherwise(15) - mh).alias("hold_slack"))
 
 
+# Parts are instances with pins A, B, C; which pin carries a clock goes by the part key. The literal rows are read off the functions by hand: (function, gated pin, enable pin, active value).
+GATE_FUNCTIONS = ["A&B&C", "A|(B&C)", "!(A&B)", "A^B", "!A&(B|C)", "A&B|!B&C", "A", "!(A|!B)"]
+GATED = "(0,0,1,1),(0,0,2,1),(0,1,0,1),(0,1,2,1),(0,2,0,1),(0,2,1,1),(1,0,1,0),(1,0,2,0),(2,0,1,1),(2,1,0,1),(4,0,1,0),(4,0,2,0),(7,0,1,0),(7,1,0,1)"
+PIN0 = 6 * K
+GATING_SQL = f"""{PAIRS}, {BASE_SQL}, {SEED_SQL},
+ cp AS (SELECT p_partkey AS p, p_partkey % 3 AS i FROM part WHERE p_partkey % 4 <> 0 UNION SELECT p_partkey, (p_partkey + 1) % 3 FROM part WHERE p_partkey % 10 = 9),
+ gf AS (SELECT * FROM (VALUES {GATED}) AS g(f, c, e, active)),
+ en AS (SELECT p_partkey AS p, p_type, c, e, CASE WHEN p_partkey % 11 = 0 AND c = 0 AND e = 1 THEN 1 - active ELSE active END AS active FROM part JOIN gf ON f = p_size % 8 JOIN cp ON cp.p = p_partkey AND cp.i = c
+   WHERE NOT EXISTS (SELECT 1 FROM cp x WHERE x.p = p_partkey AND x.i = e) AND p_partkey % 13 <> 0 AND NOT (p_partkey % 17 = 0 AND (c = 1 OR e = 1))),
+  aw AS (SELECT to_v - {K} AS p, to_rf AS rf, clk AS lclk, max(a_max + d_max) AS a_max, min(a_min + d_min) AS a_min FROM seeds s JOIN edges x ON x.from_v = s.v AND x.from_rf = s.rf AND layer = 0 GROUP BY ALL),
+ ca AS (SELECT DISTINCT p.lclk, p.cclk, setup_delay AS su_, -hold_delay AS ho_, clk.fall FROM px p JOIN su USING (lclk, cclk, srf) JOIN ho USING (lclk, cclk, srf) JOIN clk ON clk.clk = p.cclk WHERE srf = 0 AND NOT (p.lclk = 0 AND p.cclk = 1)),
+ ge AS (SELECT en.p, c, e, p_type, rf, ca.lclk, ca.cclk, k.kind, CASE WHEN (active = 1) = (k.kind = 'gate_setup') THEN 'rise' ELSE 'fall' END AS clk_rf, a_max + e + 2 AS a_max, a_min + e + 1 AS a_min, su_, ho_, fall,
+   3 + en.p % 4 AS c_max, 1 + en.p % 2 AS c_min FROM en JOIN aw ON aw.p = en.p JOIN ca ON ca.lclk = aw.lclk AND ca.cclk = en.p % 5, (VALUES ('gate_setup'), ('gate_hold')) AS k(kind)),
+ gm AS (SELECT *, coalesce(CASE WHEN kind = 'gate_setup' AND p % 9 = 0 AND rf = 'rise' THEN 4 END, CASE WHEN kind = 'gate_setup' AND p_type = 'PROMO' THEN 3 END, CASE WHEN p % 7 = 0 THEN 2 END,
+   CASE WHEN kind = 'gate_hold' AND cclk = 2 THEN 5 END, CASE WHEN kind = 'gate_setup' THEN 1 END, 0) AS m, CASE WHEN clk_rf = 'fall' THEN fall ELSE 0 END AS late FROM ge),
+ gr AS (SELECT *, CASE WHEN kind = 'gate_setup' THEN su_ + late + c_min - m ELSE ho_ + late + c_max + m END AS required FROM gm)"""
+
+
+@query("n3_gating_inferred", f"""WITH {GATING_SQL} SELECT p AS inst, {PIN0} + p * 4 + e AS en_v, {PIN0} + p * 4 + c AS clk_v, rf, lclk, cclk, kind, clk_rf, required,
+  CASE WHEN kind = 'gate_setup' THEN required - a_max ELSE a_min - required END AS slack FROM gr""")
+def n3_inferred(spark, d):
+    """Gating checks from cofactors of the parts' functions, with arrivals swept from the suppliers to the enable pins."""
+    part = b.table(spark, d, "part").select("p_partkey", "p_type", F.col("p_partkey").alias("inst"), (F.col("p_size") % 8).cast("int").alias("cell"))
+    k = F.col("inst")
+    pins = part.select("inst", F.explode(F.array(*map(F.lit, range(3)))).alias("pin_idx")).withColumn("v", F.lit(PIN0) + k * 4 + F.col("pin_idx"))
+    is_clk = ((k % 4 != 0) & (F.col("pin_idx") == k % 3)) | ((k % 10 == 9) & (F.col("pin_idx") == (k + 1) % 3))
+    clk_pins = pins.filter(is_clk)
+    functions = spark.createDataFrame([(i, "Z", 3, truth_bits(f, ["A", "B", "C"])) for i, f in enumerate(GATE_FUNCTIONS)], "cell int, out_pin string, n_pins int, tt array<int>")
+    off = part.filter("inst % 13 = 0").select("inst", F.lit(None).cast("bigint").alias("v")).unionByName(
+        pins.filter("inst % 17 = 0 and pin_idx = 1").select(F.lit(None).cast("bigint").alias("inst"), "v"))
+    # The user turns the sense of A gated by B around on some instances (of the functions that have that pair).
+    base = F.lit(PIN0) + k * 4
+    flip = part.filter("inst % 11 = 0").join(gating.gating_pins(functions).filter("clk_idx = 0 and en_idx = 1"), "cell").select(base.alias("clk_v"), (base + 1).alias("en_v"), (1 - F.col("active")).alias("active"))
+    en = cut(gating.gated_enables(part, pins, functions, clk_pins, off, flip))
+    first = edges(spark, d).filter("layer = 0")
+    wire = pins.select(F.lit(None).cast("bigint").alias("e_id"), (k + K).alias("from_v"), F.explode(F.array(F.lit("rise"), F.lit("fall"))).alias("from_rf"), F.col("v").alias("to_v"),
+                       (F.col("pin_idx") + 2).cast("bigint").alias("d_max"), (F.col("pin_idx") + 1).cast("bigint").alias("d_min"), F.lit(1).alias("layer")).withColumn("to_rf", F.col("from_rf"))
+    wire = wire.withColumn("e_id", F.col("to_v"))
+    arr = gr.arrivals(gr.Levelled(with_levels(first.unionByName(wire))), seeds(spark, d)).filter(F.col("v") >= PIN0)
+    clk_arr = clk_pins.select("v", F.explode(F.array(F.lit("rise"), F.lit("fall"))).alias("rf"), (k % 5).cast("int").alias("clk"), (3 + k % 4).alias("a_max"), (1 + k % 2).alias("a_min"))
+    acc = clock_pairs(spark, d).filter("srf = 0").join(clocks(spark, d).select(F.col("clk").alias("cclk"), "fall"), "cclk")
+    cap = acc.select("lclk", "cclk", F.explode(F.array(*[F.struct(F.lit(rf).alias("clk_rf"), F.lit(kind).alias("kind"), (F.col(c) + (F.col("fall") if rf == "fall" else 0)).alias("capture"))
+                                                        for rf in ("rise", "fall") for kind, c in (("gate_setup", "setup_required"), ("gate_hold", "hold_required"))])).alias("x")).select("lclk", "cclk", "x.*")
+
+    def margins(rows, scope, key, kind, rf, value):
+        return rows.select(F.lit(scope).alias("scope"), key.cast("string").alias("key"), F.lit(kind).alias("kind"), F.lit(rf).cast("string").alias("rf"), F.lit(value).alias("margin"))
+    clk_rows = clk_pins.filter("inst % 7 = 0")
+    m = gr.union_all([
+        margins(pins.filter("inst % 9 = 0"), "en_v", F.col("v"), "gate_setup", "rise", 4), margins(part.filter("p_type = 'PROMO'"), "inst", k, "gate_setup", None, 3),
+        margins(clk_rows, "clk_v", F.col("v"), "gate_setup", None, 2), margins(clk_rows, "clk_v", F.col("v"), "gate_hold", None, 2),
+        margins(clocks(spark, d).filter("clk = 2"), "cclk", F.col("clk"), "gate_hold", None, 5), margins(spark.range(1), "global", F.lit(None), "gate_setup", None, 1)])
+    excluded = spark.createDataFrame([(0, 1)], "lclk int, cclk int")
+    return gating.gating_ends(en, arr, clk_arr, cap, m, excluded)
+
+
 @query("n4_data_checks", """WITH a AS (SELECT l_orderkey, CAST(max(l_quantity) AS BIGINT) AS hi, CAST(min(l_quantity) AS BIGINT) AS lo FROM lineitem GROUP BY 1)
   SELECT o_orderkey, r.lo - (o_custkey % 5) - d.hi AS setup_slack, d.lo - r.hi - (o_custkey % 3) AS hold_slack FROM orders JOIN a d ON d.l_orderkey=o_orderkey JOIN a r ON r.l_orderkey = o_orderkey // 2 WHERE o_orderstatus='P'""")
 def n4(spark, d):

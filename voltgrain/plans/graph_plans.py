@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..operators import graph as gr
+from ..operators.constants import settle_constants
 from ..operators.fan import cone
 from ..operators.paths import START, PathSearch
 from ..session import cut
@@ -310,6 +311,48 @@ def g10(spark, d):
     return gr.propagate_constants(gates, ins, consts, max_pins=2).filter("substring(net,1,1) in ('x','y')")
 
 
+# Each order line: a gate x, a register q behind it (inverted on even lines), a three-state z that the order status enables, and a clock gate c of z and the part's net; some q are held.
+SETTLED_SQL = f"""{CONST_SQL}, hq AS (SELECT {LINE} AS id, min(CASE l_quantity WHEN 1 THEN 1 WHEN 2 THEN 2 END) AS h FROM lineitem GROUP BY 1),
+ t1 AS (SELECT g1.id, g1.k, g1.a, g1.s, o1.v AS x, h, m.thru FROM g1 JOIN o1 USING (id) JOIN hq USING (id), (VALUES (true), (false)) AS m(thru)),
+ t2 AS (SELECT *, CASE WHEN NOT thru OR x = 2 THEN 2 WHEN k % 2 = 0 THEN 1 - x ELSE x END AS qd FROM t1), t3 AS (SELECT *, coalesce(h, qd) AS q FROM t2),
+ t4 AS (SELECT *, CASE WHEN s = 1 THEN q ELSE 2 END AS z FROM t3), t5 AS (SELECT *, CASE WHEN z = 0 OR a = 0 THEN 0 ELSE 2 END AS c FROM t4),
+ al AS (SELECT thru, 'x' || id AS net, x AS value FROM t5 UNION ALL SELECT thru, 'q' || id, q FROM t5 UNION ALL SELECT thru, 'z' || id, z FROM t5 UNION ALL SELECT thru, 'c' || id, c FROM t5)"""
+
+
+@query("g10_constants_through", f"""WITH {SETTLED_SQL} SELECT CASE WHEN thru THEN 'registers' ELSE 'logic' END AS mode, net, CAST(value AS INT) AS value, CAST(NULL AS INT) AS held FROM al WHERE value < 2
+  UNION ALL SELECT 'conflict', 'q' || id, CAST(qd AS INT), CAST(h AS INT) FROM t5 WHERE thru AND qd < 2 AND h < 2 AND qd <> h""")
+def g10_through(spark, d):
+    """Constants with and without passing registers, and where a computed one disagrees with a held net."""
+    li, p, s, o = (b.table(spark, d, t) for t in ("lineitem", "part", "supplier", "orders"))
+    g = li.select(F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), "l_linenumber", "l_partkey", "l_suppkey", "l_orderkey", "l_quantity")
+    held_q = F.min(F.when(F.col("l_quantity") == 1, 1).when(F.col("l_quantity") == 2, 2)).alias("value")
+    g = cut(g.groupBy("id", "l_linenumber", "l_partkey", "l_suppkey", "l_orderkey").agg(held_q))
+    tables = {f: F.array(*map(F.lit, logic.truth_bits(f, ["A", "B"]))) for f in (*FUNC4, "A", "B")}
+    x_table = F.get(F.array(*[tables[f] for f in FUNC4]), F.col("l_linenumber") % 4)
+    none = F.lit(None).cast("array<int>")
+
+    def net(pre, c):
+        return F.concat(F.lit(pre), F.col(c).cast("string"))
+
+    def gate(pre, kind, tt, en=none, inverted=F.lit(False)):
+        return F.struct(net(pre.upper(), "id").alias("gate"), net(pre, "id").alias("out_net"), F.lit(kind).alias("kind"), tt.alias("tt"), en.alias("en"), inverted.alias("inverted"))
+    gates = g.select(F.explode(F.array(gate("x", "logic", x_table), gate("q", "seq", tables["A"], inverted=F.col("l_linenumber") % 2 == 0),
+                                       gate("z", "logic", tables["A"], en=tables["B"]), gate("c", "clock_gate", none))).alias("x")).select("x.*")
+    pins = (("X", 0, "p", "l_partkey"), ("X", 1, "s", "l_suppkey"), ("Q", 0, "x", "id"), ("Z", 0, "q", "id"), ("Z", 1, "o", "l_orderkey"), ("C", 0, "z", "id"), ("C", 1, "p", "l_partkey"))
+    ins = g.select(F.explode(F.array(*[F.struct(net(g_, "id").alias("gate"), F.lit(i).alias("pin_idx"), net(pre, c).alias("net")) for g_, i, pre, c in pins])).alias("x")).select("x.*")
+    v1, v2, v3 = F.col("p_size"), F.col("s_nationkey"), F.col("o_orderstatus")
+    held = gr.union_all([p.select(net("p", "p_partkey").alias("net"), F.when(v1 <= 10, 0).when(v1 >= 45, 1).alias("value")),
+                         s.select(net("s", "s_suppkey").alias("net"), F.when(v2 < 8, 0).when(v2 >= 20, 1).alias("value")),
+                         o.select(net("o", "o_orderkey").alias("net"), F.when(v3 == "F", 0).when(v3 == "O", 1).alias("value")),
+                         g.select(net("q", "id").alias("net"), "value")]).filter("value is not null")
+    out = []
+    for thru in (False, True):
+        values, differ = settle_constants(gates, ins, held, thru)
+        values = values.filter("substring(net, 1, 1) in ('x', 'q', 'z', 'c')")
+        out.append(values.select(F.lit("registers" if thru else "logic").alias("mode"), "net", "value", F.lit(None).cast("int").alias("held")))
+    return gr.union_all([*out, differ.select(F.lit("conflict").alias("mode"), "net", "value", "held")])
+
+
 @query("g11_disabled_edges", """WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(', ', CASE WHEN l_returnflag='A' AND l_tax=0 THEN 'constraint' END, CASE WHEN p_size<=5 THEN 'constant' END, CASE WHEN l_discount=0 THEN 'cond_default' END,
   CASE WHEN p_type='PROMO' AND l_linestatus='F' THEN 'preset-clear' END) AS reason FROM lineitem JOIN part ON p_partkey=l_partkey) SELECT * FROM e WHERE reason <> ''""")
 def g11(spark, d):
