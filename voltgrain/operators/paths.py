@@ -87,3 +87,72 @@ class PathSearch:
             cur = j.filter(F.col("e_id") != START).select("end_id", "rank", "diverted", F.col("pv").alias("v"), F.col("prf").alias("rf"), *[F.col(f"p_{t}").alias(t) for t in self.tags],
                                                          chosen("pv", "prf", "pe").alias("e_id"), (F.col("time") - F.col("d")).alias("time"))
         return union_all(out)
+
+
+def k_worst_unique(g: Levelled, seeds: DataFrame, k: int, tags: Sequence[str] = ("clk",), which: str = "max") -> DataFrame:
+    """The k worst paths into every (v, rf) that pass different vertices: v, rf, tags, sig, time, rank, and the row each extends (p_v, p_rf, p_sig, e_id; null at a start).
+
+    Paths that differ in edges or transitions only are one, with the worst time of all. ``sig`` is a 128-bit hash of the vertex
+    list, folded along the path, so equal lists meet in one group before the limit. Exact: where a list is not among the k worst of a
+    vertex, k other lists lead on through the same edge. The limit applies before the shuffle of the ranking too.
+    """
+    tags, d = list(tags), f"d_{which}"
+    worst = F.max if which == "max" else F.min
+    order = F.desc("time") if which == "max" else F.asc("time")
+
+    def folded(before: Column, v: str) -> Column:
+        return F.struct(F.xxhash64(F.lit(1), before["a"], before["b"], v).alias("a"), F.xxhash64(F.lit(2), before["a"], before["b"], v).alias("b"))
+
+    def step(rows: DataFrame, e: DataFrame) -> DataFrame:
+        r = rows.withColumnsRenamed({"v": "from_v", "rf": "from_rf", "sig": "from_sig"}).drop("level", "rank", "p_v", "p_rf", "p_sig", "e_id")
+        return r.join(e, ["from_v", "from_rf"]).select(
+            F.col("to_v").alias("v"), F.col("to_rf").alias("rf"), *tags, folded(F.col("from_sig"), "to_v").alias("sig"), (F.col("time") + F.col(d)).alias("time"), F.lit(0).alias("rank"),
+            F.col("from_v").alias("p_v"), F.col("from_rf").alias("p_rf"), F.col("from_sig").alias("p_sig"), "e_id", "to_level")
+
+    def merge(rows: DataFrame) -> DataFrame:
+        # The worst of a list; ties go to the smaller edge and transition.
+        sign = F.col("time") if which == "max" else -F.col("time")
+        back = F.min(F.struct((-sign).alias("o"), "e_id", "p_rf", "p_v", "p_sig"))
+        one = rows.groupBy("v", "rf", *tags, "sig").agg(worst("time").alias("time"), back.alias("_b"), F.first("level").alias("level"))
+        w = W.partitionBy("v", "rf", *tags).orderBy(order, "sig")
+        one = one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return one.select("v", "rf", *tags, "sig", "time", "rank", *[F.col(f"_b.{c}").alias(c) for c in ("p_v", "p_rf", "p_sig", "e_id")], "level")
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    none = F.lit(None)
+    kind = dict(g.edges.dtypes)
+    s = seeds.select("v", "rf", *tags, folded(zero, "v").alias("sig"), F.col(f"a_{which}").alias("time"), none.cast(kind["from_v"]).alias("p_v"),
+                     none.cast("string").alias("p_rf"), none.cast("struct<a:bigint,b:bigint>").alias("p_sig"), none.cast("bigint").alias("e_id"))
+    return g.sweep(g.place(s), step, merge)
+
+
+def unique_ends(found: DataFrame, ends: DataFrame, k: int, tags: Sequence[str] = ("clk",), which: str = "max") -> DataFrame:
+    """The k worst different vertex lists of each end (v, tags), whatever the transition at the end; ``found`` from ``k_worst_unique`` with at least k."""
+    order = F.desc("time") if which == "max" else F.asc("time")
+    rows = found.join(ends.select("v").distinct(), "v", "left_semi")
+    best = (F.max_by if which == "max" else F.min_by)(F.struct("rf", "time"), F.struct("time", "rf"))
+    one = rows.groupBy("v", *tags, "sig").agg(best.alias("_b")).select("v", *tags, "sig", "_b.rf", "_b.time")
+    w = W.partitionBy("v", *tags).orderBy(order, "sig")
+    return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def unique_lists(found: DataFrame, paths: DataFrame, depth: int, tags: Sequence[str] = ("clk",)) -> DataFrame:
+    """``paths`` with ``vertices``, their vertex list from start to end. Walks one edge per round."""
+    back = cut(found.select("v", "rf", *tags, "sig", "p_v", "p_rf", "p_sig"))
+    key = ["v", "rf", *tags, "sig"]
+    cur = paths.select(F.struct(*paths.columns).alias("_path"), *key, F.array().cast(f"array<{dict(paths.dtypes)['v']}>").alias("vertices"))
+    out = []
+    for _ in range(depth + 1):
+        j, n = cut_watch(cur.join(back, key).withColumn("vertices", F.concat(F.array("v"), "vertices")), F.col("p_v").isNotNull())
+        out.append(j.filter("p_v is null").select("_path.*", "vertices"))
+        if not n:
+            break
+        cur = j.filter("p_v is not null").select("_path", F.col("p_v").alias("v"), F.col("p_rf").alias("rf"), *tags, F.col("p_sig").alias("sig"), "vertices")
+    return union_all(out)
+
+
+def rank_slacks(ends: DataFrame, limit: int, group: str, keys: Sequence[str]) -> DataFrame:
+    """The ``limit`` worst ends of each group by slack; among latch ends of slack 0 the larger ``borrow`` comes first, then ``keys``. A null borrow is no latch."""
+    tie = F.when((F.col("slack") == 0) & F.col("borrow").isNotNull(), -F.col("borrow")).otherwise(F.lit(0))
+    w = W.partitionBy(group).orderBy("slack", tie, *keys)
+    return ends.withColumn("group_rank", F.row_number().over(w)).filter(F.col("group_rank") <= limit)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..operators import graph as gr
+from ..operators.checks import latch_borrow
 from ..operators.constants import settle_constants
 from ..operators.fan import cone
-from ..operators.paths import START, PathSearch
+from ..operators.paths import START, PathSearch, k_worst_unique, rank_slacks, unique_ends, unique_lists
 from ..session import cut
 from . import bindings as b
 from .registry import query
@@ -240,6 +241,31 @@ def g8_both(spark, d):
     return gr.union_all(out)
 
 
+# Different vertex lists only; every fourth customer is a latch that opens at 140 and lends up to 60.
+PER_END, PER_GROUP = 3, 40
+UNIQUE_SQL = KP_SQL[:KP_SQL.index(" al AS (")] + f""" al AS (SELECT h2.to_v AS v, clk, h0.from_v AS p0, h1.from_v AS p1, h2.from_v AS p2, max(a_max + h0.d_max + h1.d_max + h2.d_max) AS late
+  FROM seeds s JOIN h0 ON h0.from_v = s.v AND h0.from_rf = s.rf JOIN h1 ON h1.from_v = h0.to_v AND h1.from_rf = h0.to_rf JOIN h2 ON h2.from_v = h1.to_v AND h2.from_rf = h1.to_rf GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY v, clk ORDER BY late DESC, p0, p1, p2) AS rank FROM al), ke AS (SELECT v, clk, late, rank, v % 4 = 0 AS latch FROM rk WHERE rank <= {PER_END}),
+ sl AS (SELECT v, clk, rank, late, CASE WHEN NOT latch THEN 150 - late WHEN late <= 140 THEN 140 - late WHEN late - 140 <= 60 THEN 0 ELSE 200 - late END AS slack,
+   CASE WHEN latch THEN CASE WHEN late <= 140 THEN 0 ELSE least(late - 140, 60) END END AS borrow FROM ke),
+ gk AS (SELECT *, row_number() OVER (PARTITION BY clk ORDER BY slack, CASE WHEN slack = 0 AND borrow IS NOT NULL THEN -borrow ELSE 0 END, v, rank) AS group_rank FROM sl)
+ SELECT v, clk, CAST(rank AS INT) AS rank, late AS arrival, slack, borrow, CAST(group_rank AS INT) AS group_rank, 4 AS n_points FROM gk WHERE group_rank <= {PER_GROUP}"""
+
+
+@query("f1_unique_paths", UNIQUE_SQL)
+def f1_unique(spark, d):
+    """The worst ends of each clock when paths through the same vertices count once; latch ends of slack 0 by what they borrow."""
+    g, s = levelled(spark, d, 3), seeds(spark, d)
+    found = k_worst_unique(g, s, PER_END)
+    ends = b.table(spark, d, "customer").filter("c_mktsegment = 'MACHINERY'").select((F.col("c_custkey") + 3 * K).alias("v"))
+    paths = unique_ends(found, ends, PER_END).withColumnRenamed("time", "arrival")
+    lent = latch_borrow(F.col("arrival"), F.lit(140), F.lit(60), F.lit(0), F.lit(0), F.lit(0))
+    latch = F.col("v") % 4 == 0
+    e = paths.withColumn("_l", lent).withColumns({"slack": F.when(latch, F.col("_l.required")).otherwise(F.lit(150)) - F.col("arrival"), "borrow": F.when(latch, F.col("_l.borrow")).cast("bigint")}).drop("_l")
+    worst = cut(rank_slacks(e, PER_GROUP, "clk", ["v", "rank"]))
+    return unique_lists(found, worst, g.depth).select("v", "clk", "rank", "arrival", "slack", "borrow", "group_rank", F.size("vertices").alias("n_points"))
+
+
 FI = f"""{BASE_SQL}, f0 AS (SELECT {3*K} + c_custkey AS v FROM customer WHERE c_mktsegment = 'BUILDING'), f1 AS (SELECT DISTINCT from_v AS v FROM f0 JOIN base ON to_v = v),
  f2 AS (SELECT DISTINCT from_v AS v FROM (SELECT * FROM f1 WHERE v NOT IN (SELECT 2000000000 + o_orderkey FROM orders WHERE o_orderstatus='P')) x JOIN base ON to_v = v), f3 AS (SELECT DISTINCT from_v AS v FROM f2 JOIN base ON to_v = v),
  t0 AS (SELECT s_suppkey AS v FROM supplier WHERE s_nationkey = 3), t1 AS (SELECT DISTINCT to_v AS v FROM t0 JOIN base ON from_v = v), t2 AS (SELECT DISTINCT to_v AS v FROM t1 JOIN base ON from_v = v)"""
