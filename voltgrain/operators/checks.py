@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -105,3 +107,31 @@ def min_period(ends: DataFrame) -> DataFrame:
     """Smallest period at which every same-edge single-cycle path of a clock still meets setup."""
     e = ends.filter("launch_clk = capture_clk and launch_rf = capture_rf and not multicycle")
     return e.groupBy(F.col("launch_clk").alias("clk")).agg(F.max(F.col("period") - F.col("slack")).alias("min_period"))
+
+
+# ------------------------------------------------------------------ report over all kinds
+#: Kinds of a check report, late and early side first, as users name them.
+CHECK_KINDS = ("setup", "hold", "recovery", "removal", "gate_setup", "gate_hold", "max_slew", "min_slew", "max_fanout", "min_fanout",
+               "max_capacitance", "min_capacitance", "min_pulse_width", "min_period", "max_skew")
+
+
+def check_rows(rows: DataFrame, kind: Column | str, obj: Sequence[str | Column], slack: str = "slack") -> DataFrame:
+    """(check, obj, slack) of one check table; ``obj`` columns are joined by a slash, rows without a slack are left out."""
+    name = F.lit(kind) if isinstance(kind, str) else kind
+    return rows.select(name.alias("check"), F.concat_ws("/", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in obj]).alias("obj"),
+                       F.col(slack).cast("double").alias("slack")).filter("slack is not null")
+
+
+def check_report(rows: DataFrame, kinds: Sequence[str] = CHECK_KINDS, violators: bool = False) -> DataFrame:
+    """The worst object of each chosen kind, or with ``violators`` every one of negative slack. Ties go to the first name.
+
+    ``rows``: unions of ``check_rows``. The worst is a plain aggregate, so a kind with a third of all rows sends one row a task.
+    """
+    unknown = set(kinds) - set(CHECK_KINDS)
+    if unknown:
+        raise ValueError(f"no such checks: {sorted(unknown)}")
+    some = rows.filter(F.col("check").isin(*kinds))
+    if violators:
+        return some.filter("slack < 0").select("check", "obj", "slack")
+    worst = some.groupBy("check").agg(F.min(F.struct("slack", "obj")).alias("_w"))
+    return worst.select("check", F.col("_w.obj").alias("obj"), F.col("_w.slack").alias("slack"))

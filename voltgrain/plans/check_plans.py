@@ -18,7 +18,7 @@ from ..operators import select as sel
 from ..session import cut
 from . import bindings as b
 from .graph_plans import BASE_SQL, K, SEED_SQL, edges, seeds, with_levels
-from .registry import query
+from .registry import ORACLES, QUERIES, query
 
 CLK = "clk AS (SELECT r_regionkey AS clk, CAST(20 + 10 * (r_regionkey % 3) AS BIGINT) AS period, CAST(10 + 5 * (r_regionkey % 3) AS BIGINT) AS fall FROM region)"
 E0 = f"""{CLK}, e0 AS (SELECT l_orderkey AS v, sn.n_regionkey AS lclk, cn.n_regionkey AS cclk, o_custkey AS cust, o_orderpriority AS prio, o_orderstatus AS st,
@@ -433,6 +433,29 @@ def n17(spark, d):
     return gr.union_all([rows(fanout_rows(spark, d), "fanout", "l_orderkey"), rows(pulse_rows(spark, d), "pulse_width", "c_custkey"), rows(cap, "capacitance", "l_orderkey")])
 
 
+ALL_CHECKS = [  # (registered query, kind or the column with it, object columns, slack)
+    ("n1_register_checks", None, ["v", "lclk"], "slack"), ("n3_gating_inferred", None, ["en_v", "clk_v", "rf", "lclk", "cclk"], "slack"),
+    ("n14_slew_limits", "max_slew", KEY4, "max_slack"), ("n14_slew_limits", "min_slew", KEY4, "min_slack"),
+    ("n15_capacitance_limits", "max_capacitance", KEY4, "max_slack"), ("n15_capacitance_limits", "min_capacitance", KEY4, "min_slack"),
+    ("n16_fanout_limits", "max_fanout", ["l_orderkey"], "slack"), ("n11_min_pulse_width", "min_pulse_width", ["c_custkey", "level"], "slack"),
+    ("n12_min_period", "min_period", ["c_custkey"], "slack"), ("n13_max_skew", "max_skew", ["l_orderkey"], "slack")]
+_part = "SELECT {} AS \"check\", concat_ws('/', {}) AS obj, CAST({} AS DOUBLE) AS slack FROM ({})"
+CHECKS_SQL = "ac AS MATERIALIZED (" + " UNION ALL ".join(
+    [_part.format(f"'{kind}'" if kind else "kind", ", ".join(obj), slack, ORACLES[name]) for name, kind, obj, slack in ALL_CHECKS] +
+    [_part.format("'min_fanout'", "l_orderkey", "slack", "SELECT l_orderkey, count(*) - 2 AS slack FROM lineitem GROUP BY 1")]) + ")"
+
+
+@query("n17_check_types", f"""WITH {CHECKS_SQL} SELECT 'violators' AS mode, "check", obj, slack FROM ac WHERE slack < 0
+  UNION ALL SELECT 'worst', "check", obj, slack FROM ac QUALIFY row_number() OVER (PARTITION BY "check" ORDER BY slack, obj) = 1""")
+def n17_types(spark, d):
+    """All kinds of checks in one report: the worst of each kind, then all violators."""
+    of = {name: QUERIES[name](spark, d) for name in {c[0] for c in ALL_CHECKS}}
+    rows = [ck.check_rows(of[name], kind or F.col("kind"), obj, slack) for name, kind, obj, slack in ALL_CHECKS]
+    fan = b.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).withColumn("slack", ck.limit_slack(F.col("n"), F.lit(2), True))
+    every = cut(gr.union_all([*rows, ck.check_rows(fan, "min_fanout", ["l_orderkey"])]))
+    return gr.union_all([ck.check_report(every, violators=v).select(F.lit("violators" if v else "worst").alias("mode"), "check", "obj", "slack") for v in (True, False)])
+
+
 @query("n18_check_setup", f"""WITH {BASE_SQL}, ends AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1), fe AS (SELECT DISTINCT c_custkey, c_nationkey FROM customer)
  SELECT 'no_input_delay' AS check, s_suppkey AS obj FROM supplier WHERE s_acctbal < 0 OR s_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 20) UNION ALL SELECT 'no_output_delay', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='O')
  UNION ALL SELECT 'multiple_clock', l_orderkey FROM (SELECT l_orderkey, count(DISTINCT n_regionkey) AS k FROM lineitem JOIN supplier ON s_suppkey=l_suppkey JOIN nation ON n_nationkey=s_nationkey GROUP BY 1) WHERE k > 1
