@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lut import add_lut2
+from ..operators import equivalence as eq
 from ..operators import library as lib
 from ..operators import parasitics as ps
 from ..operators.graph import Levelled, union_all
@@ -218,6 +219,31 @@ def p1(spark, d):
     return lib.equivalent_cells(c, ["p_brand", "p_type"], block=F.floor(-F.col("p_size") / 8)).select("p_partkey", "rank")
 
 
+# Libraries are nation-like brands of parts; each function is written in two ways, some outputs have an enable, some cells a register.
+SPELLED = ["A&B", "B*A", "A|B", "!(!A & !B)", "A^B", "!A"]
+SPELLED_SQL = "CASE WHEN p_partkey % 6 <= 1 THEN 'and' WHEN p_partkey % 6 <= 3 THEN 'or' WHEN p_partkey % 6 = 4 THEN 'xor' ELSE 'not' END"
+
+
+@query("p1_equivalence_across", f"""WITH c AS (SELECT p_brand AS lib, p_partkey AS cell, p_size, {SPELLED_SQL} AS f, p_size % 7 = 0 AS en, p_size % 5 = 0 AS sq FROM part WHERE p_name NOT LIKE 'old%'),
+  k AS (SELECT f, en, sq, min(lib || '/' || CAST(cell AS VARCHAR)) AS class_id, count(*) AS n_members FROM c WHERE lib IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY ALL HAVING count(*) > 1)
+  SELECT lib, cell, class_id, n_members, row_number() OVER (PARTITION BY class_id ORDER BY p_size DESC, lib, cell) AS rank, false AS mapped FROM c JOIN k USING (f, en, sq) WHERE lib IN ('Brand#1', 'Brand#2', 'Brand#3')
+  UNION ALL SELECT lib, cell, class_id, n_members, NULL, true FROM c JOIN k USING (f, en, sq) WHERE lib IN ('Brand#4', 'Brand#5')""")
+def p1_across(spark, d):
+    """Cells of three libraries by what they compute, and the cells of two other libraries mapped to them."""
+    none, k = F.lit(None).cast("string"), F.col("p_partkey")
+    p = b.table(spark, d, "part").withColumns({"lib": F.col("p_brand"), "cell": k, "is_seq": F.col("p_size") % 5 == 0})
+    cells = p.select("lib", "cell", F.col("p_size").alias("drive"), F.col("p_name").startswith("old").alias("dont_use"))
+    f = F.get(F.array(*map(F.lit, SPELLED)), k % 6)
+
+    def port(name, kind, function=none, enable=none):
+        return F.struct(F.lit(name).alias("port"), F.lit(kind).alias("dir"), function.alias("function"), enable.alias("enable"))
+    z = port("Z", "output", F.when(~F.col("is_seq"), f).otherwise("IQ"), F.when(F.col("p_size") % 7 == 0, F.when(k % 2 == 0, "B & B").otherwise("B")))
+    some = F.array(port("A", "input"), port("B", "input"), z, port("VDD", "primary_power"))
+    ports = p.select("lib", "cell", F.explode(F.when(F.col("is_seq"), F.concat(some, F.array(port("CK", "input")))).otherwise(some)).alias("x")).select("lib", "cell", "x.*")
+    seqs = p.filter("is_seq").select("lib", "cell", F.lit(True).alias("is_register"), F.lit("CK").alias("clock"), f.alias("data"), none.alias("clear"), none.alias("preset"), F.lit("IQ").alias("out"), F.lit("IQN").alias("out_inv"))
+    return eq.equivalent_across(eq.described_cells(cells, ports, seqs), ["Brand#1", "Brand#2", "Brand#3"], ["Brand#4", "Brand#5"], block=F.floor(-F.col("drive") / 8))
+
+
 @query("p2_buffer_inverter", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'buffer' WHEN 1 THEN 'inverter' ELSE 'none' END AS kind FROM part")
 def p2(spark, d):
     from ..functions.logic import truth_bits
