@@ -24,9 +24,11 @@ BATCH_ROWS = 3000
 BATCH_PIECES = 4
 #: Counts up to this one are discounted.
 K = 5
+#: Bits that the digits of a context's id may take before it is hashed.
+ID_BITS = 63
 #: Least number of n-grams of each count that is smoothed: a tenth of standard error.
 ENOUGH = 100
-START, END = (np.uint64(x) for x in mix(np.array([1, 2], np.uint64)))
+END = mix(np.array([2], np.uint64))[0]
 SALT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -49,11 +51,22 @@ def small(a: np.ndarray) -> np.ndarray:
 
 def gaps(ids: np.ndarray) -> np.ndarray:
     """Ascending ids as the differences to those before, byte plane by byte plane, which leaves the high planes empty."""
-    return np.diff(ids, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+    return planes(np.diff(ids, prepend=np.uint64(0)))
 
 
-def ids_of(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+def planes(x: np.ndarray) -> np.ndarray:
+    """Whole numbers byte plane by byte plane."""
+    return np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """The numbers of these planes."""
+    return np.ascontiguousarray(x.T).view(np.uint64).ravel()
+
+
+def ids_of(x: np.ndarray) -> np.ndarray:
+    """The ids of these gaps."""
+    return np.cumsum(whole(x), dtype=np.uint64)
 
 
 def _factors(n: np.ndarray) -> np.ndarray:
@@ -121,33 +134,67 @@ class Words:
         return np.where(count > 0, discounted(count, self.d) / (self.n + 1), self.unknown)
 
 
-def extend(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Id of the context that a context and the word after it make together."""
-    return mix(ctx * np.uint64(0x9E3779B97F4A7C15) + word)
+@dataclass
+class Ids:
+    """Dense ids of words: 0 is the start, then place by falling count in a bucket of words, bucket by bucket.
+
+    A context of m words is the number that its ids are the digits of, while that fits ``bits``; a hash beyond.
+    """
+
+    n_words: int = 1
+    size: int = 1
+    end: int = -1
+    bits: int = 63
+
+    def exact(self, length: int) -> bool:
+        return self.size**length < 1 << self.bits
+
+    def extend(self, ctx: np.ndarray, word: np.ndarray, length: int) -> np.ndarray:
+        """Ids of the contexts of ``length`` words that contexts and the words after them make together."""
+        return ctx * np.uint64(self.size) + word if self.exact(length) else mix(ctx * np.uint64(0x9E3779B97F4A7C15) + word)
+
+    def start(self, length: int) -> np.ndarray:
+        """Id of the context of so many starts, in which a text begins."""
+        c = np.zeros(1, np.uint64)
+        for m in range(2, length + 1):
+            c = self.extend(c, np.zeros(1, np.uint64), m)
+        return c
+
+    def carried(self, order: int) -> bool:
+        """Whether contexts of n-grams do not show their suffixes (the contexts without their first word)."""
+        return order > 2 and not self.exact(order - 1)
+
+    def suffixes(self, ctx: np.ndarray, order: int) -> np.ndarray:
+        return ctx % np.uint64(self.size ** (order - 2))
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending values, where each of them stands once, which of them each element is)"""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return x[new], order[new], at
+
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the runs of equal neighbours, their lengths)"""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return x[at], np.diff(at, append=len(x))
 
-def start_of(length: int) -> np.ndarray:
-    """Id of the context of so many starts, in which a text begins."""
-    c = np.array([START])
-    for _ in range(length - 1):
-        c = extend(c, np.array([START]))
-    return c
 
+def coded(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as places in the list of the different ones, where many are equal."""
+    at, values = pd.factorize(p)
+    return (values, small(at)) if 2 * len(values) < len(p) else (p, np.zeros(0, np.uint8))
 
-def tokens(texts: pa.Array, order: int = 2) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(token ids, ids of the contexts of 1, 2, ..., order - 1 tokens before, text numbers): words in order, then one end for each text; before the first stand starts."""
-    data, starts, ends, counts = words(texts)
-    row = np.repeat(np.arange(len(texts)), counts + 1)
-    tok = np.full(len(row), END)
-    tok[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), counts)] = word_ids(data, starts, ends)
-    first = np.cumsum(counts + 1) - counts - 1
-    contexts = []
-    for m in range(1, order):
-        c = np.empty_like(tok)
-        c[1:] = tok[:-1] if m == 1 else extend(contexts[-1][:-1], tok[:-1])
-        c[first] = start_of(m)
-        contexts.append(c)
-    return tok, contexts, row
+
+def decoded(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return values[at] if len(at) else values
 
 
 def _texts(docs: DataFrame):
@@ -156,26 +203,25 @@ def _texts(docs: DataFrame):
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each piece of the table: its number, its training rows, and its (doc_id, held, text) packed. What follows reads these rows, so all passes see the same pieces."""
+    """A row for each piece of the table: its number, its training rows, and packed its doc_ids, which are held out, their numbers of tokens, the hashes of its words and which of these each token is.
+
+    Tokens are words in order, then one end for each text. What follows reads these rows, so all passes see the same pieces and no text is read twice."""
     part, at = TaskContext.get().partitionId(), 0
     for b in pieces(batches, 2, PIECE_BYTES):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, b.schema) as w:
-            w.write_batch(b)
-        yield pa.RecordBatch.from_arrays([pa.array([(part << 33) + at]), pa.array([b.num_rows - sum(b.column(1).to_pylist())]), pa.array([pack(sink.getvalue().to_pybytes())], pa.binary())], names=["piece", "n_train", "data"])
+        data, starts, ends, counts = words(b.column(2))
+        tok = np.full(len(starts) + b.num_rows, END)
+        tok[np.arange(len(starts)) + np.repeat(np.arange(b.num_rows), counts)] = word_ids(data, starts, ends)
+        own, _, w = distinct(tok)
+        held = np.asarray(b.column(1).to_pylist(), bool)
+        packed = pack(b.column(0).to_pylist(), held, small(counts + 1), gaps(own), small(w))
+        yield pa.RecordBatch.from_arrays([pa.array([(part << 33) + at]), pa.array([int((~held).sum())]), pa.array([packed], pa.binary())], names=["piece", "n_train", "data"])
         at += b.num_rows
         give_back()
 
 
-def _open_piece(data: bytes) -> tuple[pa.Array, np.ndarray, pa.Array]:
-    """(doc_ids, held, texts)"""
-    b = pa.ipc.open_stream(unpack(data)[0]).read_next_batch()
-    return b.column(0), np.asarray(b.column(1).to_pylist(), bool), b.column(2)
-
-
 def _by_bucket(bucket: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts by bucket, where each bucket starts in it)"""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.min_scalar_type(n_buckets)), kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
 
 
@@ -184,42 +230,74 @@ def _blob_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "piece", "data"])
 
 
-def _word_blobs(n_buckets: int):
+def _word_buckets(own: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    return _by_bucket((own % np.uint64(n_words)).astype(np.int64), n_words)
+
+
+def _word_blobs(n_words: int):
     """For each piece and bucket the words and how often training rows have them; nothing for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece, data in zip(b.column(0).to_pylist(), b.column(1)):
-                _, held, texts = _open_piece(data.as_py())
-                tok, _, row = tokens(texts, 1)
-                u, w = np.unique(tok, return_inverse=True)
-                count = np.bincount(w, ~held[row], len(u)).astype(np.int64)
-                order, first = _by_bucket((u % np.uint64(n_buckets)).astype(np.int64), n_buckets)
-                mine = [order[first[k] : first[k + 1]] for k in range(n_buckets)]
-                yield _blob_rows([(k, piece, pack(gaps(u[i]), small(count[i]))) for k, i in enumerate(mine) if len(i)])
+                _, held, sizes, own, w = unpack(data.as_py())
+                own = ids_of(own)
+                count = np.bincount(w, np.repeat(~held, sizes), len(own)).astype(np.int64)
+                order, first = _word_buckets(own, n_words)
+                mine = [order[first[k] : first[k + 1]] for k in range(n_words)]
+                yield _blob_rows([(k, piece, pack(gaps(own[i]), small(count[i]))) for k, i in enumerate(mine) if len(i)])
                 give_back()
 
     return run
 
 
 def _count_words(group: pd.DataFrame) -> pd.DataFrame:
-    """Counts of one bucket of words, and for each piece those of its words."""
+    """Counts of one bucket of words, most frequent first, and for each piece the places of its words in that list and their counts."""
     blobs = [unpack(x) for x in group["data"]]
     every = [ids_of(b[0]) for b in blobs]
-    vocabulary, at = np.unique(np.concatenate(every), return_inverse=True)
+    vocabulary, _, at = distinct(np.concatenate(every))
     count = np.bincount(at, np.concatenate([b[1] for b in blobs]), len(vocabulary)).astype(np.int64)
-    known, start = count > 0, 0
-    rows = [("words", -1, pack(vocabulary[known], count[known]), int(count.sum()), int(known.sum()), counts_of_counts(count))]
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    end = np.flatnonzero(vocabulary == END)
+    rows = [("words", -1, pack(small(count[order])), int(count.sum()), int((count > 0).sum()), len(order), int(place[end[0]]) if len(end) else -1, counts_of_counts(count))]
+    start = 0
     for piece, w in zip(group["piece"], every):
-        rows.append(("reply", piece, pack(small(count[at[start : start + len(w)]])), 0, 0, []))
+        mine = at[start : start + len(w)]
+        rows.append(("reply", piece, pack(small(place[mine]), small(count[mine])), 0, 0, 0, -1, []))
         start += len(w)
-    del blobs, every, vocabulary, count, at
+    del blobs, every, vocabulary, count, at, order, place
     give_back()
-    out = pd.DataFrame(rows, columns=["kind", "piece", "data", "n", "distinct", "seen"])
+    out = pd.DataFrame(rows, columns=["kind", "piece", "data", "n", "distinct", "size", "end", "seen"])
     out.insert(0, "bucket", group["bucket"].iloc[0])
     return out
 
 
+def _recode(n_words: int, per_token: float):
+    """A piece with dense ids in place of hashes, and the base scores and numbers of known tokens of its texts."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        by = dict(zip(group["bucket"], group["data"]))
+        ids, held, sizes, own, w = unpack(by.pop(-1))
+        own = ids_of(own)
+        order, first = _word_buckets(own, n_words)
+        dense, count = np.empty(len(own), np.uint64), np.empty(len(own), np.int64)
+        for k, data in by.items():
+            mine, (place, c) = order[first[k] : first[k + 1]], unpack(data)
+            dense[mine], count[mine] = 1 + place.astype(np.uint64) * np.uint64(n_words) + np.uint64(k), c
+        row = np.repeat(np.arange(len(held)), sizes)
+        base = np.bincount(row, (np.log10(count + 0.1) - per_token)[w], len(held))
+        known = np.bincount(row, (count > 0)[w], len(held)).astype(np.int64)
+        order = np.argsort(dense)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        give_back()
+        return pd.DataFrame([(group["piece"].iloc[0], pack(ids, held, sizes, base, known, gaps(dense[order]), small(rank[w])))], columns=["piece", "data"])
+
+    return run
+
+
 @dataclass
 class Level:
     """How the n-grams of one order lie: buckets, and contexts spread over several of them (id: times in training rows, buckets)."""
@@ -227,59 +305,76 @@ class Level:
     order: int
     n_buckets: int
     hot: dict[int, tuple[int, int]]
+    ids: Ids
 
     def bucket(self, ctx: np.ndarray | None, word: np.ndarray) -> np.ndarray:
-        return (word % np.uint64(self.n_buckets)).astype(np.int64) if self.order == 1 else _bucket(ctx, word, self.n_buckets, self.hot)
+        return ((word - np.uint64(1)) % np.uint64(self.n_buckets)).astype(np.int64) if self.order == 1 else _bucket(ctx, word, self.n_buckets, self.hot)
 
 
 def _bucket(ctx: np.ndarray, word: np.ndarray, n_buckets: int, hot: dict[int, tuple[int, int]]) -> np.ndarray:
     """Bucket of an n-gram: that of its context; a hot context is spread over as many buckets as its share of all tokens asks for."""
-    out = ctx % np.uint64(n_buckets)
+    out = mix(ctx) % np.uint64(n_buckets)
     if hot:
         keys = np.array(sorted(hot), np.uint64)
         at = np.minimum(np.searchsorted(keys, ctx), len(keys) - 1)
         is_hot = keys[at] == ctx
         split = np.array([hot[int(k)][1] for k in keys], np.uint64)[at[is_hot]]
-        out[is_hot] = (ctx[is_hot] + mix(word[is_hot] ^ SALT) % split) % np.uint64(n_buckets)
+        out[is_hot] = (out[is_hot] + mix(word[is_hot] ^ SALT) % split) % np.uint64(n_buckets)
     return out.astype(np.int64)
 
 
 class Grams:
-    """The n-grams of a piece, by bucket and in each by context and word."""
-
-    def __init__(self, texts: pa.Array, level: Level):
-        tok, contexts, self.row = tokens(texts, level.order)
-        self.u, w = np.unique(tok, return_inverse=True)
-        self.contexts, at, c = np.unique(contexts[-1], return_index=True, return_inverse=True)
-        self.suffix = contexts[-2][at] if level.order > 2 else np.zeros(0, np.uint64)
-        del tok, contexts, at
-        gram, where = np.unique(c * len(self.u) + w, return_inverse=True)
-        del c, w
-        order, self.first = _by_bucket(level.bucket(self.contexts[gram // len(self.u)], self.u[gram % len(self.u)]), level.n_buckets)
-        rank = np.empty(len(gram), np.int64)
-        rank[order] = np.arange(len(gram))
-        self.gram, self.where = gram[order], rank[where]
-
-
-def _pack_grams(ctx: np.ndarray, suffix: np.ndarray, per: np.ndarray, word: np.ndarray) -> tuple:
-    """Ascending contexts and their n-grams in few bytes: words and suffixes (ids of the contexts without their first word) become places among the ids in use."""
-    ids, at = np.unique(np.concatenate([word, suffix]), return_inverse=True)
-    return gaps(ctx), small(per), gaps(ids), small(at[: len(word)]), small(at[len(word) :])
+    """The n-grams of a piece (contexts, suffixes where these are carried, words), by bucket and in each by context and word; ``where``: that of each token."""
+
+    def __init__(self, sizes: np.ndarray, own: np.ndarray, w: np.ndarray, level: Level):
+        ids, order = level.ids, level.order
+        first = np.cumsum(sizes, dtype=np.int64) - sizes
+        w = w.astype(np.int64) + 1  # among the own words 0 is the start
+        own = np.concatenate([np.zeros(1, np.uint64), own])
+        tok, before, key, span = own[w], [], np.zeros(len(w), np.int64), 1
+        back = w
+        for _ in range(1, order):
+            back = np.concatenate([np.zeros(1, np.int64), back[:-1]])
+            back[first] = 0
+            before.append(back)
+        ctx = suffix = np.zeros(len(w), np.uint64)
+        for m, b in enumerate(reversed(before), 1):
+            if span * len(own) >= 1 << 63:
+                u, _, key = distinct(key)
+                span = len(u)
+            key, span = key * len(own) + b, span * len(own)
+            ctx = own[b] if m == 1 else ids.extend(ctx, own[b], m)
+            if m > 1 and ids.carried(order):
+                suffix = own[b] if m == 2 else ids.extend(suffix, own[b], m - 1)
+        if span * len(own) >= 1 << 63:
+            key = distinct(key)[2]
+        _, i, where = distinct(key * len(own) + w)
+        del key, before, back
+        self.ctx, self.word, self.suffix = ctx[i], tok[i], suffix[i] if ids.carried(order) else suffix[:0]
+        bucket = level.bucket(self.ctx, self.word)
+        by, self.first = _by_bucket(bucket, level.n_buckets)
+        if not ids.exact(order - 1):
+            by = np.lexsort((self.word, self.ctx, bucket))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.ctx, self.word, self.where = self.ctx[by], self.word[by], rank[where]
+        self.suffix = self.suffix[by] if len(self.suffix) else self.suffix
 
 
 def _gram_blobs(level: Level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece, data in zip(b.column(0).to_pylist(), b.column(1)):
-                _, held, texts = _open_piece(data.as_py())
-                g = Grams(texts, level)
-                count = np.bincount(g.where, ~held[g.row], len(g.gram)).astype(np.int64)
+                _, held, sizes, _, _, own, w = unpack(data.as_py())
+                g = Grams(sizes, ids_of(own), w, level)
+                count = np.bincount(g.where, np.repeat(~held, sizes), len(g.word)).astype(np.int64)
                 out = []
                 for k in range(level.n_buckets):
-                    mine = slice(g.first[k], g.first[k + 1])
-                    if mine.stop > mine.start:
-                        c, per = np.unique(g.gram[mine] // len(g.u), return_counts=True)
-                        out.append((k, piece, pack(*_pack_grams(g.contexts[c], g.suffix[c] if len(g.suffix) else g.suffix, per, g.u[g.gram[mine] % len(g.u)]), small(count[mine]))))
+                    lo, hi = g.first[k], g.first[k + 1]
+                    if hi > lo:
+                        c, per = runs(g.ctx[lo:hi])
+                        at = lo + np.cumsum(per) - per
+                        out.append((k, piece, pack(gaps(c), small(per), planes(g.word[lo:hi]), planes(g.suffix[at]) if len(g.suffix) else None, small(count[lo:hi]))))
                 yield _blob_rows(out)
                 del g, count
                 give_back()
@@ -287,11 +382,15 @@ def _gram_blobs(level: Level):
     return run
 
 
-def _lower(level: Level, below: Level, suffix: np.ndarray, ctx_of: np.ndarray, word: np.ndarray, ids: np.ndarray):
+def _lower(level: Level, below: Level, suffix: np.ndarray, ctx_of: np.ndarray, word: np.ndarray):
     """The n-grams without their first words: (contexts or None, words, which of these each n-gram has, buckets), ascending."""
-    v = len(ids)
-    key, at = np.unique(word.astype(np.int64) if level.order == 2 else suffix.astype(np.int64)[ctx_of] * v + word, return_inverse=True)
-    ctx, w = None if level.order == 2 else ids[key // v], ids[key % v] if v else ids
+    if level.order == 2:
+        w, _, at = distinct(word)
+        return None, w, at, below.bucket(None, w)
+    v = level.ids.size
+    s, _, of = distinct(suffix)
+    key, _, at = distinct(of[ctx_of] * v + word.astype(np.int64))
+    ctx, w = s[key // v], (key % v).astype(np.uint64)
     return ctx, w, at, below.bucket(ctx, w)
 
 
@@ -299,35 +398,36 @@ def _count_grams(level: Level, below: Level, top: bool):
     """One bucket of n-grams: its counts, where it has those of each piece (of the highest order), and the lower n-grams whose probabilities are needed."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        v, carried = level.ids.size, level.ids.carried(level.order)
         blobs = [unpack(x) for x in group["data"]]
-        contexts = np.unique(np.concatenate([ids_of(b[0]) for b in blobs]))
-        ids = np.unique(np.concatenate([ids_of(b[2]) for b in blobs]))
-        v = len(ids)
-        suffix = np.zeros(len(contexts) if level.order > 2 else 0, np.int64)
+        each = [ids_of(b[0]) for b in blobs]
+        contexts = np.unique(np.concatenate(each))
+        suffix = np.zeros(len(contexts), np.uint64) if carried else level.ids.suffixes(contexts, level.order) if level.order > 2 else np.zeros(0, np.uint64)
         keys = []
-        for c, per, i, w, s, _ in blobs:
-            place, c = np.searchsorted(ids, ids_of(i)), np.searchsorted(contexts, ids_of(c))
-            keys.append(np.repeat(c, per) * v + place[w])
-            if level.order > 2:
-                suffix[c] = place[s]
-        sizes = np.concatenate([b[5] for b in blobs])
-        del blobs
-        gram, at = np.unique(np.concatenate(keys), return_inverse=True)
+        for c, (_, per, w, s, _) in zip(each, blobs):
+            c = np.searchsorted(contexts, c)
+            keys.append(np.repeat(c, per) * v + whole(w).astype(np.int64))
+            if carried:
+                suffix[c] = whole(s)
+        sizes = np.concatenate([b[4] for b in blobs])
+        del blobs, each
+        gram, _, at = distinct(np.concatenate(keys))
         count = np.bincount(at, sizes, len(gram)).astype(np.int64)
-        ctx_of, word = gram // v, gram % v
+        ctx_of, word = gram // v, (gram % v).astype(np.uint64)
         total = np.bincount(ctx_of, count, len(contexts)).astype(np.int64)
         for h, (c, _) in level.hot.items():
             i = np.searchsorted(contexts, np.uint64(h))
             if i < len(contexts) and contexts[i] == np.uint64(h):
                 total[i] = c
         bucket = int(group["bucket"].iloc[0])
-        rows = [(bucket, "grams", -1, pack(gaps(contexts), small(total), small(np.bincount(ctx_of, minlength=len(contexts))), gaps(ids), small(word), small(suffix), small(count)), counts_of_counts(count))]
+        rows = [(bucket, "grams", -1, pack(gaps(contexts), small(total), small(np.bincount(ctx_of, minlength=len(contexts))), planes(word), planes(suffix) if carried else None, small(count)), counts_of_counts(count))]
         start = 0
         for piece, key in zip(group["piece"], keys):
             if top:
                 rows.append((bucket, "map", piece, pack(small(np.diff(at[start : start + len(key)], prepend=0))), []))
             start += len(key)
-        ctx, w, _, to = _lower(level, below, suffix, ctx_of, word, ids)
+        del keys, gram, at, count
+        ctx, w, _, to = _lower(level, below, suffix, ctx_of, word)
         order, first = _by_bucket(to, below.n_buckets)
         for k in range(below.n_buckets):
             mine = order[first[k] : first[k + 1]]
@@ -335,10 +435,10 @@ def _count_grams(level: Level, below: Level, top: bool):
                 if ctx is None:
                     data = pack(gaps(w[mine]))
                 else:
-                    c, per = np.unique(ctx[mine], return_counts=True)
-                    data = pack(*_pack_grams(c, np.zeros(0, np.uint64), per, w[mine]))
+                    c, per = runs(ctx[mine])
+                    data = pack(gaps(c), small(per), planes(w[mine]))
                 rows.append((k, "wanted", bucket, data, []))
-        del keys, gram, at, count, ctx_of, word
+        del ctx_of, word
         give_back()
         return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data", "seen"])
 
@@ -348,40 +448,37 @@ def _count_grams(level: Level, below: Level, top: bool):
 ANSWERS = "bucket int, kind string, piece long, data binary"
 
 
-def _answer_words(totals: Words):
+def _answer_words(totals: Words, ids: Ids):
     """Probabilities of the words that buckets of pairs want, from a bucket of words."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        tables = [unpack(x) for x in group.loc[group["kind"] == "words", "data"]]
-        w, c = tables[0] if tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        count = unpack(group.loc[group["kind"] == "words", "data"].iloc[0])[0].astype(np.int64)
         rows = []
         for to, data in group.loc[group["kind"] == "wanted", ["piece", "data"]].itertuples(index=False):
-            want = ids_of(unpack(data)[0])
-            at = np.minimum(np.searchsorted(w, want), max(len(w) - 1, 0))
-            got = np.where(w[at] == want, c[at], 0) if len(w) else np.zeros(len(want), np.int64)
-            rows.append((int(to), "answer", int(group["bucket"].iloc[0]), pack(totals.p(got))))
+            place = (ids_of(unpack(data)[0]) - np.uint64(1)) // np.uint64(ids.n_words)
+            rows.append((int(to), "answer", int(group["bucket"].iloc[0]), pack(*coded(totals.p(count[place.astype(np.int64)])))))
         return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data"])
 
     return run
 
 
-def _answer_grams(hot_alpha: dict[int, float]):
+def _answer_grams(hot_alpha: dict[int, float], ids: Ids):
     """The same of n-grams, from a bucket of n-grams of their order."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        contexts, per, ids, word, p = unpack(group.loc[group["kind"] == "p", "data"].iloc[0])
-        contexts, ids = ids_of(contexts), ids_of(ids)
+        contexts, per, word, *p = unpack(group.loc[group["kind"] == "p", "data"].iloc[0])
+        contexts, p = ids_of(contexts), decoded(*p)
         ctx_of = np.repeat(np.arange(len(contexts)), per)
-        key = ctx_of * len(ids) + word
+        key = ctx_of * ids.size + whole(word).astype(np.int64)
         p = _with_hot(p, contexts[ctx_of[p < 0]], hot_alpha)
         rows = []
         for to, data in group.loc[group["kind"] == "wanted", ["piece", "data"]].itertuples(index=False):
-            c, n, i, w, _ = unpack(data)
-            want = np.repeat(np.searchsorted(contexts, ids_of(c)), n) * len(ids) + np.searchsorted(ids, ids_of(i))[w]
+            c, n, w = unpack(data)
+            want = np.repeat(np.searchsorted(contexts, ids_of(c)), n) * ids.size + whole(w).astype(np.int64)
             at = np.searchsorted(key, want)
             if len(want) and not (at[-1] < len(key) and (key[at] == want).all()):
                 raise ValueError("an n-gram stands in a text and its end does not")
-            rows.append((int(to), "answer", int(group["bucket"].iloc[0]), pack(p[at])))
+            rows.append((int(to), "answer", int(group["bucket"].iloc[0]), pack(*coded(p[at]))))
         give_back()
         return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "data"])
 
@@ -403,15 +500,17 @@ def _back_off(level: Level, below: Level, d: np.ndarray, top: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         by = {k: g for k, g in group.groupby("kind")}
         bucket = int(group["bucket"].iloc[0])
-        contexts, total, per, ids, word, suffix, count = unpack(by["grams"]["data"].iloc[0])
-        total, count, packed = total.astype(np.int64), count.astype(np.int64), (contexts, per, ids, word)
-        contexts, ids = ids_of(contexts), ids_of(ids)
+        contexts, total, per, word, suffix, count = unpack(by["grams"]["data"].iloc[0])
+        total, count, packed = total.astype(np.int64), count.astype(np.int64), (contexts, per, word)
+        contexts, word = ids_of(contexts), whole(word)
+        suffix = whole(suffix) if suffix is not None else level.ids.suffixes(contexts, level.order) if level.order > 2 else contexts[:0]
         ctx_of = np.repeat(np.arange(len(contexts)), per)
-        _, w, at, to = _lower(level, below, suffix, ctx_of, word, ids)
+        _, w, at, to = _lower(level, below, suffix, ctx_of, word)
         low = np.full(len(w), np.nan)
         for k, data in by["answer"][["piece", "data"]].itertuples(index=False):
-            low[to == k] = unpack(data)[0]
+            low[to == k] = decoded(*unpack(data))
         low = low[at]
+        del at, to, w
         seen = count > 0
         p = np.where(seen, discounted(count, d) / (total[ctx_of] + 1), low)
         used = np.bincount(ctx_of[seen], p[seen], len(contexts))
@@ -421,10 +520,10 @@ def _back_off(level: Level, below: Level, d: np.ndarray, top: bool):
         p[~seen] *= alpha[ctx_of[~seen]]
         rows = [(bucket, "hot", -1, int(contexts[i].astype(np.int64)), b"", float(used[i]), float(lower[i])) for i in np.flatnonzero(is_hot)]
         if not top:
-            rows.append((bucket, "p", -1, 0, pack(*packed, p), 0.0, 0.0))
+            rows.append((bucket, "p", -1, 0, pack(*packed, *coded(p)), 0.0, 0.0))
         for piece, data in by["map"][["piece", "data"]].itertuples(index=False) if top else ():
             own = np.cumsum(unpack(data)[0], dtype=np.int64)
-            rows.append((bucket, "reply", piece, 0, pack(p[own], contexts[ctx_of[own[p[own] < 0]]]), 0.0, 0.0))
+            rows.append((bucket, "reply", piece, 0, pack(contexts[ctx_of[own[p[own] < 0]]], *coded(p[own])), 0.0, 0.0))
         del low, p, seen, ctx_of, count
         give_back()
         return pd.DataFrame(rows, columns=["bucket", "kind", "piece", "ctx", "data", "left", "rest"])
@@ -432,29 +531,21 @@ def _back_off(level: Level, below: Level, d: np.ndarray, top: bool):
     return run
 
 
-def _score(level: Level, n_words: int, per_token: float, hot_alpha: dict[int, float]):
-    """Scores of the texts of a piece from the probabilities of its n-grams and the counts of its words."""
+def _score(level: Level, hot_alpha: dict[int, float]):
+    """Scores of the texts of a piece from the probabilities of its n-grams."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        by = {k: dict(zip(g["bucket"], g["data"])) for k, g in group.groupby("kind")}
-        ids, held, texts = _open_piece(by["text"][-1])
-        tok, _, row = tokens(texts, 1)
-        u, w = np.unique(tok, return_inverse=True)
-        order, _ = _by_bucket((u % np.uint64(n_words)).astype(np.int64), n_words)
-        count = np.empty(len(u), np.int64)
-        count[order] = np.concatenate([unpack(x)[0] for _, x in sorted(by["words"].items())])
-        c, n = count[w], len(held)
-        base = np.bincount(row, np.log10(c + 0.1) - per_token, n)
-        known, size = np.bincount(row, c > 0, n).astype(np.int64), np.bincount(row, minlength=n)
-        g = Grams(texts, level)
-        p = np.empty(len(g.gram))
+        by = dict(zip(group["bucket"], group["data"]))
+        ids, held, sizes, base, known, own, w = unpack(by.pop(-1))
+        g = Grams(sizes, ids_of(own), w, level)
+        p = np.empty(len(g.word))
         for k in np.flatnonzero(np.diff(g.first)):
-            got, ctx = unpack(by["reply"][int(k)])
-            p[g.first[k] : g.first[k + 1]] = _with_hot(got, ctx, hot_alpha)
-        score = np.bincount(g.row, np.log10(p)[g.where], n)
-        del g, p, tok, row, w, c
+            ctx, *got = unpack(by[int(k)])
+            p[g.first[k] : g.first[k + 1]] = _with_hot(decoded(*got), ctx, hot_alpha)
+        score = np.bincount(np.repeat(np.arange(len(held)), sizes), np.log10(p)[g.where], len(held))
+        del g, p, w
         give_back()
-        return pd.DataFrame({"doc_id": pd.array(ids.to_pylist(), "Int64"), "held_out": held, "n_tokens": size, "n_known": known, "base_score": base, "score": score})
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": sizes.astype(np.int64), "n_known": known, "base_score": base, "score": score})
 
     return run
 
@@ -462,9 +553,9 @@ def _score(level: Level, n_words: int, per_token: float, hot_alpha: dict[int, fl
 class Katz:
     """A trained model of word n-grams up to ``order``, and the scores of the texts it was counted with.
 
-    All passes read the table cut into numbered pieces, which is written first. For each order, pieces send their distinct n-grams with training counts to hash
-    buckets; nothing in these buckets grows with the number of documents. A bucket asks the buckets of the order below for the probabilities that its backoff weights
-    need. Those of the highest order send the probabilities of its n-grams back to each piece, where its texts are scored.
+    All passes read the table cut into numbered pieces, which is written first as hashes of words, then, when the words are counted, as dense ids by frequency. For each order, pieces send their
+    distinct n-grams with training counts to hash buckets; nothing in these buckets grows with the number of documents. A bucket asks the buckets of the order below for the
+    probabilities that its backoff weights need. Those of the highest order send the probabilities of its n-grams back to each piece, where its texts are scored.
 
     p(w | h) = d * c(h, w) / (c(h) + 1) for an n-gram seen, else alpha(h) * p(w | h without its first word); p(w) = d * c(w) / (N + 1) for a word seen, else the unknown word's mass. The
     one count added to N and c(h) always leaves some mass to unseen words. alpha(h) = (1 - mass of the n-grams seen) / (1 - lower p of their words), so that p(. | h) sums to 1.
@@ -490,42 +581,48 @@ class Katz:
 
     def _count_words(self) -> None:
         n_words = max(1, ceil(max(1, ceil(self.size / BUCKET_BYTES)) / WIDER))
-        self.levels, self.discounts = {1: Level(1, n_words, {})}, {}
-        self.word_rows = self._dealt(_word_blobs(n_words), n_words, _count_words, "bucket int, kind string, piece long, data binary, n long, distinct long, seen array<array<long>>")
-        self.below = self.word_rows.where("kind = 'words'")
-        sums = self.below.agg(F.sum("n"), F.sum("distinct")).first()
-        self.totals = Words(sums[0] or 0, sums[1] or 0, *_sum_counts(self.below))
-        self.answer, self.counted = _answer_words(self.totals), self.below
+        rows = self._dealt(_word_blobs(n_words), n_words, _count_words, "bucket int, kind string, piece long, data binary, n long, distinct long, size long, end long, seen array<array<long>>")
+        self.below = rows.where("kind = 'words'")
+        end = F.max(F.when(F.col("end") >= 0, 1 + F.col("end") * n_words + F.col("bucket")))
+        n, known, size, end = self.below.agg(F.sum("n"), F.sum("distinct"), F.max("size"), end).first()
+        self.totals = Words(n or 0, known or 0, *_sum_counts(self.below))
+        self.ids = Ids(n_words, 1 + (size or 0) * n_words, -1 if end is None else end, ID_BITS)
+        self.levels, self.discounts = {1: Level(1, n_words, {}, self.ids)}, {}
+        both = self.pieces.select(F.lit(-1).alias("bucket"), "piece", "data").union(rows.where("kind = 'reply'").select("bucket", "piece", "data"))
+        per_token = log10(self.totals.n + 0.1 * (self.totals.distinct + 1))
+        recoded = self.scratch.save(both.groupBy("piece").applyInPandas(_recode(n_words, per_token), "piece long, data binary"))
+        self.scratch.drop(self.pieces)
+        self.pieces = recoded
+        self.answer, self.counted = _answer_words(self.totals, self.ids), self.below
 
     def _hot(self, order: int, n_buckets: int) -> dict[int, tuple[int, int]]:
         """Contexts with a large share of all tokens, at most four for each bucket by the threshold; those of starts always."""
         if n_buckets == 1:
             return {}
-        least = max(1.0, self.totals.n / (4 * n_buckets))
+        ids, least = self.ids, max(1.0, self.totals.n / (4 * n_buckets))
         split = lambda c: min(n_buckets, ceil(4 * n_buckets * c / max(1, self.totals.n)))
 
         def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for x in b.column(0):
+                for k, x in zip(b.column(0).to_pylist(), b.column(1)):
                     if order == 2:
-                        key, c = unpack(x.as_py())
-                        i = np.flatnonzero((c >= least) & (key != END))  # nothing follows an end
-                        key = key[i]
+                        (c,) = unpack(x.as_py())
+                        key = word = np.arange(len(c), dtype=np.uint64) * np.uint64(ids.n_words) + np.uint64(1 + k)
                     else:
-                        contexts, _, per, ids, word, _, c = unpack(x.as_py())
-                        contexts, w = np.repeat(ids_of(contexts), per), ids_of(ids)[word]
-                        i = np.flatnonzero((c >= least) & (w != END))
-                        key = extend(contexts[i], w[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(c[i].astype(np.int64))], names=["ctx", "c"])
+                        contexts, _, per, word, _, c = unpack(x.as_py())
+                        word = whole(word)
+                        key = ids.extend(np.repeat(ids_of(contexts), per), word, order - 1)
+                    i = np.flatnonzero((c >= least) & (word.astype(np.int64) != ids.end))  # nothing follows an end
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i].astype(np.int64)), pa.array(c[i].astype(np.int64))], names=["ctx", "c"])
 
-        got = self.counted.select("data").mapInArrow(frequent, "ctx long, c long").collect()
+        got = self.counted.select("bucket", "data").mapInArrow(frequent, "ctx long, c long").collect()
         hot = {int(np.int64(r["ctx"]).astype(np.uint64)): (r["c"], split(r["c"])) for r in got}
-        return hot | {int(start_of(order - 1)[0]): (self.n_train, split(self.n_train))}
+        return hot | {int(ids.start(order - 1)[0]): (self.n_train, split(self.n_train))}
 
     def _count(self, n: int) -> None:
         top, below = n == self.order, self.levels[n - 1]
         n_buckets = max(1, ceil(self.size / (BUCKET_BYTES // (1 if n == 2 else 2))))
-        level = self.levels[n] = Level(n, n_buckets, self._hot(n, n_buckets))
+        level = self.levels[n] = Level(n, n_buckets, self._hot(n, n_buckets), self.ids)
         if n > 2:
             self.scratch.drop(self.table)
         rows = self._dealt(_gram_blobs(level), n_buckets, _count_grams(level, below, top), "bucket int, kind string, piece long, data binary, seen array<array<long>>")
@@ -540,18 +637,15 @@ class Katz:
         self.hot_alpha = {r["ctx"]: r["alpha"] for r in hot.collect()}  # at most four contexts for each bucket
         if n > 2:
             self.scratch.drop(self.weighed)
-        self.table, self.weighed, self.below, self.answer = rows, weighed, weighed.where("kind = 'p'"), _answer_grams(self.hot_alpha)
+        self.table, self.weighed, self.below, self.answer = rows, weighed, weighed.where("kind = 'p'"), _answer_grams(self.hot_alpha, self.ids)
         if top:
             self.scratch.drop(rows)
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-        t = self.totals
-        rows = self.pieces.select(F.lit(-1).alias("bucket"), F.lit("text").alias("kind"), "piece", "data")
-        rows = rows.union(self.word_rows.where("kind = 'reply'").select("bucket", F.lit("words"), "piece", "data")).union(self.weighed.where("kind = 'reply'").select("bucket", "kind", "piece", "data"))
-        run = _score(self.levels[self.order], self.levels[1].n_buckets, log10(t.n + 0.1 * (t.distinct + 1)), self.hot_alpha)
-        got = rows.groupBy("piece").applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-        return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(t.n).cast("long").alias("train_tokens"), "base_score", "score")
+        rows = self.pieces.select(F.lit(-1).alias("bucket"), "piece", "data").union(self.weighed.where("kind = 'reply'").select("bucket", "piece", "data"))
+        got = rows.groupBy("piece").applyInPandas(_score(self.levels[self.order], self.hot_alpha), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.totals.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
