@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, log10
 
 import numpy as np
@@ -24,6 +25,8 @@ BATCH_ROWS = 3000
 BATCH_PIECES = 4
 #: Counts up to this one are discounted.
 K = 5
+#: Parts, by bucket, in which n-grams of three words and more are counted and weighed one after another, so that only one part's shuffles lie on disk.
+SHARES = 3
 #: Bits that the digits of a context's id may take before it is hashed.
 ID_BITS = 63
 #: Least number of n-grams of each count that is smoothed: a tenth of standard error.
@@ -361,7 +364,9 @@ class Grams:
         self.suffix = self.suffix[by] if len(self.suffix) else self.suffix
 
 
-def _gram_blobs(level: Level):
+def _gram_blobs(level: Level, share: int, shares: int):
+    """For each piece and bucket of a share its n-grams and how often training rows have them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece, data in zip(b.column(0).to_pylist(), b.column(1)):
@@ -369,7 +374,7 @@ def _gram_blobs(level: Level):
                 g = Grams(sizes, ids_of(own), w, level)
                 count = np.bincount(g.where, np.repeat(~held, sizes), len(g.word)).astype(np.int64)
                 out = []
-                for k in range(level.n_buckets):
+                for k in range(share, level.n_buckets, shares):
                     lo, hi = g.first[k], g.first[k + 1]
                     if hi > lo:
                         c, per = runs(g.ctx[lo:hi])
@@ -593,7 +598,7 @@ class Katz:
         recoded = self.scratch.save(both.groupBy("piece").applyInPandas(_recode(n_words, per_token), "piece long, data binary"))
         self.scratch.drop(self.pieces)
         self.pieces = recoded
-        self.answer, self.counted = _answer_words(self.totals, self.ids), self.below
+        self.answer, self.counted, self.weighed = _answer_words(self.totals, self.ids), self.below, [rows]
 
     def _hot(self, order: int, n_buckets: int) -> dict[int, tuple[int, int]]:
         """Contexts with a large share of all tokens, at most four for each bucket by the threshold; those of starts always."""
@@ -624,26 +629,31 @@ class Katz:
         n_buckets = max(1, ceil(self.size / (BUCKET_BYTES // (1 if n == 2 else 2))))
         level = self.levels[n] = Level(n, n_buckets, self._hot(n, n_buckets), self.ids)
         if n > 2:
-            self.scratch.drop(self.table)
-        rows = self._dealt(_gram_blobs(level), n_buckets, _count_grams(level, below, top), "bucket int, kind string, piece long, data binary, seen array<array<long>>")
-        self.counted = rows.where("kind = 'grams'")
+            self.scratch.drop(*self.tables)
+        shares = 1 if n == 2 else min(SHARES, n_buckets)
+        width = ceil(n_buckets / shares)
+        schema = "bucket int, kind string, piece long, data binary, seen array<array<long>>"
+        self.tables = [self._dealt(_gram_blobs(level, i, shares), width, _count_grams(level, below, top), schema) for i in range(shares)]
+        self.counted = reduce(DataFrame.union, self.tables).where("kind = 'grams'")
         d = self.discounts[n] = discounts(*_sum_counts(self.counted))
-        wanted = rows.where("kind = 'wanted'").select("bucket", "kind", "piece", "data").union(self.below.select("bucket", "kind", "piece", "data"))
-        answers = wanted.repartition(below.n_buckets, "bucket").groupBy("bucket").applyInPandas(self.answer, ANSWERS)
-        both = rows.where("kind in ('grams', 'map')").select("bucket", "kind", "piece", "data").union(answers)
-        schema = "bucket int, kind string, piece long, ctx long, data binary, left double, rest double"
-        weighed = self.scratch.save(both.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_back_off(level, below, d, top), schema))
-        hot = weighed.where("kind = 'hot'").groupBy("ctx").agg(((1 - F.sum("left")) / (1 - F.sum("rest"))).alias("alpha"))
+        weighed, schema = [], "bucket int, kind string, piece long, ctx long, data binary, left double, rest double"
+        for rows in self.tables:
+            wanted = rows.where("kind = 'wanted'").select("bucket", "kind", "piece", "data").union(self.below.select("bucket", "kind", "piece", "data"))
+            answers = wanted.repartition(below.n_buckets, "bucket").groupBy("bucket").applyInPandas(self.answer, ANSWERS)
+            both = rows.where("kind in ('grams', 'map')").select("bucket", "kind", "piece", "data").union(answers)
+            weighed.append(self.scratch.save(both.repartition(width, "bucket").groupBy("bucket").applyInPandas(_back_off(level, below, d, top), schema)))
+            del wanted, answers, both
+            if top:
+                self.scratch.drop(rows)
+        every = reduce(DataFrame.union, weighed)
+        hot = every.where("kind = 'hot'").groupBy("ctx").agg(((1 - F.sum("left")) / (1 - F.sum("rest"))).alias("alpha"))
         self.hot_alpha = {r["ctx"]: r["alpha"] for r in hot.collect()}  # at most four contexts for each bucket
-        if n > 2:
-            self.scratch.drop(self.weighed)
-        self.table, self.weighed, self.below, self.answer = rows, weighed, weighed.where("kind = 'p'"), _answer_grams(self.hot_alpha, self.ids)
-        if top:
-            self.scratch.drop(rows)
+        self.scratch.drop(*self.weighed)
+        self.weighed, self.below, self.answer = weighed, every.where("kind = 'p'"), _answer_grams(self.hot_alpha, self.ids)
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-        rows = self.pieces.select(F.lit(-1).alias("bucket"), "piece", "data").union(self.weighed.where("kind = 'reply'").select("bucket", "piece", "data"))
+        rows = self.pieces.select(F.lit(-1).alias("bucket"), "piece", "data").union(reduce(DataFrame.union, self.weighed).where("kind = 'reply'").select("bucket", "piece", "data"))
         got = rows.groupBy("piece").applyInPandas(_score(self.levels[self.order], self.hot_alpha), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
         return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.totals.n).cast("long").alias("train_tokens"), "base_score", "score")
 
