@@ -150,17 +150,17 @@ def test_katz_of_order_three(spark, docs, none):
         def _hot(self, order, n_buckets):
             return {k: (c, n_buckets) for k, (c, _) in super()._hot(order, n_buckets).items()}
 
-    sizes = katz.BUCKET_BYTES, katz.PIECE_BYTES
-    for bucket, piece in (sizes, (40_000, 3_000)):  # the second spreads frequent contexts over buckets
-        katz.BUCKET_BYTES, katz.PIECE_BYTES = bucket, piece
+    sizes = katz.BUCKET_BYTES, katz.PIECE_BYTES, katz.ID_BITS
+    for katz.BUCKET_BYTES, katz.PIECE_BYTES, katz.ID_BITS in (sizes, (40_000, 3_000, 4), (40_000, 3_000, 63)):  # the last two spread frequent contexts over buckets, the second has hashed contexts
         try:
             model = Spread(docs, 3)
             got = model.scores().select("doc_id", "score").collect()
         finally:
-            katz.BUCKET_BYTES, katz.PIECE_BYTES = sizes
+            katz.BUCKET_BYTES, katz.PIECE_BYTES, katz.ID_BITS = sizes
         got = sorted((-1 if k is None else k, x) for k, x in got)
         assert [k for k, _ in got] == [k for k, _ in want]
         assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-4)
+    assert len(model.weighed) == katz.SHARES
     assert all(split > 1 for _, split in [*model.levels[2].hot.values(), *model.levels[3].hot.values()])
     assert katz.score_documents(none, 3).count() == 0
 
