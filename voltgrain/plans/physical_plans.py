@@ -8,6 +8,7 @@ from ..functions.lut import add_lut2
 from ..operators import equivalence as eq
 from ..operators import library as lib
 from ..operators import parasitics as ps
+from ..operators.annotation import annotate_arcs
 from ..operators.graph import Levelled, union_all
 from ..operators.slew import slew_arrivals, table_of
 from ..session import cut
@@ -185,6 +186,22 @@ def h10(spark, d):
     return li.join(an, ["l_partkey", "nc"], "left").join(free, "l_partkey", "left").select(*KEY4, F.coalesce("d", "f", "l_quantity").alias("delay"))
 
 
+@query("h10_condition_use", """WITH arcs AS (SELECT p_partkey, k AS arc, CASE k WHEN 0 THEN 'A & B' WHEN 1 THEN '!A' END AS w, p_size * 1e0 AS base FROM part CROSS JOIN (VALUES (0), (1), (2)) t(k)),
+  an AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS seq, CASE l_linenumber % 4 WHEN 0 THEN 'A&B' WHEN 1 THEN '! A' WHEN 2 THEN 'B' END AS c, l_linenumber = 7 AS celse, l_quantity * 1e0 AS lo, l_quantity * 1e0 + l_linenumber AS hi FROM lineitem),
+  m AS (SELECT p_partkey, arc, seq, lo, hi, c IS NOT NULL AND w IS NULL AS used FROM arcs JOIN an ON l_partkey=p_partkey WHERE w IS NULL OR (NOT celse AND (c IS NULL OR replace(c, ' ', '') = replace(w, ' ', '')))),
+  s AS (SELECT p_partkey, arc, max(CASE WHEN NOT used THEN seq END) AS s0 FROM m GROUP BY ALL),
+  r AS (SELECT p_partkey, arc, min(lo) AS lo, max(hi) AS hi FROM m JOIN s USING (p_partkey, arc) WHERE s0 IS NULL OR seq >= s0 GROUP BY ALL)
+  SELECT p_partkey, arc, coalesce(lo, base) AS d_min, coalesce(hi, base) AS d_max, hi IS NOT NULL AS annotated FROM arcs LEFT JOIN r USING (p_partkey, arc)""")
+def h10_use(spark, d):
+    """Three arcs a part, annotated in the order of lines; conditions that the library does not know widen the arc without one."""
+    arc, n, q = F.col("arc"), F.col("l_linenumber"), F.col("l_quantity").cast("double")
+    base = F.col("p_size").cast("double")
+    arcs = b.table(spark, d, "part").select("p_partkey", base.alias("d_min"), base.alias("d_max"), F.explode(F.array(*map(F.lit, range(3)))).alias("arc")).withColumn("when", F.when(arc == 0, "A & B").when(arc == 1, "!A"))
+    notes = b.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") * 10 + n).alias("seq"), F.when(n % 4 == 0, "A&B").when(n % 4 == 1, "! A").when(n % 4 == 2, "B").alias("cond"),
+                                                 (n == 7).alias("condelse"), q.alias("a_min"), (q + n).alias("a_max"))
+    return annotate_arcs(arcs, notes, ["p_partkey"], "both").drop("when")
+
+
 @query("h11_pvt_scale", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * (1 + l_tax*2e-1) * (1 - l_discount*5e-1) * (1 + (l_linenumber*10 - 25)*1e-3), 9) AS delay FROM lineitem")
 def h11(spark, d):
     v = ps.pvt_scale(F.col("l_quantity"), F.lit(0.2), F.lit(-0.5), F.lit(0.001), F.col("l_tax"), F.col("l_discount"), F.col("l_linenumber") * 10 - 25)
