@@ -180,3 +180,13 @@ def output_weights(rows: DataFrame, keys: list[str], pg: str = "pg_pin") -> Data
     tot = rows.groupBy(*keys, pg).agg(F.sum(w).alias("_t"))
     j = rows.join(tot, [*keys, pg])
     return j.withColumn("weight", F.when(F.col("_t") != 0, w / F.col("_t")).otherwise(0.0)).drop("_t")
+
+
+def weighted_output(rows: DataFrame, keys: list[str], counts: Column, value: Column) -> DataFrame:
+    """``value`` summed by the shares of ``output_weights`` of one power pin, in one aggregation: (keys, value).
+
+    As a share is a weight over the sum of those rows that ``counts``, the quotient of the two sums is taken at the end; 0 where all weights are 0.
+    """
+    w = F.col("from_activity") * F.col("duty")
+    g = rows.groupBy(*keys).agg(F.sum(F.when(counts, w)).alias("_t"), F.sum(w * value).alias("_v"))
+    return g.select(*keys, F.when(F.col("_t") != 0, F.col("_v") / F.col("_t")).otherwise(0.0).alias("value"))
