@@ -52,6 +52,13 @@ def mark_edges(edges: DataFrame, exc: DataFrame, throughs: DataFrame) -> DataFra
     return edges.join(t, ["to_v", "to_rf"], "left")
 
 
+def end_marks(exc: DataFrame, throughs: DataFrame) -> DataFrame:
+    """``thru`` of ``mark_edges`` by the end alone: to_v, thru_rise, thru_fall."""
+    ends = throughs.select(F.col("v").alias("to_v")).distinct().select("to_v", F.explode(F.array(F.lit("rise"), F.lit("fall"))).alias("to_rf"))
+    m = mark_edges(ends, exc, throughs)
+    return m.groupBy("to_v").agg(*[F.first(F.when(F.col("to_rf") == rf, F.col("thru")), ignorenulls=True).alias(f"thru_{rf}") for rf in ("rise", "fall")])
+
+
 def advance(state: str = "state", thru: str = "thru") -> Column:
     """The state behind an edge: an exception moves on only if the edge's end is in its next set, so points count in their order and one at a time."""
     s, t = F.col(state), F.col(thru)

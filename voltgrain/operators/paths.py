@@ -25,7 +25,7 @@ class PathSearch:
         a, worst, d = f"a_{which}", F.coalesce(f"e_{which}", F.lit(START)), f"d_{which}"
         self.arr = arr.select("v", "rf", *tags, F.col(a).alias("total"), worst.alias("e"))
         start = arr.select(F.col("v").alias("from_v"), F.col("rf").alias("from_rf"), *tags, F.col(a).alias("_a"), worst.alias("_e"))
-        moved = advanced(tags, advance, g.edges)
+        moved = advanced(tags, advance, g.columns())
         j = start.join(g.edges, ["from_v", "from_rf"]).select(
             F.col("to_v").alias("v"), F.col("to_rf").alias("rf"), *[moved[t].alias(t) for t in tags], F.col("from_v").alias("pv"), F.col("from_rf").alias("prf"), *[F.col(t).alias(f"p_{t}") for t in tags],
             "e_id", F.col(d).alias("d"), (F.col("_a") + F.col(d)).alias("reach"), F.col("_e").alias("pe"))
@@ -103,9 +103,8 @@ def k_worst_unique(g: Levelled, seeds: DataFrame, k: int, tags: Sequence[str] =
     def folded(before: Column, v: str) -> Column:
         return F.struct(F.xxhash64(F.lit(1), before["a"], before["b"], v).alias("a"), F.xxhash64(F.lit(2), before["a"], before["b"], v).alias("b"))
 
-    def step(rows: DataFrame, e: DataFrame) -> DataFrame:
-        r = rows.withColumnsRenamed({"v": "from_v", "rf": "from_rf", "sig": "from_sig"}).drop("level", "rank", "p_v", "p_rf", "p_sig", "e_id")
-        return r.join(e, ["from_v", "from_rf"]).select(
+    def receive(j: DataFrame) -> DataFrame:
+        return j.select(
             F.col("to_v").alias("v"), F.col("to_rf").alias("rf"), *tags, folded(F.col("from_sig"), "to_v").alias("sig"), (F.col("time") + F.col(d)).alias("time"), F.lit(0).alias("rank"),
             F.col("from_v").alias("p_v"), F.col("from_rf").alias("p_rf"), F.col("from_sig").alias("p_sig"), "e_id", "to_level")
 
@@ -120,10 +119,10 @@ def k_worst_unique(g: Levelled, seeds: DataFrame, k: int, tags: Sequence[str] =
 
     zero = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
     none = F.lit(None)
-    kind = dict(g.edges.dtypes)
+    kind = g.columns()
     s = seeds.select("v", "rf", *tags, folded(zero, "v").alias("sig"), F.col(f"a_{which}").alias("time"), none.cast(kind["from_v"]).alias("p_v"),
                      none.cast("string").alias("p_rf"), none.cast("struct<a:bigint,b:bigint>").alias("p_sig"), none.cast("bigint").alias("e_id"))
-    return g.sweep(g.place(s), step, merge)
+    return g.sweep(g.place(s), receive, merge, {"sig": "from_sig"}, ["rank", "p_v", "p_rf", "p_sig", "e_id"])
 
 
 def unique_ends(found: DataFrame, ends: DataFrame, k: int, tags: Sequence[str] = ("clk",), which: str = "max") -> DataFrame:

@@ -21,29 +21,30 @@ def _looked_up(rows: DataFrame, sides: Sequence[str]) -> DataFrame:
     return rows
 
 
-def slew_arrivals(g: Levelled, seeds: DataFrame, tables: DataFrame, tags: Sequence[str] = ("clk",)) -> DataFrame:
+def slew_arrivals(g: Levelled, seeds: DataFrame, tables: DataFrame, tags: Sequence[str] = ("clk",), track: bool = True) -> DataFrame:
     """Latest and earliest arrival and largest and smallest slew of every (v, rf, tags).
 
     Edges carry table_id (null: a wire), load and wire_delay; ``tables`` has table_id, axis1 (slew), axis2 (load), delay_values and slew_values,
     row-major. Seeds: v, rf, tags, a_max, a_min, slew_max, slew_min. The late side looks up with the largest slew, the early side
     with the smallest; arrival and slew are merged each on its own, so the worst slew of a vertex may come by another edge than its worst arrival.
-    e_max and e_min are the edges of the worst arrivals; ties go to the smaller edge.
+    e_max and e_min are the edges of the worst arrivals; ties go to the smaller edge. Without ``track`` they are left out.
     """
-    none = F.lit(None).cast("bigint")
-    start = g.place(seeds.select("v", "rf", *tags, *[F.col(c).cast("double").alias(c) for c in ("a_max", "a_min", "slew_max", "slew_min")], none.alias("e_max"), none.alias("e_min")))
+    prev = ["e_max", "e_min"] if track else []
+    start = g.place(seeds.select("v", "rf", *tags, *[F.col(c).cast("double").alias(c) for c in ("a_max", "a_min", "slew_max", "slew_min")], *[F.lit(None).cast("bigint").alias(c) for c in prev]))
 
-    def step(rows: DataFrame, e: DataFrame) -> DataFrame:
-        j = rows.withColumnsRenamed({"v": "from_v", "rf": "from_rf"}).drop("level", "e_max", "e_min").join(e, ["from_v", "from_rf"])
+    def receive(j: DataFrame) -> DataFrame:
         j = _looked_up(j.join(tables, "table_id", "left"), ("max", "min"))
         return j.select(F.col("to_v").alias("v"), F.col("to_rf").alias("rf"), *tags, (F.col("a_max") + F.col("delay_max")).alias("a_max"), (F.col("a_min") + F.col("delay_min")).alias("a_min"),
-                        F.col("out_max").alias("slew_max"), F.col("out_min").alias("slew_min"), F.col("e_id").alias("e_max"), F.col("e_id").alias("e_min"), "to_level")
+                        F.col("out_max").alias("slew_max"), F.col("out_min").alias("slew_min"), *[F.col("e_id").alias(c) for c in prev], "to_level")
 
     def merge(rows: DataFrame) -> DataFrame:
+        if not track:
+            return rows.groupBy("v", "rf", *tags).agg(F.max("a_max").alias("a_max"), F.min("a_min").alias("a_min"), F.max("slew_max").alias("slew_max"), F.min("slew_min").alias("slew_min"), F.min("level").alias("level"))
         late, early = F.max(F.struct("a_max", (-F.col("e_max")).alias("e"))), F.min(F.struct("a_min", F.col("e_min").alias("e")))
         m = rows.groupBy("v", "rf", *tags).agg(late.alias("l"), early.alias("s"), F.max("slew_max").alias("slew_max"), F.min("slew_min").alias("slew_min"), F.first("level").alias("level"))
         return m.select("v", "rf", *tags, F.col("l.a_max").alias("a_max"), F.col("s.a_min").alias("a_min"), "slew_max", "slew_min", (-F.col("l.e")).alias("e_max"), F.col("s.e").alias("e_min"), "level")
 
-    return g.sweep(start, step, merge)
+    return g.sweep(start, receive, merge, drop=prev)
 
 
 def edge_delays(edges: DataFrame, slews: DataFrame, tables: DataFrame) -> DataFrame:

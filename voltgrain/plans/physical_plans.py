@@ -9,7 +9,7 @@ from ..operators import equivalence as eq
 from ..operators import library as lib
 from ..operators import parasitics as ps
 from ..operators.annotation import annotate_arcs
-from ..operators.graph import Levelled, union_all
+from ..operators.graph import union_all
 from ..operators.slew import slew_arrivals, table_of
 from ..session import cut
 from . import bindings as b, graph_plans
@@ -138,12 +138,11 @@ SLEW_SQL = ", ".join(["sw0 AS MATERIALIZED (SELECT v, rf, clk, a_max * 1e0 AS a_
 @query("h6_slew_sweep", f"WITH {BASE_SQL}, {SEED_SQL}, {SLEW_SQL}, a AS (" + " UNION ALL ".join(f"SELECT * FROM sw{k}" for k in range(4)) + ") SELECT v, rf, clk, round(a_max, 6) AS a_max, round(a_min, 6) AS a_min, round(s_max, 6) AS slew_max, round(s_min, 6) AS slew_min FROM a")
 def h6_sweep(spark, d):
     """Delays looked up level by level with the slew that arrives; the output slew goes on to the next stage."""
-    kind = F.col("to_v") % 5
-    e = graph_plans.edges(spark, d).filter("layer < 3").select("e_id", "from_v", "from_rf", "to_v", "to_rf", "layer", kind.cast("int").alias("table_id"), ((F.col("d_max") % 40) / 10.0).alias("load"), F.lit(None).cast("double").alias("wire_delay"))
+    g = graph_plans.levelled(spark, d, 3, lambda x: {"table_id": (x["to_v"] % 5).cast("int"), "load": (x["d_max"] % 40) / 10.0, "wire_delay": F.lit(None).cast("double")})
     t = spark.range(5).select(F.col("id").cast("int").alias("table_id"), F.array(*map(F.lit, b.AX1)).alias("axis1"), F.array(*map(F.lit, b.AX2)).alias("axis2"),
                               table_of(F.col("id") + 1, b.AX1, b.AX2, 3, 2).alias("delay_values"), table_of((F.col("id") + 2) * 2, b.AX1, b.AX2, 3, 2, 187.0).alias("slew_values"))
     s = graph_plans.seeds(spark, d).withColumns({"slew_max": 0.05 + F.col("v") % 10 * 0.01, "slew_min": 0.03 + F.col("v") % 7 * 0.01})
-    out = slew_arrivals(Levelled(graph_plans.with_levels(e)), s, t)
+    out = slew_arrivals(g, s, t, track=False)
     return out.select("v", "rf", "clk", *[F.round(c, 6).alias(c) for c in ("a_max", "a_min", "slew_max", "slew_min")])
 
 
