@@ -137,7 +137,7 @@ def unique_ends(found: DataFrame, ends: DataFrame, k: int, tags: Sequence[str] =
 
 def unique_lists(found: DataFrame, paths: DataFrame, depth: int, tags: Sequence[str] = ("clk",)) -> DataFrame:
     """``paths`` with ``vertices``, their vertex list from start to end. Walks one edge per round."""
-    back = cut(found.select("v", "rf", *tags, "sig", "p_v", "p_rf", "p_sig"))
+    back = found.select("v", "rf", *tags, "sig", "p_v", "p_rf", "p_sig")  # a sweep has written its rows
     key = ["v", "rf", *tags, "sig"]
     cur = paths.select(F.struct(*paths.columns).alias("_path"), *key, F.array().cast(f"array<{dict(paths.dtypes)['v']}>").alias("vertices"))
     out = []
