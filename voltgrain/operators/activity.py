@@ -127,12 +127,16 @@ def propagate_activity(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, ma
     return LogicNet(gates, inputs, max_pins).propagate(seeds)
 
 
+def register_value(activity: Column, duty: Column, level_sensitive: Column, inverted: Column) -> tuple[Column, Column]:
+    """Activity and duty of a Q from its D's: at most 1 for edge-triggered, duty turned for QN."""
+    return (F.when(level_sensitive, activity).otherwise(F.least(activity, F.lit(1.0))).alias("activity"),
+            F.when(inverted, 1.0 - duty).otherwise(duty).alias("duty"))
+
+
 def register_outputs(regs: DataFrame, nets: DataFrame) -> DataFrame:
-    """Q nets take their D's activity: at most 1 for edge-triggered, duty turned for QN."""
+    """Q nets take their D's ``register_value``."""
     j = regs.join(nets.withColumnRenamed("net", "d_net"), "d_net")
-    act = F.when(F.col("level_sensitive"), F.col("activity")).otherwise(F.least(F.col("activity"), F.lit(1.0)))
-    return j.select(F.col("q_net").alias("net"), act.alias("activity"),
-                    F.when(F.col("inverted"), 1.0 - F.col("duty")).otherwise(F.col("duty")).alias("duty"))
+    return j.select(F.col("q_net").alias("net"), *register_value(F.col("activity"), F.col("duty"), F.col("level_sensitive"), F.col("inverted")))
 
 
 def propagate_with_registers(gates: DataFrame, inputs: DataFrame, seeds: DataFrame, regs: DataFrame, max_passes: int = MAX_PASSES, max_pins: int = 16) -> DataFrame:

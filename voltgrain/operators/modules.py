@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.logic import X, by_function, probability_expr, toggle_rate_expr
-from .activity import clip
+from ..session import cut, cut_watch
+from .activity import MAX_PASSES, TOLERANCE, clip
 from .constants import output_value
+from .graph import union_all
 
 
 class ModuleGate(NamedTuple):
@@ -79,3 +81,40 @@ def propagate_in_modules(rows: DataFrame, ports: Sequence[str], gates: Sequence[
             known = known & F.col(p).isNotNull()
         rows = rows.withColumn(g.out, F.when(known, F.struct(clip(act).alias("activity"), duty.alias("duty"))))
     return rows
+
+
+def propagate_registers_in_modules(rows: DataFrame, output: Callable[[DataFrame], DataFrame], max_passes: int = MAX_PASSES) -> DataFrame:
+    """(inst, activity, duty) of one register per instance, as ``propagate_with_registers`` finds them.
+
+    ``rows``: inst, up (the instance whose register feeds this one, null: none) and what ``output`` needs, which adds a column ``q`` (activity, duty) from these and from ``up_q``,
+    the register's before it (null: none). A register is evaluated once, when the one before it is known; a round joins only what became known in
+    the round before, which Spark broadcasts while it is small. What is left lies on loops of registers or behind them and is repeated from 0 until nothing moves by more than
+    the tolerance; behind a register that does not exist nothing is known.
+    """
+    kind = "struct<activity:double,duty:double>"
+
+    def q_of(df: DataFrame) -> DataFrame:
+        return output(df).select("inst", F.col("q").cast(kind).alias("q"))
+
+    def before(q: DataFrame) -> DataFrame:
+        return q.select(F.col("inst").alias("up"), F.col("q").alias("up_q"))
+    waiting = cut(rows.filter("up is not null"))
+    fresh, n = cut_watch(q_of(rows.filter("up is null").withColumn("up_q", F.lit(None).cast(kind))), F.lit(True))
+    known = [fresh]
+    while n:
+        fresh, n = cut_watch(q_of(waiting.join(before(fresh), "up")), F.lit(True))
+        known.append(fresh)
+    done = union_all(known)
+    rest, n = cut_watch(waiting.join(done.select("inst"), "inst", "left_anti"), F.lit(True))
+    if n:
+        fixed = cut(before(done).join(rest.select("up").distinct(), "up", "left_semi"))
+        q = rest.select("inst", F.struct(F.lit(0.0).alias("activity"), F.lit(0.0).alias("duty")).cast(kind).alias("q"))
+        for _ in range(max_passes):
+            new = q_of(rest.join(before(q).unionByName(fixed), "up")).join(q.withColumnRenamed("q", "_q"), "inst")
+            moved = (F.abs(F.col("q.activity") - F.col("_q.activity")) > TOLERANCE) | (F.abs(F.col("q.duty") - F.col("_q.duty")) > TOLERANCE)
+            new, n = cut_watch(new, moved)
+            q = new.select("inst", "q")
+            if not n:
+                break
+        done = done.unionByName(q)
+    return done.select("inst", "q.activity", "q.duty")
