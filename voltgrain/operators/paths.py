@@ -89,6 +89,53 @@ class PathSearch:
         return union_all(out)
 
 
+def k_worst_from_ends(g: Levelled, seeds: DataFrame, arr: DataFrame, ends: DataFrame, k: int, tags: Sequence[str] = ("clk",), which: str = "max") -> DataFrame:
+    """(end_id, rank, total, ev, erf, e_<tags>, points) of the k worst paths of each ``end_id`` (end_id, v, rf, tags), in one pass from the ends to the starts.
+
+    ``points``: v, rf, e_id (null at the start) and d, from the end to the start; d adds up to the total. Every part of a path behind a vertex stands for its
+    worst completion, the vertex's arrival in ``arr`` (as a sweep returns it) before it. Exact: a part that is not among the k worst of its end has k others before it, each with a path no better than any
+    of its own; so a step keeps k parts an end, and reads only the edges into the vertices of its level. ``PathSearch`` reads all edges again in each of its rounds.
+    Which of equally bad paths stay is left open. Tags must not change on the way.
+    """
+    key, a = ["v", "rf", *tags], f"a_{which}"
+    name = {c: f"e_{c}" if c in tags else f"e{c}" for c in key}
+    sign, best = (1, F.max) if which == "max" else (-1, F.min)
+    first = g.place(seeds.groupBy(*key).agg(best(a).alias("reach")))
+    point = f"array<struct<v:{dict(ends.dtypes)['v']},rf:string,e_id:bigint,d:{dict(arr.dtypes)[a]}>>"
+    fixed = ["end_id", *name.values()]
+
+    def at(rows: DataFrame, levels: set[int] | None) -> DataFrame:
+        return rows if levels is None else rows.filter(F.col("level").isin(sorted(levels)))
+
+    cur = ends.select("end_id", *key, *[F.col(c).alias(n) for c, n in name.items()], F.array().cast(point).alias("points"))
+    cur = cut(cur.join(arr.select(*key, (F.col(a) * 0).alias("suffix")), key).withColumn("part", F.monotonically_increasing_id()))
+    levels = {r[0] for r in g.place(cur.select("v")).select("level").distinct().collect()} if g.source is not None else None
+    done, none, total = None, F.lit(None), (F.col("reach") + F.col("suffix")).alias("total")
+    for _ in range(g.depth + 1):
+        before, d = None if levels is None else {x - 1 for x in levels}, F.col(f"_e.d_{which}")
+        slim = cur.drop("points", *name.values())
+        reach = at(arr, before).select(*[F.col(c).alias(f"_{c}") for c in key], F.col(a).alias("reach"))
+        types = dict(cur.dtypes)
+        whole = slim.join(at(first, levels).drop("level"), key).select("end_id", "part", *[none.cast(types[c]).alias(f"_{c}") for c in key], none.cast("bigint").alias("e_id"), F.col("reach").alias("d"), total, F.col("suffix"))
+        more = g.into(slim, levels).select("end_id", "part", F.col("from_v").alias("_v"), F.col("_e.from_rf").alias("_rf"), *[F.col(t).alias(f"_{t}") for t in tags], F.col("_e.e_id").alias("e_id"), d.alias("d"), (F.col("suffix") + d).alias("suffix"))
+        more = more.join(reach, [f"_{c}" for c in key]).select(*whole.columns[:-2], total, "suffix")
+        old = [] if done is None else [done.select("end_id", "part", *[none.cast(types[c]).alias(f"_{c}") for c in key], none.cast("bigint").alias("e_id"), none.cast(dict(more.dtypes)["d"]).alias("d"), "total", none.cast(types["suffix"]).alias("suffix"))]
+        w = W.partitionBy("end_id").orderBy((sign * F.col("total")).desc(), "part", "e_id")
+        found = union_all([*old, whole, more]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        # The points stay with the parts and join the k best only.
+        parts = cur.select("end_id", "part", "v", "rf", *name.values(), "points")
+        if done is not None:
+            parts = parts.unionByName(done.select("end_id", "part", none.cast(types["v"]).alias("v"), none.cast("string").alias("rf"), *name.values(), "points"))
+        new = F.when(F.col("v").isNull(), F.col("points")).otherwise(F.concat("points", F.array(F.struct("v", "rf", "e_id", "d")).cast(point)))
+        found = found.join(parts, ["end_id", "part"]).select(*fixed, *[F.col(f"_{c}").alias(c) for c in key], "suffix", "total", "rank", new.alias("points"))
+        found, n = cut_watch(found.withColumn("part", F.monotonically_increasing_id()), F.col("v").isNotNull())
+        if not n:
+            return found.select("end_id", "rank", "total", *name.values(), "points")
+        done, cur = found.filter("v is null").drop("rank"), found.filter("v is not null").drop("rank", "total")
+        levels = before
+    raise ValueError("arrivals of vertices that no start reaches")
+
+
 def k_worst_unique(g: Levelled, seeds: DataFrame, k: int, tags: Sequence[str] = ("clk",), which: str = "max") -> DataFrame:
     """The k worst paths into every (v, rf) that pass different vertices: v, rf, tags, sig, time, rank, and the row each extends (p_v, p_rf, p_sig, e_id; null at a start).
 
