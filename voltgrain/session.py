@@ -50,7 +50,7 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    w = df.write.mode("errorifexists")
+    w = df.write.mode("errorifexists").option("compression", "zstd")
     schema = df.schema
     if by is not None:
         w = w.partitionBy(by)
