@@ -136,6 +136,52 @@ def k_worst_from_ends(g: Levelled, seeds: DataFrame, arr: DataFrame, ends: DataF
     raise ValueError("arrivals of vertices that no start reaches")
 
 
+#: So many vertices may be broadcast to pick their edges.
+FEW_VERTICES = 100_000
+
+
+def k_worst_unique_from_ends(g: Levelled, seeds: DataFrame, arr: DataFrame, ends: DataFrame, k: int, tags: Sequence[str] = ("clk",), which: str = "max") -> DataFrame:
+    """(end_id, rank, time, vertices) of the k worst paths of each ``end_id`` (end_id, v, rf, tags) that pass different vertices, in one pass from the ends to the starts.
+
+    Paths that differ in edges, transitions or tags only are one, with the worst time of all. ``vertices`` is the list from start to end. A list behind a vertex stands for its worst
+    completion, the arrival in ``arr`` (as a sweep returns it) before it. Exact: the completions of different lists are different, so a list that is not among the k
+    worst of its end has k others before it; a step keeps k lists an end, with all their transitions. ``k_worst_unique`` keeps k lists at every vertex; this one reads only edges into lists that are
+    still open. Of equally bad lists the smaller (by vertices, nearest to the start) stay. Tags must not change on the way.
+    """
+    key, a = ["v", "rf", *tags], f"a_{which}"
+    sign, best = (1, F.max) if which == "max" else (-1, F.min)
+    first = g.place(seeds.groupBy(*key).agg(best(a).alias("reach")))
+    lists = f"array<{dict(ends.dtypes)['v']}>"
+    point, none = ["rf", *tags, "suffix"], F.lit(None)
+
+    def at(rows: DataFrame, levels: set[int] | None) -> DataFrame:
+        return rows if levels is None else rows.filter(F.col("level").isin(sorted(levels)))
+
+    cur = cut(ends.join(arr.select(*key, (F.col(a) * 0).alias("suffix")), key).select("end_id", *key, "suffix", F.array("v").cast(lists).alias("vertices")))
+    levels = {r[0] for r in g.place(cur.select("v")).select("level").distinct().collect()} if g.source is not None else None
+    done = None
+    for _ in range(g.depth + 1):
+        before = None if levels is None else {x - 1 for x in levels}
+        few = cur.select("v").distinct().limit(FEW_VERTICES + 1).count() <= FEW_VERTICES
+        whole = cur.join(at(first, levels).drop("level"), key).groupBy("end_id", "vertices").agg(best(F.col("reach") + F.col("suffix")).alias("time"))
+        whole = whole.select("end_id", "vertices", none.cast(dict(ends.dtypes)["v"]).alias("v"), "time", none.alias("points"))
+        more = g.into(cur, levels, few).select("end_id", F.col("from_v").alias("_v"), F.col("_e.from_rf").alias("_rf"), *tags, (F.col("suffix") + F.col(f"_e.d_{which}")).alias("suffix"), F.concat(F.array("from_v"), "vertices").cast(lists).alias("vertices"))
+        more = more.withColumnsRenamed({"_v": "v", "_rf": "rf"}).groupBy("end_id", "vertices", *key).agg(best("suffix").alias("suffix"))
+        # Written, so that few lists are broadcast and the arrivals stay where they are.
+        more = cut(more).join(at(arr, before).select(*key, F.col(a).alias("reach")), key)
+        more = more.groupBy("end_id", "vertices", "v").agg(best(F.col("reach") + F.col("suffix")).alias("time"), F.collect_list(F.struct(*point)).alias("points"))
+        whole = whole.withColumn("points", F.col("points").cast(dict(more.dtypes)["points"]))
+        w = W.partitionBy("end_id").orderBy((sign * F.col("time")).desc(), "vertices", F.col("v").isNull())
+        found = union_all([*([] if done is None else [done]), whole, more]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        found, n = cut_watch(found, F.col("v").isNotNull())
+        if not n:
+            return found.select("end_id", "rank", "time", "vertices")
+        done = found.filter("v is null").drop("rank")
+        cur = found.filter("v is not null").select("end_id", "v", "vertices", F.inline("points"))
+        levels = before
+    raise ValueError("arrivals of vertices that no start reaches")
+
+
 def k_worst_unique(g: Levelled, seeds: DataFrame, k: int, tags: Sequence[str] = ("clk",), which: str = "max") -> DataFrame:
     """The k worst paths into every (v, rf) that pass different vertices: v, rf, tags, sig, time, rank, and the row each extends (p_v, p_rf, p_sig, e_id; null at a start).
 
