@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import sized
 from .constraints import exception_priority
 
 STATE = "array<struct<exc:bigint,next:int>>"
@@ -29,7 +30,7 @@ def _pairs(rows: DataFrame, exc: DataFrame, fields: dict[str, str], keep: Sequen
         named = [f for f in m.split(",") if f]
         if not named:
             continue
-        part = x.filter(F.col("_m") == m).select("exc_id", *named)
+        part = sized(x.filter(F.col("_m") == m).select("exc_id", *named))
         hit = rows.withColumns({f: F.col(fields[f]) for f in named}).join(part, named).select(*keep, "exc_id")
         out = hit if out is None else out.unionByName(hit)
     return rows.select(*keep, F.lit(None).cast("bigint").alias("exc_id")).limit(0) if out is None else out
@@ -40,16 +41,17 @@ def start_states(seeds: DataFrame, exc: DataFrame, clk: str = "clk") -> DataFram
     keys = ["v", "rf", clk]
     hit = _pairs(seeds.select(*keys).distinct(), exc.filter(_named(exc, FROM)), {"from_pin": "v", "from_clk": clk, "from_rf": "rf"}, keys)
     st = hit.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(F.col("exc_id").alias("exc"), F.lit(0).alias("next")))).cast(STATE).alias("state"))
-    return seeds.join(st, keys, "left").withColumn("state", F.coalesce("state", F.array().cast(STATE)))
+    return seeds.join(st.hint("merge"), keys, "left").withColumn("state", F.coalesce("state", F.array().cast(STATE)))
 
 
 def mark_edges(edges: DataFrame, exc: DataFrame, throughs: DataFrame) -> DataFrame:
     """Edges with ``thru``: (exc, pos, free) of the through points their end is one of. ``throughs``: exc_id, pos (0, 1, …), v and rf (null: both)."""
-    free = exc.select("exc_id", (~_named(exc, FROM)).alias("free"))
+    # An exception may have very many through points: their kinds are few, the points are not.
+    free = sized(exc.join(throughs.select("exc_id").distinct(), "exc_id", "left_semi").select("exc_id", (~_named(exc, FROM)).alias("free")))
     t = throughs.join(free, "exc_id").select(F.col("v").alias("to_v"), F.explode(F.when(F.col("rf").isNull(), F.array(F.lit("rise"), F.lit("fall"))).otherwise(F.array("rf"))).alias("to_rf"),
                                              F.struct(F.col("exc_id").alias("exc"), F.col("pos").cast("int").alias("pos"), "free").alias("t"))
     t = t.groupBy("to_v", "to_rf").agg(F.array_sort(F.collect_set("t")).alias("thru"))
-    return edges.join(t, ["to_v", "to_rf"], "left")
+    return edges.join(t.hint("merge"), ["to_v", "to_rf"], "left")
 
 
 def end_marks(exc: DataFrame, throughs: DataFrame) -> DataFrame:
@@ -81,10 +83,9 @@ def match_states(ends: DataFrame, exc: DataFrame, throughs: DataFrame, side: str
     over the other side (0), then the tighter value (larger for a minimum delay), then the smaller number.
     """
     n = throughs.groupBy("exc_id").agg((F.max("pos") + 1).alias("n_thru"))
-    x = exc.join(n, "exc_id", "left").withColumns({"n_thru": F.coalesce("n_thru", F.lit(0)), "minmax": F.coalesce("minmax", F.lit("all")) if "minmax" in exc.columns else F.lit("all"), "through": F.when(F.col("n_thru") > 0, 1)})
+    x = exc.join(sized(n), "exc_id", "left").withColumns({"n_thru": F.coalesce("n_thru", F.lit(0)), "minmax": F.coalesce("minmax", F.lit("all")) if "minmax" in exc.columns else F.lit("all"), "through": F.when(F.col("n_thru") > 0, 1)})
     x = x.filter((F.col("minmax").isin("all", side)) | ((F.col("kind") == "multicycle") & F.lit(side == "min")))
-    pri = exception_priority(x.drop("minmax")).select("exc_id", "priority")
-    x = x.join(pri, "exc_id")
+    x = exception_priority(x.withColumnRenamed("minmax", "_side")).withColumnRenamed("_side", "minmax")
     one_side = F.when(F.col("kind") != "multicycle", 0).when(F.col("minmax") == "all", 1).when(F.col("minmax") == side, 2).otherwise(0)
     tight = F.when((F.col("kind") == "path_delay") & (F.col("minmax") == "min"), F.col("value")).otherwise(-F.col("value"))
     x = x.withColumn("_x", F.struct((F.col("priority") + one_side).alias("p"), tight.alias("t"), (-F.col("exc_id")).alias("o"), F.col("kind").alias("kind"), F.col("value").alias("value")))
@@ -95,11 +96,11 @@ def match_states(ends: DataFrame, exc: DataFrame, throughs: DataFrame, side: str
     for f in cols:
         fits = fits & (F.col(f"_{f}").isNull() | (F.col(f"_{f}") == F.col(to_fields[f])))
     reached = ends.select(*keys, "v", "rf", clk, F.explode("state").alias("s")) if not {"v", "rf", clk} <= set(keys) else ends.select(*keys, F.explode("state").alias("s"))
-    listed = x.filter(started).select(F.col("exc_id").alias("_id"), "n_thru", "_x", *[F.col(f).alias(f"_{f}") for f in cols])
+    listed = sized(x.filter(started).select(F.col("exc_id").alias("_id"), "n_thru", "_x", *[F.col(f).alias(f"_{f}") for f in cols]))
     a = reached.join(listed, (F.col("s.exc") == F.col("_id")) & (F.col("s.next") == F.col("n_thru"))).filter(fits).select(*keys, "_x")
-    b = _pairs(ends, x.filter(~started), to_fields, keys).join(x.select("exc_id", "_x"), "exc_id").select(*keys, "_x")
+    b = _pairs(ends, x.filter(~started), to_fields, keys).join(sized(x.filter(~started).select("exc_id", "_x")), "exc_id").select(*keys, "_x")
     best = a.unionByName(b).groupBy(*keys).agg(F.max("_x").alias("_x"))
-    return ends.join(best, list(keys), "left").withColumns({"exc_kind": F.col("_x.kind"), "exc_value": F.col("_x.value"), "exc_id": -F.col("_x.o")}).drop("_x")
+    return ends.join(best.hint("merge"), list(keys), "left").withColumns({"exc_kind": F.col("_x.kind"), "exc_value": F.col("_x.value"), "exc_id": -F.col("_x.o")}).drop("_x")
 
 
 def required_with(exc_kind: Column, exc_value: Column, required: Column, period: Column) -> Column:
