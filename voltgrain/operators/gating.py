@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import sized
+
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), i.cast("int"))
@@ -38,19 +40,19 @@ def gated_enables(insts: DataFrame, pins: DataFrame, functions: DataFrame, clock
 
     ``insts``: inst, cell. ``pins``: inst, pin_idx, v. ``clock_pins``: v, the clock network; the enable must lie outside it.
     ``disabled``: inst, v; a row with an instance only turns all its checks off, one with a pin those of that pin.
-    ``overrides``: clk_v, en_v, active set by the user; it beats the function.
+    ``overrides``: clk_v, en_v, active set by the user; it beats the function. All of them may grow with the instances, so only library rows are broadcast.
     """
-    marked = pins.join(clock_pins.select("v").distinct().withColumn("_c", F.lit(True)), "v", "left")
+    marked = pins.join(clock_pins.select("v").distinct().withColumn("_c", F.lit(True)).hint("merge"), "v", "left")
     if disabled is not None:
-        marked = marked.join(disabled.filter("v is not null").select("v").distinct(), "v", "left_anti")
-        insts = insts.join(disabled.filter("v is null and inst is not null").select("inst").distinct(), "inst", "left_anti")
+        marked = marked.join(disabled.filter("v is not null").select("v").distinct().hint("merge"), "v", "left_anti")
+        insts = insts.join(disabled.filter("v is null and inst is not null").select("inst").distinct().hint("merge"), "inst", "left_anti")
     clk = marked.filter("_c").select("inst", F.col("pin_idx").alias("clk_idx"), F.col("v").alias("clk_v"))
     en = marked.filter("_c is null").select("inst", F.col("pin_idx").alias("en_idx"), F.col("v").alias("en_v"))
     # Only instances with a clock pin and another pin get as far as the library rows.
-    pair = clk.join(insts.select("inst", "cell"), "inst").join(gating_pins(functions), ["cell", "clk_idx"]).join(en, ["inst", "en_idx"])
+    pair = clk.join(insts.select("inst", "cell").hint("merge"), "inst").join(sized(gating_pins(functions)), ["cell", "clk_idx"]).join(en.hint("merge"), ["inst", "en_idx"])
     out = pair.groupBy("inst", "clk_v", "en_v").agg(F.max("active").alias("active"))
     if overrides is not None:
-        out = out.join(overrides.select("clk_v", "en_v", F.col("active").alias("_o")), ["clk_v", "en_v"], "left").withColumn("active", F.coalesce("_o", "active")).drop("_o")
+        out = out.join(overrides.select("clk_v", "en_v", F.col("active").alias("_o")).hint("merge"), ["clk_v", "en_v"], "left").withColumn("active", F.coalesce("_o", "active")).drop("_o")
     return out.select("inst", "clk_v", "en_v", "active")
 
 
@@ -73,17 +75,16 @@ def gating_ends(enables: DataFrame, arrivals: DataFrame, clock_arrivals: DataFra
     into, out_of = (F.when(F.col("active") == 1, a).otherwise(b) for a, b in (("rise", "fall"), ("fall", "rise")))
     e = enables.withColumn("_k", F.explode(F.array(
         F.struct(F.lit("gate_setup").alias("kind"), into.alias("clk_rf")), F.struct(F.lit("gate_hold").alias("kind"), out_of.alias("clk_rf")))))
-    e = e.select("inst", "clk_v", "en_v", "_k.*").join(c, ["clk_v", "clk_rf"]).join(d, "en_v")
+    e = e.select("inst", "clk_v", "en_v", "_k.*").join(c.hint("merge"), ["clk_v", "clk_rf"]).join(d.hint("merge"), "en_v")
     if excluded is not None:
-        e = e.join(excluded.select("lclk", "cclk").distinct(), ["lclk", "cclk"], "left_anti")
-    e = e.join(capture, ["lclk", "cclk", "clk_rf", "kind"])
+        e = e.join(sized(excluded.select("lclk", "cclk").distinct()), ["lclk", "cclk"], "left_anti")
+    e = e.join(sized(capture), ["lclk", "cclk", "clk_rf", "kind"])
     found = []
     for i, scope in enumerate(MARGIN_ORDER if margins is not None else ()):
         m = margins.filter(F.col("scope") == (scope or "global")).groupBy(*(["key"] if scope else []), "kind").agg(
             *[F.max(F.when(cond, F.col("margin"))).alias(n) for n, cond in (("_r", F.col("rf") == "rise"), ("_f", F.col("rf") == "fall"), ("_b", F.col("rf").isNull()))])
         m = m.withColumnsRenamed({"key": f"_key{i}", "kind": "_kind"})
-        if not scope:
-            m = F.broadcast(m)  # one row for each of the two kinds
+        m = sized(m) if scope else F.broadcast(m)  # without a scope one row for each of the two kinds
         on = F.col("kind") == F.col("_kind")
         if scope:
             on = on & (F.col(scope).cast("string") == F.col(f"_key{i}"))
