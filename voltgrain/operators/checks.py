@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut
+
 
 def top_paths(ends: DataFrame, per_end: int, per_group: int, group: str = "clk", rank_by: str = "slack") -> DataFrame:
     """The worst ``per_end`` paths of each end point, then the worst ``per_group`` of each group.
@@ -135,3 +137,12 @@ def check_report(rows: DataFrame, kinds: Sequence[str] = CHECK_KINDS, violators:
         return some.filter("slack < 0").select("check", "obj", "slack")
     worst = some.groupBy("check").agg(F.min(F.struct("slack", "obj")).alias("_w"))
     return worst.select("check", F.col("_w.obj").alias("obj"), F.col("_w.slack").alias("slack"))
+
+
+def violators_and_worst(rows: DataFrame, kinds: Sequence[str] = CHECK_KINDS) -> tuple[DataFrame, DataFrame]:
+    """Both reports of ``check_report``. Only violators are written; the worst of a kind is one of them, and only kinds without any are read again."""
+    bad = cut(check_report(rows, kinds, violators=True))
+    found = sorted(r[0] for r in bad.select("check").distinct().collect())
+    calm = [k for k in kinds if k not in found]
+    worst = check_report(bad, found)
+    return bad, worst.unionByName(check_report(rows, calm)) if calm else worst
