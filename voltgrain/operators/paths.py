@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut, cut_watch
+from ..session import cut, cut_watch, sized
 from .graph import Levelled, advanced, union_all
 
 #: Stands for the edge into a vertex where a path starts.
@@ -89,6 +89,10 @@ class PathSearch:
         return union_all(out)
 
 
+#: So many arrivals may be broadcast to the edges that leave them.
+FEW_STARTS = 1_000_000
+
+
 def k_worst_from_ends(g: Levelled, seeds: DataFrame, arr: DataFrame, ends: DataFrame, k: int, tags: Sequence[str] = ("clk",), which: str = "max") -> DataFrame:
     """(end_id, rank, total, ev, erf, e_<tags>, points) of the k worst paths of each ``end_id`` (end_id, v, rf, tags), in one pass from the ends to the starts.
 
@@ -108,26 +112,29 @@ def k_worst_from_ends(g: Levelled, seeds: DataFrame, arr: DataFrame, ends: DataF
         return rows if levels is None else rows.filter(F.col("level").isin(sorted(levels)))
 
     cur = ends.select("end_id", *key, *[F.col(c).alias(n) for c, n in name.items()], F.array().cast(point).alias("points"))
-    cur = cut(cur.join(arr.select(*key, (F.col(a) * 0).alias("suffix")), key).withColumn("part", F.monotonically_increasing_id()))
+    cur = cut(cur.hint("merge").join(arr.select(*key, (F.col(a) * 0).alias("suffix")), key).withColumn("part", F.monotonically_increasing_id()))
     levels = {r[0] for r in g.place(cur.select("v")).select("level").distinct().collect()} if g.source is not None else None
+    starts = {r[0] for r in first.select("level").distinct().collect()} if levels is not None else set()
     done, none, total = None, F.lit(None), (F.col("reach") + F.col("suffix")).alias("total")
     for _ in range(g.depth + 1):
         before, d = None if levels is None else {x - 1 for x in levels}, F.col(f"_e.d_{which}")
         slim = cur.drop("points", *name.values())
-        reach = at(arr, before).select(*[F.col(c).alias(f"_{c}") for c in key], F.col(a).alias("reach"))
+        # Few vertices, as the starts are, are looked up where the parts meet their edges; the k best leave a task.
+        reach = sized(at(arr, before).select(*[F.col(c).alias(f"_{c}") for c in key], F.col(a).alias("reach")), FEW_STARTS)
         types = dict(cur.dtypes)
-        whole = slim.join(at(first, levels).drop("level"), key).select("end_id", "part", *[none.cast(types[c]).alias(f"_{c}") for c in key], none.cast("bigint").alias("e_id"), F.col("reach").alias("d"), total, F.col("suffix"))
+        at_start = levels is None or bool(levels & starts)
+        whole = slim.join(sized(at(first, levels).drop("level"), FEW_STARTS) if at_start else first.drop("level").limit(0), key).select("end_id", "part", *[none.cast(types[c]).alias(f"_{c}") for c in key], none.cast("bigint").alias("e_id"), F.col("reach").alias("d"), total, F.col("suffix"))
         more = g.into(slim, levels).select("end_id", "part", F.col("from_v").alias("_v"), F.col("_e.from_rf").alias("_rf"), *[F.col(t).alias(f"_{t}") for t in tags], F.col("_e.e_id").alias("e_id"), d.alias("d"), (F.col("suffix") + d).alias("suffix"))
         more = more.join(reach, [f"_{c}" for c in key]).select(*whole.columns[:-2], total, "suffix")
         old = [] if done is None else [done.select("end_id", "part", *[none.cast(types[c]).alias(f"_{c}") for c in key], none.cast("bigint").alias("e_id"), none.cast(dict(more.dtypes)["d"]).alias("d"), "total", none.cast(types["suffix"]).alias("suffix"))]
         w = W.partitionBy("end_id").orderBy((sign * F.col("total")).desc(), "part", "e_id")
-        found = union_all([*old, whole, more]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        found = union_all([*old, *([whole] if at_start else []), more]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         # The points stay with the parts and join the k best only.
         parts = cur.select("end_id", "part", "v", "rf", *name.values(), "points")
         if done is not None:
             parts = parts.unionByName(done.select("end_id", "part", none.cast(types["v"]).alias("v"), none.cast("string").alias("rf"), *name.values(), "points"))
         new = F.when(F.col("v").isNull(), F.col("points")).otherwise(F.concat("points", F.array(F.struct("v", "rf", "e_id", "d")).cast(point)))
-        found = found.join(parts, ["end_id", "part"]).select(*fixed, *[F.col(f"_{c}").alias(c) for c in key], "suffix", "total", "rank", new.alias("points"))
+        found = found.join(parts.hint("merge"), ["end_id", "part"]).select(*fixed, *[F.col(f"_{c}").alias(c) for c in key], "suffix", "total", "rank", new.alias("points"))
         found, n = cut_watch(found.withColumn("part", F.monotonically_increasing_id()), F.col("v").isNotNull())
         if not n:
             return found.select("end_id", "rank", "total", *name.values(), "points")
